@@ -223,35 +223,28 @@ def components(edges: DataFrame) -> DataFrame:
     """(``node``, ``root``) for every node of ``edges`` (``u``, ``v``), by rounds of random contraction.
 
     In a round each node moves to its neighbour of least random rank, if that is less than its own; edges
-    follow, and what is left is contracted again. Neighbours are pre-aggregated, never gathered. Nodes that are
-    their own root may be missing.
+    follow, and what is left is contracted again. Neighbours are pre-aggregated, never gathered.
     """
     left = cut(edges.where("u <> v").distinct())
-    moves: list[DataFrame] = []
+    ends = left.select(F.col("u").alias("node")).union(left.select("v")).distinct()
+    place, turn = ends.withColumn("root", F.col("node")), 0
     while not left.isEmpty():
-        rank = lambda c: F.xxhash64(F.col(c), F.lit(len(moves)))  # noqa: E731, B023
+        rank = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: E731, B023
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.struct(rank("v").alias("r"), F.col("v"))).alias("n"))
-        move = cut(least.where(F.struct(rank("u"), F.col("u")) > F.struct(F.col("n.r"), F.col("n.v"))).select(F.col("u").alias("node"), F.col("n.v").alias("root")))
+        move = cut(least.where(F.struct(rank("u"), F.col("u")) > F.struct(F.col("n.r"), F.col("n.v"))).select(F.col("u").alias("from"), F.col("n.v").alias("to")))
         for end in ("u", "v"):
-            left = left.join(move.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+            left = left.join(move, left[end] == move["from"], "left").withColumn(end, F.coalesce("to", end)).select("u", "v")
         left = cut(left.where("u <> v").distinct())
-        moves.append(move)
-    if not moves:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).where(F.lit(False))
-    # a node's own move, then the later moves of where it went
-    out = moves[-1]
-    for move in reversed(moves[:-1]):
-        later = out.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        out = move.join(later, "root", "left").select("node", F.coalesce("further", "root").alias("root")).unionByName(out)
-    return out
+        place = cut(place.join(move, place["root"] == move["from"], "left").select("node", F.coalesce("to", "root").alias("root")))
+        turn += 1
+    return place
 
 
 def _classes(fps: DataFrame, least: Column, budget: int, hot: int) -> DataFrame:
     """(``fp``, ``least``): for each distinct fingerprint the least value over its component."""
     own = fps.groupBy("fp").agg(F.min(least).alias("own"))
-    root = cut(components(links(fps, budget, hot)))
-    linked = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp").distinct()
+    linked = components(links(fps, budget, hot)).withColumnRenamed("node", "fp")
     of_root = own.join(linked, "fp").groupBy("root").agg(F.min("own").alias("least"))
     found = linked.join(of_root, "root").select("fp", "least")
     return own.join(found, "fp", "left").select("fp", F.coalesce("least", "own").alias("least"))
