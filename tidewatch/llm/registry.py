@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import simhash
+from tidewatch.llm import langid, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": simhash.op1_simhash_neardup,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
