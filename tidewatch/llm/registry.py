@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import langid, pii, simhash
+from tidewatch.llm import langid, packing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": simhash.op1_simhash_neardup,
+    "op2_harmonic_packing": packing.op2_harmonic_packing,
     "op8_pii_spans": pii.op8_pii_spans,
     "op10_language_id": langid.op10_language_id,
 }
