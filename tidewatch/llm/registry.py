@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import langid, packing, pii, simhash
+from tidewatch.llm import langid, packing, pii, simhash, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": simhash.op1_simhash_neardup,
     "op2_harmonic_packing": packing.op2_harmonic_packing,
+    "op5_exact_topk": topk.op5_exact_topk,
+    "op7_url_filter": urlfilter.op7_url_filter,
     "op8_pii_spans": pii.op8_pii_spans,
     "op10_language_id": langid.op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_topk": topk.OP5_SQL,
+    "op7_url_filter": urlfilter.OP7_SQL,
+}
