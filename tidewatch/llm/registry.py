@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import langid, packing, pii, simhash, topk, urlfilter
+from tidewatch.llm import langid, packing, pii, simhash, topk, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": simhash.op1_simhash_neardup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_topk": topk.op5_exact_topk,
     "op7_url_filter": urlfilter.op7_url_filter,
     "op8_pii_spans": pii.op8_pii_spans,
+    "op9_warc": warc.op9_warc,
     "op10_language_id": langid.op10_language_id,
 }
 

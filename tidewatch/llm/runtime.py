@@ -47,6 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spill(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as Parquet: columnar, compressed, and without a partitioning that later joins would keep.
+
+    A join with it shuffles both sides itself, which lets the adaptive planner split the partitions of hot keys.
+    """
+    path = scratch(df.sparkSession, "spill")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of every executor."""
     app = spark.sparkContext.applicationId
