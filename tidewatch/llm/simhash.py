@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.runtime import cut, ship, table
+from tidewatch.llm.runtime import cut, ship, spill, table
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -253,7 +253,7 @@ def _classes(fps: DataFrame, least: Column, budget: int, hot: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = ERROR_BUDGET, hot: int = HOT_SUBTRIE) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` for each row of ``docs``."""
     fps = cut(fingerprints(docs, {"__tw_id": F.col(doc_id)}, text))
-    found = fps.join(_classes(fps, F.col("__tw_id"), budget, hot), "fp")
+    found = fps.join(spill(_classes(fps, F.col("__tw_id"), budget, hot)), "fp")
     return found.select(F.col("__tw_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
