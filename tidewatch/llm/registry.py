@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import langid, packing, pii, simhash, topk, urlfilter, warc
+from tidewatch.llm import langid, packing, pii, simhash, tokenstore, topk, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": simhash.op1_simhash_neardup,
     "op2_harmonic_packing": packing.op2_harmonic_packing,
+    "op4_token_store": tokenstore.op4_token_store,
     "op5_exact_topk": topk.op5_exact_topk,
     "op7_url_filter": urlfilter.op7_url_filter,
     "op8_pii_spans": pii.op8_pii_spans,

@@ -84,10 +84,11 @@ def ranged(df: DataFrame, order: Sequence[str], bucket: str, descending: bool =
     return cut(df.repartitionByRange(*cols).withColumn(bucket, F.spark_partition_id()))
 
 
-def with_running_start(df: DataFrame, order: Sequence[str], value: str, start: str) -> DataFrame:
+def with_running_start(df: DataFrame, order: Sequence[str], value: str, start: str, keep: str | None = None) -> DataFrame:
     """Add ``start``: the sum of ``value`` over all rows before this one in ascending ``order``.
 
-    Sums run inside range partitions; only one total for each partition meets in a single task.
+    Sums run inside range partitions; only one total for each partition meets in a single task. ``keep`` names a
+    column for the number of the row's range partition.
     """
     b = "__tw_bucket"
     rows = ranged(df, order, b)
@@ -95,4 +96,5 @@ def with_running_start(df: DataFrame, order: Sequence[str], value: str, start: s
     before = totals.select(b, F.coalesce(F.sum("__tw_total").over(Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__tw_before"))
     inside = Window.partitionBy(b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     # one row for each partition, so the broadcast is bounded by their number
-    return rows.withColumn(start, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(before), b).withColumn(start, F.col(start) + F.col("__tw_before")).drop(b, "__tw_before")
+    out = rows.withColumn(start, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(before), b).withColumn(start, F.col(start) + F.col("__tw_before")).drop("__tw_before")
+    return out.withColumnRenamed(b, keep) if keep else out.drop(b)
