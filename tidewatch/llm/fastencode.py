@@ -29,24 +29,28 @@ _KEPT_PIECES = 800_000
 _CALL_CHARS = 1 << 18
 
 
-class PieceEncoder:
-    """Encoder for one tokenizer file.
+class Pieces:
+    """Cutting, keeping and putting together; subclasses encode what is new.
 
     ``spaces_matter``: blanks and case are part of the tokens (byte-level vocabularies). Otherwise the tokenizer
     drops white space and lower-cases by itself, and both may be unified before.
     """
 
-    def __init__(self, path: str, spaces_matter: bool):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.special = self.lib.token_to_id(_SPECIAL)
+    def __init__(self, spaces_matter: bool):
         self.spaces_matter = spaces_matter
         self.kept: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        """The ids of a text that can't be cut."""
+        raise NotImplementedError
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Put the ids of new pieces into ``kept``."""
+        raise NotImplementedError
+
+    def _odd(self, texts: pa.Array) -> pa.Array:
+        """Which texts can't be cut."""
+        return pc.match_substring(texts, _MARK)
 
     def _marked(self, texts: pa.Array) -> pa.Array:
         if self.spaces_matter:
@@ -57,22 +61,6 @@ class PieceEncoder:
                 texts = pc.replace_substring(texts, c, _MARK)
         return pc.replace_substring_regex(texts, r"([a-zA-Z])([.,;:!?|*#$%&])", r"\1" + _MARK + r"\2")
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces that aren't kept."""
-        at = 0
-        while at < len(pieces):
-            end, chars = at, 0
-            while end < len(pieces) and chars < _CALL_CHARS:
-                chars += len(pieces[end]) + len(_SPECIAL)
-                end += 1
-            ids = np.asarray(self.lib.encode_batch_fast([_SPECIAL.join(pieces[at:end])], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(ids == self.special)
-            assert len(ends) == end - at - 1
-            data, bounds = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
-            for p, a, b in zip(pieces[at:end], bounds, bounds[1:], strict=False):
-                self.kept[p] = data[4 * a + 4 : 4 * b]
-            at = end
-
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids (uint32) of each text, null as empty; a slice of the batch at a time."""
         texts = pc.fill_null(texts, "")
@@ -85,7 +73,7 @@ class PieceEncoder:
             at = end
 
     def _encode_slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        odd = np.flatnonzero(pc.or_(pc.match_substring(texts, _MARK), pc.match_substring(texts, _SPECIAL)).to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(self._odd(texts).to_numpy(zero_copy_only=False))
         apart = {int(k): np.frombuffer(self.whole(texts[int(k)].as_py()), np.uint32) for k in odd}
         if apart:
             texts = pc.if_else(pa.array(np.isin(np.arange(len(texts)), odd)), "", texts)
@@ -107,6 +95,40 @@ class PieceEncoder:
             yield apart[k] if k in apart else ids[bounds[k] : bounds[k + 1]]
 
 
+class PieceEncoder(Pieces):
+    """New pieces go to a tokenizer file's own encoder."""
+
+    def __init__(self, path: str, spaces_matter: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        super().__init__(spaces_matter)
+        self.lib = Tokenizer.from_file(path)
+        self.special = self.lib.token_to_id(_SPECIAL)
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _odd(self, texts: pa.Array) -> pa.Array:
+        return pc.or_(super()._odd(texts), pc.match_substring(texts, _SPECIAL))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces that aren't kept."""
+        at = 0
+        while at < len(pieces):
+            end, chars = at, 0
+            while end < len(pieces) and chars < _CALL_CHARS:
+                chars += len(pieces[end]) + len(_SPECIAL)
+                end += 1
+            ids = np.asarray(self.lib.encode_batch_fast([_SPECIAL.join(pieces[at:end])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == self.special)
+            assert len(ends) == end - at - 1
+            data, bounds = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
+            for p, a, b in zip(pieces[at:end], bounds, bounds[1:], strict=False):
+                self.kept[p] = data[4 * a + 4 : 4 * b]
+            at = end
+
+
 @cache
 def encoder(path: str, spaces_matter: bool) -> PieceEncoder:
     """One encoder in each worker process, so its kept pieces serve all tasks there."""
