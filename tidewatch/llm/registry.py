@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, langid, packing, pii, simhash, tokenstore, topk, urlfilter, warc
+from tidewatch.llm import bpe, langid, packing, pii, simhash, sketches, tokenstore, topk, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": simhash.op1_simhash_neardup,
     "op2_harmonic_packing": packing.op2_harmonic_packing,
+    "op3_lookup_sketch": sketches.op3_lookup_sketch,
     "op4_token_store": tokenstore.op4_token_store,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_sql_bpe": bpe.op6_sql_bpe,
