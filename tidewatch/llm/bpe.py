@@ -12,7 +12,8 @@ Long words are contracted by the same step, one query for each, so that only the
 state is kept; there all occurrences of the minimum pair are contracted at once, left
 to right, unless a token that contains the new one has a lower rank than it.
 
-Words already met stay in a bounded table of the worker process.
+Pieces already met stay in a bounded table of the worker process, and each worker
+encodes and decodes its partition in one pass.
 
 Defined results: null text counts as empty and has no ids. Rows are neither dropped
 nor merged; null and repeated ids pass through, other columns are ignored.
@@ -39,25 +40,29 @@ RANKS = "byte_bpe_50k.tiktoken"
 LONG_WORD = 96
 _WORDS_A_QUERY = 20_000
 _IDS_A_QUERY = 400_000
-_KEPT_WORDS = 400_000
-
-#: One contraction of every word that has a pair in the merge table.
-_CONTRACT = """
-SELECT s.w, s.pos, CASE WHEN s.pos = b.at THEN b.tok ELSE s.tok END AS tok
-FROM (SELECT w, pos, tok, lag(pos) OVER (PARTITION BY w ORDER BY pos) AS before FROM {state}) s
-JOIN (
-  SELECT w, min(m.tok::BIGINT * 4294967296 + p.pos) AS best, best % 4294967296 AS at, (best // 4294967296)::INTEGER AS tok
-  FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS after FROM {state}) p
-  JOIN merges m ON m.l = p.tok AND m.r = p.after GROUP BY w
-) b ON s.w = b.w
-WHERE s.before IS NULL OR s.before <> b.at
-"""
-
-_SHORT = f"""
-WITH RECURSIVE t(w, pos, tok, step) AS (
-  SELECT w, pos, tok, 0 FROM initial
+_ROWS_OUT = 2048
+
+#: Each row knows its neighbour to the right (position and token), so a step needs joins and no sorting: the pair of
+#: minimum rank in each word is found through the merge table, its left row takes the new token and the right row's
+#: neighbour, the row before it sees the new token, and the right row goes.
+_SHORT = """
+WITH RECURSIVE t(w, pos, tok, next, after, step) AS (
+  SELECT w, pos, tok, lead(pos) OVER v, lead(tok) OVER v, 0 FROM initial WINDOW v AS (PARTITION BY w ORDER BY pos)
   UNION ALL
-  SELECT w, pos, tok, (SELECT max(step) FROM t) + 1 FROM ({_CONTRACT.format(state="t")})
+  SELECT s.w, s.pos,
+         CASE WHEN s.pos = b.at THEN b.tok ELSE s.tok END,
+         CASE WHEN s.pos = b.at THEN b.next ELSE s.next END,
+         CASE WHEN s.pos = b.at THEN b.after WHEN s.next = b.at THEN b.tok ELSE s.after END,
+         s.step + 1
+  FROM t s JOIN (
+    SELECT x.*, g.next, g.after
+    FROM (
+      SELECT w, min(key) AS best, best % 4294967296 AS at, (best // 4294967296)::INTEGER AS tok, arg_min(next, key) AS gone
+      FROM (SELECT p.w, p.next, m.tok::BIGINT * 4294967296 + p.pos AS key FROM t p JOIN merges m ON m.l = p.tok AND m.r = p.after)
+      GROUP BY w
+    ) x JOIN t g ON g.w = x.w AND g.pos = x.gone
+  ) b ON s.w = b.w
+  WHERE s.pos <> b.gone
 ), ends AS (SELECT w, max(step) AS step FROM t GROUP BY w)
 SELECT w, list(tok ORDER BY pos) AS ids FROM t JOIN ends USING (w, step) GROUP BY w
 """
@@ -83,13 +88,14 @@ WHERE d.pos IS NULL
 class SqlBpe(Pieces):
     """Encoder and decoder over one rank file; texts are cut into pieces as for other byte-level encoders."""
 
+    most_kept = 500_000
+
     def __init__(self, path: str, pattern: str):
         super().__init__(True)
         self.split = regex.compile(pattern)
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines() if path else ())}
-        self.words: dict[str, bytes] = {}
         self.octet = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         parts = [(self.ranks[w[:k]], self.ranks[w[k:]], t) for w, t in self.ranks.items() for k in range(1, len(w)) if w[:k] in self.ranks and w[k:] in self.ranks]
         unsafe = {x for a, b, t in parts for x in (a, b) if t < x}
         made = pa.table({k: pa.array(v, pa.int32()) for k, v in zip(("l", "r", "tok"), zip(*parts, strict=True), strict=True)} | {"safe": pa.array([t not in unsafe for _, _, t in parts])})
@@ -112,13 +118,8 @@ class SqlBpe(Pieces):
 
     def _words_of(self, words: set[str]) -> dict[str, bytes]:
         """The ids of each word, as little-endian uint32."""
-        if len(self.words) > _KEPT_WORDS:
-            self.words.clear()
         out, short, long = {}, [], []
         for w in words:
-            if (ids := self.words.get(w)) is not None:
-                out[w] = ids
-                continue
             data = w.encode("utf-8")
             if (t := self.ranks.get(data)) is not None:
                 out[w] = t.to_bytes(4, "little")
@@ -128,7 +129,6 @@ class SqlBpe(Pieces):
             out |= self._contract(short[s : s + _WORDS_A_QUERY], self._recursive)
         for w in long:
             out |= self._contract([w], self._stepwise)
-        self.words |= out
         return out
 
     def _contract(self, words: list[tuple[str, bytes]], how) -> dict[str, bytes]:
@@ -199,6 +199,15 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(e.decode(given), pa.binary())], names=["doc_id", "ids", "decoded"])
 
 
+def _round_trip_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    e = engine(path, pattern)
+    for b in batches:
+        for s in range(0, b.num_rows, _ROWS_OUT):
+            part = b.slice(s, _ROWS_OUT)
+            ids = [x.astype("<u4") for x in e.encode(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array((x.tobytes() for x in ids), pa.binary()), pa.array(e.decode(ids), pa.binary())], names=["doc_id", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``ids`` (little-endian uint32) of each row."""
     ship(docs.sparkSession)
@@ -212,9 +221,16 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(lambda b: _decode_batches(b, path, pattern), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` with one engine instead of two in each task."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(lambda b: _round_trip_batches(b, path, pattern), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
+
+
 def op6_sql_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = str(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN
-    out = decode(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    out = round_trip(table(spark, sf_dir, "documents"), path, pattern)
     return out.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -25,7 +25,6 @@ _MARK = "\x1f"
 _SPECIAL = "<|endoftext|>"
 #: Unicode white space other than the blank, as RE2's \s is ASCII only.
 _WHITE = "\t-\r \u0085   -     　"
-_KEPT_PIECES = 800_000
 _CALL_CHARS = 1 << 18
 
 
@@ -36,6 +35,9 @@ class Pieces:
     drops white space and lower-cases by itself, and both may be unified before.
     """
 
+    #: Pieces kept in a worker; all go when there are more.
+    most_kept = 800_000
+
     def __init__(self, spaces_matter: bool):
         self.spaces_matter = spaces_matter
         self.kept: dict[str, bytes] = {}
@@ -80,7 +82,7 @@ class Pieces:
         lists = pc.split_pattern(self._marked(texts), _MARK)
         words = lists.flatten().dictionary_encode()
         lookup, index = words.dictionary.to_pylist(), words.indices.to_numpy()
-        if len(self.kept) > _KEPT_PIECES:
+        if len(self.kept) > self.most_kept:
             self.kept.clear()
         self._learn([p for p in lookup if p not in self.kept])
         chunks = [self.kept[p] for p in lookup]
