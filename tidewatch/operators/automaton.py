@@ -137,7 +137,7 @@ def match_pattern(df: DataFrame, stages: Sequence[Stage], keys: Sequence[str], t
         for k in range(len(stages)):
             used = used | F.col(f"__tw_f{k}") | F.col(f"__tw_u{k}")
         rows = rows.where(used)
-    event = T.StructType([T.StructField("stage", T.StringType()), T.StructField("event", df.schema)])
+    event = T.StructType([T.StructField("stage", T.StringType()), T.StructField("event", T.StructType([f for f in df.schema if not f.name.startswith("__tw_")]))])
     out = T.StructType([T.StructField("signature", T.StringType()), T.StructField("events", T.ArrayType(event))])
     arrow = to_arrow_schema(out)
     plain = [(s.name, s.low, s.high, s.also) for s in stages]
