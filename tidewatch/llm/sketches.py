@@ -112,7 +112,8 @@ def as_text(cells: str) -> Column:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.select(F.col("doc_id").isNull().alias("kn"), F.coalesce("doc_id", F.lit(0)).alias("ki"), F.xxhash64("text").alias("kh"), "doc_id", "text")
+    # the id itself is left out, so that both readings of the texts are the same and shuffled once
+    return rows.select(F.col("doc_id").isNull().alias("kn"), F.coalesce("doc_id", F.lit(0)).alias("ki"), F.xxhash64("text").alias("kh"), "text")
 
 
 def _previous(rows: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     head = F.when(F.col("copy") < F.col("copies"), F.expr("substring(text, 1, half)")).otherwise(F.col("head"))
     edited = F.concat(F.expr("substring(text, 1, n_chars - half)"), head)
     after = F.when(F.col("copy") < F.col("copies"), F.col("tw_d")).otherwise(F.col("tw_f"))
-    return got.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), edited.alias("edited"), "tw_d", after.alias("tw_f")).withColumn("tw_e", F.expr(digests("edited")))
+    return got.select(F.when(~F.col("kn"), F.col("ki")).alias("doc_id"), F.col("n_chars").cast("bigint").alias("n_chars"), edited.alias("edited"), "tw_d", after.alias("tw_f")).withColumn("tw_e", F.expr(digests("edited")))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
