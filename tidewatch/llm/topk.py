@@ -81,7 +81,8 @@ def _best_of(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.
 def _score_blocks(key, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     """left: a block of queries, right: a block of candidates."""
     empty = pa.table({"row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-    if not left.num_rows or not right.num_rows:
+    # a side without the group comes without columns
+    if "id" not in left.column_names or "id" not in right.column_names or not left.num_rows or not right.num_rows:
         return empty
     right = right.sort_by([("id", "ascending")]) if not right["id"].null_count else right.take(pa.compute.sort_indices(right, [("id", "ascending")], null_placement="at_start"))
     dims = max(int(pa.compute.max(pa.compute.list_value_length(t["w"])).as_py() or 0) for t in (left, right))
@@ -92,8 +93,8 @@ def _score_blocks(key, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
         raise OverflowError("scores don't fit into 64 bits")
     kind = np.int32 if bound < 2**30 else np.int64
     q, c = q.astype(kind), np.ascontiguousarray(c.T.astype(kind))
-    ids = right["id"].to_numpy()
-    ids = ids if ids.dtype == np.int64 else np.array([np.iinfo(np.int64).min if np.isnan(x) else int(x) for x in ids], np.int64) if right["id"].null_count == 0 else np.array([np.iinfo(np.int64).min if x is None else x for x in right["id"].to_pylist()], np.int64)
+    # a null id is no query's own
+    ids = pa.compute.fill_null(right["id"], np.iinfo(np.int64).min).to_numpy()
     qid, row = left["id"].to_numpy(), left["row"].to_numpy()
     found = []
     for s in range(0, len(q), _TILE):
