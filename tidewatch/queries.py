@@ -19,7 +19,9 @@ from tidewatch.operators.automaton import Stage, match_pattern
 from tidewatch.plans.compiler import compile_rule, fan_out
 from tidewatch.plans.matchsql import match_recognize
 from tidewatch.plans.rules import Rule
+from tidewatch.shared import scratch
 from tidewatch.sources import generators, readers, sinks
+from tidewatch.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -392,3 +394,57 @@ def literal_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("event_id"))).withColumn("suffix", F.substring("v", 2, 9))
     found = sequences.followed_by(df, F.col("v").startswith("A"), F.col("v").startswith("B"), [], "ts", TIE, relation=[("suffix", "suffix")])
     return found.select("a_v", "b_v")
+
+
+# --- streams --------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream with a watermark."""
+    path = f"{sf_dir}/events.parquet"
+    df = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
+    return readers.with_event_time(df.select("event_id", "ts", "user_id", "event_type", "value"), "ts")
+
+
+def _drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives once it has read all there is, from files in the shared folder."""
+    spark = stream.sparkSession
+    out = scratch(spark, name)
+    sinks.files(stream, f"{out}/data", f"{out}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+
+
+_PASSED = "(SELECT max(ts) FROM ev) - INTERVAL '3 seconds'"
+
+
+def _event(k: int):
+    return F.get_json_object("events", f"$[{k}].event.event_id").cast("bigint")
+
+
+@query("stream_followed_by", ORACLE_SQL["followed_by_next"].replace("SELECT user_id, event_id", "SELECT user_id::VARCHAR AS signature, event_id") + f" AND b.t <= {_PASSED}")
+def stream_followed_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stateful.followed_by_stream(_stream(spark, sf_dir), _is("view"), _is("purchase"), ["user_id"], "ts", TIE, "6 hours")
+    return _drained(found, "followed").select("signature", _event(0).alias("a_id"), _event(1).alias("b_id"))
+
+
+@query("stream_not_followed_by", ORACLE_SQL["not_followed_by"].replace("SELECT event_id, user_id", "SELECT event_id, user_id::VARCHAR AS signature") + f" AND a.ts + INTERVAL '6 hours' <= {_PASSED}")
+def stream_not_followed_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stateful.not_followed_by_stream(_stream(spark, sf_dir), _is("view"), _is("purchase"), ["user_id"], "ts", TIE, "6 hours")
+    return _drained(found, "alone").select(_event(0).alias("event_id"), "signature")
+
+
+@query("stream_not_before", ORACLE_SQL["not_before_silenced"] + f" WHERE ts <= {_PASSED}")
+def stream_not_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stateful.not_before_stream(_stream(spark, sf_dir), _is("view"), _is("purchase"), "ts", TIE, "24 hours", ["user_id"], ["user_id"], "72 hours")
+    return _drained(found, "unannounced").select("signature", _event(0).alias("b_id"), _event(1).alias("a_id"))
+
+
+@query("stream_having_count", ORACLE_SQL["having_count_tumble"].replace("SELECT event_type", "SELECT * FROM (SELECT event_type") + f") WHERE window_end <= {_PASSED}")
+def stream_having_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed."""
+    return _naive(_drained(windows.having_count(_stream(spark, sf_dir), ["event_type"], "ts", "6 hours"), "counted"))
+
+
+@query("stream_count_distinct", "SELECT event_type, w AS window_start, w + INTERVAL '1 day' AS window_end, count(DISTINCT user_id) AS cnt FROM (SELECT *, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS w FROM ev) GROUP BY event_type, w HAVING w + INTERVAL '1 day' <= " + _PASSED)
+def stream_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _naive(_drained(windows.having_count_distinct(_stream(spark, sf_dir), ["event_type"], "ts", "user_id", "1 day"), "distinct"))
