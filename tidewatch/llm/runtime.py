@@ -1,44 +1,17 @@
-"""Session plumbing shared by the operators: shared folder, checkpoints, code shipping."""
+"""Plumbing shared by the operators: checkpoints, range partitions, running sums."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_shipped: set[str] = set()
+from tidewatch.shared import scratch, shared_dir
+from tidewatch.shipping import ship
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, shared by driver and executors.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    own = sc.getCheckpointDir()
-    if own is None:
-        if not (sc.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidewatch-')}")
-        own = sc.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["cut", "ranged", "scratch", "shared_dir", "ship", "spill", "table", "with_running_start"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,20 +30,6 @@ def spill(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[2]
-    name = os.path.join(tempfile.mkdtemp(prefix="tidewatch-ship-"), "tidewatch_package.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted((root / "tidewatch").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    spark.sparkContext.addPyFile(name)
-    _shipped.add(app)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
