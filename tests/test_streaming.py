@@ -90,3 +90,15 @@ def test_readers_and_generators(spark):
     assert generators.mini_events(spark, 5, 2).count() == 5 and generators.ticking(spark).isStreaming
     with pytest.raises(ValueError, match="topic"):
         readers.kafka(spark, "host:9092")
+
+
+def test_scratch_folders_are_cleaned(spark):
+    from pathlib import Path
+
+    from tidewatch.shared import clean, scratch
+
+    path = scratch(spark, "test")
+    spark.range(1).write.parquet(path)
+    assert Path(path.removeprefix("file:")).exists() or Path(path.removeprefix("file://")).exists()
+    assert clean(spark) >= 1 and clean(spark) == 0
+    assert not Path(path.removeprefix("file://")).exists()

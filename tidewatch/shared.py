@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """What the cluster names in spark.checkpoint.dir. Only a local session without that setting gets a folder of its own."""
     sc = spark.sparkContext
@@ -27,4 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the folders that ``scratch`` named so far in this process; results that still read them are lost. Returns how many there were."""
+    paths, _made[:] = list(_made), []
+    for uri in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
