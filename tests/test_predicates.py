@@ -58,6 +58,13 @@ CASES = [
 @pytest.mark.parametrize(("text", "ids"), CASES)
 def test_operators(df, text, ids):
     assert sorted(r.id for r in df.where(P.where(df, text)).collect()) == ids
+    assert sorted(r.id for r in df.where(P.condition(df, text)).collect()) == ids
+
+
+def test_filters_reach_the_files(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for text, part in (("event_type = purchase", "EqualTo(event_type,purchase)"), ("value > 50", "GreaterThan(value,50.0)"), ("user_id = 3", "EqualTo(user_id,3)")):
+        assert part in df.where(P.condition(df, text)).select("event_id")._jdf.queryExecution().toString()
 
 
 def test_never_null(df):

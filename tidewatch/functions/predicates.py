@@ -203,69 +203,88 @@ def _scalar(c: Column, kind: T.DataType) -> Column:
     return F.lit(None).cast("string") if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else as_text(c)
 
 
+def _number(c: Column, kind: T.DataType) -> Column:
+    """Double of a field; numbers stay as they are, so that comparisons reach the files' statistics."""
+    return c.cast("double") if isinstance(kind, T.NumericType) else as_number(_scalar(c, kind))
+
+
 def _ordered(op: str, a: Column, b: Column) -> Column:
-    return total({">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[op])
+    return {">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[op]
+
+
+def _equal(c: Column, kind: T.DataType, value: str) -> Column:
+    if isinstance(kind, T.IntegralType) and re.fullmatch(r"0|-?[1-9][0-9]{0,17}", value):
+        return c == F.lit(int(value)).cast("bigint")  # the same as comparing their texts
+    return _scalar(c, kind) == value
 
 
-def _test(c: Column, kind: T.DataType, op: str, value: str | None, member: Callable[[Column, str], Column] | None) -> Column:
-    if value is None:
-        return F.lit(False)
+def _test(c: Column, kind: T.DataType, op: str, value: str, member: Callable[[Column, str], Column] | None) -> Column:
+    """A test that is null or false if the value is missing."""
     text = _scalar(c, kind)
     if op == "=":
-        return total(text == value)
+        return _equal(c, kind, value)
     if op in _COMPARE:
         try:
-            return _ordered(op, as_number(text), F.lit(float(value)))
+            return _ordered(op, _number(c, kind), F.lit(float(value)))
         except ValueError:
             return F.lit(False)
     if op == "like":
-        return total(F.contains(text, F.lit(value)))
+        return F.contains(text, F.lit(value))
     if op == "rlike":
-        return total(text.rlike(rf"\A(?:{value})\z"))
+        return text.rlike(rf"\A(?:{value})\z")
     if op == "in":
         return ip_in(text, value)
     if op == "contain":
-        return total(F.exists(c, lambda x: x.cast("string") == value)) if isinstance(kind, T.ArrayType) else F.lit(False)
+        return F.exists(c, lambda x: x.cast("string") == value) if isinstance(kind, T.ArrayType) else F.lit(False)
     if op == "belong":
         if member is None:
             raise PredicateError("belong needs intelligence groups")
-        return total(member(text, value))
+        return member(text, value)
     raise PredicateError(f"unknown operator {op}")
 
 
-def compile_predicate(tree: Predicate, find: Callable[[str], tuple[Column, T.DataType]], member: Callable[[Column, str], Column] | None = None) -> Column:
-    """A boolean Column that is never null. ``member(text, group)`` answers ``belong``."""
+def compile_predicate(tree: Predicate, find: Callable[[str], tuple[Column, T.DataType]], member: Callable[[Column, str], Column] | None = None, as_filter: bool = False) -> Column:
+    """A boolean Column. ``member(text, group)`` answers ``belong``.
+
+    It is never null, unless it is made ``as_filter``: a filter drops null and false alike, and a bare comparison can
+    be pushed down to the files where one wrapped against null can't. Below a NOT everything is wrapped.
+    """
+    wrap = (lambda c: c) if as_filter else total
     match tree:
         case And(cs):
-            return reduce(lambda a, b: a & b, (compile_predicate(c, find, member) for c in cs))
+            return reduce(lambda a, b: a & b, (compile_predicate(c, find, member, as_filter) for c in cs))
         case Or(cs):
-            return reduce(lambda a, b: a | b, (compile_predicate(c, find, member) for c in cs))
+            return reduce(lambda a, b: a | b, (compile_predicate(c, find, member, as_filter) for c in cs))
         case Not(c):
             # a comparison without a value is false, negated or not
             return F.lit(False) if isinstance(c, Compare) and c.value is None else ~compile_predicate(c, find, member)
         case Unary("match", name):
-            return total(_scalar(*find(MATCHER_FIELD)) == name)
+            return wrap(_scalar(*find(MATCHER_FIELD)) == name)
         case Unary(op, name):
             c, _ = find(name)
             return c.isNotNull() if op == "exist" else c.isNull()
         case FieldCompare(left, op, right):
             (a, ka), (b, kb) = find(left), find(right)
-            a, b = _scalar(a, ka), _scalar(b, kb)
             if op in ("=", "!="):
-                same = total(F.lower(a) == F.lower(b))
-                return same if op == "=" else ~same
+                same = F.lower(_scalar(a, ka)) == F.lower(_scalar(b, kb))
+                return wrap(same) if op == "=" else ~total(same)
             if op in _COMPARE:
-                return _ordered(op, as_number(a), as_number(b))
+                return wrap(_ordered(op, _number(a, ka), _number(b, kb)))
             raise PredicateError(f"{op} can't compare two fields")
         case Compare(_, _, None):
             return F.lit(False)
         case Compare(name, "!=", value):
-            return ~_test(*find(name), "=", value, member)
+            return ~total(_test(*find(name), "=", value, member))
         case Compare(name, op, value):
-            return _test(*find(name), op, value, member)
+            return wrap(_test(*find(name), op, value, member))
     raise TypeError(tree)
 
 
 def where(df: DataFrame, text: str, raw: str | None = None, member: Callable[[Column, str], Column] | None = None) -> Column:
-    """The predicate ``text`` over the columns of ``df``."""
+    """The predicate ``text`` over the columns of ``df``, as a value that is never null."""
     return compile_predicate(parse(text), resolver(df, raw), member)
+
+
+def condition(df: DataFrame, text: str, raw: str | None = None, member: Callable[[Column, str], Column] | None = None) -> Column:
+    """The predicate ``text`` for a filter of ``df``."""
+    return compile_predicate(parse(text), resolver(df, raw), member, as_filter=True)

@@ -37,9 +37,16 @@ class Tests:
         self.find, self.groups = predicates.resolver(self.df, raw), groups
 
     def __getitem__(self, text: str) -> Column:
+        return self._compiled(text, False)
+
+    def condition(self, text: str) -> Column:
+        """The test for a filter."""
+        return self._compiled(text, True)
+
+    def _compiled(self, text: str, as_filter: bool) -> Column:
         if not text:
             return F.lit(True)
-        return predicates.compile_predicate(self._flagged(self.trees[text]), self._find, self.groups.member if self.groups else None)
+        return predicates.compile_predicate(self._flagged(self.trees[text]), self._find, self.groups.member if self.groups else None, as_filter)
 
     def _flagged(self, tree):
         match tree:
@@ -60,15 +67,15 @@ def compile_rule(rule: Rule, events: DataFrame, ts: str = "ts", tie: tuple[str,
     tests = Tests(events, [*(e.filter for e in rule.events), rule.where], groups, raw)
     df, names = tests.df, events.columns
     if rule.where:
-        df = df.where(tests[rule.where])
+        df = df.where(tests.condition(rule.where))
     test = [tests[e.filter] for e in rule.events]
     within = rule.window.interval if rule.window else None
     slide = rule.slide.interval if rule.slide else None
     match rule.family:
         case "having_any":
-            out = windows.having_any(df, test[0]).select(*names)
+            out = windows.having_any(df, tests.condition(rule.events[0].filter)).select(*names)
         case "having_count" | "having_count_distinct" | "having_sum":
-            out = _windowed(rule, df.where(test[0]), ts, within, slide)
+            out = _windowed(rule, df.where(tests.condition(rule.events[0].filter)), ts, within, slide)
         case "followed_by":
             out = sequences.followed_by(df.select(*names, *_flags(test)), F.col("__tw_0"), F.col("__tw_1"), rule.groupBy, ts, tie, within, relation=rule.relation)
         case "not_followed_by":

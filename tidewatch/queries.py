@@ -70,7 +70,7 @@ def _is(name: str):
 @query("having_any", "SELECT event_id, user_id, value FROM ev WHERE (event_type = 'purchase' AND value > 50) OR NOT (event_type <> 'error' OR value < 20)")
 def having_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir)
-    test = predicates.where(df, "event_type = purchase and value > 50 or not (event_type != error or value < 20)")
+    test = predicates.condition(df, "event_type = purchase and value > 50 or not (event_type != error or value < 20)")
     return windows.having_any(df, test).select("event_id", "user_id", "value")
 
 
@@ -108,13 +108,13 @@ def contain_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("json_field", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM ev WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) >= 50")
 def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir)
-    return df.where(predicates.where(df, "k >= 50", raw="props")).select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return df.where(predicates.condition(df, "k >= 50", raw="props")).select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
 @query("ioc_match", "SELECT event_id FROM ev WHERE event_id % 4 = 2")
 def ioc_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir).withColumn("ioc_matcher", F.concat(F.lit("m"), (F.col("event_id") % 4).cast("string")))
-    return df.where(predicates.where(df, "match m2")).select("event_id")
+    return df.where(predicates.condition(df, "match m2")).select("event_id")
 
 
 # --- intelligence groups ----------------------------------------------------------
@@ -168,7 +168,7 @@ def having_count_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def having_count_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: predicate text, hopping windows, a threshold."""
     df = events(spark, sf_dir)
-    return _naive(windows.having_count(df.where(predicates.where(df, "event_type = purchase or value > 50")), ["user_id"], "ts", "24 hours", "8 hours", least=3, strict=True))
+    return _naive(windows.having_count(df.where(predicates.condition(df, "event_type = purchase or value > 50")), ["user_id"], "ts", "24 hours", "8 hours", least=3, strict=True))
 
 
 @query("having_count_tumble", "SELECT event_type, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') + INTERVAL '6 hours' AS window_end, count(*) AS cnt FROM ev GROUP BY ALL")
