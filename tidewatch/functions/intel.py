@@ -72,6 +72,22 @@ class IntelGroups:
             return total(value.rlike(rf"\A(?:{whole})\z" if sub == "url" else whole))
         return total(value.isin(contents))
 
+    def register_sql(self, name: str = "belong") -> None:
+        """Define ``name(value, group)`` for SQL texts, over the small groups; the planner inlines it."""
+        quote = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        number = r"coalesce(aggregate(transform(split(trim(v), '\\.'), x -> try_cast(x AS bigint)), 0L, (s, x) -> shiftleft(s, 8) | x), 0L)"
+        cases = []
+        for group, (kind, _) in sorted(self.kinds.items()):
+            if not self.is_small(group):
+                continue
+            contents = sorted(r["content"] for r in self.contents(group).collect())
+            bounds = [ip_bounds(c) for c in contents] if kind == "ip" else [None] * len(contents)
+            tests = [f"v IN ({', '.join(quote(c) for c, b in zip(contents, bounds, strict=True) if b is None)})"] if None in bounds else []
+            tests += [f"{number} BETWEEN {b[0]}L AND {b[1]}L" for b in bounds if b is not None]
+            cases.append(f"WHEN {quote(group)} THEN {' OR '.join(tests)}")
+        body = f"CASE g {' '.join(cases)} ELSE false END" if cases else "false"
+        self.table.sparkSession.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v STRING, g STRING) RETURNS BOOLEAN RETURN coalesce(v IS NOT NULL AND ({body}), false)")
+
     def mark(self, df: DataFrame, field: str, group: str, flag: str) -> DataFrame:
         """``df`` with the boolean ``flag``: whether ``field`` is in the group, whatever its size."""
         if group not in self.kinds or self.is_small(group):

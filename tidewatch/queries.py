@@ -145,6 +145,13 @@ def intel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", "bad_host", "bad_event")
 
 
+@query("sql_belong", f"SELECT event_id FROM ev WHERE {_BAD_HOST} AND NOT event_type IN ('error', 'signup')")
+def sql_belong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _groups(spark).register_sql()
+    events(spark, sf_dir).createOrReplaceTempView("tw_events")
+    return spark.sql("SELECT event_id FROM tw_events WHERE belong(src_address, 'bad hosts') AND NOT belong(event_type, 'g2') AND NOT belong(NULL, 'g2') AND NOT belong('x', 'nobody')")
+
+
 # --- windows ----------------------------------------------------------------------
 
 _HOP = """, h AS (
