@@ -68,3 +68,16 @@ def test_no_quadratic_scan():
     w = K.weights()
     for t in ["1" * 300_000, "1." * 150_000, "a" * 300_000 + "@", "+" * 200_000, "(" * 100_000]:
         K.find(t, w)
+
+
+def test_a_long_island_is_decoded_whole():
+    w = K.weights()
+    text, want = "call ", []
+    while len(text) < 13_000:  # three of the former borders, at multiples of 4096
+        want.append(("phone", len(text), len(text) + 14))
+        text += f"({200 + len(want) % 700}) 555-{1000 + len(want):04d}, "
+    assert K.find(text, w) == ([], want)
+    for shift in range(20):
+        line = "x" * shift + " " + "(212) 555-0147, " * 300
+        assert sum(k == "phone" for k, _, _ in K.find(line, w)[1]) == 300
+        assert not re.search("[0-9]", K.redact(line, K.find(line, w)[1]))

@@ -13,7 +13,8 @@ dynamic program over all segmentations chooses boundaries and kinds jointly. The
 weights are trained in numpy by gradient ascent on the log-likelihood of
 generated sequences, the same on every machine. A segment is added only if the
 best segmentation contains it and its probability is ``LEAST_PROBABILITY`` at
-least; base spans always stay and are never overlapped.
+least; base spans always stay and are never overlapped. An island is decoded whole,
+however long: only the features are worked out block by block.
 
 Defined results: null text counts as empty; no spans give zero counts, the hash
 of the empty string and an empty ``spans``. Offsets are code points, the end
@@ -38,6 +39,7 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 14
 LEAST_PROBABILITY = 0.8
 ISLAND_CHARS = 48
+_TOKENS_AT_ONCE = 1024
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -111,53 +113,25 @@ def _segment(tokens: list[str], i: int, j: int) -> np.ndarray:
     ], np.float64)
 
 
-def _lattice(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All candidate segments (start, end) of two or more characters, and their features."""
-    spans = [(i, j) for j in range(1, len(tokens) + 1) for i in range(max(0, j - MAX_TOKENS), j) if not tokens[i].isspace() and not tokens[j - 1].isspace()]
+def _lattice(tokens: list[str], first: int = 1, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All candidate segments (start, end) of two or more characters that end at token ``first`` to ``last``, by end, and their features."""
+    ends = range(first, (len(tokens) if last is None else last) + 1)
+    spans = [(i, j) for j in ends for i in range(max(0, j - MAX_TOKENS), j) if not tokens[i].isspace() and not tokens[j - 1].isspace()]
     return np.array(spans, np.int64).reshape(-1, 2), np.array([_segment(tokens, i, j) for i, j in spans]).reshape(-1, len(_FEATURES))
 
 
-def _logsum(x: list[float]) -> float:
-    top = max(x)
-    return top + float(np.log(np.exp(np.array(x) - top).sum()))
-
-
-def _forward_backward(n: int, spans: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, float]:
-    """Log-probability of each segment and kind, and the log of the sum over segmentations. Tokens outside entities score 0."""
+def _sums(merged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logs of the sums over the segmentations before and after each token; those outside entities score 0. ``merged``: scores by end and length - 1."""
+    n = len(merged) - 1
     alpha, beta = np.zeros(n + 1), np.zeros(n + 1)
-    merged = np.logaddexp.reduce(scores, axis=1) if len(scores) else np.zeros(0)
-    ends, starts = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-    for k, (i, j) in enumerate(spans.tolist()):
-        ends[j].append((i, k))
-        starts[i].append((j, k))
+    back = np.arange(MAX_TOKENS)
     for j in range(1, n + 1):
-        alpha[j] = _logsum([alpha[j - 1], *(alpha[i] + merged[k] for i, k in ends[j])])
+        k = back[:j]
+        alpha[j] = np.logaddexp.reduce(np.append(alpha[j - 1 - k] + merged[j, k], alpha[j - 1]))
     for i in range(n - 1, -1, -1):
-        beta[i] = _logsum([beta[i + 1], *(beta[j] + merged[k] for j, k in starts[i])])
-    logp = alpha[spans[:, 0]][:, None] + scores + beta[spans[:, 1]][:, None] - alpha[n] if len(spans) else scores
-    return logp, float(alpha[n])
-
-
-def _best(n: int, spans: np.ndarray, scores: np.ndarray) -> list[tuple[int, int]]:
-    """The best segmentation: (segment, kind) of its entities."""
-    best, back = np.zeros(n + 1), [None] * (n + 1)
-    by_end: list[list[int]] = [[] for _ in range(n + 1)]
-    for k, j in enumerate(spans[:, 1].tolist() if len(spans) else []):
-        by_end[j].append(k)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for k in by_end[j]:
-            kind = int(scores[k].argmax())
-            if (s := best[spans[k, 0]] + scores[k, kind]) > best[j]:
-                best[j], back[j] = s, (k, kind)
-    out, j = [], n
-    while j:
-        if back[j] is None:
-            j -= 1
-        else:
-            out.append(back[j])
-            j = int(spans[back[j][0], 0])
-    return out
+        k = back[: n - i]
+        beta[i] = np.logaddexp.reduce(np.append(beta[i + 1 + k] + merged[i + 1 + k, k], beta[i + 1]))
+    return alpha, beta
 
 
 def _examples(count: int = 360, seed: int = 3) -> Iterator[tuple[str, list[Span]]]:
@@ -260,27 +234,46 @@ def added_spans(text: str, base: list[Span], w: np.ndarray) -> list[Span]:
             pieces.append((at, hi))
     out: list[Span] = []
     for lo, hi in pieces:
-        if not _SEED.search(text, lo, hi):
-            continue
-        for at in range(lo, hi, 4096):  # bounds the lattice in a text that is one long island
-            out += _decode(text, at, min(hi, at + 4096), w)
+        if _SEED.search(text, lo, hi):
+            out += _decode(text, lo, hi, w)
     return out
 
 
 def _decode(text: str, lo: int, hi: int, w: np.ndarray) -> list[Span]:
     tokens = [m[0] for m in _TOKEN.finditer(text, lo, hi)]
     at = (lo + np.cumsum([0, *map(len, tokens)])).tolist()
-    seg, feats = _lattice(tokens)
-    scores = feats @ w.T
-    best = _best(len(tokens), seg, scores)
-    if not best:
+    n = len(tokens)
+    merged = np.full((n + 1, MAX_TOKENS), -np.inf)
+    # of the best segmentation up to each token: its score, and the entity that ends there (start, kind, score)
+    best, back = [0.0] * (n + 1), [None] * (n + 1)
+    for first in range(1, n + 1, _TOKENS_AT_ONCE):
+        last = min(n, first + _TOKENS_AT_ONCE - 1)
+        seg, feats = _lattice(tokens, first, last)
+        scores = feats @ w.T
+        merged[seg[:, 1], seg[:, 1] - seg[:, 0] - 1] = np.logaddexp.reduce(scores, axis=1)
+        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(first, last + 1)]
+        for (i, j), kind, s in zip(seg.tolist(), scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist(), strict=True):
+            ends[j - first].append((i, kind, s))
+        for j in range(first, last + 1):
+            best[j] = best[j - 1]
+            for x in ends[j - first]:
+                if (s := best[x[0]] + x[2]) > best[j]:
+                    best[j], back[j] = s, x
+    entities, j = [], n
+    while j:
+        if back[j] is None:
+            j -= 1
+        else:
+            entities.append((j, *back[j]))
+            j = back[j][0]
+    if not entities:
         return []
-    logp, _ = _forward_backward(len(tokens), seg, scores)
+    alpha, beta = _sums(merged)
     found = []
-    for k, kind in reversed(best):
-        s, e = at[seg[k, 0]], at[seg[k, 1]]
+    for j, i, kind, score in reversed(entities):
+        s, e = at[i], at[j]
         touches = (s and text[s - 1].isalnum()) or (e < len(text) and text[e].isalnum())
-        if logp[k, kind] >= np.log(LEAST_PROBABILITY) and not touches:
+        if alpha[i] + score + beta[j] - alpha[n] >= np.log(LEAST_PROBABILITY) and not touches:
             found.append((KINDS[kind], s, e))
     return found
 
