@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -81,3 +82,34 @@ def test_a_long_island_is_decoded_whole():
         line = "x" * shift + " " + "(212) 555-0147, " * 300
         assert sum(k == "phone" for k, _, _ in K.find(line, w)[1]) == 300
         assert not re.search("[0-9]", K.redact(line, K.find(line, w)[1]))
+
+
+def test_every_trained_spelling_is_found():
+    w, rng = K.weights(), np.random.default_rng(11)
+    num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    word = lambda: "".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(3, 9)))
+    area = lambda: str(rng.integers(2, 10)) + num(2)
+    end = lambda: rng.choice(["com", "org", "net"])
+    quads = lambda: [str(x) for x in rng.integers(0, 256, 4)]
+
+    def card(sep):
+        body = "4" + num(14)
+        d = next(body + str(c) for c in range(10) if K.luhn(body + str(c)))
+        return sep.join(d[k : k + 4] for k in range(0, 16, 4))
+
+    spellings = {
+        "(a) b-c": ("phone", lambda: f"({area()}) {num(3)}-{num(4)}"), "a-b-c": ("phone", lambda: f"{area()}-{num(3)}-{num(4)}"), "a.b.c": ("phone", lambda: f"{area()}.{num(3)}.{num(4)}"), "1-a-b-c": ("phone", lambda: f"1-{area()}-{num(3)}-{num(4)}"),
+        "card .": ("card", lambda: card(".")), "card -": ("card", lambda: card(" - ")), "(at) (dot)": ("email", lambda: f"{word()} (at) {word()} (dot) {end()}"), "[at] [dot]": ("email", lambda: f"{word()} [at] {word()} [dot] {end()}"),
+        " @ ": ("email", lambda: f"{word()} @ {word()}.{end()}"), "(at)": ("email", lambda: f"{word()}(at){word()}.{end()}"), "ip  .": ("ip", lambda: ".".join(quads()).replace(".", " .").replace(" .", ".", 2)), "ip [.]": ("ip", lambda: "[.]".join(quads())),
+    }
+    recall = {}
+    for name, (kind, make) in spellings.items():
+        hits = 0
+        for _ in range(60):
+            value, before = make(), word() + " "
+            text = before + value + rng.choice([" ", ", ", ". "]) + word() + " " + word()
+            hits += (kind, len(before), len(before) + len(value)) in K.find(text, w)[1]
+        recall[name] = hits / 60
+    assert min(recall.values()) >= 0.65, recall
+    for ip in ("192[.]168[.]10[.]27", "10[.]0[.]0[.]1"):  # no other seed nearby
+        assert K.redact(ip, K.find(ip, w)[1]) == "[IP]"

@@ -5,16 +5,17 @@ e-mail address, IPv4 address, payment card (Luhn) and international phone number
 
 The field adds what they miss: numbers and addresses written in other ways, such
 as ``(212) 555-0147``, ``name (at) host (dot) org`` or card numbers grouped with
-points. It looks at islands, the surroundings of a digit group or an at-sign
-outside the base spans. An island is a sequence of tokens; candidate segments are
-runs of up to ``MAX_TOKENS`` tokens, scored as wholes by features of their form
-(digit count, checksum, grouping, separators, what stands next to them), and a
-dynamic program over all segmentations chooses boundaries and kinds jointly. The
-weights are trained in numpy by gradient ascent on the log-likelihood of
-generated sequences, the same on every machine. A segment is added only if the
+points. It looks at islands, the surroundings of a digit group, a bracketed or
+spaced point between digits, or an at-sign or at-word outside the base spans. An
+island is a sequence of tokens; candidate segments are runs of up to
+``MAX_TOKENS`` tokens, scored as wholes by features of their form (digit count,
+checksum, grouping, separators, what stands next to them), and a dynamic program
+over all segmentations chooses boundaries and kinds jointly. The weights are trained
+in numpy by gradient ascent on the log-likelihood of generated sequences, the same
+on every machine. A segment is added only if the
 best segmentation contains it and its probability is ``LEAST_PROBABILITY`` at
-least; base spans always stay and are never overlapped. An island is decoded whole,
-however long: only the features are worked out block by block.
+least; base spans always stay and are never overlapped. An island is decoded
+whole, however long: only the features are worked out block by block.
 
 Defined results: null text counts as empty; no spans give zero counts, the hash
 of the empty string and an empty ``spans``. Offsets are code points, the end
@@ -48,7 +49,8 @@ _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SEED = re.compile(r"[(]?[0-9][0-9(). -]{5,}[0-9]|@|[(\[] ?at ?[)\]]", re.IGNORECASE)
+# digits, a bracketed or spaced point between digits, an at-sign or at-word
+_SEED = re.compile(r"[(]?[0-9][0-9(). -]{5,}[0-9]|[0-9](?: ?[(\[] ?\. ?[)\]] ?| \. ?|\. )[0-9]|@|[(\[] ?at ?[)\]]", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.DOTALL)
 
 
@@ -87,7 +89,7 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the semi-Markov field ----------------------------------------------------
 
-_FEATURES = ("bias", "one token", "digits 7-8", "digits 9-11", "digits 12-19", "luhn", "quads to 255", "groups of 3-3-4", "groups of 4", "points only", "dashes only", "spaces", "brackets", "plus", "at word", "dot word", "ends in letters", "letters", "starts or ends in blank", "odd sign", "touches letter or digit", "touches sign", "other groups", "many digits", "no digit and no at")
+_FEATURES = ("bias", "one token", "digits 7-8", "digits 9-11", "digits 12-19", "luhn", "quads to 255", "groups of 3-3-4", "groups of 4", "points only", "dashes only", "spaces", "brackets", "plus", "at word", "dot word", "ends in letters", "letters", "starts or ends in blank", "odd sign", "touches letter or digit", "touches sign", "other groups", "many digits", "no digit and no at", "at word without a name before it or an ending", "at word and words in a row")
 _AT, _DOT = {"at", "@"}, {"dot", "."}
 
 
@@ -109,7 +111,8 @@ def _segment(tokens: list[str], i: int, j: int) -> np.ndarray:
         1, len(seg) == 1, 7 <= n <= 8, 9 <= n <= 11, 12 <= n <= 19, 12 <= n <= 19 and luhn(digits), quads, shaped, fours, signs == {"."}, signs == {"-"},
         any(t.isspace() for t in seg[1:-1]), {"(", ")"} <= signs and seg.count("(") == seg.count(")"), seg[0] == "+", at_word and len(words) >= 2, at_word and any(t.lower() in _DOT for t in seg[2:]),
         at_word and seg[-1].isalpha() and 2 <= len(seg[-1]) <= 6, bool(words) and not at_word, seg[0].isspace() or seg[-1].isspace() or not (seg[-1].isalnum()), bool(signs - set(".-()[]@+_")),
-        before[-1].isalnum() or after[0].isalnum(), before in {".", "-", "@", "+", "#", "/", "_", "="} or after in {"-", "@", "/", "_", "="}, bool(groups) and not (shaped or quads or fours), n > 19, not groups and not at_word,
+        before[-1].isalnum() or after[0].isalnum(), before in {".", "-", "@", "+", "#", "/", "_", "="} or after in {"-", "@", "/", "_", "="}, bool(groups) and not (shaped or quads or fours), n > 19, not groups and not at_word, at_word and not (seg[0].isalnum() and not {seg[0].lower(), seg[-1].lower()} & (_AT | _DOT)),
+        at_word and any((a.isalnum() or a == ".") and b.isspace() and c.isalnum() for a, b, c in zip(seg, seg[1:], seg[2:], strict=False)),
     ], np.float64)
 
 
