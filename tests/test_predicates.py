@@ -108,6 +108,22 @@ def test_groups(spark):
         IntelGroups(t.withColumn("type", F.lit("what")))
 
 
+def test_groups_of_any_size_in_sql(spark):
+    rows = [("g", "hosts", "ip", "", c) for c in ("10.0.0.0/8", "192.168.1.9-192.168.1.1", "8.8.4.4", "1.0.0.0-3.255.255.255")] + [("h", "words", "string", "", "it's"), ("h", "words", "string", "", "a\\b")]
+    t = spark.createDataFrame(rows, "group_id string, name string, type string, intelligence_type string, content string")
+    values = ["10.9.9.9", "192.168.1.4", "192.168.1.10", "8.8.4.4", "2.2.2.2", "x", None, "it's", "a\\b"]
+    spark.createDataFrame([(k, v, "hosts" if k % 2 else "h") for k, v in enumerate(values)], "id int, v string, g string").createOrReplaceTempView("tw_values")
+    ids = lambda test: sorted(r.id for r in spark.sql(f"SELECT id FROM tw_values WHERE {test}").collect())
+    for limit in (512, 0):
+        IntelGroups(t, literal_limit=limit).register_sql("belong_any")
+        assert ids("belong_any(v, 'hosts')") == [0, 1, 3, 4]
+        assert ids("NOT belong_any(v, 'g')") == [2, 5, 6, 7, 8]
+        assert ids("belong_any(v, 'words') OR belong_any(v, 'nobody')") == [7, 8]
+        assert ids("belong_any(v, g)") == [1, 3, 8]
+        shown = spark.sql("SELECT id, belong_any(v, 'hosts') AND NOT belong_any(v, 'words') AS hit FROM tw_values").collect()
+        assert sorted((r.id, r.hit) for r in shown) == [(k, k in (0, 1, 3, 4)) for k in range(9)]
+
+
 def test_scalars(spark):
     assert S.ip_bounds("192.168.1.1/24") == (3232235776, 3232236031)
     assert S.ip_bounds("10.0.0.1/99") == (0, 4294967295)

@@ -73,12 +73,25 @@ class IntelGroups:
         return total(value.isin(contents))
 
     def register_sql(self, name: str = "belong") -> None:
-        """Define ``name(value, group)`` for SQL texts, over the small groups; the planner inlines it."""
+        """Define ``name(value, group)`` for SQL texts; the planner inlines it.
+
+        Small groups are literals. Large ones are temporary views that the function looks into: exact contents by
+        value, IP ranges by leading bits.
+        """
         quote = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
         number = r"coalesce(aggregate(transform(split(trim(v), '\\.'), x -> try_cast(x AS bigint)), 0L, (s, x) -> shiftleft(s, 8) | x), 0L)"
         cases = []
-        for group, (kind, _) in sorted(self.kinds.items()):
+        for k, (group, (kind, _)) in enumerate(sorted(self.kinds.items())):
             if not self.is_small(group):
+                exact, view = self.contents(group), f"__tw_{name}_{k}"
+                if kind == "ip":
+                    exact = exact.where("NOT content RLIKE '[-/]'")
+                    self._cells(group).createOrReplaceTempView(f"{view}_cells")
+                exact.createOrReplaceTempView(view)
+                tests = [f"EXISTS (SELECT 1 FROM {view} c WHERE c.content = v)"]
+                if kind == "ip":
+                    tests += [f"EXISTS (SELECT 1 FROM {view}_cells c WHERE c.bits = {bits} AND c.cell = shiftright({number}, {bits}) AND {number} BETWEEN c.lo AND c.hi)" for bits in (_NARROW_BITS, _WIDE_BITS)]
+                cases.append(f"WHEN {quote(group)} THEN {' OR '.join(tests)}")
                 continue
             contents = sorted(r["content"] for r in self.contents(group).collect())
             bounds = [ip_bounds(c) for c in contents] if kind == "ip" else [None] * len(contents)
@@ -97,7 +110,8 @@ class IntelGroups:
         known = self.contents(group).select(F.col("content").alias("__tw_content"), F.lit(True).alias(flag))
         return df.join(known, F.col(field).cast("string") == F.col("__tw_content"), "left").drop("__tw_content").withColumn(flag, total(F.col(flag)))
 
-    def _mark_ip(self, df: DataFrame, field: str, group: str, flag: str) -> DataFrame:
+    def _cells(self, group: str) -> DataFrame:
+        """The ranges of an IP group, once for each of the leading ``bits`` (``cell``) that they cover."""
         c = F.col("content")
         low, high = (F.get(F.split(c, "[-/]"), k) for k in (0, 1))
         mask = F.coalesce(high.try_cast("int"), F.lit(0))
@@ -109,7 +123,10 @@ class IntelGroups:
         )
         wide = (F.col("hi") - F.col("lo")) >= (1 << _WIDE_BITS)
         bits = F.when(wide, F.lit(_WIDE_BITS)).otherwise(_NARROW_BITS)
-        cells = ranges.withColumn("bits", bits).withColumn("cell", F.explode(F.sequence(F.call_function("shiftright", "lo", "bits"), F.call_function("shiftright", "hi", "bits"))))
+        return ranges.withColumn("bits", bits).withColumn("cell", F.explode(F.sequence(F.call_function("shiftright", "lo", "bits"), F.call_function("shiftright", "hi", "bits"))))
+
+    def _mark_ip(self, df: DataFrame, field: str, group: str, flag: str) -> DataFrame:
+        c, cells = F.col("content"), self._cells(group)
         exact = self.contents(group).where(~c.rlike("[-/]")).select(c.alias("__tw_content"), F.lit(True).alias("__tw_exact"))
         # distinct values of the field only: each is decided once
         values = df.select(F.col(field).cast("string").alias("__tw_value")).where("__tw_value IS NOT NULL").distinct()
