@@ -124,6 +124,21 @@ def test_groups_of_any_size_in_sql(spark):
         assert sorted((r.id, r.hit) for r in shown) == [(k, k in (0, 1, 3, 4)) for k in range(9)]
 
 
+def test_patterns_of_groups_of_any_size(spark):
+    rows = [("h", "hashes", "string", "hash", c) for c in ("ab+", r"\d'x")] + [("u", "urls", "string", "url", f"site{k}/.*z") for k in range(1100)]
+    t = spark.createDataFrame(rows, "group_id string, name string, type string, intelligence_type string, content string")
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(["xabbb", "ab+", "a", None, "site7/az", "site1099/z", "site7/a", "3'x"])], "id int, v string")
+    df.createOrReplaceTempView("tw_texts")
+    for limit in (512, 0):
+        groups = IntelGroups(t, patterns=True, literal_limit=limit)
+        groups.register_sql("belong_like")
+        for group, want in (("h", [0, 1, 7]), ("urls", [4, 5])):
+            marked = groups.mark(df, "v", group, "hit")
+            assert sorted(r.id for r in marked.where("hit").collect()) == want
+            assert marked.where("hit IS NULL").isEmpty()
+            assert sorted(r.id for r in spark.sql(f"SELECT id FROM tw_texts WHERE belong_like(v, '{group}')").collect()) == want
+
+
 def test_scalars(spark):
     assert S.ip_bounds("192.168.1.1/24") == (3232235776, 3232236031)
     assert S.ip_bounds("10.0.0.1/99") == (0, 4294967295)

@@ -7,7 +7,8 @@ can be read as patterns if asked for.
 
 Small groups become literals of the plan. Larger ones stay tables: exact contents are
 joined by value, and IP ranges by the address's leading bits, so no join compares every
-event with every range.
+event with every range. Patterns can't be joined: groups of any size are literal
+expressions, and every value is matched with all of them.
 """
 
 from __future__ import annotations
@@ -67,11 +68,23 @@ class IntelGroups:
             exact = [c for c in contents if ip_bounds(c) is None]
             tests = [ip_in(value, c) for c in contents if ip_bounds(c) is not None]
             return reduce(lambda a, b: a | b, tests, total(value.isin(exact)) if exact else F.lit(False))
-        if self.patterns and kind == "string" and sub in ("hash", "url"):
-            whole = "|".join(f"(?:{c})" for c in contents)
-            return total(value.rlike(rf"\A(?:{whole})\z" if sub == "url" else whole))
+        if self._by_pattern(group):
+            return self._matches(value, group)
         return total(value.isin(contents))
 
+    def _by_pattern(self, group: str) -> bool:
+        kind, sub = self.kinds[group]
+        return self.patterns and kind == "string" and sub in ("hash", "url")
+
+    def _expressions(self, group: str) -> list[str]:
+        """The contents of a group as regular expressions, each of up to ``LITERAL_LIMIT`` alternatives."""
+        contents = sorted(r["content"] for r in self.contents(group).collect())
+        blocks = ["|".join(f"(?:{c})" for c in contents[s : s + LITERAL_LIMIT]) for s in range(0, len(contents), LITERAL_LIMIT)]
+        return [rf"\A(?:{b})\z" for b in blocks] if self.kinds[group][1] == "url" else blocks
+
+    def _matches(self, value: Column, group: str) -> Column:
+        return total(reduce(lambda a, b: a | b, [value.rlike(x) for x in self._expressions(group)]))
+
     def register_sql(self, name: str = "belong") -> None:
         """Define ``name(value, group)`` for SQL texts; the planner inlines it.
 
@@ -82,6 +95,10 @@ class IntelGroups:
         number = r"coalesce(aggregate(transform(split(trim(v), '\\.'), x -> try_cast(x AS bigint)), 0L, (s, x) -> shiftleft(s, 8) | x), 0L)"
         cases = []
         for k, (group, (kind, _)) in enumerate(sorted(self.kinds.items())):
+            if self._by_pattern(group):
+                tests = [f"v RLIKE {quote(x)}" for x in self._expressions(group)]
+                cases.append(f"WHEN {quote(group)} THEN {' OR '.join(tests)}")
+                continue
             if not self.is_small(group):
                 exact, view = self.contents(group), f"__tw_{name}_{k}"
                 if kind == "ip":
@@ -107,6 +124,8 @@ class IntelGroups:
             return df.withColumn(flag, self.member(F.col(field).cast("string"), group))
         if self.kinds[group][0] == "ip":
             return self._mark_ip(df, field, group, flag)
+        if self._by_pattern(group):
+            return df.withColumn(flag, self._matches(F.col(field).cast("string"), group))
         known = self.contents(group).select(F.col("content").alias("__tw_content"), F.lit(True).alias(flag))
         return df.join(known, F.col(field).cast("string") == F.col("__tw_content"), "left").drop("__tw_content").withColumn(flag, total(F.col(flag)))
 
