@@ -55,3 +55,10 @@ def test_too_small_a_sketch_gets_stuck(spark):
 def test_no_python_in_the_plan(spark):
     plan = K.fingerprints(frame(spark, AWKWARD[:3]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_peeling_gives_the_digests_of_both_sides(spark):
+    sets = [(list(range(n)), list(range(m, m + n))) for n, m in ((0, 0), (1, 0), (5, 2), (40, 7))]
+    df = spark.createDataFrame(sets, "p array<bigint>, q array<bigint>").select(*[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in "pq"])
+    for r in df.select("p", "q", F.expr(K.differing("p", "q", signed=True)).alias("d")).collect():
+        assert sorted((x.k, x.n) for x in r.d) == sorted([(k, 1) for k in set(r.p) - set(r.q)] + [(k, -1) for k in set(r.q) - set(r.p)])

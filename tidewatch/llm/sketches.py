@@ -70,30 +70,38 @@ def difference(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> named_struct('j', x.j, 'i', x.i, 'n', x.n - y.n, 'k', x.k ^ y.k, 'g', x.g ^ y.g))"
 
 
-def peel(cells: str, size: str) -> str:
-    """How many digests a difference holds, or null if peeling gets stuck."""
+_SIGNED = "array<struct<k: bigint, n: bigint>>"
+
+
+def peel(cells: str, size: str, signed: bool = False) -> str:
+    """How many digests a difference holds, or null if peeling gets stuck. ``signed``: the digests ``k`` themselves, with ``n`` 1 if the first side has it and -1 if the second."""
+    none, more, kind = (f"cast(array() as {_SIGNED})", "concat(st.f, p)", _SIGNED) if signed else ("0", "st.f + size(p)", "int")
     alone = f"abs(x.n) = 1 AND {_place('x.k', 'x.j', size)} = x.i AND {_check('x.k')} = x.g"
     pure = f"array_distinct(transform(filter(st.c, x -> {alone}), x -> named_struct('k', x.k, 'n', x.n)))"
     without = f"transform(st.c, x -> aggregate(p, x, (s, q) -> if({_place('q.k', 's.j', size)} = s.i, named_struct('j', s.j, 'i', s.i, 'n', s.n - q.n, 'k', s.k ^ q.k, 'g', s.g ^ {_check('q.k')}), s)))"
-    step = _bind(pure, "p", f"if(size(p) = 0, named_struct('c', st.c, 'f', st.f, 'go', false), named_struct('c', {without}, 'f', st.f + size(p), 'go', true))")
-    peeled = f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'f', 0, 'go', true), (st, r) -> if(st.go, {step}, st))"
-    return _bind(peeled, "e", "if(forall(e.c, x -> x.n = 0 AND x.k = 0 AND x.g = 0), e.f, cast(null as int))")
-
-
-def _retried(a: str, b: str) -> str:
-    """The number of differing digests of two sets, by larger and larger sketches."""
-    once = peel(difference(sketch(a, "c"), sketch(b, "c")), "c")
-    ladder = f"aggregate(array({', '.join(map(str, SIZES))}), cast(null as int), (res, c) -> coalesce(res, {once}))"
+    step = _bind(pure, "p", f"if(size(p) = 0, named_struct('c', st.c, 'f', st.f, 'go', false), named_struct('c', {without}, 'f', {more}, 'go', true))")
+    peeled = f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'f', {none}, 'go', true), (st, r) -> if(st.go, {step}, st))"
+    return _bind(peeled, "e", f"if(forall(e.c, x -> x.n = 0 AND x.k = 0 AND x.g = 0), e.f, cast(null as {kind}))")
+
+
+def _retried(a: str, b: str, signed: bool) -> str:
+    """The number of differing digests of two sets, or the digests, by larger and larger sketches."""
+    once = peel(difference(sketch(a, "c"), sketch(b, "c")), "c", signed)
+    ladder = f"aggregate(array({', '.join(map(str, SIZES))}), cast(null as {_SIGNED if signed else 'int'}), (res, c) -> coalesce(res, {once}))"
+    if signed:
+        side = lambda x, y, n: f"transform(array_except({x}, {y}), h -> named_struct('k', h, 'n', {n}L))"
+        return f"coalesce({ladder}, concat({side(a, b, 1)}, {side(b, a, -1)}))"
     return f"coalesce({ladder}, size(array_except({a}, {b})) + size(array_except({b}, {a})))"
 
 
-def differing(a: str, b: str) -> str:
-    """``_retried`` block by block, the blocks dealt in two steps of about the square root of their number each."""
+def differing(a: str, b: str, signed: bool = False) -> str:
+    """``_retried`` block by block, the blocks dealt in two steps of about the square root of their number each. ``signed``: the digests, as from ``peel``."""
+    all_of = (lambda x: f"flatten({x})") if signed else (lambda x: f"aggregate({x}, 0, (t, q) -> t + q)")
     deal = lambda v, salt, n, k: f"if({n} = 1, {v}, filter({v}, h -> pmod(xxhash64(h, {salt}), {n}) = {k}))"
     blocks = f"greatest(1, cast(ceil((size({a}) + size({b})) / {DIGESTS_A_BLOCK}) as int))"
-    inner = _bind(f"named_struct('a', {deal('w.a', 2, 'm.y', 'u')}, 'b', {deal('w.b', 2, 'm.y', 'u')})", "z", _retried("z.a", "z.b"))
-    outer = _bind(f"named_struct('a', {deal(a, 1, 'm.x', 'v')}, 'b', {deal(b, 1, 'm.x', 'v')})", "w", f"aggregate(transform(sequence(0, m.y - 1), u -> {inner}), 0, (t, q) -> t + q)")
-    whole = f"aggregate(transform(sequence(0, m.x - 1), v -> {outer}), 0, (t, q) -> t + q)"
+    inner = _bind(f"named_struct('a', {deal('w.a', 2, 'm.y', 'u')}, 'b', {deal('w.b', 2, 'm.y', 'u')})", "z", _retried("z.a", "z.b", signed))
+    outer = _bind(f"named_struct('a', {deal(a, 1, 'm.x', 'v')}, 'b', {deal(b, 1, 'm.x', 'v')})", "w", all_of(f"transform(sequence(0, m.y - 1), u -> {inner})"))
+    whole = all_of(f"transform(sequence(0, m.x - 1), v -> {outer})")
     steps = _bind(blocks, "n", "named_struct('x', cast(ceil(sqrt(n)) as int), 'y', cast(ceil(n / ceil(sqrt(n))) as int))")
     return _bind(steps, "m", whole)
 
