@@ -13,12 +13,12 @@ from tidewatch.llm import packing as K
 from tidewatch.llm.fastencode import PieceEncoder
 
 
-@pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_pieces_give_the_ids_of_whole_texts(name, spaces):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_give_the_ids_of_whole_texts(name):
     import pyarrow as pa
 
     path = public_tokenizers.path(name)
-    lib, enc = Tokenizer.from_file(path), PieceEncoder(path, spaces)
+    lib, enc = Tokenizer.from_file(path), PieceEncoder(path)
     texts = [r[1] for r in AWKWARD] + ["it's  we'll!! Foo'S ok.'s x", "a\n\n b\t c ", ". ,a .b..c", "İSTANBUL ΣΑΣ. Σ", " a　 b c  d\x85 e"]
     want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in enc.encode(pa.array(texts, pa.string()))] == want
@@ -29,6 +29,30 @@ def test_pieces_give_the_ids_of_whole_texts(name, spaces):
         assert next(enc.encode(pa.array([t]))).tolist() == lib.encode(t, add_special_tokens=False).ids
 
     check()
+    added = [t["content"] for t in enc.added]
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.sampled_from([*added, *(t.upper() for t in added), *(t[:-1] for t in added), *(t[1:] for t in added), "a", " ", "Word", "|", "<", ">.", "é", "\n"]), max_size=9))
+    def check_added(parts):
+        t = "".join(parts)
+        assert next(enc.encode(pa.array([t]))).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+    check_added()
+
+
+def test_files_of_other_forms_are_not_cut(tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    texts = ["Some Words, and  more.", "a <|endoftext|> b", ""]
+    base = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    for k, change in enumerate(({"normalizer": {"type": "Lowercase"}}, {"added_tokens": []}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}})):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(base | change), "utf-8")
+        enc = PieceEncoder(str(path))
+        assert not enc.cuttable
+        assert [x.tolist() for x in enc.encode(pa.array(texts))] == [Tokenizer.from_file(str(path)).encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=60, deadline=None)

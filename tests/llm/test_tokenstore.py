@@ -53,3 +53,11 @@ def test_empty(spark):
     folder = scratch(spark, "tokens")
     K.write(frame(spark, []), folder, K.tokenizer_path())
     assert K.read(spark, folder).isEmpty()
+
+
+def test_ids_beyond_the_width_are_refused(spark):
+    with pytest.raises(Exception, match="doesn't fit"):
+        K.write(frame(spark), scratch(spark, "tokens"), K.tokenizer_path(), width=1)
+    folder = scratch(spark, "tokens")
+    K.write(frame(spark), folder, K.tokenizer_path(), width=4)
+    assert K.read(spark, folder, width=4).count() == len(AWKWARD)

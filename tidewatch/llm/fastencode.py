@@ -3,18 +3,22 @@
 Texts are cut where the tokenizer never joins what stands on both sides: before a
 blank that a non-blank follows, and between a letter and closing punctuation.
 Arrow finds the distinct pieces of a batch; only pieces not seen lately go to the
-library, many in one call, kept apart by its own end-of-text token. The ids of a
+library, many in one call, kept apart by one of its own added tokens. The ids of a
 text are those of its pieces in order, equal to those of the whole text.
 
-A text that holds the mark used for the cuts, or the end-of-text token itself, goes
-to the library whole.
+Whether a file can be cut this way is read from the file: its normaliser and its
+splitting must be one of the two forms in ``FORMS``. With any other form, or without
+an added token to keep pieces apart, every text goes to the library whole. So does a
+text that holds the mark used for the cuts or an added token of the file.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,6 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 6 << 20
 _MARK = "\x1f"
-_SPECIAL = "<|endoftext|>"
 #: Unicode white space other than the blank, as RE2's \s is ASCII only.
 _WHITE = "\t-\r \u0085   -     　"
 _CALL_CHARS = 1 << 18
@@ -97,34 +100,61 @@ class Pieces:
             yield apart[k] if k in apart else ids[bounds[k] : bounds[k + 1]]
 
 
+#: The forms of tokenizer files that may be cut, as (normaliser, splitting), by whether blanks matter.
+FORMS = {
+    True: (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    False: (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ),
+}
+
+
 class PieceEncoder(Pieces):
     """New pieces go to a tokenizer file's own encoder."""
 
-    def __init__(self, path: str, spaces_matter: bool):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__(spaces_matter)
+        given = json.loads(Path(path).read_text("utf-8"))
+        form = next((k for k, v in FORMS.items() if v == (given.get("normalizer"), given.get("pre_tokenizer"))), None)
+        super().__init__(bool(form))
         self.lib = Tokenizer.from_file(path)
-        self.special = self.lib.token_to_id(_SPECIAL)
+        self.added = given.get("added_tokens", [])
+        plain = [t for t in self.added if not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"])]
+        self.between = plain[0] if plain else None
+        self.cuttable = form is not None and self.between is not None and not any((given.get("truncation"), given.get("padding"), given["model"].get("dropout")))
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _odd(self, texts: pa.Array) -> pa.Array:
-        return pc.or_(super()._odd(texts), pc.match_substring(texts, _SPECIAL))
+        odd = super()._odd(texts)
+        if not self.cuttable:
+            return pc.or_(odd, True)
+        for t in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, t["content"], ignore_case=t["normalized"]))
+        return odd
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces that aren't kept."""
-        at = 0
+        at, between = 0, self.between["content"] if self.between else ""
         while at < len(pieces):
             end, chars = at, 0
             while end < len(pieces) and chars < _CALL_CHARS:
-                chars += len(pieces[end]) + len(_SPECIAL)
+                chars += len(pieces[end]) + len(between)
                 end += 1
-            ids = np.asarray(self.lib.encode_batch_fast([_SPECIAL.join(pieces[at:end])], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(ids == self.special)
-            assert len(ends) == end - at - 1
+            ids = np.asarray(self.lib.encode_batch_fast([between.join(pieces[at:end])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == self.between["id"]) if self.between else np.array([], np.int64)
+            if len(ends) != end - at - 1:
+                raise ValueError("a piece of text holds an added token")
             data, bounds = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
             for p, a, b in zip(pieces[at:end], bounds, bounds[1:], strict=False):
                 self.kept[p] = data[4 * a + 4 : 4 * b]
@@ -132,6 +162,6 @@ class PieceEncoder(Pieces):
 
 
 @cache
-def encoder(path: str, spaces_matter: bool) -> PieceEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One encoder in each worker process, so its kept pieces serve all tasks there."""
-    return PieceEncoder(path, spaces_matter)
+    return PieceEncoder(path)

@@ -96,7 +96,7 @@ class HarmonicPacker:
 
 
 def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, tail: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    enc, packer = encoder(path, True), HarmonicPacker(capacity, tail)
+    enc, packer = encoder(path), HarmonicPacker(capacity, tail)
     sequence = TaskContext.get().partitionId() << _SEQUENCE_BITS
     docs: dict[int, list] = {}  # those with waiting pieces: id, ids, pieces to come
     key_type = None

@@ -21,7 +21,8 @@ document against its leaf and length, and the leaves against the manifest.
 
 Defined results: null text counts as empty, a document of the end id alone. Rows with
 equal ids are documents of their own, in the order of the rows; a null id comes before
-all others. An empty table gives an empty store. Other columns are ignored.
+all others. An empty table gives an empty store. Other columns are ignored. A very long
+text is encoded in the memory of one task and stored in chunks like any other.
 """
 
 from __future__ import annotations
@@ -112,8 +113,8 @@ def _cells(kinds: tuple, rows: list[tuple]) -> pa.RecordBatch:
     return batch({k: (list(v), t) for (k, t), v in zip(kinds, zip(*rows, strict=True) if rows else [()] * len(kinds), strict=True)})
 
 
-def _chunk_batches(batches: Iterator[pa.RecordBatch], path: str, spaces_matter: bool, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
-    enc, z = encoder(path, spaces_matter), zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False)
+def _chunk_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
+    enc, z = encoder(path), zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False)
     kind, end = np.dtype(f"<u{width}"), np.array([end_id], np.uint32)
     row, seen = TaskContext.get().partitionId() << _ROW_BITS, set()
     rows: list[tuple] = []
@@ -121,6 +122,8 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch], path: str, spaces_matter:
     for b in batches:
         for key, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
             ids = np.concatenate([ids, end])
+            if ids.max() >> (8 * width):
+                raise OverflowError(f"id {ids.max()} doesn't fit into {width} bytes")
             data, recipe, at = ids.astype(kind).tobytes(), [], 0
             for stop in cuts(ids):
                 part = data[at * width : stop * width]
@@ -195,12 +198,12 @@ def _leaf_of(recipe: str, n: str):
     return F.unhex(F.sha2(F.concat(F.lit(b"\0"), F.unhex(F.expr(f"concat({', '.join(f'lpad(hex(({n} >> {8 * k}) & 255), 2, {chr(39)}0{chr(39)})' for k in range(8))})")), F.col(recipe)), 256))
 
 
-def write(docs: DataFrame, folder: str, path: str, spaces_matter: bool = False, end_id: int = END_ID, width: int = 2, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Tokenise all documents into a store under ``folder``. ``width``: bytes an id, 2 for vocabularies up to 65,536."""
+def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, width: int = 2, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Tokenise all documents into a store under ``folder``. ``width``: bytes an id (1, 2 or 4), 2 for vocabularies up to 65,536; an id that doesn't fit is refused."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    sent = rows.mapInArrow(lambda b: _chunk_batches(b, path, spaces_matter, end_id, width), _SENT_SQL)
+    sent = rows.mapInArrow(lambda b: _chunk_batches(b, path, end_id, width), _SENT_SQL)
     dealt = sent.repartition("deal").sortWithinPartitions("digest")
     packed = spill(dealt.mapInArrow(lambda b: _pack_batches(b, folder, width), _PACKED_SQL))
     packed.where("digest IS NOT NULL").select("digest", "pack", "at", "size", "n").write.parquet(f"{folder}/index")
