@@ -62,6 +62,25 @@ def test_links_against_brute_force(spark, budget, hot):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
 
 
+def test_subtries_are_walked_one_after_another(spark, monkeypatch):
+    import pyarrow as pa
+
+    fps = clustered(np.random.default_rng(7), 40)
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp bigint").distinct()
+    place = ["trie", "sub", "block", "subblock"]
+    rows = S._dealt(df, 2, 5).select("fp", *place).orderBy(*place).toArrow().combine_chunks()
+    whole = {b.num_rows for b in S._link_partition(iter(rows.to_batches()), 2)}
+    monkeypatch.setattr(S, "_ROWS_HELD", 40)
+    parts = list(S._link_partition(iter(rows.to_batches(max_chunksize=17)), 2))
+    assert len(whole) == 1 and len(parts) > 5
+    edges = spark.createDataFrame(pa.Table.from_batches(parts).to_pandas())
+    found = {int(np.int64(r.node).view(np.uint64)): r.root for r in S.components(edges).collect()}
+    want = components(fps, 2)
+    for f in want:
+        for g in want:
+            assert (want[f] == want[g]) == (found.get(f, f) == found.get(g, g))
+
+
 def test_long_chain(spark):
     chain = spark.range(300).selectExpr("id AS u", "id + 1 AS v")
     assert len({r.root for r in cut(S.components(chain)).collect()}) == 1

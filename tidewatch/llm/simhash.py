@@ -39,6 +39,9 @@ SHINGLE_WORDS = 3
 ERROR_BUDGET = 2
 HOT_SUBTRIE = 4096
 _FRONTIER = 1 << 17
+_ROWS_HELD = 1 << 19
+#: Parts that the rows of one fingerprint are dealt to before they meet.
+_SALTS = 32
 _DIRECT = 16
 _BLOCK_BYTES = 1 << 20
 _BLANK = re.compile(rb"[\x09-\x0d ]")
@@ -171,10 +174,34 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _link_partition(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-    if not got:
-        return
-    fp, trie, sub = (np.concatenate(x) for x in zip(*got, strict=True))
+    """Spanning links of the subtries of a partition. Rows come sorted by trie, sub and subtrie; whole subtries are walked as soon as ``_ROWS_HELD`` rows wait."""
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
+
+    def walk(upto: int | None) -> pa.RecordBatch | None:
+        """Take the first ``upto`` rows that wait."""
+        nonlocal held, rows
+        cols = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        held = [] if upto is None else [tuple(x[upto:] for x in cols)]
+        rows = 0 if upto is None else len(cols[0]) - upto
+        return _links_of(*(x[:upto] for x in cols), budget)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(tuple(c.to_numpy() for c in b.columns))
+        rows += b.num_rows
+        if rows >= _ROWS_HELD:
+            # the last subtrie may go on
+            cols = [np.concatenate([x[k] for x in held]) for k in (1, 2, 3, 4)]
+            last = np.flatnonzero(np.any([c != c[-1] for c in cols], axis=0))
+            if len(last) and (got := walk(int(last[-1]) + 1)) is not None:
+                yield got
+    if held and (got := walk(None)) is not None:
+        yield got
+
+
+def _links_of(fp: np.ndarray, trie: np.ndarray, sub: np.ndarray, block: np.ndarray, subblock: np.ndarray, budget: int) -> pa.RecordBatch | None:
     fp = fp.view(np.uint64)
     nodes = np.unique(fp)
     ends: list[tuple[np.ndarray, np.ndarray]] = []
@@ -186,10 +213,11 @@ def _link_partition(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[
             for i, j in trie_links(keys, bits + sub_bits, budget):
                 back = [_rotate(_rotate(keys[x], (rest - sub_at) % rest, rest), (64 - at) % 64, 64) for x in (i, j)]
                 ends.append((np.searchsorted(nodes, back[0]), np.searchsorted(nodes, back[1])))
-    if ends:
-        root = _forest(len(nodes), *(np.concatenate(x) for x in zip(*ends, strict=True)))
-        leaf = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf].view(np.int64)), pa.array(nodes[root[leaf]].view(np.int64))], names=["u", "v"])
+    if not ends:
+        return None
+    root = _forest(len(nodes), *(np.concatenate(x) for x in zip(*ends, strict=True)))
+    leaf = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[leaf].view(np.int64)), pa.array(nodes[root[leaf]].view(np.int64))], names=["u", "v"])
 
 
 def _bits(c: Column, at: int, bits: int, width: int) -> Column:
@@ -213,10 +241,11 @@ def _dealt(fps: DataFrame, budget: int, hot: int) -> DataFrame:
 
 
 def links(fps: DataFrame, budget: int = ERROR_BUDGET, hot: int = HOT_SUBTRIE) -> DataFrame:
-    """Links (``u``, ``v``) that join the distinct fingerprints of column ``fp`` into their components."""
+    """Links (``u``, ``v``) that join the fingerprints of column ``fp``, each given once, into their components."""
     ship(fps.sparkSession)
-    dealt = _dealt(fps.select("fp").distinct(), budget, hot).repartition("trie", "block", "sub", "subblock")
-    return dealt.select("fp", "trie", "sub").mapInArrow(lambda b: _link_partition(b, budget), "u bigint, v bigint")
+    place = ["trie", "sub", "block", "subblock"]
+    dealt = _dealt(fps.select("fp"), budget, hot).repartition(*place).sortWithinPartitions(*place)
+    return dealt.select("fp", *place).mapInArrow(lambda b: _link_partition(b, budget), "u bigint, v bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,8 +272,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _classes(fps: DataFrame, least: Column, budget: int, hot: int) -> DataFrame:
     """(``fp``, ``least``): for each distinct fingerprint the least value over its component."""
-    own = fps.groupBy("fp").agg(F.min(least).alias("own"))
-    linked = components(links(fps, budget, hot)).withColumnRenamed("node", "fp")
+    # every map task has a row of a fingerprint that all of them meet: those are combined in parts first
+    part = fps.select("fp", least.alias("own"), F.pmod(F.spark_partition_id(), F.lit(_SALTS)).alias("salt"))
+    own = cut(part.groupBy("fp", "salt").agg(F.min("own").alias("own")).groupBy("fp").agg(F.min("own").alias("own")))
+    linked = components(links(own, budget, hot)).withColumnRenamed("node", "fp")
     of_root = own.join(linked, "fp").groupBy("root").agg(F.min("own").alias("least"))
     found = linked.join(of_root, "root").select("fp", "least")
     return own.join(found, "fp", "left").select("fp", F.coalesce("least", "own").alias("least"))
