@@ -40,25 +40,49 @@ def test_one_row_and_none(spark):
     assert K.fingerprints(frame(spark, [])).isEmpty()
 
 
+def hashed(spark, sets):
+    return spark.createDataFrame(sets, "tp array<bigint>, tq array<bigint>").select(*[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("tp", "tq")])
+
+
+SETS = [(list(range(n)), list(range(m, m + k))) for n, m, k in ((0, 0, 0), (1, 0, 0), (5, 2, 5), (40, 7, 40), (300, 150, 300), (1000, 1000, 1000), (3, 0, 700), (500, 400, 20))]
+
+
 def test_peeling_recovers_every_difference(spark):
-    sets = [(list(range(n)), list(range(m, m + n))) for n, m in ((0, 0), (1, 0), (5, 2), (40, 7), (300, 150), (1000, 1000))]
-    df = spark.createDataFrame(sets, "p array<bigint>, q array<bigint>").select(*[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in "pq"])
-    got = df.select(F.expr(K.differing("p", "q")).alias("d"), (F.size(F.array_except("p", "q")) + F.size(F.array_except("q", "p"))).alias("want")).collect()
-    assert [r.d for r in got] == [r.want for r in got]
+    df = hashed(spark, SETS).select("*", F.expr(K.fingerprint("tp")).alias("fp"), F.expr(K.fingerprint("tq")).alias("fq"))
+    for r in df.select("tp", "tq", F.expr(K.differing("fp", "fq")).alias("d"), F.expr(K.differing("fp", "fq", signed=True)).alias("e"), F.expr(K.count("fp")).alias("n")).collect():
+        only = [sorted(set(x) - set(y)) for x, y in ((r.tp, r.tq), (r.tq, r.tp))]
+        assert (r.d, r.n) == (len(only[0]) + len(only[1]), len(r.tp))
+        assert sorted((x.k, x.n) for x in r.e) == sorted([(k, 1) for k in only[0]] + [(k, -1) for k in only[1]])
 
 
 def test_too_small_a_sketch_gets_stuck(spark):
-    df = spark.createDataFrame([(list(range(50)), [])], "p array<bigint>, q array<bigint>").select(*[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in "pq"])
-    assert df.select(F.expr(K.peel(K.difference(K.sketch("p", "4"), K.sketch("q", "4")), "4")).alias("d")).first().d is None
+    df = hashed(spark, [(list(range(50)), [])])
+    assert df.select(F.expr(K.peel(K.difference(K.sketch("tp", "4"), K.sketch("tq", "4")), "4")).alias("d")).first().d is None
+
+
+def test_text_form_is_read_back_without_loss(spark):
+    df = hashed(spark, SETS).select(F.expr(K.fingerprint("tq")).alias("fq")).select("fq", K.as_text("fq").alias("t"))
+    for r in df.select("fq", F.expr(K.from_text("t")).alias("again")).collect():
+        assert r.fq == r.again
+    large = spark.range(1).selectExpr("array(named_struct('c', 1, 's', array(named_struct('j', 0, 'i', 0, 'n', 70000L, 'k', -5L, 'g', 4294967295L), named_struct('j', 20, 'i', 0, 'n', 0L, 'k', 0L, 'g', 7L), named_struct('j', 40, 'i', 0, 'n', 0L, 'k', 0L, 'g', 0L)))) AS b")
+    r = large.select("b", K.as_text("b").alias("t")).select("b", F.expr(K.from_text("t")).alias("again")).first()
+    assert r.b == r.again
+
+
+def test_likeness_comes_from_the_two_fingerprints(spark):
+    got = K.op3_lookup_sketch(spark, "/root/testdata/sf0.001").orderBy(F.desc("doc_id")).limit(60)
+    rows = got.collect()
+    texts = [(r.fingerprint, r.edited_fingerprint, rows[k + 1].fingerprint) for k, r in enumerate(rows[:-1])]
+    df = spark.createDataFrame(texts, "td string, te string, tf string")
+    again = df.select(K.likeness_of_texts("td", "te").alias("e"), K.likeness_of_texts("td", "tf").alias("n")).collect()
+    assert [tuple(r) for r in again] == [(r.near_edited, r.near_next) for r in rows[:-1]]
+
+
+def test_text_ids(spark):
+    rows = K.fingerprints(spark.createDataFrame([("b", "x. y"), ("a", "x. z"), (None, None), ("c", "")], "doc_id string, text string")).collect()
+    assert {r.doc_id: round(r.near_next, 9) for r in rows} == {"c": 0.0, "b": round(1 / 3, 9), "a": 0.0, None: 1.0}
 
 
 def test_no_python_in_the_plan(spark):
     plan = K.fingerprints(frame(spark, AWKWARD[:3]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
-
-
-def test_peeling_gives_the_digests_of_both_sides(spark):
-    sets = [(list(range(n)), list(range(m, m + n))) for n, m in ((0, 0), (1, 0), (5, 2), (40, 7))]
-    df = spark.createDataFrame(sets, "p array<bigint>, q array<bigint>").select(*[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in "pq"])
-    for r in df.select("p", "q", F.expr(K.differing("p", "q", signed=True)).alias("d")).collect():
-        assert sorted((x.k, x.n) for x in r.d) == sorted([(k, 1) for k in set(r.p) - set(r.q)] + [(k, -1) for k in set(r.q) - set(r.p)])

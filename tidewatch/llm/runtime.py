@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,13 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ranged(df: DataFrame, order: Sequence[str], bucket: str, descending: bool = False) -> DataFrame:
-    """Deal rows to range partitions of ``order`` and number the partitions in that order.
+def ranged(df: DataFrame, order: Sequence[str | Column], bucket: str) -> DataFrame:
+    """Deal rows to range partitions of ``order``, names or sort columns, and number the partitions in that order.
 
     The result is cut, so every later reading sees the same partition bounds. Pass narrow rows.
     """
-    cols = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    return cut(df.repartitionByRange(*cols).withColumn(bucket, F.spark_partition_id()))
+    return cut(df.repartitionByRange(*order).withColumn(bucket, F.spark_partition_id()))
 
 
 def with_running_start(df: DataFrame, order: Sequence[str], value: str, start: str, keep: str | None = None) -> DataFrame:

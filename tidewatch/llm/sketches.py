@@ -1,30 +1,36 @@
 """Document fingerprints as invertible Bloom lookup sketches, in SQL expressions alone.
 
 A text is the set of its paragraphs' 64-bit digests; a paragraph ends at a line end, or
-after a full stop that a blank follows, so a text of one long line has several. A
-sketch has three parts of ``cells``; a digest goes into one cell of each part, where
-its count, the exclusive or of the digests and that of their check hashes are kept.
+after a full stop that a blank follows, so a text of one long line has several. The
+digests are dealt by a hash to blocks, a power of two of them with up to
+``DIGESTS_A_BLOCK`` digests each on average, so the work stays in proportion to a text
+however long it is. Each block is a sketch of three parts of ``c`` cells; a digest goes
+into one cell of each part, where its count, the exclusive or of the digests and that
+of their check hashes are kept.
 
 Two sketches of one size are subtracted cell by cell: what both texts have cancels out.
 Peeling recovers the rest: a cell with one digest, proved by the check, gives it away;
 it is taken out of its other cells, which may leave others alone, until all cells are
-empty. If peeling gets stuck, it is tried again with larger sketches: the digests are
-dealt to blocks by another hash, so the work stays in proportion to a text however long
-it is, and each block climbs the ladder ``SIZES`` until it succeeds. A block that fails
-at every size, as only digests that share all their cells can, is compared directly.
+empty. If peeling gets stuck, it is tried again with twice the cells, as often as needed.
 
-The number of recovered digests gives the likeness of two fingerprints: shared over all
-digests. The fingerprint that is returned is the smallest sketch, as text.
+That is possible without the texts because a fingerprint is built large enough to be
+peeled by itself: its cells are doubled until that works. A larger sketch, or one with
+more blocks, is made from the digests peeled out of the fingerprint. The likeness of two
+fingerprints is the number of digests they share over that of all digests, and is a
+function of the two alone, as ``likeness_of_texts`` shows. The text form of a
+fingerprint can be read back without loss.
 
 The document before another one in descending order is found over narrow keys; then
 each text is shuffled once by its key, and the first half of it once more to the
 document whose edited text takes it.
 
 Defined results: null text counts as empty; two empty texts are alike (1), an empty and
-another one are not (0). Equal ids follow each other by the hash of the text, and rows
-equal in both follow each other, each the next one's document; null ids come last. A
-table of one row is its own next document. Rows are never dropped. Texts that differ
-only in the order or repetition of paragraphs have equal fingerprints.
+another one are not (0). Ids are numbers or text. Equal ids follow each other by the
+hash of the text, and rows equal in both follow each other, each the next one's
+document; null ids come last. A table of one row is its own next document. Rows are
+never dropped. Texts that differ only in the order or repetition of paragraphs have
+equal fingerprints. Two digests that share their low 60 bits (one pair in 2**60) can't
+be told apart by any sketch and stop the query.
 """
 
 from __future__ import annotations
@@ -35,10 +41,9 @@ from pyspark.sql.window import Window
 
 from tidewatch.llm.runtime import ranged, table
 
-BASE_CELLS = 4
-SIZES = (8, 16, 32, 64, 128)
-DIGESTS_A_BLOCK = 10
+DIGESTS_A_BLOCK = 8
 ROUNDS = 32
+_DOUBLINGS = 18
 _KEY = ["kn", "ki", "kh"]
 
 
@@ -52,7 +57,7 @@ def _place(digest: str, part: str, cells: str) -> str:
 
 
 def _check(digest: str) -> str:
-    return f"xxhash64({digest}, 99)"
+    return f"shiftrightunsigned(xxhash64({digest}, 99), 32)"
 
 
 def _bind(value: str, name: str, body: str) -> str:
@@ -60,6 +65,12 @@ def _bind(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _doubled(start: str, size: str, attempt: str, kind: str) -> str:
+    """The first result of ``attempt`` that isn't null, with ``size`` from ``start`` up, doubled each time."""
+    ladder = f"aggregate(sequence(0, {_DOUBLINGS}), cast(null as {kind}), (res, r) -> coalesce(res, {_bind(f'shiftleft({start}, r)', size, attempt)}))"
+    return f"coalesce({ladder}, cast(raise_error('digests that no sketch can tell apart') as {kind}))"
+
+
 def sketch(of: str, cells: str) -> str:
     """The cells of a set of digests; the parts are told apart by the bits of the digest they go by."""
     cell = f"aggregate({of}, named_struct('j', j, 'i', i, 'n', 0L, 'k', 0L, 'g', 0L), (s, d) -> if({_place('d', 'j', cells)} = i, named_struct('j', s.j, 'i', s.i, 'n', s.n + 1L, 'k', s.k ^ d, 'g', s.g ^ {_check('d')}), s))"
@@ -71,6 +82,9 @@ def difference(a: str, b: str) -> str:
 
 
 _SIGNED = "array<struct<k: bigint, n: bigint>>"
+_CELLS = "array<struct<j: int, i: int, n: bigint, k: bigint, g: bigint>>"
+_BLOCK = f"struct<c: int, s: {_CELLS}>"
+_FULL = "x -> x.n <> 0 OR x.k <> 0 OR x.g <> 0"
 
 
 def peel(cells: str, size: str, signed: bool = False) -> str:
@@ -78,65 +92,97 @@ def peel(cells: str, size: str, signed: bool = False) -> str:
     none, more, kind = (f"cast(array() as {_SIGNED})", "concat(st.f, p)", _SIGNED) if signed else ("0", "st.f + size(p)", "int")
     alone = f"abs(x.n) = 1 AND {_place('x.k', 'x.j', size)} = x.i AND {_check('x.k')} = x.g"
     pure = f"array_distinct(transform(filter(st.c, x -> {alone}), x -> named_struct('k', x.k, 'n', x.n)))"
-    without = f"transform(st.c, x -> aggregate(p, x, (s, q) -> if({_place('q.k', 's.j', size)} = s.i, named_struct('j', s.j, 'i', s.i, 'n', s.n - q.n, 'k', s.k ^ q.k, 'g', s.g ^ {_check('q.k')}), s)))"
-    step = _bind(pure, "p", f"if(size(p) = 0, named_struct('c', st.c, 'f', st.f, 'go', false), named_struct('c', {without}, 'f', {more}, 'go', true))")
-    peeled = f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'f', {none}, 'go', true), (st, r) -> if(st.go, {step}, st))"
-    return _bind(peeled, "e", f"if(forall(e.c, x -> x.n = 0 AND x.k = 0 AND x.g = 0), e.f, cast(null as {kind}))")
+    without = f"filter(transform(st.c, x -> aggregate(p, x, (s, q) -> if({_place('q.k', 's.j', size)} = s.i, named_struct('j', s.j, 'i', s.i, 'n', s.n - q.n, 'k', s.k ^ q.k, 'g', s.g ^ {_check('q.k')}), s))), {_FULL})"
+    step = _bind(pure, "p", f"if(size(p) = 0, named_struct('c', st.c, 'f', st.f, 'go', false), named_struct('c', {without}, 'f', {more}, 'go', size(st.c) > size(p)))")
+    peeled = f"aggregate(sequence(1, {ROUNDS}), named_struct('c', filter({cells}, {_FULL}), 'f', {none}, 'go', true), (st, r) -> if(st.go, {step}, st))"
+    return _bind(peeled, "e", f"if(size(e.c) = 0, e.f, cast(null as {kind}))")
+
+
+def _block(of: str) -> str:
+    """The sketch of a block: about two cells a digest, more until it can be peeled by itself."""
+    start = "case when n <= 3 then 2 when n <= 6 then 4 when n <= 12 then 8 when n <= 24 then 16 when n <= 48 then 32 else 64 end"
+    attempt = _bind(sketch("w", "c"), "t", f"if({peel('t', 'c')} IS NULL, cast(null as {_BLOCK}), named_struct('c', c, 's', t))")
+    return _bind(of, "w", _bind(_bind("size(w)", "n", start), "m", _doubled("m", "c", attempt, _BLOCK)))
+
+
+def _bits(of: str) -> str:
+    """The number of blocks, as a power of two, for so many digests."""
+    return f"aggregate(sequence(0, 40), 0, (b, r) -> if(shiftleft({DIGESTS_A_BLOCK}L, b) < {of}, b + 1, b))"
+
 
+def fingerprint(of: str, bits: str | None = None) -> str:
+    """The blocks of a set of digests. They are dealt in two steps of about the square root of their number each."""
+    hashed = "xxhash64(h, 1)"
+    inner = _block(f"if(v.y = 0, z, filter(z, h -> shiftrightunsigned({hashed}, v.x) & (shiftleft(1L, v.y) - 1) = u2))")
+    outer = _bind(f"if(v.x = 0, {of}, filter({of}, h -> {hashed} & (shiftleft(1L, v.x) - 1) = u1))", "z", f"transform(sequence(0, shiftleft(1, v.y) - 1), u2 -> {inner})")
+    split = _bind(bits or _bits(f"size({of})"), "b", "named_struct('x', b div 2, 'y', b - b div 2)")
+    return _bind(_bind(split, "v", "named_struct('x', cast(v.x as int), 'y', cast(v.y as int))"), "v", f"flatten(transform(sequence(0, shiftleft(1, v.x) - 1), u1 -> {outer}))")
 
-def _retried(a: str, b: str, signed: bool) -> str:
-    """The number of differing digests of two sets, or the digests, by larger and larger sketches."""
-    once = peel(difference(sketch(a, "c"), sketch(b, "c")), "c", signed)
-    ladder = f"aggregate(array({', '.join(map(str, SIZES))}), cast(null as {_SIGNED if signed else 'int'}), (res, c) -> coalesce(res, {once}))"
-    if signed:
-        side = lambda x, y, n: f"transform(array_except({x}, {y}), h -> named_struct('k', h, 'n', {n}L))"
-        return f"coalesce({ladder}, concat({side(a, b, 1)}, {side(b, a, -1)}))"
-    return f"coalesce({ladder}, size(array_except({a}, {b})) + size(array_except({b}, {a})))"
+
+def _listed(block: str) -> str:
+    return f"transform({peel(f'{block}.s', f'{block}.c', signed=True)}, x -> x.k)"
+
+
+def count(blocks: str) -> str:
+    """How many digests a fingerprint holds."""
+    return f"aggregate({blocks}, 0L, (t, b) -> t + aggregate(b.s, 0L, (q, x) -> if(x.j = 0, q + x.n, q)))"
 
 
 def differing(a: str, b: str, signed: bool = False) -> str:
-    """``_retried`` block by block, the blocks dealt in two steps of about the square root of their number each. ``signed``: the digests, as from ``peel``."""
-    all_of = (lambda x: f"flatten({x})") if signed else (lambda x: f"aggregate({x}, 0, (t, q) -> t + q)")
-    deal = lambda v, salt, n, k: f"if({n} = 1, {v}, filter({v}, h -> pmod(xxhash64(h, {salt}), {n}) = {k}))"
-    blocks = f"greatest(1, cast(ceil((size({a}) + size({b})) / {DIGESTS_A_BLOCK}) as int))"
-    inner = _bind(f"named_struct('a', {deal('w.a', 2, 'm.y', 'u')}, 'b', {deal('w.b', 2, 'm.y', 'u')})", "z", _retried("z.a", "z.b", signed))
-    outer = _bind(f"named_struct('a', {deal(a, 1, 'm.x', 'v')}, 'b', {deal(b, 1, 'm.x', 'v')})", "w", all_of(f"transform(sequence(0, m.y - 1), u -> {inner})"))
-    whole = all_of(f"transform(sequence(0, m.x - 1), v -> {outer})")
-    steps = _bind(blocks, "n", "named_struct('x', cast(ceil(sqrt(n)) as int), 'y', cast(ceil(n / ceil(sqrt(n))) as int))")
-    return _bind(steps, "m", whole)
+    """The number of digests that one of two fingerprints has and the other hasn't; ``signed``: the digests, as from ``peel``."""
+    kind = _SIGNED if signed else "int"
+    again = _doubled("w.c", "c", peel(difference(sketch("w.p", "c"), sketch("w.q", "c")), "c", signed), kind)
+    retried = _bind(f"named_struct('p', {_listed('bx')}, 'q', {_listed('by')}, 'c', if(bx.c = by.c, 2 * bx.c, greatest(bx.c, by.c)))", "w", again)
+    once = _bind("bx.c", "c", peel(difference("bx.s", "by.s"), "c", signed))
+    each = f"coalesce(if(bx.c = by.c, {once}, cast(null as {kind})), {retried})"
+    # the one with fewer blocks is made again from its digests, with as many as the other
+    grown = lambda p, q: f"if(size({p}) < size({q}), {_bind(f'flatten(transform({p}, by -> {_listed("by")}))', 'l', fingerprint('l', f'cast(round(log2(size({q}))) as int)'))}, {p})"
+    parts = _bind(f"named_struct('a', {grown(a, b)}, 'b', {grown(b, a)})", "g", f"zip_with(g.a, g.b, (bx, by) -> {each})")
+    return f"flatten({parts})" if signed else f"aggregate({parts}, 0, (t, q) -> t + q)"
+
+
+def likeness(a: str, b: str) -> str:
+    """Shared over all digests of two fingerprints."""
+    counted = f"named_struct('both', {count(a)} + {count(b)}, 'd', {differing(a, b)})"
+    return _bind(counted, "d", "if(d.both = 0, 1D, cast(d.both - d.d as double) / (d.both + d.d))")
+
+
+def as_text(blocks: str) -> Column:
+    """A fingerprint as text: for each block the cells a part, then the cells, each as count, digests and checks in hexadecimal; an empty cell is an empty string."""
+    cell = "if(x.n = 0 AND x.k = 0 AND x.g = 0, '', concat_ws('.', hex(x.n), hex(x.k), hex(x.g)))"
+    return F.expr(f"lower(array_join(transform({blocks}, b -> concat(b.c, ';', array_join(transform(b.s, x -> {cell}), ','))), '|'))")
 
 
-def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
-    """Shared over all digests; from the smallest sketches if they can be peeled, else from larger ones."""
-    found = f"coalesce({peel(difference(sketch_a, sketch_b), str(BASE_CELLS))}, {differing(a, b)})"
-    both = f"(size({a}) + size({b}))"
-    return F.expr(_bind(found, "d", f"if({both} = 0, 1D, cast({both} - d as double) / ({both} + d))"))
+def from_text(text: str) -> str:
+    """The blocks of a fingerprint's text form."""
+    number = lambda k: f"coalesce(cast(conv(get(p, {k}), 16, -10) as bigint), 0L)"
+    cell = _bind("split(x, '[.]')", "p", f"named_struct('j', 20 * cast(r div c as int), 'i', cast(r % c as int), 'n', {number(0)}, 'k', {number(1)}, 'g', {number(2)})")
+    block = _bind("cast(get(split(b, ';'), 0) as int)", "c", f"named_struct('c', c, 's', transform(split(get(split(b, ';'), 1), ','), (x, r) -> {cell}))")
+    return f"transform(split({text}, '[|]'), b -> {block})"
 
 
-def as_text(cells: str) -> Column:
-    """A sketch as hexadecimal text: for each cell its count, digests and checks."""
-    return F.expr(f"lower(array_join(transform({cells}, x -> concat(lpad(hex(x.n), 4, '0'), lpad(hex(x.k), 16, '0'), substring(lpad(hex(x.g), 16, '0'), 9, 8))), ''))")
+def likeness_of_texts(a: str, b: str) -> Column:
+    """``likeness`` of two fingerprints in text form."""
+    return F.expr(_bind(from_text(a), "fa", _bind(from_text(b), "fb", likeness("fa", "fb"))))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # the id itself is left out, so that both readings of the texts are the same and shuffled once
-    return rows.select(F.col("doc_id").isNull().alias("kn"), F.coalesce("doc_id", F.lit(0)).alias("ki"), F.xxhash64("text").alias("kh"), "text")
+    return rows.select(F.col("doc_id").isNull().alias("kn"), F.coalesce("doc_id", F.lit(0).cast(rows.schema["doc_id"].dataType)).alias("ki"), F.xxhash64("text").alias("kh"), "text")
 
 
 def _previous(rows: DataFrame) -> DataFrame:
     """For each key: how many rows have it, and key and length of the document before it in descending order; the first one's is the last."""
-    # the order of ids descending, as an ascending one
-    keys = rows.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n")).withColumn("down", -1 - F.col("ki"))
-    order = ["kn", "down", "kh"]
-    placed = ranged(keys, order, "bucket")
-    own = F.struct(*_KEY, "n")
-    ends = placed.groupBy("bucket").agg(F.max_by(own, F.struct(*order)).alias("last"))
+    keys = rows.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n"))
+    order = [F.col("kn").asc(), F.col("ki").desc(), F.col("kh").asc()]
+    own, inside = F.struct(*_KEY, "n"), Window.partitionBy("bucket").orderBy(*order)
+    placed = ranged(keys, order, "bucket").withColumns({"p": F.lag(own).over(inside), "last": F.lead("kh").over(inside).isNull()})
     # one row for each partition
     every = Window.orderBy("bucket")
-    before = ends.select("bucket", F.coalesce(F.lag("last").over(every), F.last("last").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    inside = F.lag(own).over(Window.partitionBy("bucket").orderBy(*order))
-    return placed.withColumn("p", inside).join(F.broadcast(before), "bucket").withColumn("p", F.coalesce("p", "before")).select(*_KEY, "copies", *[F.col(f"p.{c}").alias(f"p{c}") for c in [*_KEY, "n"]])
+    ends = placed.where("last").select("bucket", own.alias("end"))
+    before = ends.select("bucket", F.coalesce(F.lag("end").over(every), F.last("end").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    return placed.join(F.broadcast(before), "bucket").withColumn("p", F.coalesce("p", "before")).select(*_KEY, "copies", *[F.col(f"p.{c}").alias(f"p{c}") for c in [*_KEY, "n"]])
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,8 +203,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Fingerprints of each text and its edited text, and the likeness of the first to the second and to the next document's."""
     rows = with_next(docs, doc_id, text).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
     for v in "def":  # the prefix keeps columns apart from the names in lambdas
-        rows = rows.withColumn(f"tw_s{v}", F.expr(sketch(f"tw_{v}", str(BASE_CELLS))))
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_text("tw_sd").alias("fingerprint"), as_text("tw_se").alias("edited_fingerprint"), likeness("tw_d", "tw_e", "tw_sd", "tw_se").alias("near_edited"), likeness("tw_d", "tw_f", "tw_sd", "tw_sf").alias("near_next"))
+        rows = rows.withColumn(f"tw_s{v}", F.expr(fingerprint(f"tw_{v}")))
+    return rows.select("doc_id", "n_chars", "edited_sha256", as_text("tw_sd").alias("fingerprint"), as_text("tw_se").alias("edited_fingerprint"), F.expr(likeness("tw_sd", "tw_se")).alias("near_edited"), F.expr(likeness("tw_sd", "tw_sf")).alias("near_next"))
 
 
 def op3_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
