@@ -25,7 +25,7 @@ def test_against_brute_force(spark):
     got = sorted(map(tuple, K.top_neighbours(df).collect()), key=str)
     assert got == brute(rows)
     w = K.weights(df, "vec_id", "embedding", 64)
-    blocks = K.search(w.where("pmod(id, 20) = 0"), w, 20, query_block=3, candidate_block=11)
+    blocks = K.search(w.where("pmod(id, 20) = 0"), w, 20, block_bytes=8 * 8 * 11)
     assert sorted(map(tuple, blocks.collect()), key=str) == brute(rows)
 
 
@@ -36,7 +36,25 @@ def test_few_and_none(spark):
     assert K.top_neighbours(df.where("vec_id = 0")).isEmpty()
 
 
-def test_overflow_is_refused(spark):
-    df = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id bigint, embedding array<double>")
-    with pytest.raises(Exception, match="64 bits"):
-        K.top_neighbours(df).collect()
+def test_large_weights(spark):
+    top = 2**63 - 1
+    rows = [(0, [float(2**26), 0.0]), (20, [0.0, float(2**22)]), (1, [1.0, 1.0]), (2, [1e300, -1e300]), (40, [1e300, 1e300]), (3, [2.0**40, 2.0**40 + 1]), (60, [2.0**17, -(2.0**17)]), (4, [-1e12, 1.0]), (80, [1e12, 0.0]), (5, [1.7e308]), (6, [2.0**56, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    taken = [r for r in rows if r[0] != 5]
+    want = brute(taken, 20)
+    clamp = lambda s: min(top, max(-top - 1, s))
+    order = {}
+    for q, _, v, s in want:
+        order.setdefault(q, []).append((-clamp(s), v))
+    expected = sorted(((q, k + 1, v, -s) for q, x in order.items() for k, (s, v) in enumerate(sorted(x))), key=str)
+    assert sorted(map(tuple, K.top_neighbours(df).collect()), key=str) == expected
+    assert any(r[3] == top for r in expected) and any(0 < abs(r[3]) < top for r in expected)
+
+
+def test_sparse_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) if rng.random() < 0.2 else 0.0 for x in rng.normal(0, 1, 40)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(map(tuple, K.top_neighbours(df).collect()), key=str) == brute(rows)
+    p = K.Postings(df.orderBy("vec_id").select(K.F.transform("embedding", lambda x: x * 64).alias("w")).toArrow()["w"])
+    assert len(p.rows) == sum(math.floor(64 * x) != 0 for _, v in rows for x in v)

@@ -2,19 +2,26 @@
 
 Vectors become integer weights, floor(scale * x); a zero weight has no posting. The
 queries are dealt to blocks and so are the candidates, and each pair of blocks is one
-unit of work: for one term after another, the postings of the candidate block times
-the weights of the query rows that have the term are added to a dense array of scores.
-Each unit selects k candidates for every query by partition, and only these meet: the
-last k are chosen among them. Every query thus sees every candidate, and the memory of
-a task depends on the block sizes alone. Blocks are dealt by row number, not by key,
-so repeated ids don't pile up.
+unit of work: for one term after another, the postings of the candidate block (which
+rows have the term, and with what weight) are scattered, times the weights of the query
+rows that have it, into a dense array of scores. Each unit selects k candidates for
+every query by partition, and only these meet: the last k are chosen among them. Every
+query thus sees every candidate. A block holds ``BLOCK_BYTES`` of weights, so the
+memory of a task is bounded whatever the number or length of the vectors, and a vector
+travels once for each block of the other side. Blocks are dealt by row number, not by
+key, so repeated ids don't pile up.
+
+Scores are exact. They are added up modulo 2**64, which is the score itself if that
+fits into 64 bits; where the weights are so large that it might not, a second sum in
+floating point with its error bound decides, and Python's integers the rest.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component take
-no part. Missing components of a shorter vector count as zero, an empty vector has
-score 0 with all others. A candidate is any other row than the query's own; rows with
-the query's id are its own rows and excluded, so repeated rows each ask, and appear
-for others as often as they occur. Null ids are candidates and never queries. Ties go
-to the smaller id, null first. Weights and scores beyond 64 bits are refused.
+no part, nor does one whose scaled component is beyond the largest double. Missing
+components of a shorter vector count as zero, an empty vector has score 0 with all
+others. A candidate is any other row than the query's own; rows with the query's id are
+its own rows and excluded, so repeated rows each ask, and appear for others as often as
+they occur. Null ids are candidates and never queries. Ties go to the smaller id, null
+first. A score beyond 64 bits counts as the nearest 64-bit integer.
 """
 
 from __future__ import annotations
@@ -32,41 +39,86 @@ from tidewatch.llm.runtime import cut, ship, table
 SCALE = 64
 EVERY = 20
 TOP = 20
-QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 8192
+BLOCK_BYTES = 16 << 20
+#: Candidates that are worth a task of their own.
+_LEAST_BLOCK = 1024
 _TILE = 64
+_LARGEST = 2**63 - 1
 
 
 def weights(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """(``id``, ``w``) of the vectors that take part."""
+    """(``id``, ``w``) of the vectors that take part; the scaled components ``w`` are rounded down where they are used."""
     rows = vectors.select(F.col(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(fine).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("bigint")).alias("w"))
-
-
-def _dense(col: pa.ChunkedArray, dims: int) -> np.ndarray:
-    """Rows of weights, short ones filled up with zeros."""
-    arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    sizes = np.diff(arr.offsets.to_numpy())
-    out = np.zeros((len(arr), dims), np.int64)
-    out[np.arange(dims)[None] < sizes[:, None]] = arr.flatten().to_numpy()
-    return out
-
-
-def accumulate(queries: np.ndarray, postings: np.ndarray) -> np.ndarray:
-    """Scores (queries × candidates): for each term, add weight times posting where the query has the term."""
-    scores = np.zeros((len(queries), postings.shape[1]), postings.dtype)
-    part = np.empty_like(scores)
-    for term in range(len(postings)):
-        has = np.flatnonzero(queries[:, term])
-        if len(has) == len(queries):
-            np.multiply(queries[:, term, None], postings[term][None], out=part)
+    rows = rows.select("id", F.transform("v", lambda x: x * F.lit(float(scale))).alias("w"))
+    return rows.where(F.col("w").isNotNull() & F.forall("w", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+class Postings:
+    """The weights of a block other than zero, by term: for each its rows, ascending, and their weights."""
+
+    def __init__(self, vectors: pa.ChunkedArray):
+        arr = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+        sizes = np.diff(arr.offsets.to_numpy())
+        w = np.floor(arr.flatten().to_numpy())
+        self.n, self.terms = len(arr), int(sizes.max(initial=0))
+        row = np.repeat(np.arange(self.n), sizes)
+        term = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.flatnonzero(w)
+        order = order[np.argsort(term[order], kind="stable")]
+        self.rows, self.exact = row[order], w[order]
+        self.bounds = np.searchsorted(term[order], np.arange(self.terms + 1)).tolist()
+        self.most = float(np.abs(self.exact).max(initial=0.0))
+
+    def as_type(self, kind: type) -> np.ndarray:
+        """The weights as integers modulo 2**64, or as floats."""
+        if np.issubdtype(kind, np.floating):
+            return self.exact
+        w = np.fmod(self.exact, 2.0**64)
+        return (w - 2.0**64 * (w >= 2.0**63) + 2.0**64 * (w < -(2.0**63))).astype(np.int64).astype(kind)
+
+
+def accumulate(queries: Postings, qw: np.ndarray, candidates: Postings, cw: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Scores of the queries ``first`` … ``last - 1`` with all candidates; ``qw`` and ``cw`` are the weights of the postings."""
+    scores = np.zeros((last - first, candidates.n), cw.dtype)
+    for t in range(min(queries.terms, candidates.terms)):
+        a, b = queries.bounds[t], queries.bounds[t + 1]
+        a, b = a + np.searchsorted(queries.rows[a:b], (first, last))
+        c, d = candidates.bounds[t], candidates.bounds[t + 1]
+        if a == b or c == d:
+            continue
+        asks, has = queries.rows[a:b] - first, candidates.rows[c:d]
+        part = qw[a:b, None] * cw[None, c:d]
+        if d - c < candidates.n:
+            scores[asks[:, None], has[None]] += part
+        elif b - a < last - first:
+            scores[asks] += part
+        else:
             scores += part
-        elif len(has):
-            scores[has] += queries[has, term, None] * postings[term][None]
     return scores
 
 
+def _fit(scores: np.ndarray, queries: Postings, candidates: Postings, first: int, last: int) -> None:
+    """Put right what doesn't fit into 64 bits among ``scores``, which are known modulo 2**64."""
+    with np.errstate(all="ignore"):
+        near = accumulate(queries, queries.exact, candidates, candidates.exact, first, last)
+        error = accumulate(queries, np.abs(queries.exact), candidates, np.abs(candidates.exact), first, last) * ((queries.terms + 4) * 2.0**-52)
+        fits, above, below = np.abs(near) + error < 2.0**63, near - error >= 2.0**63, near + error < -(2.0**63)
+    scores[above], scores[below] = _LARGEST, -_LARGEST - 1
+    open_rows, open_cols = np.nonzero(~(fits | above | below))
+    vectors: dict[tuple[bool, int], dict[int, int]] = {}
+
+    def vector(p: Postings, row: int) -> dict[int, int]:
+        key = (p is queries, row)
+        if key not in vectors:
+            at = np.flatnonzero(p.rows == row)
+            vectors[key] = dict(zip((np.searchsorted(p.bounds, at, "right") - 1).tolist(), map(int, p.exact[at]), strict=True))
+        return vectors[key]
+
+    for i, j in zip(open_rows.tolist(), open_cols.tolist(), strict=True):
+        q, c = vector(queries, first + i), vector(candidates, j)
+        scores[i, j] = min(_LARGEST, max(-_LARGEST - 1, sum(x * c[t] for t, x in q.items() if t in c)))
+
+
 def _best_of(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k highest scores of one query and their candidates, ties by the order of ``ids``, which is ascending."""
     at = np.flatnonzero(ids != own)
@@ -85,32 +137,36 @@ def _score_blocks(key, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     if "id" not in left.column_names or "id" not in right.column_names or not left.num_rows or not right.num_rows:
         return empty
     right = right.sort_by([("id", "ascending")]) if not right["id"].null_count else right.take(pa.compute.sort_indices(right, [("id", "ascending")], null_placement="at_start"))
-    dims = max(int(pa.compute.max(pa.compute.list_value_length(t["w"])).as_py() or 0) for t in (left, right))
-    q, c = _dense(left["w"], dims), _dense(right["w"], dims)
-    most = lambda x: int(np.abs(x.astype(np.float64)).max(initial=0))
-    bound = most(q) * most(c) * max(1, dims)
-    if bound >= 2**62:
-        raise OverflowError("scores don't fit into 64 bits")
+    q, c = Postings(left["w"]), Postings(right["w"])
+    bound = q.most * c.most * max(1, min(q.terms, c.terms))
     kind = np.int32 if bound < 2**30 else np.int64
-    q, c = q.astype(kind), np.ascontiguousarray(c.T.astype(kind))
+    qw, cw = q.as_type(kind), c.as_type(kind)
     # a null id is no query's own
     ids = pa.compute.fill_null(right["id"], np.iinfo(np.int64).min).to_numpy()
     qid, row = left["id"].to_numpy(), left["row"].to_numpy()
     found = []
-    for s in range(0, len(q), _TILE):
-        scores = accumulate(q[s : s + _TILE], c)
-        found += [_best_of(scores[i], ids, qid[s + i], k) for i in range(len(scores))]
+    for s in range(0, q.n, _TILE):
+        e = min(q.n, s + _TILE)
+        scores = accumulate(q, qw, c, cw, s, e)
+        if not bound < 2**62:
+            _fit(scores, q, c, s, e)
+        found += [_best_of(scores[i], ids, qid[s + i], k) for i in range(e - s)]
     n = [len(x[0]) for x in found]
     at = np.concatenate([x[1] for x in found])
     return pa.table({"row": np.repeat(row, n), "query_id": np.repeat(qid, n), "vec_id": right["id"].combine_chunks().take(pa.array(at)), "score": np.concatenate([x[0] for x in found]).astype(np.int64)})
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = TOP, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, k: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: for each row of ``queries`` (``id``, ``w``) its k best rows of ``candidates``."""
     spark = queries.sparkSession
     ship(spark)
     queries, candidates = (cut(x.withColumn("row", F.monotonically_increasing_id())) for x in (queries.where("id IS NOT NULL"), candidates))
-    parts = [max(1, math.ceil(x.count() / size)) for x, size in ((queries, query_block), (candidates, candidate_block))]
+    parts = []
+    for x in (queries, candidates):
+        rows, terms = x.agg(F.count("*"), F.coalesce(F.max(F.size("w")), F.lit(0))).first()
+        parts.append(max(1, math.ceil(rows * max(1, terms) * 8 / block_bytes)))
+    # small tables too give every core something to do; rows is now the number of candidates
+    parts[1] = max(parts[1], min(math.ceil(spark.sparkContext.defaultParallelism / parts[0]), math.ceil(rows / _LEAST_BLOCK)))
     block = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("id", "w", "row", block(parts[0], 0).alias("g"), every(parts[1]).alias("h"))
