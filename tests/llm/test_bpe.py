@@ -30,6 +30,23 @@ def test_same_ids(both):
     assert sql.decode([np.array([], np.uint32)]) == [b""]
 
 
+def test_words_of_every_length(both):
+    """One query, whatever the length: repeated letters, long runs, words that overlap themselves."""
+    sql, lib = both
+    r = random.Random(5)
+    words = ["a" * n for n in (3, 17, 1000, 5001)] + ["aab" * 700, "abab" * 500, "の" * 400, "".join(r.choice("abc") for _ in range(4000)), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2500))]
+    words += ["".join(r.choice("aabn") for _ in range(r.randint(2, 40))) for _ in range(400)]
+    assert [x.tolist() for x in sql.encode(pa.array(words))] == [lib.encode_ordinary(w) for w in words]
+
+
+def test_other_patterns_split_whole_texts():
+    pattern = r"\S+|\s+"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["well, yes.  No", "a b.c", ""]
+    assert [x.tolist() for x in K.SqlBpe(PATH, pattern).encode(pa.array(texts))] == [lib.encode_ordinary(t) for t in texts]
+
+
 def test_any_ids_decode(both):
     sql, lib = both
     ids = np.random.default_rng(0).integers(0, 50_000, 3000).astype(np.uint32)

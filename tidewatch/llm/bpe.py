@@ -3,20 +3,22 @@
 A vocabulary of byte strings with ranks gives a merge table: every way to put a token
 together from two others, with the rank of the result. A text's words are the matches
 of the split pattern. The distinct words of a batch become rows (word, position,
-token), and a recursive query joins neighbouring tokens with the merge table and
-contracts each word's leftmost pair of minimum rank until no pair is left. A word that
-is a token itself is not taken apart. Decoding joins the ids with the vocabulary and
-aggregates the bytes in the order of their positions.
-
-Long words are contracted by the same step, one query for each, so that only the last
-state is kept; there all occurrences of the minimum pair are contracted at once, left
-to right, unless a token that contains the new one has a lower rank than it.
+token, right neighbour), and one recursive query for words of every length contracts
+each word's leftmost pair of minimum rank until no pair is left. Later occurrences of
+that pair go in the same step if no token made from the new one has a lower rank, so
+that their turn would come next anyhow. The recursion is keyed by word and position and
+a step returns only the rows it changes, so the memory is one state of each word, not
+one for each step. Decoding joins the ids with the vocabulary and aggregates the bytes
+in the order of their positions. A word that is a token itself is not taken apart.
 
 Pieces already met stay in a bounded table of the worker process, and each worker
-encodes and decodes its partition in one pass.
+encodes and decodes its partition in one pass. Texts are cut into pieces where the
+pattern ``CUTTABLE`` never joins what stands on both sides; with another pattern each
+text is split whole. The engine never writes to disk.
 
 Defined results: null text counts as empty and has no ids. Rows are neither dropped
-nor merged; null and repeated ids pass through, other columns are ignored.
+nor merged; null and repeated ids pass through, other columns are ignored. The time
+for one word grows with its length times the number of different merges in it.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,51 +40,44 @@ from tidewatch.llm.fastencode import Pieces
 from tidewatch.llm.runtime import ship, table
 
 RANKS = "byte_bpe_50k.tiktoken"
-LONG_WORD = 96
-_WORDS_A_QUERY = 20_000
+#: Fixed value: the split pattern whose texts may be cut.
+CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BYTES_A_QUERY = 300_000
 _IDS_A_QUERY = 400_000
 _ROWS_OUT = 2048
 
-#: Each row knows its neighbour to the right (position and token), so a step needs joins and no sorting: the pair of
-#: minimum rank in each word is found through the merge table, its left row takes the new token and the right row's
-#: neighbour, the row before it sees the new token, and the right row goes.
-_SHORT = """
-WITH RECURSIVE t(w, pos, tok, next, after, step) AS (
-  SELECT w, pos, tok, lead(pos) OVER v, lead(tok) OVER v, 0 FROM initial WINDOW v AS (PARTITION BY w ORDER BY pos)
-  UNION ALL
-  SELECT s.w, s.pos,
-         CASE WHEN s.pos = b.at THEN b.tok ELSE s.tok END,
-         CASE WHEN s.pos = b.at THEN b.next ELSE s.next END,
-         CASE WHEN s.pos = b.at THEN b.after WHEN s.next = b.at THEN b.tok ELSE s.after END,
-         s.step + 1
-  FROM t s JOIN (
-    SELECT x.*, g.next, g.after
-    FROM (
-      SELECT w, min(key) AS best, best % 4294967296 AS at, (best // 4294967296)::INTEGER AS tok, arg_min(next, key) AS gone
-      FROM (SELECT p.w, p.next, m.tok::BIGINT * 4294967296 + p.pos AS key FROM t p JOIN merges m ON m.l = p.tok AND m.r = p.after)
-      GROUP BY w
-    ) x JOIN t g ON g.w = x.w AND g.pos = x.gone
-  ) b ON s.w = b.w
-  WHERE s.pos <> b.gone
-), ends AS (SELECT w, max(step) AS step FROM t GROUP BY w)
-SELECT w, list(tok ORDER BY pos) AS ids FROM t JOIN ends USING (w, step) GROUP BY w
-"""
-
-_LONG = """
-WITH n AS (
-  SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS after, row_number() OVER (PARTITION BY w ORDER BY pos) AS k FROM state
-), m AS (
-  SELECT n.w, n.pos, n.k, merges.tok, merges.safe, min(merges.tok) OVER (PARTITION BY n.w) AS least FROM n JOIN merges ON l = n.tok AND r = after
-), o AS (
-  SELECT *, k - row_number() OVER (PARTITION BY w ORDER BY pos) AS run, row_number() OVER (PARTITION BY w ORDER BY pos) AS nth FROM m WHERE tok = least
-), c AS (
-  SELECT w, pos, tok FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY pos) AS within FROM o) WHERE nth = 1 OR (safe AND within % 2 = 1)
+#: A row is a token, with the position and token of its right neighbour and the rank of the pair they make. ``live``: the
+#: words that the last step changed. ``o``: the occurrences of each word's minimum pair, numbered; those that share a token
+#: with the one before are chained. ``c``: those that are contracted: the first, and every other one of a chain if that is
+#: safe. A step gives the rows that go, those that take the new token, and those whose neighbour has changed.
+_CONTRACT = """
+WITH RECURSIVE t(w, pos, tok, next, after, rank) USING KEY (w, pos) AS (
+  SELECT i.w, i.pos, i.tok, i.next, i.after, m.tok
+  FROM (SELECT w, pos, tok, lead(pos) OVER v AS next, lead(tok) OVER v AS after FROM initial WINDOW v AS (PARTITION BY w ORDER BY pos)) i
+  LEFT JOIN merges m ON m.l = i.tok AND m.r = i.after
+  UNION
+  (WITH live AS MATERIALIZED (
+    SELECT * FROM recurring.t s WHERE s.tok IS NOT NULL AND s.w IN (SELECT w FROM t)
+  ), o AS (
+    SELECT w, pos, next, rank, coalesce(lag(next) OVER v = pos, false) AS chained, row_number() OVER v AS nth
+    FROM live JOIN (SELECT w, min(rank) AS best FROM live GROUP BY w) b USING (w) WHERE rank = best
+    WINDOW v AS (PARTITION BY w ORDER BY pos)
+  ), c AS MATERIALIZED (
+    SELECT w, pos, next, rank
+    FROM (SELECT *, nth - max(CASE WHEN NOT chained THEN nth END) OVER (PARTITION BY w ORDER BY pos) AS behind FROM o)
+    WHERE nth = 1 OR (behind % 2 = 0 AND rank IN (SELECT tok FROM safe))
+  ), n AS (
+    SELECT w, next AS pos, NULL AS tok, NULL AS next, NULL AS after FROM c
+    UNION ALL
+    SELECT c.w, c.pos, c.rank, gone.next, CASE WHEN far.w IS NULL THEN gone.after ELSE far.rank END
+    FROM c JOIN live gone ON gone.w = c.w AND gone.pos = c.next LEFT JOIN c far ON far.w = gone.w AND far.pos = gone.next
+    UNION ALL
+    SELECT s.w, s.pos, s.tok, s.next, c.rank
+    FROM live s JOIN c ON c.w = s.w AND c.pos = s.next ANTI JOIN c gone ON gone.w = s.w AND gone.next = s.pos
+  )
+  SELECT n.w, n.pos, n.tok, n.next, n.after, CASE WHEN n.tok IS NOT NULL THEN m.tok END FROM n LEFT JOIN merges m ON m.l = n.tok AND m.r = n.after)
 )
-SELECT s.w, s.pos, coalesce(c.tok, s.tok) AS tok
-FROM (SELECT w, pos, tok, lag(pos) OVER (PARTITION BY w ORDER BY pos) AS before FROM state) s
-LEFT JOIN c ON c.w = s.w AND c.pos = s.pos
-LEFT JOIN c d ON d.w = s.w AND d.pos = s.before
-WHERE d.pos IS NULL
+SELECT w, list(tok ORDER BY pos) AS ids FROM t WHERE tok IS NOT NULL GROUP BY w
 """
 
 
@@ -95,15 +91,20 @@ class SqlBpe(Pieces):
         self.split = regex.compile(pattern)
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines() if path else ())}
         self.octet = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         parts = [(self.ranks[w[:k]], self.ranks[w[k:]], t) for w, t in self.ranks.items() for k in range(1, len(w)) if w[:k] in self.ranks and w[k:] in self.ranks]
         unsafe = {x for a, b, t in parts for x in (a, b) if t < x}
-        made = pa.table({k: pa.array(v, pa.int32()) for k, v in zip(("l", "r", "tok"), zip(*parts, strict=True), strict=True)} | {"safe": pa.array([t not in unsafe for _, _, t in parts])})
+        made = pa.table({k: pa.array(v, pa.int32()) for k, v in zip(("l", "r", "tok"), zip(*parts, strict=True), strict=True)})
+        safe = pa.table({"tok": pa.array(sorted({t for _, _, t in parts} - unsafe), pa.int32())})
         named = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [w.hex() for w in self.ranks]})
-        for name, rows in (("merges", made), ("vocabulary", named)):
+        for name, rows in (("merges", made), ("safe", safe), ("vocabulary", named)):
             self.con.register("given", rows)
             self.con.execute(f"CREATE TABLE {name} AS FROM given")
             self.con.unregister("given")
+        self.cuttable = pattern == CUTTABLE
+
+    def _odd(self, texts: pa.Array) -> pa.Array:
+        return pc.or_(super()._odd(texts), not self.cuttable)
 
     def whole(self, text: str) -> bytes:
         words = self.split.findall(text)
@@ -118,48 +119,37 @@ class SqlBpe(Pieces):
 
     def _words_of(self, words: set[str]) -> dict[str, bytes]:
         """The ids of each word, as little-endian uint32."""
-        out, short, long = {}, [], []
+        out, new = {}, []
         for w in words:
             data = w.encode("utf-8")
             if (t := self.ranks.get(data)) is not None:
                 out[w] = t.to_bytes(4, "little")
             else:
-                (short if len(data) <= LONG_WORD else long).append((w, data))
-        for s in range(0, len(short), _WORDS_A_QUERY):
-            out |= self._contract(short[s : s + _WORDS_A_QUERY], self._recursive)
-        for w in long:
-            out |= self._contract([w], self._stepwise)
+                new.append((w, data))
+        # words of about one length take about as many steps
+        new.sort(key=lambda x: len(x[1]))
+        at = 0
+        while at < len(new):
+            end, size = at, 0
+            while end < len(new) and (end == at or size + len(new[end][1]) <= _BYTES_A_QUERY):
+                size += len(new[end][1])
+                end += 1
+            out |= self._contract(new[at:end])
+            at = end
         return out
 
-    def _contract(self, words: list[tuple[str, bytes]], how) -> dict[str, bytes]:
+    def _contract(self, words: list[tuple[str, bytes]]) -> dict[str, bytes]:
         sizes = np.fromiter((len(d) for _, d in words), np.int64, len(words))
         starts = np.cumsum(sizes) - sizes
         rows = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": (np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32), "tok": self.octet[np.frombuffer(b"".join(d for _, d in words), np.uint8)]})
-        got = how(rows)
-        ids = got["ids"].combine_chunks()
-        flat, bounds = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_pylist()
-        return {words[w][0]: flat[4 * bounds[k] : 4 * bounds[k + 1]] for k, w in enumerate(got["w"].to_pylist())}
-
-    def _recursive(self, rows: pa.Table) -> pa.Table:
         self.con.register("initial", rows)
         try:
-            return self.con.sql(_SHORT).to_arrow_table()
+            got = self.con.sql(_CONTRACT).to_arrow_table()
         finally:
             self.con.unregister("initial")
-
-    def _stepwise(self, rows: pa.Table) -> pa.Table:
-        self.con.register("given", rows)
-        self.con.execute("CREATE OR REPLACE TEMP TABLE state AS FROM given")
-        self.con.unregister("given")
-        n = len(rows)
-        while True:
-            self.con.execute(f"CREATE OR REPLACE TEMP TABLE next AS {_LONG}")
-            left = self.con.sql("SELECT count(*) FROM next").fetchall()[0][0]
-            if left == n:
-                break
-            n = left
-            self.con.execute("CREATE OR REPLACE TEMP TABLE state AS FROM next")
-        return self.con.sql("SELECT w, list(tok ORDER BY pos) AS ids FROM state GROUP BY w").to_arrow_table()
+        ids = got["ids"].combine_chunks()
+        flat, bounds = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_pylist()
+        return {words[w][0]: flat[4 * bounds[k] : 4 * bounds[k + 1]] for k, w in enumerate(got["w"].to_pylist())}
 
     def decode(self, docs: list[np.ndarray]) -> list[bytes]:
         """The bytes of each id sequence."""
