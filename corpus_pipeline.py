@@ -28,8 +28,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed."""
-    return packing.pack(docs, packing.tokenizer_path())
+    """The pieces of all documents, packed, with their ids."""
+    return packing.pack(docs, packing.tokenizer_path(), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
