@@ -20,6 +20,11 @@ whole, however long: only the features are worked out block by block.
 Defined results: null text counts as empty; no spans give zero counts, the hash
 of the empty string and an empty ``spans``. Offsets are code points, the end
 exclusive. Rows are neither dropped nor merged; ids, null or not, pass through.
+A very long text is read in the memory of one task, its patterns in linear time and
+its islands with a state of a few numbers for each token. Of equally good segmentations
+the one with fewer or longer-begun entities is taken: an entity must better the
+segmentation without it, and of entities that end at one token the first to begin wins.
+Of equally good kinds the first in ``KINDS`` wins.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.runtime import ship, table
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 14
+MAX_TOKENS = 20
 LEAST_PROBABILITY = 0.8
 ISLAND_CHARS = 48
 _TOKENS_AT_ONCE = 1024
@@ -89,10 +94,24 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the semi-Markov field ----------------------------------------------------
 
-_FEATURES = ("bias", "one token", "digits 7-8", "digits 9-11", "digits 12-19", "luhn", "quads to 255", "groups of 3-3-4", "groups of 4", "points only", "dashes only", "spaces", "brackets", "plus", "at word", "dot word", "ends in letters", "letters", "starts or ends in blank", "odd sign", "touches letter or digit", "touches sign", "other groups", "many digits", "no digit and no at", "at word without a name before it or an ending", "at word and words in a row")
+_FEATURES = ("bias", "one token", "digits 7-8", "digits 9-11", "digits 12-19", "luhn", "quads to 255", "groups of 3-3-4", "groups of 4", "points only", "dashes only", "spaces", "brackets", "plus", "at word", "dot word", "ends in letters", "letters", "odd sign", "touches letter or digit", "touches sign", "other groups", "many digits", "no digit and no at", "at word without a name before it or an ending", "at word and words in a row", "checked groups of 4", "three points between numbers to 255", "goes on after a dot word", "number with a leading zero", "number goes on before or after")
 _AT, _DOT = {"at", "@"}, {"dot", "."}
 
 
+def _goes_on(tokens: list[str], j: int) -> bool:
+    """Whether a dot or dot word and a name follow, as in ``… example (dot) com``."""
+    rest = [t.lower() for t in tokens[j : j + 8] if not t.isspace()][:4]
+    while rest and rest[0] in "([":
+        rest.pop(0)
+    return len(rest) >= 2 and rest[0] in _DOT and (rest[0] == "dot" or not tokens[j].isspace()) and any(t.isalnum() for t in rest[1:3]) and (rest[0] == "dot" or rest[1].isalnum() and not tokens[j + 1].isspace())
+
+
+def _number_beside(near: list[str]) -> bool:
+    """Whether a point, or a dash with or without blanks, and a number come next."""
+    rest = [t for t in near if not t.isspace()]
+    return len(rest) >= 2 and rest[1].isdigit() and (rest[0] == "-" or near[0] == "." and near[1] == rest[1])
+
+
 def _segment(tokens: list[str], i: int, j: int) -> np.ndarray:
     """Features of the tokens i … j - 1 as one span."""
     seg = tokens[i:j]
@@ -110,19 +129,27 @@ def _segment(tokens: list[str], i: int, j: int) -> np.ndarray:
     return np.array([
         1, len(seg) == 1, 7 <= n <= 8, 9 <= n <= 11, 12 <= n <= 19, 12 <= n <= 19 and luhn(digits), quads, shaped, fours, signs == {"."}, signs == {"-"},
         any(t.isspace() for t in seg[1:-1]), {"(", ")"} <= signs and seg.count("(") == seg.count(")"), seg[0] == "+", at_word and len(words) >= 2, at_word and any(t.lower() in _DOT for t in seg[2:]),
-        at_word and seg[-1].isalpha() and 2 <= len(seg[-1]) <= 6, bool(words) and not at_word, seg[0].isspace() or seg[-1].isspace() or not (seg[-1].isalnum()), bool(signs - set(".-()[]@+_")),
+        at_word and seg[-1].isalpha() and 2 <= len(seg[-1]) <= 6, bool(words) and not at_word, bool(signs - set(".-()[]@+_")),
         before[-1].isalnum() or after[0].isalnum(), before in {".", "-", "@", "+", "#", "/", "_", "="} or after in {"-", "@", "/", "_", "="}, bool(groups) and not (shaped or quads or fours), n > 19, not groups and not at_word, at_word and not (seg[0].isalnum() and not {seg[0].lower(), seg[-1].lower()} & (_AT | _DOT)),
         at_word and any((a.isalnum() or a == ".") and b.isspace() and c.isalnum() for a, b, c in zip(seg, seg[1:], seg[2:], strict=False)),
+        fours and 12 <= n <= 19 and luhn(digits), quads and seg.count(".") == 3, at_word and _goes_on(tokens, j), any(len(g) > 1 and g[0] == "0" for g in groups),
+        bool(groups) and (_number_beside(tokens[j : j + 4]) or _number_beside(tokens[max(0, i - 4) : i][::-1])),
     ], np.float64)
 
 
 def _lattice(tokens: list[str], first: int = 1, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All candidate segments (start, end) of two or more characters that end at token ``first`` to ``last``, by end, and their features."""
+    """All candidate segments (start, end) that end at token ``first`` to ``last``, by end, and their features. They end in a letter or digit and start in one, a bracket or a plus sign."""
     ends = range(first, (len(tokens) if last is None else last) + 1)
-    spans = [(i, j) for j in ends for i in range(max(0, j - MAX_TOKENS), j) if not tokens[i].isspace() and not tokens[j - 1].isspace()]
+    spans = [(i, j) for j in ends if tokens[j - 1].isalnum() for i in range(max(0, j - MAX_TOKENS), j) if tokens[i].isalnum() or tokens[i] in "(+"]
     return np.array(spans, np.int64).reshape(-1, 2), np.array([_segment(tokens, i, j) for i, j in spans]).reshape(-1, len(_FEATURES))
 
 
+def _logsum(x: np.ndarray) -> np.ndarray:
+    """Logs of the sums of the exponentials of each row."""
+    top = x.max(axis=1)
+    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+
+
 def _sums(merged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Logs of the sums over the segmentations before and after each token; those outside entities score 0. ``merged``: scores by end and length - 1."""
     n = len(merged) - 1
@@ -137,7 +164,7 @@ def _sums(merged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alpha, beta
 
 
-def _examples(count: int = 360, seed: int = 3) -> Iterator[tuple[str, list[Span]]]:
+def _examples(count: int = 480, seed: int = 3) -> Iterator[tuple[str, list[Span]]]:
     """Generated sequences with their spans: each kind in several spellings, and look-alikes that are none."""
     rng = np.random.default_rng(seed)
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
@@ -157,6 +184,7 @@ def _examples(count: int = 360, seed: int = 3) -> Iterator[tuple[str, list[Span]
         ("phone", lambda: f"({area()}) {num(3)}-{num(4)}"), ("phone", lambda: f"{area()}-{num(3)}-{num(4)}"), ("phone", lambda: f"{area()}.{num(3)}.{num(4)}"), ("phone", lambda: f"1-{area()}-{num(3)}-{num(4)}"),
         ("card", lambda: fours(card(), ".")), ("card", lambda: fours(card(), " - ")), ("email", lambda: f"{word()} (at) {word()} (dot) {rng.choice(['com', 'org', 'net'])}"), ("email", lambda: f"{word()} [at] {word()} [dot] {rng.choice(['com', 'org', 'net'])}"),
         ("email", lambda: f"{word()} @ {word()}.{rng.choice(['com', 'org', 'net'])}"), ("email", lambda: f"{word()}(at){word()}.{rng.choice(['com', 'org', 'net'])}"), ("ip", lambda: ".".join(str(x) for x in rng.integers(0, 256, 3)) + f" .{rng.integers(0, 256)}"), ("ip", lambda: "[.]".join(str(x) for x in rng.integers(0, 256, 4))),
+        ("email", lambda: f"{word()} [at] {word()} [dot] {word()} [dot] {rng.choice(['com', 'org', 'net'])}"), ("email", lambda: f"{word()}.{word()} (at) {word()}.{word()}.{rng.choice(['com', 'org', 'net'])}"),
     ]
     false = [no_card, lambda: fours(no_card(), "."), lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: num(8), lambda: f"{num(3)} {num(5)} {num(2)}", lambda: f"{num(2)}.{num(2)}.{num(4)}", lambda: f"{num(1)}.{num(1)}.{num(1)}", lambda: f"{num(5)}-{num(5)}", lambda: f"{num(4)} {num(4)}", lambda: f"{word()}{num(7)}{word()}", lambda: f"@{word()}", lambda: f"{word()} @ {word()}", lambda: f"({word()} at) {word()}", lambda: f"{num(6)} - {num(6)}", lambda: f"{num(12)}", lambda: f"{num(3)}-{num(2)}-{num(4)}", lambda: f"{num(2)} ({num(4)}), {num(3)}-{num(3)}", lambda: f"{num(20)}-{num(9)}"]
     for k in range(count):
@@ -175,37 +203,48 @@ def _examples(count: int = 360, seed: int = 3) -> Iterator[tuple[str, list[Span]
 @cache
 def weights(steps: int = 250, rate: float = 0.2, penalty: float = 1e-5) -> np.ndarray:
     """(kind, feature) weights of the field; trained once in a process, by Adam on all sequences at once."""
-    seqs = [([m[0] for m in _TOKEN.finditer(text)], spans) for text, spans in _examples()]
-    n = max(len(t) for t, _ in seqs)
-    rows, feats, gold = [], [], []
-    for s, (tokens, spans) in enumerate(seqs):
-        at = np.cumsum([0, *map(len, tokens)]).tolist()
-        want = {(a, b): KINDS.index(kind) for kind, a, b in spans}
-        segs, f = _lattice(tokens)
-        rows += [(s, i, j - i - 1) for i, j in segs.tolist()]
-        gold += [want.get((at[i], at[j]), -1) for i, j in segs.tolist()]
-        feats.append(f)
-    s, i, k = np.array(rows).T
-    x, gold = np.concatenate(feats), np.array(gold)
-    target = np.stack([x[gold == kind].sum(axis=0) for kind in range(len(KINDS))])
+    likelihood = _Likelihood(list(_examples()))
     w = np.zeros((len(KINDS), len(_FEATURES)))
     mean, var = np.zeros_like(w), np.zeros_like(w)
-    merged = np.full((len(seqs), n, MAX_TOKENS), -np.inf)
     for step in range(1, steps + 1):
-        scores = x @ w.T
-        merged[s, i, k] = np.logaddexp.reduce(scores, axis=1)
-        alpha, beta = np.zeros((len(seqs), n + 1)), np.zeros((len(seqs), n + 1))
+        grad = likelihood(w)[1] - penalty * w
+        mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad * grad
+        w += rate * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
+    return w
+
+
+class _Likelihood:
+    """Mean log-likelihood of labelled sequences, and its gradient, for given weights."""
+
+    def __init__(self, examples: list[tuple[str, list[Span]]]):
+        seqs = [([m[0] for m in _TOKEN.finditer(text)], spans) for text, spans in examples]
+        rows, feats, gold = [], [], []
+        for s, (tokens, spans) in enumerate(seqs):
+            at = np.cumsum([0, *map(len, tokens)]).tolist()
+            want = {(a, b): KINDS.index(kind) for kind, a, b in spans}
+            segs, f = _lattice(tokens)
+            rows += [(s, i, j - i - 1) for i, j in segs.tolist()]
+            gold += [want.get((at[i], at[j]), -1) for i, j in segs.tolist()]
+            feats.append(f)
+        self.count, self.n = len(seqs), max(len(t) for t, _ in seqs)
+        self.place, self.x, self.gold = np.array(rows).T, np.concatenate(feats), np.array(gold)
+        self.target = np.stack([self.x[self.gold == kind].sum(axis=0) for kind in range(len(KINDS))])
+
+    def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        (s, i, k), n = self.place, self.n
+        scores = self.x @ w.T
+        merged = np.full((self.count, n, MAX_TOKENS), -np.inf)
+        merged[s, i, k] = _logsum(scores)
+        alpha, beta = np.zeros((self.count, n + 1)), np.zeros((self.count, n + 1))
         for j in range(1, n + 1):
             back = np.arange(min(j, MAX_TOKENS))
-            alpha[:, j] = np.logaddexp.reduce(np.c_[alpha[:, j - 1], alpha[:, j - 1 - back] + merged[:, j - 1 - back, back]], axis=1)
+            alpha[:, j] = _logsum(np.c_[alpha[:, j - 1], alpha[:, j - 1 - back] + merged[:, j - 1 - back, back]])
         for j in range(n - 1, -1, -1):
             ahead = np.arange(min(n - j, MAX_TOKENS))
-            beta[:, j] = np.logaddexp.reduce(np.c_[beta[:, j + 1], beta[:, j + 1 + ahead] + merged[:, j, ahead]], axis=1)
+            beta[:, j] = _logsum(np.c_[beta[:, j + 1], beta[:, j + 1 + ahead] + merged[:, j, ahead]])
         prob = np.exp((alpha[s, i] + beta[s, i + k + 1] - alpha[s, -1])[:, None] + scores)
-        grad = (target - prob.T @ x) / len(seqs) - penalty * w
-        mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad * grad
-        w += rate * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
-    return w
+        value = ((w * self.target).sum() - alpha[:, -1].sum()) / self.count
+        return value, (self.target - prob.T @ self.x) / self.count
 
 
 def added_spans(text: str, base: list[Span], w: np.ndarray) -> list[Span]:
@@ -253,7 +292,7 @@ def _decode(text: str, lo: int, hi: int, w: np.ndarray) -> list[Span]:
         last = min(n, first + _TOKENS_AT_ONCE - 1)
         seg, feats = _lattice(tokens, first, last)
         scores = feats @ w.T
-        merged[seg[:, 1], seg[:, 1] - seg[:, 0] - 1] = np.logaddexp.reduce(scores, axis=1)
+        merged[seg[:, 1], seg[:, 1] - seg[:, 0] - 1] = _logsum(scores) if len(scores) else 0.0
         ends: list[list[tuple[int, int, float]]] = [[] for _ in range(first, last + 1)]
         for (i, j), kind, s in zip(seg.tolist(), scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist(), strict=True):
             ends[j - first].append((i, kind, s))
