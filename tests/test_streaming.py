@@ -1,6 +1,7 @@
 """A stream over the same rows gives what a batch gives, up to the watermark."""
 
 import json
+import time
 from datetime import timedelta
 
 import pytest
@@ -8,7 +9,11 @@ from pyspark.sql import functions as F
 
 from tidewatch import queries
 from tidewatch.operators import sequences as Q
+from tidewatch.functions.intel import IntelGroups
 from tidewatch.operators import windows as W
+from tidewatch.operators.automaton import Stage, match_pattern
+from tidewatch.plans.compiler import compile_rule
+from tidewatch.plans.rules import Rule
 from tidewatch.sources import generators, readers, sinks
 from tidewatch.streaming import stateful as S
 
@@ -20,7 +25,10 @@ def events(spark, tmp_path_factory):
     df = queries.events(spark, "/root/testdata/sf0.001").select("event_id", "ts", "user_id", "event_type", "value").cache()
     path = str(tmp_path_factory.mktemp("events"))
     df.orderBy("ts").coalesce(1).write.mode("overwrite").option("maxRecordsPerFile", 300).parquet(path)
-    stream = lambda: readers.with_event_time(readers.files(spark, path, df.schema, "parquet", 1), "ts")
+    def stream(timed=True):
+        files = readers.files(spark, path, df.schema, "parquet", 1)
+        return readers.with_event_time(files, "ts") if timed else files.drop("ts")
+
     return df, stream
 
 
@@ -52,6 +60,98 @@ def test_not_before(spark, events):
     assert ids(got) == sorted((r.b_event_id, r.a_event_id) if r.a_event_id is not None else (r.b_event_id,) for r in want.collect())
 
 
+def rule(family, **more):
+    d = {"name": family, "family": family, "groupBy": ["user_id"], "window": {"value": 24, "unit": "hour"}, "events": [{"as": "A", "filter": "event_type = view"}, {"as": "B", "filter": "event_type = purchase"}], "patternRepeat": {"low": 2}}
+    return Rule.from_json(d | more)
+
+
+RELATED = {"groupBy": [], "relation": [["src", "dst"]], "window": {"value": 48, "unit": "hour"}}
+OVERLAP = {"events": [{"as": "A", "filter": "value > 30"}, {"as": "B", "filter": "event_type = purchase"}]}
+
+
+@pytest.mark.parametrize(
+    ("family", "more"),
+    [
+        ("followed_by", {}), ("followed_by", {"skip": "next"}), ("followed_by", {"contiguity": "strict"}), ("followed_by", RELATED), ("followed_by", RELATED | OVERLAP | {"skip": "next"}), ("not_followed_by", {}), ("not_followed_by", RELATED),
+        ("not_before", {}), ("not_before", {"silence": "72 hours"}), ("repeat_then", {}), ("repeat_then", OVERLAP), ("repeat_then", {"contiguity": "strict"}), ("repeat_then", RELATED), ("repeat_until", {"window": None}), ("having_any", {}),
+    ],
+)
+def test_rules_over_streams(spark, events, family, more):
+    """A rule gives the same rows and columns over a stream as over a batch, up to the watermark."""
+    df, stream = events
+    add = lambda x: x.withColumns({"src": F.when(F.col("event_id") % 9 > 0, F.concat(F.lit("H"), F.col("user_id") % 5)), "dst": F.concat(F.lit("h"), F.col("event_id") % 5)})
+    r = rule(family, **more)
+    end = df.agg(F.max("ts")).first()[0] - timedelta(seconds=3)
+    batch, live = compile_rule(r, add(df)), compile_rule(r, add(stream()))
+    assert live.columns == batch.columns
+    got = sorted(map(str, run(spark, live, f"tw_rule_{abs(hash((family, str(more))))}")))
+    when = {"not_followed_by": F.col("ts") + F.expr(f"INTERVAL {r.window.interval}") if r.window else None, "having_any": F.lit(end), "repeat_until": F.element_at("events", -1)["event"]["ts"]  if family == "repeat_until" else None}.get(family)
+    want = batch.where((F.col("b_ts") if when is None else when) <= end)
+    assert got == sorted(map(str, want.collect())) and got
+
+
+def test_conditions_on_earlier_events_see_fields(spark, events):
+    df, stream = events
+    later = lambda e, taken: e["value"] > taken["a"][0]["value"]
+    stages = [Stage("a", F.expr(VIEW)), Stage("b", F.expr(BUY), also=later)]
+    end = df.agg(F.max("ts")).first()[0] - timedelta(seconds=3)
+    got = ids(run(spark, S.match_stream(stream(), stages, ["user_id"], "ts", TIE, "24 hours", kinds=("match",)), "tw_also"))
+    want = match_pattern(df, stages, ["user_id"], "ts", TIE, "24 hours", skip="next").collect()
+    assert got == sorted(tuple(e.event.event_id for e in r.events) for r in want if r.events[-1].event.ts <= end) and got
+
+
+def test_groups_are_reloaded_between_batches(spark, events, tmp_path):
+    """A stateless rule in a shared stream reads its groups anew for every micro-batch."""
+    _, stream = events
+    path, seen = str(tmp_path / "groups"), []
+    group = lambda content: spark.createDataFrame([("g", "kinds", "string", "", content)], "group_id string, name string, type string, intelligence_type string, content string")
+    group("view").write.parquet(path)
+    groups = IntelGroups(readers.intel_table(spark, path))
+    r = Rule.from_json({"name": "r", "family": "having_any", "events": [{"as": "A", "filter": "event_type belong kinds"}]})
+
+    def write(part, name, number):
+        seen.append({x.event_type for x in part.select("event_type").distinct().collect()})
+        group("purchase").write.mode("overwrite").parquet(path)
+
+    sinks.fan_out_batches(stream(), {"r": lambda x: compile_rule(r, x, groups=groups.reloaded(readers.intel_table(spark, path)))}, write, once=True).awaitTermination()
+    assert seen[0] == {"view"} and seen[1:] and all(s == {"purchase"} for s in seen[1:])
+
+
+def test_only_stateless_plans_share_batches(spark, events):
+    _, stream = events
+    with pytest.raises(Exception, match="one micro-batch"):
+        sinks.fan_out_batches(stream(), {"count": lambda x: x.groupBy("user_id").count()}, lambda *a: None, once=True).awaitTermination()
+
+
+def test_tap_and_processing_time(spark, events):
+    _, stream = events
+    seen = []
+    with readers.tapped(spark, seen.append):
+        run(spark, W.having_count(stream(), ["user_id"], "ts", "24 hours"), "tw_tapped")
+        spark.streams.resetTerminated()
+        for _ in range(50):
+            if any(x["watermark"] for x in seen):
+                break
+            time.sleep(0.2)
+    assert sum(x["rows"] for x in seen) == 1000 and any(x["watermark"] for x in seen)
+    now = readers.with_processing_time(stream(timed=False))
+    assert run(spark, W.having_count(now, [], "ts", "1 day"), "tw_now", "complete")[0].cnt <= 1000
+
+
+def test_scripted_events(spark, tmp_path):
+    ticks = generators.scripted(spark, [("A", 1), ("B", 2), ("A", 3)], "kind string, n int", per_second=50)
+    q = sinks.memory(ticks, "tw_ticks", once=False)
+    try:
+        for _ in range(100):
+            q.processAllAvailable()
+            if spark.table("tw_ticks").count() > 4:
+                break
+    finally:
+        q.stop()
+    rows = [tuple(r)[:2] for r in spark.table("tw_ticks").orderBy("number").collect()]
+    assert rows[:5] == [("A", 1), ("B", 2), ("A", 3), ("A", 1), ("B", 2)]
+
+
 def test_windows(spark, events):
     df, stream = events
     for name, f in (("tw_count", lambda x: W.having_count(x, ["user_id"], "ts", "24 hours", "8 hours", least=2)), ("tw_distinct", lambda x: W.having_count_distinct(x, ["event_type"], "ts", "user_id", "24 hours", "8 hours"))):

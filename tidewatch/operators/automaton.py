@@ -5,8 +5,8 @@ automaton only reads the flags. Events are dealt by key and sorted, and a task s
 them in order, so it remembers open matches and never a whole key.
 
 An event opens a match if it passes the first stage. An open match takes each later
-event that its stage wants: a loop takes all it can (greedy) and is left for the next
-stage once it has its least number. A loop in last place completes at its least number.
+event that its stage wants: a loop with its least number is left for the next stage by an
+event that this one wants, unless the loop wants it too and is greedy. A loop in last place completes at its least number.
 ``until`` ends a loop: in last place the open match is discarded, elsewhere the loop
 takes no more. Strict contiguity discards a match at the first event that it can't use.
 A match whose first event is ``within`` ago or longer is discarded.
@@ -39,6 +39,7 @@ class Stage:
     high: int | None = 1
     until: Column | None = None
     also: Iterative | None = None
+    greedy: bool = True
 
     @property
     def loops(self) -> bool:
@@ -54,9 +55,9 @@ class _Open:
 
 
 class Automaton:
-    """Matches of one key, event by event. ``stages``: (name, low, high, iterative condition)."""
+    """Matches of one key, event by event. ``stages``: (name, low, high, iterative condition, greedy)."""
 
-    def __init__(self, stages: Sequence[tuple[str, int, int | None, Iterative | None]], within: int | None, strict: bool, past_last: bool):
+    def __init__(self, stages: Sequence[tuple[str, int, int | None, Iterative | None, bool]], within: int | None, strict: bool, past_last: bool):
         self.stages, self.within, self.strict, self.past_last = stages, within, strict, past_last
         self.open: list[_Open] = []
 
@@ -66,7 +67,7 @@ class Automaton:
 
     def _take(self, m: _Open, k: int, event: Event) -> bool:
         """Add the event; true if the match is complete."""
-        name, low, _, _ = self.stages[k]
+        name, low, _, _, _ = self.stages[k]
         m.stage = k
         m.taken.setdefault(name, []).append(event)
         return k == len(self.stages) - 1 and len(m.taken[name]) >= low
@@ -77,15 +78,17 @@ class Automaton:
         for m in self.open:
             if self.within is not None and time - m.start >= self.within:
                 continue
-            name, low, high, _ = self.stages[m.stage]
+            name, low, high, _, greedy = self.stages[m.stage]
             have, last = len(m.taken[name]), m.stage == len(self.stages) - 1
             if until[m.stage] and (high is None or high > 1):
                 if last or have < low:
                     continue
                 m.closed = True
-            if have >= low and not last and self._wants(m, m.stage + 1, event, flags):
+            goes_on = have >= low and not last and self._wants(m, m.stage + 1, event, flags)
+            stays = (high is None or have < high) and not m.closed and self._wants(m, m.stage, event, flags)
+            if goes_on and not (stays and greedy):
                 finished = self._take(m, m.stage + 1, event)
-            elif (high is None or have < high) and not m.closed and self._wants(m, m.stage, event, flags):
+            elif stays:
                 finished = self._take(m, m.stage, event)
             else:
                 if not self.strict:
@@ -140,7 +143,7 @@ def match_pattern(df: DataFrame, stages: Sequence[Stage], keys: Sequence[str], t
     event = T.StructType([T.StructField("stage", T.StringType()), T.StructField("event", T.StructType([f for f in df.schema if not f.name.startswith("__tw_")]))])
     out = T.StructType([T.StructField("signature", T.StringType()), T.StructField("events", T.ArrayType(event))])
     arrow = to_arrow_schema(out)
-    plain = [(s.name, s.low, s.high, s.also) for s in stages]
+    plain = [(s.name, s.low, s.high, s.also, s.greedy) for s in stages]
     limit = None if within is None else millis(within) * 1000
     dealt = rows.repartition("__tw_k").sortWithinPartitions("__tw_k", "__tw_t", *tie)
     return dealt.mapInArrow(lambda b: _scan(b, plain, limit, contiguity == "strict", skip == "past_last", arrow), out)

@@ -9,7 +9,12 @@ as context. A window then runs over (key, stretch): a key that holds a third of
 events is shared by many tasks. Rules without a limit run over the whole key.
 
 Rules that relate fields of A and B are re-keyed: A rows by their field, B rows by
-theirs, so that no rule needs all events in one task.
+theirs, so that no rule needs all events in one task. An event that can be both A and B
+comes before itself as B, so it never follows itself.
+
+NOT BEFORE looks back without a limit. What a stretch needs of those before it is the
+last A alone, so A's are aggregated to one time a stretch before anything is shuffled,
+and only A's in stretches that hold a B are looked at one by one.
 """
 
 from __future__ import annotations
@@ -30,6 +35,26 @@ from tidewatch.shipping import ship
 STRETCH = 4
 
 
+def roles(rows: DataFrame, keys: Sequence[str], relation: Sequence[tuple[str, str]], ignore_case: bool = True, lonely: bool = False) -> DataFrame:
+    """Each event once for each part that it can play, A (``__tw_a``) or B (``__tw_b``), with the key ``__tw_k`` it has in that part; without a value it relates to nothing and goes, unless it is an A and ``lonely``."""
+    text = lambda c: F.lower(F.col(c).cast("string")) if ignore_case else F.col(c).cast("string")
+
+    def part(at: int, flag: str) -> Column:
+        related = [text(r[at]).alias(f"r{k}") for k, r in enumerate(relation)]
+        there = F.col(flag)
+        if at or not lonely:
+            for r in relation:
+                there = there & F.col(r[at]).isNotNull()
+        return F.when(there, F.struct(F.lit(at == 0).alias("a"), F.lit(at == 1).alias("b"), F.struct(*keys, *related).alias("k")))
+
+    rows = rows.withColumn("__tw_r", F.explode(F.array_compact(F.array(part(0, "__tw_a"), part(1, "__tw_b")))))
+    return rows.withColumns({f"__tw_{c}": F.col(f"__tw_r.{c}") for c in "abk"}).drop("__tw_r")
+
+
+def _stretch(t: Column, width: int) -> Column:
+    return F.call_function("div", t - F.pmod(t, F.lit(width)), F.lit(width)).cast("bigint")
+
+
 class Ordered:
     """Events with ``__tw_a``, ``__tw_b`` (the tests), ``__tw_k`` (the key), ``__tw_t`` (microseconds) and their stretch."""
 
@@ -37,16 +62,11 @@ class Ordered:
         self.carry = df.columns
         self.within = None if within is None else millis(within) * 1000
         self.tie = list(tie)
-        text = lambda c: F.lower(F.col(c).cast("string")) if ignore_case else F.col(c).cast("string")
         rows = df.where(F.col(ts).isNotNull()).withColumn("__tw_a", total(a)).withColumn("__tw_b", total(b)).withColumn("__tw_t", F.unix_micros(F.col(ts).cast("timestamp")))
         if not everything:
             rows = rows.where("__tw_a OR __tw_b")
         if relation:
-            # an event that is both plays each role under its own key; without a value it relates to nothing
-            side = lambda flag, other, at: rows.where(flag).withColumn(other, F.lit(False)).withColumn("__tw_k", F.struct(*keys, *[text(r[at]).alias(f"r{k}") for k, r in enumerate(relation)]))
-            rows = side("__tw_a", "__tw_b", 0).unionByName(side("__tw_b", "__tw_a", 1))
-            for k in range(len(relation)):
-                rows = rows.where(F.col(f"__tw_k.r{k}").isNotNull())
+            rows = roles(rows, keys, relation, ignore_case)
         else:
             rows = rows.withColumn("__tw_k", F.struct(*keys) if keys else F.lit(0))
         self.rows = rows
@@ -59,8 +79,7 @@ class Ordered:
         if self.within is None:
             return self.rows.withColumn("__tw_s", F.lit(0)).withColumn("__tw_own", F.lit(True))
         width = self.within * STRETCH
-        own = (F.col("__tw_t") - F.pmod("__tw_t", F.lit(width))) / width
-        own = own.cast("bigint")
+        own = _stretch(F.col("__tw_t"), width)
         inside = F.pmod("__tw_t", F.lit(width))
         near = inside >= width - self.within if back else inside < self.within
         other = own + 1 if back else own - 1
@@ -68,7 +87,7 @@ class Ordered:
         return self.rows.withColumn("__tw_x", F.explode(both)).withColumn("__tw_s", F.col("__tw_x.s")).withColumn("__tw_own", F.col("__tw_x.o")).drop("__tw_x")
 
     def over(self) -> WindowSpec:
-        return Window.partitionBy("__tw_k", "__tw_s").orderBy("__tw_t", *self.tie)
+        return Window.partitionBy("__tw_k", "__tw_s").orderBy("__tw_t", *self.tie, F.col("__tw_b").desc())
 
     def event(self) -> Column:
         return F.struct("__tw_t", *self.carry)
@@ -117,9 +136,11 @@ def non_overlapping(found: DataFrame, keys: Sequence[str], ts: str, tie: Sequenc
     return rows.where("__tw_n % 2 = 1").select(*found.columns)
 
 
-def _runs(o: Ordered) -> DataFrame:
-    """Rows with ``__tw_run``, the number of B's before, ``__tw_end`` (the B that ends the run) and its time ``__tw_bt``; an A that is also a B ends the run before it."""
+def _runs(o: Ordered, greedy: bool = False) -> DataFrame:
+    """Rows with ``__tw_run``, the number of B's before, ``__tw_end`` (the B that ends the run) and its time ``__tw_bt``; an A that is also a B ends the run before it, or (``greedy``) is an A alone."""
     rows = o.stretched(back=True)
+    if greedy:
+        rows = rows.withColumn("__tw_b", F.col("__tw_b") & ~F.col("__tw_a"))
     before = o.over().rowsBetween(Window.unboundedPreceding, -1)
     ahead = o.over().rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rows = rows.withColumn("__tw_run", F.coalesce(F.sum(F.col("__tw_b").cast("int")).over(before), F.lit(0)))
@@ -130,11 +151,11 @@ def _runs(o: Ordered) -> DataFrame:
     return rows.withColumn("__tw_a", F.col("__tw_a") & ~both)
 
 
-def repeated_then(df: DataFrame, a: Column, b: Column, n: int, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, contiguity: str = "relaxed", relation: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """A at least n times, then B: the first A, the B and the number of A's.
+def repeated_then(df: DataFrame, a: Column, b: Column, n: int, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, contiguity: str = "relaxed", relation: Sequence[tuple[str, str]] = (), greedy: bool = True, last: bool = False) -> DataFrame:
+    """A at least n times, then B: the first A, the B and the number of A's; ``last`` adds the last A, as columns ``l_…``.
 
     relaxed: the A's since the B before that lie within the limit. strict: a run of neighbouring A's directly before
-    the B, as long as the limit allows.
+    the B, as long as the limit allows. greedy: an event that is both A and B goes on with the A's.
     """
     strict = contiguity == "strict"
     o = Ordered(df, a, b, keys, ts, tie, within, relation, everything=strict and not relation)
@@ -147,11 +168,13 @@ def repeated_then(df: DataFrame, a: Column, b: Column, n: int, keys: Sequence[st
         ends = F.first(F.when(~F.col("__tw_a"), F.struct(F.col("__tw_b").alias("b"), F.col("__tw_t").alias("t"))), ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
         rows = rows.withColumn("__tw_x", ends).where("__tw_x.b").withColumn("__tw_bt", F.col("__tw_x.t"))
     else:
-        rows = _runs(o)
+        rows = _runs(o, greedy)
     usable = F.col("__tw_a") & o.valid(F.col("__tw_t"), F.col("__tw_bt"))
     earliest = F.min(F.when(usable, F.struct("__tw_t", *o.tie, F.struct(*o.carry).alias("e"))))
-    found = rows.groupBy("__tw_k", "__tw_s", "__tw_run").agg(earliest.alias("first"), F.max(F.when(F.col("__tw_end") & F.col("__tw_own"), F.struct(*o.carry))).alias("b"), F.count(F.when(usable, 1)).alias("times"))
-    return _flat(found.where((F.col("times") >= n) & F.col("b").isNotNull()).withColumn("a", F.col("first.e")), o.carry, "a", "b", extra=["times"])
+    latest = [F.max(F.when(usable, F.struct("__tw_t", *o.tie, F.struct(*o.carry).alias("e")))).alias("last")] if last else []
+    found = rows.groupBy("__tw_k", "__tw_s", "__tw_run").agg(earliest.alias("first"), *latest, F.max(F.when(F.col("__tw_end") & F.col("__tw_own"), F.struct(*o.carry))).alias("b"), F.count(F.when(usable, 1)).alias("times"))
+    found = found.where((F.col("times") >= n) & F.col("b").isNotNull()).withColumn("a", F.col("first.e"))
+    return _flat(found.withColumn("l", F.col("last.e")) if last else found, o.carry, "a", *(["l"] if last else []), "b", extra=["times"])
 
 
 def not_followed_by(df: DataFrame, a: Column, b: Column, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int, relation: Sequence[tuple[str, str]] = (), ignore_case: bool = True) -> DataFrame:
@@ -182,17 +205,26 @@ def _thin(batches: Iterator[pa.RecordBatch], silence: int) -> Iterator[pa.Record
 def silenced(alerts: DataFrame, signature: Column, ts: str, tie: Sequence[str], silence: str | int) -> DataFrame:
     """Thin alerts: after one, the others of its signature are silent for ``silence``.
 
-    After a gap longer than that an alert is always kept, so stretches between such gaps are independent and dealt
-    out one by one; a task scans its stretches in order and remembers one time.
+    After a gap longer than that an alert is always kept, so the alerts between such gaps are independent of all
+    others and dealt out by the time at which they begin; a task scans them in order and remembers one time. Gaps are
+    found inside stretches of time, and only one time for each stretch is carried on to the next.
     """
     ship(alerts.sparkSession)
-    limit = millis(silence) * 1000
-    columns = alerts.columns
+    limit, columns = millis(silence) * 1000, alerts.columns
+    width = max(1, limit) * STRETCH
+    t, inside = F.col("__tw_t"), F.pmod(F.col("__tw_t"), F.lit(width))
     rows = alerts.withColumn("__tw_g", signature).withColumn("__tw_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    order = Window.partitionBy("__tw_g").orderBy("__tw_t", *tie)
-    gap = F.coalesce(F.col("__tw_t") - F.lag("__tw_t").over(order) > limit, F.lit(True))
-    rows = rows.withColumn("__tw_new", gap).withColumn("__tw_n", F.sum(F.col("__tw_new").cast("bigint")).over(order))
-    rows = rows.withColumn("__tw_key", F.concat_ws("\x1f", "__tw_g", "__tw_n")).select("__tw_key", "__tw_t", *columns)
+    # the alerts of one silence before a border tell whether the first one after it follows a gap
+    place = F.when(inside >= width - limit, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    spread = rows.withColumn("__tw_o", F.explode(place)).withColumn("__tw_s", _stretch(t, width) + F.col("__tw_o"))
+    order = Window.partitionBy("__tw_g", "__tw_s").orderBy("__tw_t", *tie)
+    spread = spread.withColumn("__tw_gap", F.coalesce(t - F.lag("__tw_t").over(order) > limit, F.lit(True))).where("__tw_o = 0")
+    begun = F.last(F.when(F.col("__tw_gap"), t), ignorenulls=True)
+    spread = spread.withColumn("__tw_i", begun.over(order))
+    ends = spread.groupBy("__tw_g", "__tw_s").agg(F.max(F.when(F.col("__tw_gap"), t)).alias("__tw_i"))
+    carried = F.last("__tw_i", ignorenulls=True).over(Window.partitionBy("__tw_g").orderBy("__tw_s").rowsBetween(Window.unboundedPreceding, -1))
+    spread = spread.join(ends.select("__tw_g", "__tw_s", carried.alias("__tw_c")), ["__tw_g", "__tw_s"])
+    rows = spread.withColumn("__tw_key", F.concat_ws("\x1f", "__tw_g", F.coalesce("__tw_i", "__tw_c"))).select("__tw_key", "__tw_t", *columns)
     dealt = rows.repartition("__tw_key").sortWithinPartitions("__tw_key", "__tw_t", *tie)
     return dealt.mapInArrow(lambda x: _thin(x, limit), rows.schema).select(*columns)
 
@@ -203,16 +235,45 @@ def not_before(df: DataFrame, a: Column, b: Column, ts: str, tie: Sequence[str],
     An event that satisfies both tests is an A. A's are grouped by ``a_fields``, B's by ``b_fields``; the group is
     returned as ``signature``. A gap of exactly ``within`` is still in time. Events are taken in the order of their times.
     """
-    rows = df.where(F.col(ts).isNotNull()).withColumn("__tw_a", total(a)).withColumn("__tw_b", total(b) & ~total(a)).where("__tw_a OR __tw_b")
-    sign = F.when(F.col("__tw_a"), group_signature([F.col(c) for c in a_fields])).otherwise(group_signature([F.col(c) for c in b_fields]))
-    rows = rows.withColumn("signature", sign).withColumn("__tw_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    before = Window.partitionBy("signature").orderBy("__tw_t", *tie).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("a", F.last(F.when(F.col("__tw_a"), F.struct("__tw_t", *df.columns)), ignorenulls=True).over(before))
-    alerts = rows.where(F.col("__tw_b") & ~total(F.col("__tw_t") - F.col("a.__tw_t") <= millis(within) * 1000)).withColumn("b", F.struct(*df.columns))
+    limit, place = millis(within) * 1000, ["signature", "__tw_s"]
+    t, event = F.col("__tw_t"), F.struct("__tw_t", *df.columns)
+    timed = df.where(F.col(ts).isNotNull()).withColumn("__tw_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__tw_s", _stretch(t, max(1, limit) * STRETCH))
+    firsts = timed.where(a).withColumn("signature", group_signature([F.col(c) for c in a_fields]))
+    seconds = timed.where(b & ~total(a)).withColumn("signature", group_signature([F.col(c) for c in b_fields]))
+    asked = seconds.select(*place).distinct()
+    # A's beside a B, one by one
+    near = firsts.join(asked, place, "left_semi").withColumn("__tw_a", F.lit(True)).unionByName(seconds.withColumn("__tw_a", F.lit(False)))
+    before = Window.partitionBy(*place).orderBy("__tw_t", *tie).rowsBetween(Window.unboundedPreceding, -1)
+    seen = near.withColumn("__tw_n", F.last(F.when(F.col("__tw_a"), event), ignorenulls=True).over(before)).where(~F.col("__tw_a"))
+    # of all others, the last time in each stretch
+    latest = firsts.groupBy(*place).agg(F.max("__tw_t").alias("__tw_m")).unionByName(asked.withColumn("__tw_m", F.lit(None).cast("bigint"))).groupBy(*place).agg(F.max("__tw_m").alias("__tw_m"))
+    carried = F.last("__tw_m", ignorenulls=True).over(Window.partitionBy("signature").orderBy("__tw_s").rowsBetween(Window.unboundedPreceding, -1))
+    alerts = seen.join(latest.select(*place, carried.alias("__tw_l")), place, "left")
+    alerts = alerts.where(~total(t - F.coalesce("__tw_n.__tw_t", "__tw_l") <= limit)).withColumn("b", F.struct(*df.columns))
+    # the event itself, if it lies in an earlier stretch
+    far = alerts.where("__tw_n IS NULL AND __tw_l IS NOT NULL").select("signature", F.col("__tw_l").alias("__tw_t")).distinct()
+    whole = firsts.join(far, ["signature", "__tw_t"], "left_semi").groupBy("signature", F.col("__tw_t").alias("__tw_l")).agg(F.max(F.struct(*tie, event.alias("e"))).alias("__tw_f"))
+    alerts = alerts.join(whole, ["signature", "__tw_l"], "left").withColumn("a", F.coalesce("__tw_n", "__tw_f.e"))
     out = _flat(alerts, df.columns, "b", "a", extra=["signature"])
     return out if silence is None else silenced(out, F.col("signature"), f"b_{ts}", [f"b_{c}" for c in tie], silence)
 
 
+def repeated_until(df: DataFrame, a: Column, until: Column, n: int, keys: Sequence[str], ts: str, tie: Sequence[str]) -> DataFrame:
+    """A n times without an ``until`` event between: ``signature`` and the n ``events`` of each match; the next match begins after it.
+
+    The A's between two ``until`` events are numbered and taken n at a time. An event that is both ends what was begun.
+    """
+    rows = df.where(F.col(ts).isNotNull()).withColumn("__tw_k", group_signature([F.col(k) for k in keys])).withColumn("__tw_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = rows.withColumn("__tw_u", total(until)).withColumn("__tw_a", total(a) & ~F.col("__tw_u")).where("__tw_a OR __tw_u")
+    order = ["__tw_t", *tie]
+    rows = rows.withColumn("__tw_run", F.sum(F.col("__tw_u").cast("bigint")).over(Window.partitionBy("__tw_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where("__tw_a")
+    number = F.row_number().over(Window.partitionBy("__tw_k", "__tw_run").orderBy(*order)) - 1
+    rows = rows.withColumn("__tw_i", number).withColumn("__tw_c", F.call_function("div", "__tw_i", F.lit(n)))
+    # a list holds n events at most
+    taken = rows.groupBy("__tw_k", "__tw_run", "__tw_c").agg(F.sort_array(F.collect_list(F.struct("__tw_i", F.struct(*df.columns).alias("event")))).alias("e"))
+    return taken.where(F.size("e") == n).select(F.col("__tw_k").alias("signature"), F.transform("e", lambda x: x["event"]).alias("events"))
+
+
 def match_text(match: DataFrame, *events: str, alias: str = "text") -> DataFrame:
     """A match as text: for each event its name and JSON."""
     parts = []

@@ -88,13 +88,21 @@ def having_sum(df: DataFrame, keys: Sequence[str], ts: str, field: str, size: st
     return _at_least(out, value, least, strict)
 
 
+def _distinct_in_stream(df: DataFrame, keys: Sequence[str], ts: str, size: str, slide: str | None, text: Column, value: str) -> DataFrame:
+    """Each value of a key and window is kept once, as a small row of state of its own, and counted; both go when the watermark has passed the window."""
+    w = F.window(F.col(ts), size, slide) if slide else F.window(F.col(ts), size)
+    once = df.select(w.alias("__tw_w"), *_keys(keys), text.alias("__tw_v")).dropDuplicates(["__tw_w", *keys, "__tw_v"])
+    out = once.groupBy("__tw_w", *keys).agg(F.count("*").alias(value))
+    return out.select(*keys, F.col("__tw_w.start").cast("timestamp").alias("window_start"), F.col("__tw_w.end").cast("timestamp").alias("window_end"), value)
+
+
 def having_count_distinct(df: DataFrame, keys: Sequence[str], ts: str, field: str, size: str, slide: str | None = None, least: int | None = None, value: str = "cnt", approximate: bool = False) -> DataFrame:
     """Exact number of different values; a missing one counts as the text ``None``. Streams may ask for an approximation instead of a state with all values."""
     text = key_text(F.col(field))
     if approximate:
         out = _windowed(df, keys, ts, size, slide, F.approx_count_distinct(text).alias(value))
     elif df.isStreaming:
-        out = _windowed(df, keys, ts, size, slide, F.size(F.collect_set(text)).cast("bigint").alias(value))
+        out = _distinct_in_stream(df, keys, ts, size, slide, text, value)
     elif _in_panes(df, size, slide):
         # distinct values of each pane, then of each window, then their number: no set is gathered
         seen = panes(df.withColumn("__tw_v", text), [*keys, "__tw_v"], ts, size, slide, [F.count("*").alias("__tw_n")], [F.count("*").alias("__tw_n")])

@@ -2,25 +2,30 @@
 
     SELECT * FROM table MATCH_RECOGNIZE (
       PARTITION BY k, … ORDER BY ts
-      MEASURES A.x AS ax, FIRST(A.y) AS ay, B.z AS bz, …
-      ONE ROW PER MATCH AFTER MATCH SKIP PAST LAST ROW
-      PATTERN (A B) | (A{n,} B)   WITHIN INTERVAL 'n' UNIT
+      MEASURES A.x AS ax, FIRST(A.y) AS ay, LAST(A.z) - B.z AS dz, …
+      ONE ROW PER MATCH AFTER MATCH SKIP PAST LAST ROW | SKIP TO NEXT ROW
+      PATTERN (A B) | (A{n,} B) | (A B+ C{2} D{1,3} …)   WITHIN INTERVAL 'n' UNIT
       DEFINE A AS condition, B AS condition
     ) …
 
 Rows of a match are neighbours, as the standard demands. Conditions are SQL over the
 row's own columns (``A.x = 'v'`` in A's definition); comparisons between A and B are
-allowed in B's definition for ``(A B)`` and filter the matches.
+allowed in B's definition for ``(A B)`` and filter the matches. Measures are SQL
+expressions; ``A.x`` of a repeated variable is its last row's. ``(A B)`` and ``(A{n,} B)``
+are window plans, other patterns and other ways to skip go to the automaton, where a
+loop takes a row that both it and the next variable want.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.operators.automaton import Stage, match_pattern
 from tidewatch.operators.sequences import followed_by, non_overlapping, repeated_then
 
 
@@ -29,12 +34,16 @@ class MatchQuery:
     table: str
     keys: tuple[str, ...]
     order: str
-    measures: tuple[tuple[str, str, str], ...]  # variable, column, alias
-    variables: tuple[str, str]
-    least: int | None  # of a loop
+    measures: tuple[tuple[str, str], ...]  # expression, alias
+    pattern: tuple[tuple[str, int, int | None], ...]  # variable, least and most rows
+    skip: str
     within: str | None
     defines: dict[str, str]
 
+    @property
+    def variables(self) -> tuple[str, ...]:
+        return tuple(v for v, _, _ in self.pattern)
+
 
 def _split(text: str) -> list[str]:
     """Parts between top-level commas."""
@@ -49,6 +58,18 @@ def _split(text: str) -> list[str]:
     return [p.strip() for p in parts if p.strip()]
 
 
+def _element(text: str) -> tuple[str, int, int | None]:
+    m = re.fullmatch(r"(\w+)(?:(\+)|\{(\d+)(,)?(\d+)?\})?", text)
+    if not m:
+        raise ValueError(f"unsupported pattern element {text}")
+    name, plus, low, comma, high = m.groups()
+    if plus:
+        return name, 1, None
+    if low is None:
+        return name, 1, 1
+    return name, int(low), int(high) if high else None if comma else int(low)
+
+
 def parse_match(text: str) -> MatchQuery:
     flat = " ".join(text.split())
     m = re.search(r"FROM\s+(\w+)\s+MATCH_RECOGNIZE\s*\((.*)\)", flat, re.I)
@@ -58,18 +79,22 @@ def parse_match(text: str) -> MatchQuery:
     heads = r"(PARTITION BY|ORDER BY|MEASURES|ONE ROW PER MATCH|AFTER MATCH SKIP|PATTERN|WITHIN|DEFINE)"
     parts = re.split(rf"\b{heads}\b", body, flags=re.I)
     clause = {k.upper(): v.strip() for k, v in zip(parts[1::2], parts[2::2], strict=True)}
-    if not re.fullmatch(r"PAST LAST ROW", clause.get("AFTER MATCH SKIP", "PAST LAST ROW"), re.I):
-        raise ValueError("only AFTER MATCH SKIP PAST LAST ROW is supported")
-    pattern = re.match(r"\(\s*(\w+)\s*(\{\s*(\d+)\s*,\s*\}|\+)?\s+(\w+)\s*\)", clause["PATTERN"])
-    if not pattern:
+    skips = {"PAST LAST ROW": "past_last", "TO NEXT ROW": "next"}
+    skip = skips.get(clause.get("AFTER MATCH SKIP", "PAST LAST ROW").upper())
+    if skip is None:
+        raise ValueError("AFTER MATCH SKIP is PAST LAST ROW or TO NEXT ROW")
+    inside = re.match(r"\((.*?)\)", clause["PATTERN"])
+    if not inside:
         raise ValueError(f"unsupported pattern {clause['PATTERN']}")
-    first, loop, n, last = pattern.groups()
+    pattern = tuple(map(_element, re.sub(r"\s*([{},+])\s*", r"\1", inside[1]).replace("}", "} ").replace("+", "+ ").split()))
+    if len({v for v, _, _ in pattern}) < len(pattern):
+        raise ValueError("a variable stands in the pattern once")
     measures = []
     for part in _split(clause["MEASURES"]):
-        x = re.fullmatch(r"(?:FIRST\s*\(\s*)?(\w+)\.`?(\w+)`?\s*\)?\s+AS\s+`?(\w+)`?", part, re.I)
+        x = re.fullmatch(r"(.+)\s+AS\s+`?(\w+)`?", part, re.I)
         if not x:
             raise ValueError(f"unsupported measure {part}")
-        measures.append((x[1], x[2], x[3]))
+        measures.append((x[1], x[2]))
     within = re.search(r"INTERVAL\s+'(\d+)'\s+(\w+)", clause.get("WITHIN", ""), re.I)
     defines = {v.strip(): cond.strip() for v, cond in (re.split(r"\s+AS\s+", p, maxsplit=1, flags=re.I) for p in _split(clause["DEFINE"]))}
     return MatchQuery(
@@ -77,36 +102,66 @@ def parse_match(text: str) -> MatchQuery:
         keys=tuple(_split(clause.get("PARTITION BY", ""))),
         order=re.sub(r"\s+ASC$", "", clause["ORDER BY"], flags=re.I),
         measures=tuple(measures),
-        variables=(first, last),
-        least=int(n or 1) if loop else None,
+        pattern=pattern,
+        skip=skip,
         within=f"{within[1]} {within[2].lower()}" if within else None,
         defines=defines,
     )
 
 
+def _outside_quotes(text: str, change: Callable[[str], str]) -> str:
+    return "'".join(p if k % 2 else change(p) for k, p in enumerate(text.split("'")))
+
+
 def _own(condition: str, variable: str) -> str:
-    return re.sub(rf"\b{variable}\.", "", condition)
+    return _outside_quotes(condition, lambda t: re.sub(rf"\b{variable}\.", "", t))
+
+
+def _measure(text: str, variables: tuple[str, ...]) -> str:
+    """The expression over the structs ``__tw_first_<variable>`` and ``__tw_last_<variable>``."""
+    name = "|".join(variables)
+
+    def change(t: str) -> str:
+        t = re.sub(rf"\b(FIRST|LAST)\s*\(\s*({name})\.`?(\w+)`?\s*\)", lambda m: f"__tw_{m[1].lower()}_{m[2]}.`{m[3]}`", t, flags=re.I)
+        return re.sub(rf"(?<![\w.])({name})\.`?(\w+)`?", r"__tw_last_\1.`\2`", t)
+
+    return _outside_quotes(text, change)
+
+
+def _mentions(condition: str, variables: tuple[str, ...]) -> bool:
+    return re.search(rf"\b({'|'.join(variables)})\.", re.sub(r"'[^']*'", "", condition)) is not None if variables else False
 
 
 def match_recognize(spark: SparkSession, text: str, tie: tuple[str, ...] = ()) -> DataFrame:
     """Run a MATCH_RECOGNIZE query over a table or view of the session; keys, then measures."""
     q = parse_match(text)
     df = spark.table(q.table)
-    a, b = q.variables
     conditions = {v: q.defines.get(v, "true") for v in q.variables}
-    related = re.search(rf"\b{a}\.", conditions[b]) is not None
-    if related and q.least is not None:
-        raise ValueError("a definition that compares A and B needs PATTERN (A B)")
-    test_a, test_b = F.expr(_own(conditions[a], a)), F.lit(True) if related else F.expr(_own(conditions[b], b))
-    if q.least is not None:
-        found = repeated_then(df, test_a, test_b, q.least, q.keys, q.order, tie, q.within, "strict")
+    related = [v for v in q.variables if _mentions(conditions[v], tuple(x for x in q.variables if x != v))]
+    shape = tuple((low, high) for _, low, high in q.pattern)
+    pair, loop = shape == ((1, 1), (1, 1)), len(shape) == 2 and shape[0][1] is None and shape[1] == (1, 1) and q.skip == "past_last"
+    if related and not (pair and related == [q.variables[1]]):
+        raise ValueError("only the definition of B in PATTERN (A B) may compare with another variable")
+    tests = {v: F.lit(True) if v in related else F.expr(_own(c, v)) for v, c in conditions.items()}
+    if pair or loop:
+        a, b = q.variables
+        if pair:
+            found = followed_by(df, tests[a], tests[b], q.keys, q.order, tie, q.within, contiguity="strict")
+            if related:
+                on = _outside_quotes(conditions[b], lambda t: re.sub(rf"\b{a}\.`?(\w+)`?", r"`a_\1`", re.sub(rf"\b{b}\.`?(\w+)`?", r"`b_\1`", t)))
+                found = found.where(F.expr(on))
+            if q.skip == "past_last":
+                found = non_overlapping(found, q.keys, q.order, tie)
+        else:
+            found = repeated_then(df, tests[a], tests[b], shape[0][0], q.keys, q.order, tie, q.within, "strict", last=True)
+        side = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in df.columns])
+        ends = {f"__tw_first_{a}": side("a"), f"__tw_last_{a}": side("l" if loop else "a"), f"__tw_first_{b}": side("b"), f"__tw_last_{b}": side("b")}
     else:
-        found = followed_by(df, test_a, test_b, q.keys, q.order, tie, q.within, contiguity="strict")
-    if related:
-        on = re.sub(rf"\b{a}\.`?(\w+)`?", r"`a_\1`", re.sub(rf"\b{b}\.`?(\w+)`?", r"`b_\1`", conditions[b]))
-        found = found.where(F.expr(on))
-    if q.least is None:
-        found = non_overlapping(found, q.keys, q.order, tie)
-    side = {a: "a", b: "b"}
-    shown = [alias for _, _, alias in q.measures]
-    return found.select(*[F.col(f"a_{k}").alias(k) for k in q.keys if k not in shown], *[F.col(f"{side[v]}_{c}").alias(alias) for v, c, alias in q.measures])
+        stages = [Stage(v, tests[v], low, high) for v, low, high in q.pattern]
+        found = match_pattern(df, stages, q.keys, q.order, tie, q.within, "strict", q.skip)
+        of = lambda v: F.filter("events", lambda e: e["stage"] == v)
+        ends = {f"__tw_{end}_{v}": F.element_at(of(v), at)["event"] for v in q.variables for end, at in (("first", 1), ("last", -1))}
+    rows = found.select(*[c.alias(k) for k, c in ends.items()])
+    shown = [alias for _, alias in q.measures]
+    keys = [F.col(f"__tw_first_{q.variables[0]}.{k}").alias(k) for k in q.keys if k not in shown]
+    return rows.select(*keys, *[F.expr(_measure(e, q.variables)).alias(alias) for e, alias in q.measures])

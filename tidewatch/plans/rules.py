@@ -188,6 +188,8 @@ class Rule:
     relation: tuple[tuple[str, str], ...] = ()
     where: str = ""
     patternRepeat: Repeat = Repeat()
+    skip: str = "past_last"
+    contiguity: str = "relaxed"
     innerEvent: Inner = Inner()
     having: dict[str, Having] = field(default_factory=dict)
     alert: Alert = Alert()
@@ -215,5 +217,5 @@ class Rule:
         return cls(
             name=d["name"], family=d.get("family", d.get("templateId", "")), events=tuple(map(EventDef.read, d.get("events", ()))), id=d.get("id", ""), desc=d.get("desc", ""), status=str(d.get("status", "")), templateId=str(d.get("templateId", "")),
             selects=tuple(map(Select.read, d.get("selects", ()))), window=window("window"), slide=window("slide"), groupBy=tuple(d.get("groupBy", ())), relation=tuple(map(tuple, d.get("relation", ()))), where=d.get("where", ""),
-            patternRepeat=_read(Repeat, d.get("patternRepeat")), innerEvent=_read(Inner, d.get("innerEvent")), having={k: _read(Having, v) for k, v in (d.get("having") or {}).items()}, alert=_read(Alert, alert), category=Category.of(d.get("ruleCategory")), silence=d.get("silence"), sysId=d.get("sysId"),
+            patternRepeat=_read(Repeat, d.get("patternRepeat")), skip=d.get("skip", "past_last"), contiguity=d.get("contiguity", "relaxed"), innerEvent=_read(Inner, d.get("innerEvent")), having={k: _read(Having, v) for k, v in (d.get("having") or {}).items()}, alert=_read(Alert, alert), category=Category.of(d.get("ruleCategory")), silence=d.get("silence"), sysId=d.get("sysId"),
         )

@@ -6,8 +6,11 @@ events, and keys run from 1 up, starting again at 0 after the last.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _A_EVENT = "web attack"
 
@@ -60,3 +63,11 @@ def ticking(spark: SparkSession, per_second: int = 1, keys: int = 10, name: str
     rate = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
     n = F.col("value")
     return rate.select(((n + 1) % keys).cast("int").alias("key"), F.lit(name).alias("event_name"), _address(n).alias("src_address"), _address(n).alias("dst_address"), F.unix_millis("timestamp").alias("occur_time"))
+
+
+def scripted(spark: SparkSession, script: list, schema: str, per_second: int = 1) -> DataFrame:
+    """An endless stream that plays the rows of ``script`` over and over: their columns, ``number`` (counted on) and ``ts``, the time of each."""
+    rate = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    kind = T._parse_datatype_string(schema)
+    rows = F.array(*[F.from_json(F.lit(json.dumps(dict(zip(kind.names, r, strict=True)))), kind) for r in script])
+    return rate.withColumn("x", F.element_at(rows, (F.col("value") % len(script) + 1).cast("int"))).select("x.*", F.col("value").alias("number"), F.col("timestamp").alias("ts"))

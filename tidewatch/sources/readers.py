@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 #: Bound of lateness that all rules share.
 LATENESS = "3 seconds"
@@ -57,6 +61,41 @@ def with_event_time(df: DataFrame, column: str, into: str = "ts", form: str | No
     return out.withWatermark(into, lateness) if df.isStreaming and lateness else out
 
 
+def with_processing_time(df: DataFrame, into: str = "ts", lateness: str | None = "0 seconds") -> DataFrame:
+    """``into`` is the time at which a row is read, for windows of processing time."""
+    out = df.withColumn(into, F.current_timestamp())
+    return out.withWatermark(into, lateness) if df.isStreaming and lateness else out
+
+
+class _Tap(StreamingQueryListener):
+    def __init__(self, tell: Callable[[dict], object]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.tell({"query": p.name, "batch": p.batchId, "rows": p.numInputRows, "rows_a_second": p.processedRowsPerSecond, "watermark": (p.eventTime or {}).get("watermark")})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+@contextmanager
+def tapped(spark: SparkSession, tell: Callable[[dict], object] = print) -> Iterator[None]:
+    """While it lasts, ``tell`` gets the record counts and the watermark of every micro-batch of the session's streams."""
+    tap = _Tap(tell)
+    spark.streams.addListener(tap)
+    try:
+        yield
+    finally:
+        spark.streams.removeListener(tap)
+
+
 def intel_table(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """A group table: ``group_id, name, type, intelligence_type, content``. Read again, it shows the newest files."""
     return spark.read.format(form).schema("group_id string, name string, type string, intelligence_type string, content string").load(path)

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Operators of a plan that put several rows together, or carry something from one to the next.
+_TOGETHER = {"Aggregate", "Window", "Sort", "Deduplicate", "Distinct", "GlobalLimit", "SessionWindow", "FlatMapGroupsInPandas", "FlatMapGroupsInArrow", "MapInPandas", "MapInArrow"}
+
 
 def _write(df: DataFrame, form: str, name: str | None = None, checkpoint: str | None = None, mode: str = "append", once: bool = False, **options: str) -> StreamingQuery | None:
     if not df.isStreaming:
@@ -66,14 +69,35 @@ def side_outputs(df: DataFrame, sides: dict[str, Column], write: Callable[[DataF
     return {name: write(df.where(F.coalesce(test, F.lit(False))), name) for name, test in sides.items()}
 
 
+def _by_row(out: DataFrame, batch: DataFrame) -> bool:
+    """Whether nothing on the way from the batch to the result puts several of its rows together; what is looked up stands on the other side of a join."""
+
+    def met(df: DataFrame) -> int:
+        node, n = df._jdf.queryExecution().analyzed(), 0
+        while not node.children().isEmpty():
+            n += node.nodeName() in _TOGETHER
+            node = node.children().head()
+        return n
+
+    return met(out) <= met(batch)
+
+
 def fan_out_batches(df: DataFrame, plans: dict[str, Callable[[DataFrame], DataFrame]], write: Callable[[DataFrame, str, int], None], checkpoint: str | None = None, once: bool = False) -> StreamingQuery:
-    """Many plans over one stream, which is read once: each micro-batch is kept while the plans run over it."""
+    """Many plans over one stream, which is read once: each micro-batch is kept while the plans run over it.
+
+    A plan sees one micro-batch, so it may filter, project and look things up; one that aggregates, sorts or keeps
+    state would forget all others and is refused. A plan is made anew for each micro-batch and may read its groups anew.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             for name, plan in plans.items():
-                write(plan(batch), name, number)
+                out = plan(batch)
+                whole = batch.isEmpty() or _by_row(out, batch)
+                if not whole:
+                    raise ValueError(f"{name} looks further than one micro-batch: run it as a stream of its own")
+                write(out, name, number)
         finally:
             batch.unpersist()
 

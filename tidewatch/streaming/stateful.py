@@ -3,30 +3,41 @@
 Events wait in the state of their key until the watermark has passed them and are then
 taken in event order, so a stream gives the matches that a batch over the same events
 gives. What waits is bounded by the lateness, open matches by the time limit: a timer
-at the next event or deadline wakes the key even if it gets no more events.
+at the next event or deadline wakes the key even if it gets no more events. The state
+is JSON text, so a checkpoint doesn't depend on the version of the code.
 
-Only events that pass some test reach the state, but they are filtered above the
-watermark, so other events still move time.
+Only events that pass some test reach the state (all of the key, where neighbours
+count), but they are filtered above the watermark, so other events still move time.
+Rules that relate fields of A and B are keyed by these fields as well; an event that can
+be both comes once in each part, as B first.
+
+``typed`` gives matches the columns that the batch operators give them.
 """
 
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.functions.scalars import group_signature, total
 from tidewatch.operators.automaton import Automaton, Stage, _Open
+from tidewatch.operators.sequences import roles
 from tidewatch.operators.windows import millis
 from tidewatch.shipping import ship
 
 _OUT = "signature string, kind string, start_ms bigint, end_ms bigint, events string"
-_STATE = "data binary"
+_STATE = "data string"
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _shown(stage: str, event: dict) -> dict:
+    return {"stage": stage, "event": json.loads(event["json"])}
 
 
 class _Patterns:
@@ -40,14 +51,19 @@ class _Patterns:
 
     def load(self, saved: list) -> Automaton:
         out = self.start()
-        out.open = [_Open(*x) for x in saved]
+        out.open = [_Open(start, stage, {s: [self.event(e["t"], e["json"]) for e in es] for s, es in taken.items()}, closed) for start, stage, taken, closed in saved]
         return out
 
+    def event(self, time: int, text: str) -> dict:
+        """What the state keeps of an event; conditions on earlier events see its fields too, as in its JSON."""
+        fields = json.loads(text) if any(stage[3] for stage in self.args[0]) else {}
+        return fields | {"t": time, "json": text}
+
     def save(self, machine: Automaton) -> list:
-        return [(m.start, m.stage, m.taken, m.closed) for m in machine.open]
+        return [(m.start, m.stage, {s: [{"t": e["t"], "json": e["json"]} for e in es] for s, es in m.taken.items()}, m.closed) for m in machine.open]
 
     def _row(self, kind: str, start: int, end: int, taken: dict) -> tuple:
-        return kind, start, end, json.dumps([{"stage": s, "event": json.loads(e["json"])} for s, es in taken.items() for e in es], ensure_ascii=False)
+        return kind, start, end, json.dumps([_shown(s, e) for s, es in taken.items() for e in es], ensure_ascii=False)
 
     def _expired(self, machine: Automaton, time: int) -> Iterator[tuple]:
         limit = self.args[1]
@@ -69,6 +85,45 @@ class _Patterns:
         return min((m.start + self.args[1] for m in machine.open), default=None) if self.args[1] is not None else None
 
 
+class _RepeatThen:
+    """A at least n times, then B; the state is the A's since the last B that lie within the limit."""
+
+    kinds = ("match",)
+
+    def __init__(self, n: int, within: int | None, strict: bool, greedy: bool):
+        self.n, self.within, self.strict, self.greedy = n, within, strict, greedy
+
+    def start(self) -> list:
+        return []
+
+    load = staticmethod(list)
+    save = staticmethod(list)
+
+    @staticmethod
+    def event(time: int, text: str) -> dict:
+        return {"t": time, "json": text}
+
+    def take(self, state: list, time: int, event: dict, flags: list, until: list) -> Iterator[tuple]:
+        state[:] = [e for e in state if self.within is None or time - e["t"] < self.within]
+        is_a, is_b = flags
+        if is_b and not (is_a and (self.greedy or self.strict)):
+            if len(state) >= self.n:
+                yield "match", state[0]["t"], time, json.dumps([_shown("a", e) for e in state] + [_shown("b", event)], ensure_ascii=False)
+            state.clear()
+        if is_a:
+            state.append(event)
+        elif self.strict:
+            state.clear()
+
+    def passed(self, state: list, watermark: int) -> Iterator[tuple]:
+        state[:] = [e for e in state if self.within is None or watermark - e["t"] < self.within]
+        return iter(())
+
+    def deadline(self, state: list) -> int | None:
+        """When the last A is of no more use."""
+        return state[-1]["t"] + self.within if state and self.within is not None else None
+
+
 class _NotBefore:
     """B's without an A in the time before them; the state is the last A and the last alert."""
 
@@ -81,15 +136,19 @@ class _NotBefore:
         return [None, None, None]
 
     load = staticmethod(list)
-    save = staticmethod(list)
+    event = staticmethod(_RepeatThen.event)
+
+    @staticmethod
+    def save(state: list) -> list:
+        return list(state) if any(x is not None for x in state) else []
 
     def take(self, state: list, time: int, event: dict, flags: list, until: list) -> Iterator[tuple]:
         if flags[0]:
             state[0], state[1] = time, event["json"]
         elif flags[1] and (state[0] is None or time - state[0] > self.within) and (self.silence is None or state[2] is None or time - state[2] > self.silence):
             state[2] = time
-            parts = [("b", event["json"])] + ([("a", state[1])] if state[0] is not None else [])
-            yield "alert", time, time, json.dumps([{"stage": s, "event": json.loads(j)} for s, j in parts], ensure_ascii=False)
+            parts = [_shown("b", event)] + ([_shown("a", {"json": state[1]})] if state[0] is not None else [])
+            yield "alert", time, time, json.dumps(parts, ensure_ascii=False)
 
     def passed(self, state: list, watermark: int) -> Iterator[tuple]:
         return iter(())
@@ -100,24 +159,25 @@ class _NotBefore:
 
 def _runner(rule, stages: int) -> Callable:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, saved = pickle.loads(state.get[0]) if state.exists else ([], None)
-        machine = rule.start() if saved is None else rule.load(saved)
+        saved = json.loads(state.get[0]) if state.exists else {"waiting": [], "kept": []}
+        waiting = [tuple(x) for x in saved["waiting"]]
+        machine = rule.load(saved["kept"]) if saved["kept"] else rule.start()
         for f in frames:
-            waiting += list(zip(f["t"], f["tie"], f["json"], f["flags"], strict=True))
+            waiting += list(zip(f["t"].tolist(), f["tie"], f["json"], f["flags"], strict=True))
         watermark, out = state.getCurrentWatermarkMs(), []
         waiting.sort(key=lambda x: (x[0], x[1]))
         ready = 0
         while ready < len(waiting) and waiting[ready][0] <= watermark:
             t, _, text, flags = waiting[ready]
             bits = [c == "1" for c in flags]
-            out += rule.take(machine, int(t), {"t": int(t), "json": text}, bits[:stages], bits[stages:])
+            out += rule.take(machine, t, rule.event(t, text), bits[:stages], bits[stages:])
             ready += 1
         waiting = waiting[ready:]
         out += rule.passed(machine, watermark)
         kept = rule.save(machine)
         nexts = [x for x in (waiting[0][0] if waiting else None, rule.deadline(machine)) if x is not None]
-        if waiting or any(x is not None for x in kept):
-            state.update((pickle.dumps((waiting, kept)),))
+        if waiting or kept:
+            state.update((json.dumps({"waiting": waiting, "kept": kept}, ensure_ascii=False),))
             if nexts:
                 state.setTimeoutTimestamp(max(int(min(nexts)), watermark + 1))
         elif state.exists:
@@ -128,35 +188,74 @@ def _runner(rule, stages: int) -> Callable:
     return run
 
 
-def _run(df: DataFrame, signature: Column, flags: list[Column], stages: int, ts: str, tie: Sequence[str], rule, carry: Sequence[str]) -> DataFrame:
+def _run(df: DataFrame, keys: Sequence[str] | Column, flags: list[Column], stages: int, ts: str, tie: Sequence[str], rule, relation: Sequence[tuple[str, str]] = (), everything: bool = False, lonely: bool = False) -> DataFrame:
+    """``everything``: events that pass no test count too. ``lonely``: an A without a value of a related field stays, and no B relates to it."""
     ship(df.sparkSession)
-    bits = F.concat(*[F.when(total(c), "1").otherwise("0") for c in flags])
+    carry = df.columns
+    signature = keys if isinstance(keys, Column) else group_signature([F.col(k) for k in keys])
     order = F.concat_ws(",", *[F.lpad(F.col(c).cast("string"), 24, "0") for c in tie])
-    rows = df.select(signature.alias("signature"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("t"), order.alias("tie"), F.to_json(F.struct(*carry)).alias("json"), bits.alias("flags"))
-    # a test that isn't deterministic stays above the watermark
-    rows = rows.where(F.col("flags").contains("1") | (F.rand() < 0))
-    return rows.groupBy("signature").applyInPandasWithState(_runner(rule, stages), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def match_stream(df: DataFrame, stages: Sequence[Stage], keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, skip: str = "next", contiguity: str = "relaxed", kinds: Sequence[str] = ("match", "timeout")) -> DataFrame:
-    """Matches and timed-out beginnings of a pattern over a stream with a watermark on ``ts``."""
-    plain = [(s.name, s.low, s.high, s.also) for s in stages]
+    if relation:
+        if stages != 2:
+            raise ValueError("fields are related between two events")
+        rows = df.withColumn("__tw_a", total(flags[0])).withColumn("__tw_b", total(flags[1]))
+        rows = roles(rows, [], relation, lonely=lonely)
+        bits = F.when(F.col("__tw_a"), "1000").otherwise("0100")
+        order = F.concat(order, F.when(F.col("__tw_b"), ",0").otherwise(",1"))
+        related = F.to_json("__tw_k")
+    else:
+        rows, related = df, F.lit("")
+        bits = F.concat(*[F.when(total(c), "1").otherwise("0") for c in flags])
+    rows = rows.select(signature.alias("signature"), related.alias("related"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("t"), order.alias("tie"), F.to_json(F.struct(*carry), _TIMES).alias("json"), bits.alias("flags"))
+    if not everything:
+        # a test that isn't deterministic stays above the watermark
+        rows = rows.where(F.col("flags").contains("1") | (F.rand() < 0))
+    return rows.groupBy("signature", "related").applyInPandasWithState(_runner(rule, stages), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def match_stream(df: DataFrame, stages: Sequence[Stage], keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, skip: str = "next", contiguity: str = "relaxed", kinds: Sequence[str] = ("match", "timeout"), relation: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Matches and timed-out beginnings of a pattern over a stream with a watermark on ``ts``. ``relation``: fields of the first of two stages and of the second that are equal, in any case of letters."""
+    plain = [(s.name, s.low, s.high, s.also, s.greedy) for s in stages]
     flags = [*(s.test for s in stages), *(F.lit(False) if s.until is None else s.until for s in stages)]
     rule = _Patterns(plain, None if within is None else millis(within), skip, contiguity == "strict", tuple(kinds))
-    return _run(df, group_signature([F.col(k) for k in keys]), flags, len(stages), ts, tie, rule, df.columns)
+    return _run(df, keys, flags, len(stages), ts, tie, rule, relation, everything=contiguity == "strict" and not relation, lonely="timeout" in kinds)
 
 
-def followed_by_stream(df: DataFrame, a: Column, b: Column, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, skip: str = "next") -> DataFrame:
-    return match_stream(df, [Stage("a", a), Stage("b", b)], keys, ts, tie, within, skip, kinds=("match",))
+def followed_by_stream(df: DataFrame, a: Column, b: Column, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, skip: str = "next", contiguity: str = "relaxed", relation: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    return match_stream(df, [Stage("a", a), Stage("b", b)], keys, ts, tie, within, skip, contiguity, ("match",), relation)
 
 
-def not_followed_by_stream(df: DataFrame, a: Column, b: Column, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int) -> DataFrame:
+def not_followed_by_stream(df: DataFrame, a: Column, b: Column, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int, relation: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Each A whose time ran out without a B, once the watermark has passed its end."""
-    return match_stream(df, [Stage("a", a), Stage("b", b)], keys, ts, tie, within, "next", kinds=("timeout",))
+    return match_stream(df, [Stage("a", a), Stage("b", b)], keys, ts, tie, within, "next", kinds=("timeout",), relation=relation)
+
+
+def repeated_then_stream(df: DataFrame, a: Column, b: Column, n: int, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, contiguity: str = "relaxed", relation: Sequence[tuple[str, str]] = (), greedy: bool = True) -> DataFrame:
+    """A at least n times, then B."""
+    strict = contiguity == "strict"
+    rule = _RepeatThen(n, None if within is None else millis(within), strict, greedy)
+    return _run(df, keys, [a, b], 2, ts, tie, rule, relation, everything=strict and not relation)
 
 
 def not_before_stream(df: DataFrame, a: Column, b: Column, ts: str, tie: Sequence[str], within: str | int, a_fields: Sequence[str] = (), b_fields: Sequence[str] = (), silence: str | int | None = None) -> DataFrame:
     own = total(a)
     sign = F.when(own, group_signature([F.col(c) for c in a_fields])).otherwise(group_signature([F.col(c) for c in b_fields]))
     rule = _NotBefore(millis(within), None if silence is None else millis(silence))
-    return _run(df, sign, [own, total(b) & ~own], 2, ts, tie, rule, df.columns)
+    return _run(df, sign, [own, total(b) & ~own], 2, ts, tie, rule)
+
+
+def typed(found: DataFrame, events: DataFrame, *stages: str) -> DataFrame:
+    """Matches of ``events`` with their columns: for each stage those of its first event, as ``<stage>_<column>``, and ``times``, the number of events of the first stage."""
+    event = T.StructType([T.StructField("stage", T.StringType()), T.StructField("event", events.schema)])
+    rows = found.withColumn("__tw_e", F.from_json("events", T.ArrayType(event), _TIMES))
+    def of(stage: str) -> Column:
+        return F.filter("__tw_e", lambda e: e["stage"] == stage)
+
+    own = {s: of(s) for s in stages}
+    rows = rows.withColumns({f"__tw_{s}": F.get(c, F.lit(0))["event"] for s, c in own.items()}).withColumn("times", F.size(own[stages[0]]).cast("bigint"))
+    return rows.select("signature", *[F.col(f"__tw_{s}.{c}").alias(f"{s}_{c}") for s in stages for c in events.columns], "times")
+
+
+def typed_events(found: DataFrame, events: DataFrame) -> DataFrame:
+    """``signature`` and the ``events`` of each match, as the general patterns give them in batch."""
+    event = T.StructType([T.StructField("stage", T.StringType()), T.StructField("event", events.schema)])
+    return found.select("signature", F.from_json("events", T.ArrayType(event), _TIMES).alias("events"))
