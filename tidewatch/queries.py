@@ -16,7 +16,7 @@ from tidewatch.functions import predicates, scalars
 from tidewatch.functions.intel import IntelGroups
 from tidewatch.operators import sequences, windows
 from tidewatch.operators.automaton import Stage, match_pattern
-from tidewatch.plans.compiler import compile_rule, fan_out
+from tidewatch.plans.compiler import compile_rule, fan_out, one_pass
 from tidewatch.plans.matchsql import match_recognize
 from tidewatch.plans.rules import Rule
 from tidewatch.shared import scratch
@@ -33,7 +33,10 @@ _SLIM = ["event_id", "ts", "user_id", "event_type", "value"]
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events with addresses; times as timestamps."""
-    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _addressed(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _addressed(df: DataFrame) -> DataFrame:
     part = lambda *cs: F.concat_ws(".", *[c if isinstance(c, str) else c.cast("string") for c in cs])
     return df.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props",
@@ -299,6 +302,14 @@ SELECT user_id::VARCHAR AS user_id, string_agg(event_id::VARCHAR, ',' ORDER BY i
 def repeat_until(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three clicks without a purchase between them; a purchase discards what was begun."""
     df = events(spark, sf_dir).select(*_SLIM)
+    found = sequences.repeated_until(df, _is("click"), _is("purchase"), 3, ["user_id"], "ts", TIE)
+    return found.select(F.col("signature").alias("user_id"), F.array_join(F.transform("events", lambda e: e["event_id"].cast("string")), ",").alias("ids"))
+
+
+@query("repeat_until_automaton", ORACLE_SQL["repeat_until"])
+def repeat_until_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the general automaton."""
+    df = events(spark, sf_dir).select(*_SLIM)
     found = match_pattern(df, [Stage("a", _is("click"), 3, None, until=_is("purchase"))], ["user_id"], "ts", TIE)
     return found.select(F.col("signature").alias("user_id"), F.array_join(F.transform("events", lambda e: e["event"]["event_id"].cast("string")), ",").alias("ids"))
 
@@ -331,6 +342,104 @@ def not_before_silenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("signature", F.col("b_event_id").alias("b_id"), F.col("a_event_id").alias("a_id"))
 
 
+# --- variants of the sequences --------------------------------------------------------
+
+
+@query("followed_by_unkeyed", ORACLE_SQL["followed_by_next"].replace("PARTITION BY user_id ", "").replace("6 hours", "2 hours").replace("SELECT user_id, event_id", "SELECT event_id").replace("event_type = 'view' AND", "event_type = 'view' AND value > 40 AND"))
+def followed_by_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicate text on both sides, no key: shared out by time alone."""
+    df = events(spark, sf_dir).select(*_SLIM)
+    test = lambda text: predicates.where(df, text)
+    found = sequences.followed_by(df, test("event_type = view and value > 40"), test("event_type = purchase"), [], "ts", TIE, "2 hours")
+    return found.select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"))
+
+
+_ALONE = "FROM ev a WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM ev b WHERE b.dst_address = a.src_address AND b.event_type = 'purchase' AND (b.ts, b.event_id) > (a.ts, a.event_id) AND b.ts - a.ts < INTERVAL '48 hours')"
+
+
+@query("not_followed_by_relation", f"SELECT event_id {_ALONE}")
+def not_followed_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = events(spark, sf_dir).select("event_id", "ts", "event_type", "src_address", "dst_address")
+    return sequences.not_followed_by(df, _is("error"), _is("purchase"), [], "ts", TIE, "48 hours", relation=[("src_address", "dst_address")]).select("event_id")
+
+
+_ROLES = """, p AS (SELECT src_address AS k, ts, event_id, true AS a FROM ev WHERE event_type = 'view' UNION ALL SELECT dst_address, ts, event_id, false FROM ev WHERE event_type = 'purchase'),
+r AS (SELECT *, count(*) FILTER (NOT a) OVER (PARTITION BY k ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM p),
+e AS (SELECT k, run, event_id AS b_id, ts AS b_ts FROM r WHERE NOT a)
+"""
+
+
+@query("repeat_then_relation", _EVENTS + _ROLES + "SELECT arg_min(r.event_id, (r.ts, r.event_id)) AS a_id, e.b_id, count(*) AS times FROM r JOIN e USING (k, run) WHERE r.a AND e.b_ts - r.ts < INTERVAL '2000 hours' GROUP BY r.k, r.run, e.b_id HAVING count(*) >= 3")
+def repeat_then_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A{3,} then B, related by an address."""
+    df = events(spark, sf_dir).select("event_id", "ts", "event_type", "src_address", "dst_address")
+    found = sequences.repeated_then(df, _is("view"), _is("purchase"), 3, [], "ts", TIE, "2000 hours", relation=[("src_address", "dst_address")])
+    return found.select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), "times")
+
+
+_GREEDY = _PAST.replace("FILTER (event_type = 'purchase')", "FILTER (event_type = 'purchase' AND value <= 30)").replace("WHERE event_type = 'purchase'", "WHERE event_type = 'purchase' AND value <= 30")
+
+
+@query("repeat_then_greedy", _EVENTS + _GREEDY + "SELECT r.user_id, arg_min(r.event_id, (r.ts, r.event_id)) AS a_id, e.b_id, count(*) AS times FROM r JOIN e USING (user_id, run) WHERE r.value > 30 AND e.b_ts - r.ts < INTERVAL '72 hours' GROUP BY r.user_id, r.run, e.b_id")
+def repeat_then_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A+ greedy then B, where an event can be both."""
+    df = events(spark, sf_dir).select(*_SLIM)
+    found = sequences.repeated_then(df, F.col("value") > 30, _is("purchase"), 1, ["user_id"], "ts", TIE, "72 hours")
+    return found.select(F.col("a_user_id").alias("user_id"), F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), "times")
+
+
+def _recognize(spark: SparkSession, sf_dir: str, measures: str, pattern: str, defines: str, hours: int, skip: str = "PAST LAST ROW") -> DataFrame:
+    events(spark, sf_dir).createOrReplaceTempView("tw_events")
+    return match_recognize(spark, f"SELECT * FROM tw_events MATCH_RECOGNIZE (PARTITION BY user_id ORDER BY ts MEASURES {measures} ONE ROW PER MATCH AFTER MATCH SKIP {skip} PATTERN {pattern} WITHIN INTERVAL '{hours}' HOUR DEFINE {defines}) AS T", ("event_id",))
+
+
+_STRICT_PAIR = """, n AS (SELECT *, lead(event_type) OVER w AS nt, lead(event_id) OVER w AS ni, lead(ts) OVER w AS nts, lead(value) OVER w AS nv, lead(src_address) OVER w AS ns FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+"""
+
+
+@query("match_sql_between", _EVENTS + _STRICT_PAIR + "SELECT user_id, event_id AS first_id, ni AS last_id, nv - value AS more FROM n WHERE event_type = 'view' AND nt = 'purchase' AND nv > value AND nts - ts < INTERVAL '48 hours'")
+def match_sql_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B's definition compares with A; a measure computes with both."""
+    return _recognize(spark, sf_dir, "A.event_id AS first_id, B.event_id AS last_id, B.value - A.value AS more", "(A B)", "A AS A.event_type = 'view', B AS B.event_type = 'purchase' AND B.value > A.value", 48)
+
+
+@query("match_sql_belong", _EVENTS + _STRICT_PAIR + f"SELECT user_id, event_id AS first_id, ni AS last_id FROM n WHERE {_BAD_HOST} AND nt IN ('error', 'signup') AND nts - ts < INTERVAL '240 hours'")
+def match_sql_belong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership in intelligence groups in DEFINE."""
+    _groups(spark).register_sql()
+    return _recognize(spark, sf_dir, "A.event_id AS first_id, B.event_id AS last_id", "(A B)", "A AS belong(A.src_address, 'bad hosts'), B AS belong(B.event_type, 'g2') AND NOT belong(B.src_address, 'nobody')", 240, "TO NEXT ROW")
+
+
+@query("match_sql_last", _EVENTS + _STRICT_RUN + "SELECT n.user_id, arg_min(n.event_id, (n.ts, n.event_id)) AS first_id, arg_max(n.event_id, (n.ts, n.event_id)) AS latest_id, e.b_id AS last_id FROM n JOIN e USING (user_id, run) WHERE n.event_type = 'view' AND e.b_ts - n.ts < INTERVAL '96 hours' GROUP BY n.user_id, n.run, e.b_id HAVING count(*) >= 2")
+def match_sql_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plain column of a repeated variable is its last row's."""
+    return _recognize(spark, sf_dir, "FIRST(A.event_id) AS first_id, A.event_id AS latest_id, LAST(B.event_id) AS last_id", "(A{2,} B)", "A AS A.event_type = 'view', B AS B.event_type = 'purchase'", 96)
+
+
+@query("match_sql_three", ", n AS (SELECT *, lead(event_type) OVER w AS t1, lead(event_type, 2) OVER w AS t2, lead(event_id, 2) OVER w AS i2, lead(ts, 2) OVER w AS ts2 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_id AS first_id, i2 AS last_id FROM n WHERE event_type = 'view' AND t1 = 'click' AND t2 = 'purchase' AND ts2 - ts < INTERVAL '240 hours'")
+def match_sql_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three variables, by the automaton."""
+    return _recognize(spark, sf_dir, "A.event_id AS first_id, C.event_id AS last_id", "(A B C)", "A AS A.event_type = 'view', B AS B.event_type = 'click', C AS C.event_type = 'purchase'", 240)
+
+
+@query("not_before_unkeyed", (_EVENTS + _BEFORE).replace("PARTITION BY user_id ", "").replace("24 hours", "1 hour").replace("event_type = 'view' THEN", "event_type = 'signup' THEN") + "SELECT 'All' AS signature, event_id AS b_id, a_id FROM b")
+def not_before_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No group: one signature for all, still shared out by time."""
+    df = events(spark, sf_dir).select(*_SLIM)
+    found = sequences.not_before(df, predicates.where(df, "event_type = signup"), predicates.where(df, "event_type = purchase"), "ts", TIE, "1 hour")
+    return found.select("signature", F.col("b_event_id").alias("b_id"), F.col("a_event_id").alias("a_id"))
+
+
+@query("not_before_other_fields", """, x AS (SELECT *, CASE WHEN event_type = 'view' THEN user_id WHEN event_type = 'purchase' THEN event_id % 97 END AS g FROM ev),
+n AS (SELECT *, last(CASE WHEN event_type = 'view' THEN {'id': event_id, 't': ts} END IGNORE NULLS) OVER (PARTITION BY g ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM x WHERE g IS NOT NULL)
+SELECT g::VARCHAR AS signature, event_id AS b_id, a.id AS a_id FROM n WHERE event_type = 'purchase' AND (a IS NULL OR ts - a.t > INTERVAL '24 hours')""")
+def not_before_other_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A's and B's grouped by fields of their own."""
+    df = events(spark, sf_dir).select(*_SLIM, (F.col("event_id") % 97).alias("other"))
+    found = sequences.not_before(df, _is("view"), _is("purchase"), "ts", TIE, "24 hours", ["user_id"], ["other"])
+    return found.select("signature", F.col("b_event_id").alias("b_id"), F.col("a_event_id").alias("a_id"))
+
+
 # --- rules --------------------------------------------------------------------------
 
 _RULE = {
@@ -356,6 +465,23 @@ def rule_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].unionByName(counts[1])
 
 
+@query("rule_one_pass", """, d AS (SELECT *, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS w FROM ev)
+SELECT 'any' AS rule, user_id::VARCHAR AS signature, NULL::TIMESTAMP AS window_start, 1.0::DOUBLE AS value FROM ev WHERE value > 90
+UNION ALL SELECT 'count', user_id::VARCHAR, w, count(*)::DOUBLE FROM d GROUP BY user_id, w HAVING count(*) >= 4
+UNION ALL SELECT 'types', event_type, w, count(*)::DOUBLE FROM d WHERE value > 20 GROUP BY event_type, w HAVING count(*) > 2
+UNION ALL SELECT 'sum', 'All', w, sum(round(value))::DOUBLE FROM (SELECT * FROM d WHERE event_type = 'purchase') GROUP BY w HAVING sum(round(value)) > 100""")
+def rule_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several rules over one reading of the events."""
+    day, one = {"value": 1, "unit": "day"}, lambda f: [{"as": "A", "filter": f}]
+    rules = [
+        Rule.from_json({"id": "any", "name": "any", "family": "having_any", "groupBy": ["user_id"], "events": one("value > 90")}),
+        Rule.from_json({"id": "count", "name": "count", "family": "having_count", "groupBy": ["user_id"], "window": day, "having": {"cnt": {"op": ">=", "value": 4}}, "events": one("")}),
+        Rule.from_json({"id": "types", "name": "types", "family": "having_count", "groupBy": ["event_type"], "window": day, "having": {"cnt": {"op": ">", "value": 2}}, "events": one("value > 20")}),
+        Rule.from_json({"id": "sum", "name": "sum", "family": "having_sum", "window": day, "having": {"total": {"field": "amount", "op": ">", "value": 100}}, "events": one("event_type = purchase")}),
+    ]
+    return _naive(one_pass(rules, events(spark, sf_dir).withColumn("amount", F.round("value")))).drop("window_end")
+
+
 # --- projections, functions, sources ---------------------------------------------------
 
 
@@ -388,6 +514,34 @@ def generator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.slim_events(spark, 5000, 10, parallelism=4).groupBy("key", "src_address").agg(F.count("*").alias("cnt"))
 
 
+@query("generator_tuples", "SELECT ((i % 3000 + 1) % 7)::INT AS key, sum(1)::BIGINT AS n FROM range(6000) t(i) GROUP BY ALL")
+def generator_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.tuples(spark, 3000, 7, parallelism=2).groupBy("key").agg(F.sum("one").alias("n"))
+
+
+@query("generator_parsed", "WITH g AS (SELECT (i % 1000 + 1) % 10 AS key, '172.16.100.' || (i % 1000 % 255) AS src_address FROM range(2000) t(i)) SELECT key::INT AS key, 'web attack' AS event_name, src_address, count(*) AS cnt FROM g GROUP BY ALL")
+def generator_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event through JSON text and back."""
+    return generators.parsed_events(spark, 1000, 10, parallelism=2).groupBy("key", "event_name", "src_address").agg(F.count("*").alias("cnt"))
+
+
+@query("match_rendering", ORACLE_SQL["followed_by_strict"].replace("SELECT user_id, event_id AS a_id, ni AS b_id", "SELECT 'A: [{\"event_id\":' || event_id || '}] B: [{\"event_id\":' || ni || '}] ' AS text"))
+def match_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches as text."""
+    df = events(spark, sf_dir).select(*_SLIM)
+    found = sequences.followed_by(df, _is("view"), _is("purchase"), ["user_id"], "ts", TIE, "24 hours", contiguity="strict")
+    return sequences.match_text(found.select("a_event_id", "b_event_id"), "a", "b")
+
+
+@query("field_compare", "SELECT event_id, src_address = dst_address AS same, user_id > event_id % 100 AS more, lower(event_type) = lower(label) AS alike FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE 'other' END AS label FROM ev)")
+def field_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of one event with each other, text without regard to case."""
+    df = events(spark, sf_dir).withColumns({"label": F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise("other"), "rest": F.col("event_id") % 100})
+    e = df.select(F.struct("*").alias("e"))
+    is_so = lambda text: predicates.compile_predicate(predicates.parse(text, ("e",)), predicates.resolver(e))
+    return e.select("e.event_id", is_so("e.src_address = e.dst_address").alias("same"), is_so("e.user_id > e.rest").alias("more"), is_so("e.event_type = e.label").alias("alike"))
+
+
 @query("side_outputs", "SELECT 'errors' AS side, count(*) AS n FROM ev WHERE event_type = 'error' UNION ALL SELECT 'large', count(*) FROM ev WHERE value > 80")
 def side_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lambda part, name: part.agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "n")
@@ -406,11 +560,11 @@ def literal_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams --------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream with a watermark."""
+def _stream(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The events as a stream with a watermark; ``more``: of the addresses."""
     path = f"{sf_dir}/events.parquet"
     df = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
-    return readers.with_event_time(df.select("event_id", "ts", "user_id", "event_type", "value"), "ts")
+    return readers.with_event_time(_addressed(df).select("event_id", "ts", "user_id", "event_type", "value", *more), "ts")
 
 
 def _drained(stream: DataFrame, name: str) -> DataFrame:
@@ -455,3 +609,49 @@ def stream_having_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_count_distinct", "SELECT event_type, w AS window_start, w + INTERVAL '1 day' AS window_end, count(DISTINCT user_id) AS cnt FROM (SELECT *, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS w FROM ev) GROUP BY event_type, w HAVING w + INTERVAL '1 day' <= " + _PASSED)
 def stream_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(_drained(windows.having_count_distinct(_stream(spark, sf_dir), ["event_type"], "ts", "user_id", "1 day"), "distinct"))
+
+
+def _live(rule: dict, spark: SparkSession, sf_dir: str, name: str, *more: str) -> DataFrame:
+    """A declared rule over the stream."""
+    df = _stream(spark, sf_dir, *more)
+    return _drained(compile_rule(Rule.from_json({"name": name, "id": name} | rule), df), name)
+
+
+def _pairs_of(a: str, b: str) -> list[dict]:
+    return [{"as": "A", "filter": f"event_type = {a}"}, {"as": "B", "filter": f"event_type = {b}"}]
+
+
+@query("stream_rule_followed_by", ORACLE_SQL["followed_by_past_last"].replace("WHERE r.event_type", f"WHERE e.b_ts <= {_PASSED} AND r.event_type"))
+def stream_rule_followed_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pair(_live({"family": "followed_by", "groupBy": ["user_id"], "window": {"value": 24, "unit": "hour"}, "events": _pairs_of("view", "purchase")}, spark, sf_dir, "rule_followed"))
+
+
+@query("stream_rule_followed_by_relation", ORACLE_SQL["followed_by_relation"].replace("WHERE a.event_type", f"WHERE b.ts <= {_PASSED} AND a.event_type"))
+def stream_rule_followed_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = {"family": "followed_by", "relation": [["src_address", "dst_address"]], "skip": "next", "window": {"value": 48, "unit": "hour"}, "events": _pairs_of("error", "purchase")}
+    found = _live(rule, spark, sf_dir, "rule_related", "src_address", "dst_address")
+    return found.select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"))
+
+
+@query("stream_rule_not_followed_by_relation", f"SELECT event_id {_ALONE} AND ts + INTERVAL '48 hours' <= {_PASSED}")
+def stream_rule_not_followed_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = {"family": "not_followed_by", "relation": [["src_address", "dst_address"]], "window": {"value": 48, "unit": "hour"}, "events": _pairs_of("error", "purchase")}
+    return _live(rule, spark, sf_dir, "rule_alone", "src_address", "dst_address").select("event_id")
+
+
+@query("stream_rule_not_before", ORACLE_SQL["not_before"] + f" WHERE ts <= {_PASSED}")
+def stream_rule_not_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _live({"family": "not_before", "groupBy": ["user_id"], "window": {"value": 24, "unit": "hour"}, "events": _pairs_of("view", "purchase")}, spark, sf_dir, "rule_unannounced")
+    return found.select("signature", F.col("b_event_id").alias("b_id"), F.col("a_event_id").alias("a_id"))
+
+
+@query("stream_repeat_then", ORACLE_SQL["repeat_then"].replace("WHERE r.event_type", f"WHERE e.b_ts <= {_PASSED} AND r.event_type"))
+def stream_repeat_then(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _live({"family": "repeat_then", "groupBy": ["user_id"], "window": {"value": 72, "unit": "hour"}, "patternRepeat": {"low": 2}, "events": _pairs_of("click", "purchase")}, spark, sf_dir, "rule_repeated")
+    return found.select(F.col("a_user_id").alias("user_id"), F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), "times")
+
+
+@query("stream_repeat_until", ORACLE_SQL["repeat_until"] + f" AND max(ts) <= {_PASSED}")
+def stream_repeat_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _live({"family": "repeat_until", "groupBy": ["user_id"], "patternRepeat": {"low": 3}, "events": _pairs_of("click", "purchase")}, spark, sf_dir, "rule_until")
+    return found.select(F.col("signature").alias("user_id"), F.array_join(F.transform("events", lambda e: e["event"]["event_id"].cast("string")), ",").alias("ids"))
