@@ -13,6 +13,7 @@ the driver and evaluated as built-in expressions.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -225,9 +226,13 @@ def _test(c: Column, kind: T.DataType, op: str, value: str, member: Callable[[Co
         return _equal(c, kind, value)
     if op in _COMPARE:
         try:
-            return _ordered(op, _number(c, kind), F.lit(float(value)))
+            number = float(value)
         except ValueError:
             return F.lit(False)
+        if isinstance(kind, T.IntegralType) and abs(number) < 2**53:
+            # a whole number compares without a cast, which files can filter by
+            return _ordered(op, c, F.lit(math.floor(number) if op in (">", "<=") else math.ceil(number)).cast("bigint"))
+        return _ordered(op, _number(c, kind), F.lit(number))
     if op == "like":
         return F.contains(text, F.lit(value))
     if op == "rlike":
