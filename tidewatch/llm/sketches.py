@@ -1,12 +1,13 @@
 """Document fingerprints as invertible Bloom lookup sketches, in SQL expressions alone.
 
-A text is the set of its paragraphs' 64-bit digests; a paragraph ends at a line end, or
-after a full stop that a blank follows, so a text of one long line has several. The
+A text is the set of its paragraphs' digests. A paragraph is a line; a line of more than
+``LONG_LINE`` characters has one for each sentence, so a text of one long line has
+several (a sentence ends after a full stop that a blank follows). A digest is 44
+bits of a hash below 20 bits that check them. The
 digests are dealt by a hash to blocks, a power of two of them with up to
 ``DIGESTS_A_BLOCK`` digests each on average, so the work stays in proportion to a text
 however long it is. Each block is a sketch of three parts of ``c`` cells; a digest goes
-into one cell of each part, where its count, the exclusive or of the digests and that
-of their check hashes are kept.
+into one cell of each part, where the count and the exclusive or of its digests are kept.
 
 Two sketches of one size are subtracted cell by cell: what both texts have cancels out.
 Peeling recovers the rest: a cell with one digest, proved by the check, gives it away;
@@ -29,7 +30,8 @@ another one are not (0). Ids are numbers or text. Equal ids follow each other by
 hash of the text, and rows equal in both follow each other, each the next one's
 document; null ids come last. A table of one row is its own next document. Rows are
 never dropped. Texts that differ only in the order or repetition of paragraphs have
-equal fingerprints. Two digests that share their low 60 bits (one pair in 2**60) can't
+equal fingerprints. Two different paragraphs of a pair of texts count as one with
+probability 2**-44; two digests of a text that share the low 42 bits and not all 44 can't
 be told apart by any sketch and stop the query.
 """
 
@@ -41,23 +43,30 @@ from pyspark.sql.window import Window
 
 from tidewatch.llm.runtime import ranged, table
 
+LONG_LINE = 600
 DIGESTS_A_BLOCK = 8
 ROUNDS = 32
-_DOUBLINGS = 18
+_DOUBLINGS = 12
+_LOW = (1 << 44) - 1
+_PART_BITS = 14
 _KEY = ["kn", "ki", "kh"]
 
 
 def digests(text: str) -> str:
     """The distinct paragraph digests of a text."""
-    return rf"array_distinct(transform(filter(split(replace({text}, '. ', '.\n'), '\n'), p -> p <> ''), p -> xxhash64(p)))"
+    lines = rf"array_join(transform(split({text}, '\n'), l -> if(length(l) > {LONG_LINE}, replace(l, '. ', '.\n'), l)), '\n')"
+    return rf"array_distinct(transform(filter(split({lines}, '\n'), p -> p <> ''), p -> {_checked('xxhash64(p)')}))"
 
 
-def _place(digest: str, part: str, cells: str) -> str:
-    return f"pmod(shiftrightunsigned({digest}, {part}), {cells})"
+def _checked(digest: str) -> str:
+    """The low 44 bits of a hash, below 20 bits that check them."""
+    low = f"({digest} & {_LOW}L)"
+    return f"({low} | shiftleft(xxhash64({low}, 99), 44))"
 
 
-def _check(digest: str) -> str:
-    return f"shiftrightunsigned(xxhash64({digest}, 99), 32)"
+def _place(digest: str, part: str, cells: str) -> str:
+    """The digest's cell in a part; the parts go by different bits of it."""
+    return f"(shiftrightunsigned({digest}, {_PART_BITS} * {part}) & ({cells} - 1))"
 
 
 def _bind(value: str, name: str, body: str) -> str:
@@ -72,37 +81,44 @@ def _doubled(start: str, size: str, attempt: str, kind: str) -> str:
 
 
 def sketch(of: str, cells: str) -> str:
-    """The cells of a set of digests; the parts are told apart by the bits of the digest they go by."""
-    cell = f"aggregate({of}, named_struct('j', j, 'i', i, 'n', 0L, 'k', 0L, 'g', 0L), (s, d) -> if({_place('d', 'j', cells)} = i, named_struct('j', s.j, 'i', s.i, 'n', s.n + 1L, 'k', s.k ^ d, 'g', s.g ^ {_check('d')}), s))"
-    return f"flatten(transform(array(0, 20, 40), j -> transform(sequence(0, {cells} - 1), i -> {cell})))"
+    """The cells of a set of digests, part after part, each with its number ``i``."""
+    cell = "named_struct('i', j * c0 + i, 'n', size(m), 'k', aggregate(m, 0L, (s, d) -> s ^ d))".replace("c0", cells)
+    mine = f"filter({of}, d -> {_place('d', 'j', cells)} = i)"
+    return f"flatten(transform(array(0, 1, 2), j -> transform(sequence(0, {cells} - 1), i -> {_bind(mine, 'm', cell)})))"
 
 
 def difference(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> named_struct('j', x.j, 'i', x.i, 'n', x.n - y.n, 'k', x.k ^ y.k, 'g', x.g ^ y.g))"
+    return f"zip_with({a}, {b}, (x, y) -> named_struct('i', x.i, 'n', x.n - y.n, 'k', x.k ^ y.k))"
 
 
-_SIGNED = "array<struct<k: bigint, n: bigint>>"
-_CELLS = "array<struct<j: int, i: int, n: bigint, k: bigint, g: bigint>>"
-_BLOCK = f"struct<c: int, s: {_CELLS}>"
-_FULL = "x -> x.n <> 0 OR x.k <> 0 OR x.g <> 0"
+_SIGNED = "array<struct<k: bigint, n: int>>"
+_CELLS = "array<struct<i: int, n: int, k: bigint>>"
+_BLOCK = f"struct<c: int, s: {_CELLS}, h: array<bigint>>"
+_FULL = "x -> x.n <> 0 OR x.k <> 0"
 
 
 def peel(cells: str, size: str, signed: bool = False) -> str:
     """How many digests a difference holds, or null if peeling gets stuck. ``signed``: the digests ``k`` themselves, with ``n`` 1 if the first side has it and -1 if the second."""
-    none, more, kind = (f"cast(array() as {_SIGNED})", "concat(st.f, p)", _SIGNED) if signed else ("0", "st.f + size(p)", "int")
-    alone = f"abs(x.n) = 1 AND {_place('x.k', 'x.j', size)} = x.i AND {_check('x.k')} = x.g"
-    pure = f"array_distinct(transform(filter(st.c, x -> {alone}), x -> named_struct('k', x.k, 'n', x.n)))"
-    without = f"filter(transform(st.c, x -> aggregate(p, x, (s, q) -> if({_place('q.k', 's.j', size)} = s.i, named_struct('j', s.j, 'i', s.i, 'n', s.n - q.n, 'k', s.k ^ q.k, 'g', s.g ^ {_check('q.k')}), s))), {_FULL})"
-    step = _bind(pure, "p", f"if(size(p) = 0, named_struct('c', st.c, 'f', st.f, 'go', false), named_struct('c', {without}, 'f', {more}, 'go', size(st.c) > size(p)))")
+    none, more, kind = (f"cast(array() as {_SIGNED})", "concat(st.f, transform(p, q -> named_struct('k', q.k, 'n', q.n)))", _SIGNED) if signed else ("0", "st.f + size(p)", "int")
+    alone = f"filter(st.c, x -> (x.n = 1 OR x.n = -1) AND x.k = {_checked('x.k')} AND {_place('x.k', f'(x.i div {size})', size)} = x.i % {size})"
+    places = ", ".join(f"'p{j}', cast({_place('d', str(j), size)} as int) + {j} * {size}" for j in range(3))
+    side = lambda n: f"transform(array_distinct(transform(filter(l, x -> x.n = {n}), x -> x.k)), d -> named_struct('k', d, 'n', {n}, {places}))"
+    without = f"filter(transform(st.c, x -> aggregate(p, x, (s, q) -> if(s.i = q.p0 OR s.i = q.p1 OR s.i = q.p2, named_struct('i', s.i, 'n', s.n - q.n, 'k', s.k ^ q.k), s))), {_FULL})"
+    step = _bind(_bind(alone, "l", f"concat({side(1)}, {side(-1)})"), "p", f"if(size(p) = 0, named_struct('c', st.c, 'f', st.f, 'go', false), named_struct('c', {without}, 'f', {more}, 'go', size(st.c) > size(p)))")
     peeled = f"aggregate(sequence(1, {ROUNDS}), named_struct('c', filter({cells}, {_FULL}), 'f', {none}, 'go', true), (st, r) -> if(st.go, {step}, st))"
     return _bind(peeled, "e", f"if(size(e.c) = 0, e.f, cast(null as {kind}))")
 
 
+def _listed(cells: str, size: str) -> str:
+    """The digests of a sketch, or null if it is too small."""
+    return f"transform({peel(cells, size, signed=True)}, x -> x.k)"
+
+
 def _block(of: str) -> str:
-    """The sketch of a block: about two cells a digest, more until it can be peeled by itself."""
+    """The sketch of a block: about two cells a digest, more until it can be peeled by itself; ``h`` is what peeling gives."""
     start = "case when n <= 3 then 2 when n <= 6 then 4 when n <= 12 then 8 when n <= 24 then 16 when n <= 48 then 32 else 64 end"
-    attempt = _bind(sketch("w", "c"), "t", f"if({peel('t', 'c')} IS NULL, cast(null as {_BLOCK}), named_struct('c', c, 's', t))")
-    return _bind(of, "w", _bind(_bind("size(w)", "n", start), "m", _doubled("m", "c", attempt, _BLOCK)))
+    attempt = _bind(sketch("b", "c"), "t", _bind(_listed("t", "c"), "h", f"if(h IS NULL, cast(null as {_BLOCK}), named_struct('c', c, 's', t, 'h', h))"))
+    return _bind(of, "b", _bind(_bind("size(b)", "n", start), "m", _doubled("m", "c", attempt, _BLOCK)))
 
 
 def _bits(of: str) -> str:
@@ -119,24 +135,20 @@ def fingerprint(of: str, bits: str | None = None) -> str:
     return _bind(_bind(split, "v", "named_struct('x', cast(v.x as int), 'y', cast(v.y as int))"), "v", f"flatten(transform(sequence(0, shiftleft(1, v.x) - 1), u1 -> {outer}))")
 
 
-def _listed(block: str) -> str:
-    return f"transform({peel(f'{block}.s', f'{block}.c', signed=True)}, x -> x.k)"
-
-
 def count(blocks: str) -> str:
     """How many digests a fingerprint holds."""
-    return f"aggregate({blocks}, 0L, (t, b) -> t + aggregate(b.s, 0L, (q, x) -> if(x.j = 0, q + x.n, q)))"
+    return f"aggregate({blocks}, 0L, (t, b) -> t + size(b.h))"
 
 
 def differing(a: str, b: str, signed: bool = False) -> str:
     """The number of digests that one of two fingerprints has and the other hasn't; ``signed``: the digests, as from ``peel``."""
     kind = _SIGNED if signed else "int"
-    again = _doubled("w.c", "c", peel(difference(sketch("w.p", "c"), sketch("w.q", "c")), "c", signed), kind)
-    retried = _bind(f"named_struct('p', {_listed('bx')}, 'q', {_listed('by')}, 'c', if(bx.c = by.c, 2 * bx.c, greatest(bx.c, by.c)))", "w", again)
+    again = _doubled("m", "c", peel(difference(sketch("bx.h", "c"), sketch("by.h", "c")), "c", signed), kind)
+    retried = _bind("if(bx.c = by.c, 2 * bx.c, greatest(bx.c, by.c))", "m", again)
     once = _bind("bx.c", "c", peel(difference("bx.s", "by.s"), "c", signed))
     each = f"coalesce(if(bx.c = by.c, {once}, cast(null as {kind})), {retried})"
     # the one with fewer blocks is made again from its digests, with as many as the other
-    grown = lambda p, q: f"if(size({p}) < size({q}), {_bind(f'flatten(transform({p}, by -> {_listed("by")}))', 'l', fingerprint('l', f'cast(round(log2(size({q}))) as int)'))}, {p})"
+    grown = lambda p, q: f"if(size({p}) < size({q}), {_bind(f'flatten(transform({p}, b -> b.h))', 'l', fingerprint('l', f'cast(round(log2(size({q}))) as int)'))}, {p})"
     parts = _bind(f"named_struct('a', {grown(a, b)}, 'b', {grown(b, a)})", "g", f"zip_with(g.a, g.b, (bx, by) -> {each})")
     return f"flatten({parts})" if signed else f"aggregate({parts}, 0, (t, q) -> t + q)"
 
@@ -148,22 +160,24 @@ def likeness(a: str, b: str) -> str:
 
 
 def as_text(blocks: str) -> Column:
-    """A fingerprint as text: for each block the cells a part, then the cells, each as count, digests and checks in hexadecimal; an empty cell is an empty string."""
-    cell = "if(x.n = 0 AND x.k = 0 AND x.g = 0, '', concat_ws('.', hex(x.n), hex(x.k), hex(x.g)))"
+    """A fingerprint as text: for each block the cells a part, then the cells, each as count and digests in hexadecimal; an empty cell is an empty string."""
+    cell = "if(x.n = 0 AND x.k = 0, '', concat_ws('.', hex(x.n), hex(x.k)))"
     return F.expr(f"lower(array_join(transform({blocks}, b -> concat(b.c, ';', array_join(transform(b.s, x -> {cell}), ','))), '|'))")
 
 
 def from_text(text: str) -> str:
     """The blocks of a fingerprint's text form."""
     number = lambda k: f"coalesce(cast(conv(get(p, {k}), 16, -10) as bigint), 0L)"
-    cell = _bind("split(x, '[.]')", "p", f"named_struct('j', 20 * cast(r div c as int), 'i', cast(r % c as int), 'n', {number(0)}, 'k', {number(1)}, 'g', {number(2)})")
-    block = _bind("cast(get(split(b, ';'), 0) as int)", "c", f"named_struct('c', c, 's', transform(split(get(split(b, ';'), 1), ','), (x, r) -> {cell}))")
+    cell = _bind("split(x, '[.]')", "p", f"named_struct('i', r, 'n', cast({number(0)} as int), 'k', {number(1)})")
+    cells = f"transform(split(get(split(b, ';'), 1), ','), (x, r) -> {cell})"
+    block = _bind("cast(get(split(b, ';'), 0) as int)", "c", _bind(cells, "t", f"named_struct('c', c, 's', t, 'h', {_listed('t', 'c')})"))
     return f"transform(split({text}, '[|]'), b -> {block})"
 
 
-def likeness_of_texts(a: str, b: str) -> Column:
-    """``likeness`` of two fingerprints in text form."""
-    return F.expr(_bind(from_text(a), "fa", _bind(from_text(b), "fb", likeness("fa", "fb"))))
+def likeness_of_texts(df: DataFrame, a: str, b: str, name: str = "likeness") -> DataFrame:
+    """``df`` with the ``likeness`` of the fingerprints whose text form is in the columns ``a`` and ``b``."""
+    read = df.withColumns({"tw_fa": F.expr(from_text(a)), "tw_fb": F.expr(from_text(b))})
+    return read.withColumn(name, F.expr(likeness("tw_fa", "tw_fb"))).drop("tw_fa", "tw_fb")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
