@@ -13,8 +13,7 @@ theirs, so that no rule needs all events in one task. An event that can be both
 comes before itself as B, so it never follows itself.
 
 NOT BEFORE looks back without a limit. What a stretch needs of those before it is the
-last A alone, so A's are aggregated to one time a stretch before anything is shuffled,
-and only A's in stretches that hold a B are looked at one by one.
+last A alone, so one A of each stretch is carried on to the next ones of its group.
 """
 
 from __future__ import annotations
@@ -237,23 +236,17 @@ def not_before(df: DataFrame, a: Column, b: Column, ts: str, tie: Sequence[str],
     """
     limit, place = millis(within) * 1000, ["signature", "__tw_s"]
     t, event = F.col("__tw_t"), F.struct("__tw_t", *df.columns)
-    timed = df.where(F.col(ts).isNotNull()).withColumn("__tw_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__tw_s", _stretch(t, max(1, limit) * STRETCH))
-    firsts = timed.where(a).withColumn("signature", group_signature([F.col(c) for c in a_fields]))
-    seconds = timed.where(b & ~total(a)).withColumn("signature", group_signature([F.col(c) for c in b_fields]))
-    asked = seconds.select(*place).distinct()
-    # A's beside a B, one by one
-    near = firsts.join(asked, place, "left_semi").withColumn("__tw_a", F.lit(True)).unionByName(seconds.withColumn("__tw_a", F.lit(False)))
+    rows = df.where(F.col(ts).isNotNull()).withColumn("__tw_a", total(a)).where(F.col("__tw_a") | total(b)).withColumn("__tw_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    sign = F.when(F.col("__tw_a"), group_signature([F.col(c) for c in a_fields])).otherwise(group_signature([F.col(c) for c in b_fields]))
+    rows = rows.withColumn("signature", sign).withColumn("__tw_s", _stretch(t, max(1, limit) * STRETCH)).repartition(*place)
     before = Window.partitionBy(*place).orderBy("__tw_t", *tie).rowsBetween(Window.unboundedPreceding, -1)
-    seen = near.withColumn("__tw_n", F.last(F.when(F.col("__tw_a"), event), ignorenulls=True).over(before)).where(~F.col("__tw_a"))
-    # of all others, the last time in each stretch
-    latest = firsts.groupBy(*place).agg(F.max("__tw_t").alias("__tw_m")).unionByName(asked.withColumn("__tw_m", F.lit(None).cast("bigint"))).groupBy(*place).agg(F.max("__tw_m").alias("__tw_m"))
-    carried = F.last("__tw_m", ignorenulls=True).over(Window.partitionBy("signature").orderBy("__tw_s").rowsBetween(Window.unboundedPreceding, -1))
-    alerts = seen.join(latest.select(*place, carried.alias("__tw_l")), place, "left")
-    alerts = alerts.where(~total(t - F.coalesce("__tw_n.__tw_t", "__tw_l") <= limit)).withColumn("b", F.struct(*df.columns))
-    # the event itself, if it lies in an earlier stretch
-    far = alerts.where("__tw_n IS NULL AND __tw_l IS NOT NULL").select("signature", F.col("__tw_l").alias("__tw_t")).distinct()
-    whole = firsts.join(far, ["signature", "__tw_t"], "left_semi").groupBy("signature", F.col("__tw_t").alias("__tw_l")).agg(F.max(F.struct(*tie, event.alias("e"))).alias("__tw_f"))
-    alerts = alerts.join(whole, ["signature", "__tw_l"], "left").withColumn("a", F.coalesce("__tw_n", "__tw_f.e"))
+    seen = rows.withColumn("a", F.last(F.when(F.col("__tw_a"), event), ignorenulls=True).over(before))
+    seen = seen.where(~F.col("__tw_a") & ~total(t - F.col("a.__tw_t") <= limit)).withColumn("b", F.struct(*df.columns))
+    # of each stretch the last A alone is carried on
+    latest = rows.groupBy(*place).agg(F.max(F.when(F.col("__tw_a"), F.struct("__tw_t", *tie, event.alias("e")))).alias("l"))
+    carried = F.last("l.e", ignorenulls=True).over(Window.partitionBy("signature").orderBy("__tw_s").rowsBetween(Window.unboundedPreceding, -1))
+    alerts = seen.join(latest.select(*place, carried.alias("c")), place, "left").withColumn("a", F.coalesce("a", "c"))
+    alerts = alerts.where(~total(t - F.col("a.__tw_t") <= limit))
     out = _flat(alerts, df.columns, "b", "a", extra=["signature"])
     return out if silence is None else silenced(out, F.col("signature"), f"b_{ts}", [f"b_{c}" for c in tie], silence)
 
