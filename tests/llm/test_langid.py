@@ -60,3 +60,35 @@ def test_tables_agree_with_the_convolution(docs):
         n = K.WINDOW - w + 1
         want.append(sum(vec[:, i : i + n] @ model.conv[w][i] for i in range(w)).max(axis=1))
     assert np.allclose(model.features(x), np.concatenate(want, axis=1), atol=1e-4)
+
+
+def test_the_gradient_against_differences():
+    rng = np.random.default_rng(3)
+    p = {"emb": rng.normal(0, 0.5, (256, K.BYTE_DIMS)), "out": rng.normal(0, 0.2, (len(K.WIDTHS) * K.FILTERS, 3)), "bias": rng.normal(0, 0.1, len(K.WIDTHS) * K.FILTERS), "out_bias": rng.normal(0, 0.1, 3)}
+    p |= {f"c{w}": rng.normal(0, 0.3, (w, K.BYTE_DIMS, K.FILTERS)) for w in K.WIDTHS}
+    b, want, weight = rng.integers(97, 123, (5, K.WINDOW)), np.array([0, 1, 2, 1, 0]), rng.random(5)
+    grad = K._gradient(p, b, want, weight, np.float64)[1]
+    for name, v in p.items():
+        for at in rng.integers(0, v.size, 6):
+            if name == "emb":
+                at = 97 * K.BYTE_DIMS + at % (26 * K.BYTE_DIMS)
+            losses = []
+            for step in (1e-6, -1e-6):
+                moved = v.copy()
+                moved.flat[at] += step
+                losses.append(K._gradient(p | {name: moved}, b, want, weight, np.float64)[0])
+            assert abs((losses[0] - losses[1]) / 2e-6 - grad[name].flat[at]) < 1e-4, name
+
+
+def test_many_labels_are_bounded(spark, monkeypatch):
+    rows = [(k, "some words of text", f"l{k % 40:02d}" if k % 3 else "en") for k in range(600)]
+    monkeypatch.setattr(K, "LANGUAGES", 5)
+    assert len({lang for lang, _ in K.sample(frame(spark, rows))}) == 5
+
+
+def test_what_is_near_chance_goes(spark, docs):
+    model = K.train(K.sample(docs))
+    assert K.reject_below(model) == 1 / 4 + 0.05
+    flat = K.ByteCNN(model.langs, model.emb, model.conv, model.bias, np.zeros_like(model.out), np.zeros_like(model.out_bias))
+    names, scores = K._answers(flat, ["some text"])
+    assert scores[0] < K.reject_below(flat)

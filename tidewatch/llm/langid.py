@@ -11,8 +11,8 @@ unfolded into tables for single bytes and byte pairs; a window then costs a few
 table lookups for each byte.
 
 Training takes a bounded sample of the labelled rows: about ``ROWS_A_LANGUAGE``
-for each language, drawn by a hash of the id, and ``WINDOWS_A_ROW`` windows of
-each, spread over the whole text. Prediction reads every byte of every text.
+for each of the ``LANGUAGES`` most frequent languages, drawn by a hash of the id, and
+``WINDOWS_A_ROW`` windows of each, spread over the whole text. Prediction reads every byte of every text.
 
 Defined results: null text and text without a letter give ``und`` with score 0;
 so does every text if there is no labelled row to learn from. Rows are neither
@@ -38,11 +38,12 @@ FILTERS = 16
 BYTE_DIMS = 8
 ROWS_A_LANGUAGE = 600
 WINDOWS_A_ROW = 4
+LANGUAGES = 256
 EPOCHS = 8
 FOLDS = 5
 UNKNOWN = "und"
-#: Below this mean probability the pipeline rejects a document; with C languages, chance is 1/C.
-REJECT_BELOW = 0.3
+#: The pipeline rejects a document whose mean probability is no more than this above chance, which is 1/C with C languages.
+REJECT_MARGIN = 0.05
 _BATCH = 128
 
 
@@ -100,6 +101,39 @@ def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(n, WINDOW), sizes
 
 
+def _gradient(p: dict[str, np.ndarray], b: np.ndarray, want: np.ndarray, weight: np.ndarray, kind: type = np.float32) -> tuple[float, dict[str, np.ndarray]]:
+    """Weighted loss of windows ``b`` with languages ``want``, and its gradient by each parameter."""
+    vec = p["emb"].astype(kind)[b]
+    tops, where = [], []
+    for w in WIDTHS:
+        n = WINDOW - w + 1
+        cols = np.concatenate([vec[:, i : i + n] for i in range(w)], axis=2).reshape(-1, w * BYTE_DIMS)
+        answer = (cols @ p[f"c{w}"].reshape(w * BYTE_DIMS, FILTERS).astype(kind)).reshape(len(b), n, FILTERS)
+        at = answer.argmax(axis=1)
+        where.append(at)
+        tops.append(np.take_along_axis(answer, at[:, None], axis=1)[:, 0])
+    pre = np.concatenate(tops, axis=1) + p["bias"]
+    hidden = np.maximum(pre, 0)
+    logits = hidden @ p["out"] + p["out_bias"]
+    prob = np.exp(logits - logits.max(axis=1, keepdims=True))
+    prob /= prob.sum(axis=1, keepdims=True)
+    loss = -(np.log(prob[np.arange(len(b)), want]) * weight).sum()
+    prob[np.arange(len(b)), want] -= 1
+    d = prob * weight[:, None]
+    g = {"out": hidden.T @ d, "out_bias": d.sum(axis=0)}
+    back = (d @ p["out"].T) * (pre > 0)
+    g["bias"], g["emb"] = back.sum(axis=0), np.zeros_like(p["emb"])
+    for k, w in enumerate(WIDTHS):
+        part, g[f"c{w}"] = back[:, k * FILTERS : (k + 1) * FILTERS], np.zeros_like(p[f"c{w}"])
+        for i in range(w):
+            by_byte = np.zeros((256, FILTERS))
+            np.add.at(by_byte, (np.take_along_axis(b, where[k] + i, axis=1), np.arange(FILTERS)[None]), part)
+            g[f"c{w}"][i] = p["emb"].T @ by_byte
+            g["emb"] += by_byte @ p[f"c{w}"][i].T
+    g["emb"][0] = 0
+    return loss, g
+
+
 def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> ByteCNN | None:
     """Fit the net to (language, piece of text) pairs with Adam; None without samples."""
     if not samples:
@@ -119,33 +153,7 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -
         for s in range(0, len(order), _BATCH):
             pick = order[s : s + _BATCH]
             b, want = x[pick].astype(np.int64), y[pick]
-            vec = p["emb"].astype(np.float32)[b]
-            tops, where = [], []
-            for w in WIDTHS:
-                n = WINDOW - w + 1
-                cols = np.concatenate([vec[:, i : i + n] for i in range(w)], axis=2).reshape(-1, w * BYTE_DIMS)
-                answer = (cols @ p[f"c{w}"].reshape(w * BYTE_DIMS, FILTERS).astype(np.float32)).reshape(len(b), n, FILTERS)
-                at = answer.argmax(axis=1)
-                where.append(at)
-                tops.append(np.take_along_axis(answer, at[:, None], axis=1)[:, 0])
-            pre = np.concatenate(tops, axis=1) + p["bias"]
-            hidden = np.maximum(pre, 0)
-            logits = hidden @ p["out"] + p["out_bias"]
-            prob = np.exp(logits - logits.max(axis=1, keepdims=True))
-            prob /= prob.sum(axis=1, keepdims=True)
-            prob[np.arange(len(b)), want] -= 1
-            d = prob * weight[want][:, None] / len(b)
-            g = {"out": hidden.T @ d, "out_bias": d.sum(axis=0)}
-            back = (d @ p["out"].T) * (pre > 0)
-            g["bias"], g["emb"] = back.sum(axis=0), np.zeros_like(p["emb"])
-            for k, w in enumerate(WIDTHS):
-                part, g[f"c{w}"] = back[:, k * FILTERS : (k + 1) * FILTERS], np.zeros_like(p[f"c{w}"])
-                for i in range(w):
-                    by_byte = np.zeros((256, FILTERS))
-                    np.add.at(by_byte, (np.take_along_axis(b, where[k] + i, axis=1), np.arange(FILTERS)[None]), part)
-                    g[f"c{w}"][i] = p["emb"].T @ by_byte
-                    g["emb"] += by_byte @ p[f"c{w}"][i].T
-            g["emb"][0] = 0
+            g = _gradient(p, b, want, weight[want] / len(b))[1]
             step += 1
             for name, v in g.items():
                 mean[name] = 0.9 * mean[name] + 0.1 * v
@@ -162,12 +170,11 @@ def _fold(doc_id: Column) -> Column:
 def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """The bounded training sample: (language, piece) from rows that are not held out."""
     rows = docs.select(F.col(doc_id).alias("i"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t")).where((_fold(F.col("i")) != 0) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
     if not counts:
         return []
-    share = F.lit(0.0)
-    for name, n in sorted(counts.items()):
-        share = F.when(F.col("l") == name, F.lit(min(1.0, ROWS_A_LANGUAGE / n))).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(1.0, ROWS_A_LANGUAGE / n))])
+    share = F.coalesce(F.try_element_at(shares, F.col("l")), F.lit(0.0))
     draw = F.pmod(F.xxhash64("i"), F.lit(1_000_003)) / 1_000_003
     n = F.length("t")
     room = F.greatest(n - WINDOW, F.lit(0))
@@ -235,11 +242,16 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.withColumnsRenamed({"__tw_lang": "lang_pred", "__tw_score": "score"})
 
 
+def reject_below(model: ByteCNN) -> float:
+    return min(1.0, 1 / len(model.langs) + REJECT_MARGIN)
+
+
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents whose language is recognised, with their columns; a missing ``lang`` is filled in.
 
-    Rejected: no letter at all, or a mean probability under ``REJECT_BELOW``. Without any labelled row nothing is
-    learned, and only documents without a letter go.
+    Rejected: no letter at all, or a mean probability under ``reject_below``. A language that wasn't learned often
+    scores higher than that: the net knows no others. Without any labelled row nothing is learned, and only documents
+    without a letter go.
     """
     model = train(sample(docs, text=text, lang=lang))
     names = docs.columns
@@ -247,7 +259,7 @@ def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     if model is None:
         kept = found.where(F.col(f"c{names.index(text)}").rlike(r"\p{L}"))
     else:
-        kept = found.where((F.col("__tw_lang") != UNKNOWN) & (F.col("__tw_score") >= REJECT_BELOW))
+        kept = found.where((F.col("__tw_lang") != UNKNOWN) & (F.col("__tw_score") >= reject_below(model)))
     filled = F.coalesce(F.col(f"c{names.index(lang)}"), F.when(F.col("__tw_lang") != UNKNOWN, F.col("__tw_lang")))
     return kept.select(*[(filled if c == lang else F.col(f"c{k}")).alias(c) for k, c in enumerate(names)])
 
