@@ -23,10 +23,12 @@ Rows are neither dropped nor merged; null and repeated ids pass through.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +86,8 @@ def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
 
 
 def _holds(key: Column, level: int, f: Level) -> Column:
-    words = F.array(*[F.lit(w) for w in f.words])
+    # one literal for the whole filter, however many words it has
+    words = F.lit(np.array(f.words, np.int64))
     test = F.lit(True)
     for p in _positions(key, level, f.bits, f.hashes):
         test = test & (F.call_function("shiftright", F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
@@ -100,7 +103,7 @@ def contains(key: Column, cascade: Sequence[Level]) -> Column:
 
 
 def _local(spark: SparkSession, keys: Sequence[str]) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in keys])).alias("key"))
+    return spark.createDataFrame([(k,) for k in keys], "key string")
 
 
 def _filter(spark: SparkSession, keys: Sequence[str], level: int, hashes: int) -> Level:
@@ -129,7 +132,7 @@ def build_cascade(universe: DataFrame, listed: Sequence[str], size: int) -> list
     hashes = max(1, math.ceil(math.log2(max(2.0, size / len(listed)))))
     while True:
         first = _filter(spark, listed, 0, hashes)
-        mistaken = [r["key"] for r in universe.where(_holds(F.col("key"), 0, first) & ~F.col("key").isin(listed)).distinct().limit(bound + 1).collect()]
+        mistaken = [r["key"] for r in universe.where(_holds(F.col("key"), 0, first) & ~F.array_contains(F.lit(list(listed)), F.col("key"))).distinct().limit(bound + 1).collect()]
         if len(mistaken) <= bound:
             break
         hashes += 4
