@@ -3,12 +3,15 @@ import gzip
 import hashlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from tidewatch.llm import warc as K
 from tidewatch.llm.runtime import scratch
 
 ROWS = [(1, "http://a b\r\nc", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (None, "u", "x"), (None, "u", "only"), (None, "v", "only"), (5, "é", "é\r\n\r\nWARC/1.1\r\n"), (2, "z", "x"), (2, "z", "y"), (9, "big", "<p>" * 400_000), (10, "big", "<p>" * 400_000)]
+# larger than what is read at once, compressed too
+ROWS.append((11, "wide", "".join(map(chr, np.random.default_rng(0).integers(33, 0x2FF, 2_000_000)))))
 
 
 def expected(rows, least):

@@ -15,7 +15,8 @@ Defined results: null html is an empty payload. Null ids count as smaller than a
 others; rows that share payload and the largest id, and all rows of a group whose ids
 are all null, are responses. A null URL is written as ``urn:page:`` and the id. Rows
 are never dropped, repeated or not. An empty table gives an empty manifest. Other
-columns are ignored.
+columns are ignored. A payload, however long, is held whole by the task that writes or
+reads its record.
 """
 
 from __future__ import annotations
@@ -103,11 +104,11 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, roll: int, le
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 page, is_page, sha1, url, html, refers_to, refers_url = r
+                if not is_page:  # the decision about an id and payload comes before its pages
+                    decided, at_id = {sha1: (refers_to, refers_url)}, page
+                    continue
                 if page != at_id:
                     decided, at_id = {}, page
-                if not is_page:  # the decisions about an id come before its pages
-                    decided[sha1] = (refers_to, refers_url)
-                    continue
                 html = html or b""
                 if now is None:
                     now, first = start(), page
@@ -134,7 +135,10 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     none = F.lit(None)
     whole = rows.select("page_id", F.lit(True).alias("is_page"), none.cast("string").alias("sha1"), "url", "html", none.cast("bigint").alias("refers_to"), none.cast("string").alias("refers_url"))
     decisions = revisits.select("page_id", F.lit(False).alias("is_page"), "sha1", none.cast("string").alias("url"), none.cast("binary").alias("html"), "refers_to", "refers_url")
-    dealt = whole.unionByName(decisions).repartitionByRange("page_id").sortWithinPartitions("page_id", "is_page", F.sha1("html"), "url")
+    every = whole.unionByName(decisions)
+    # by payload too, so that pages without an id, however many, are shared out
+    keyed = every.withColumn("k", F.coalesce("sha1", F.sha1("html"))).repartitionByRange("page_id", "k")
+    dealt = keyed.sortWithinPartitions("page_id", "k", "is_page", "url").select(*every.columns)
     dealt.mapInArrow(lambda b: _write_batches(b, f"{folder}/files", roll, level), _MANIFEST).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
