@@ -84,8 +84,6 @@ SELECT w, list(tok ORDER BY pos) AS ids FROM t WHERE tok IS NOT NULL GROUP BY w
 class SqlBpe(Pieces):
     """Encoder and decoder over one rank file; texts are cut into pieces as for other byte-level encoders."""
 
-    most_kept = 500_000
-
     def __init__(self, path: str, pattern: str):
         super().__init__(True)
         self.split = regex.compile(pattern)

@@ -38,12 +38,13 @@ class Pieces:
     drops white space and lower-cases by itself, and both may be unified before.
     """
 
-    #: Pieces kept in a worker; all go when there are more.
-    most_kept = 800_000
+    #: Pieces kept in a worker. When there are more they become the older ones, and of those before only the ones met since stay.
+    most_kept = 400_000
 
     def __init__(self, spaces_matter: bool):
         self.spaces_matter = spaces_matter
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         """The ids of a text that can't be cut."""
@@ -86,8 +87,15 @@ class Pieces:
         words = lists.flatten().dictionary_encode()
         lookup, index = words.dictionary.to_pylist(), words.indices.to_numpy()
         if len(self.kept) > self.most_kept:
-            self.kept.clear()
-        self._learn([p for p in lookup if p not in self.kept])
+            self.kept, self.older = {}, self.kept
+        new = []
+        for p in lookup:
+            if p not in self.kept:
+                if (ids := self.older.get(p)) is None:
+                    new.append(p)
+                else:
+                    self.kept[p] = ids
+        self._learn(new)
         chunks = [self.kept[p] for p in lookup]
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks)) // 4
         pool, starts = np.frombuffer(b"".join(chunks), np.uint32), np.cumsum(lengths) - lengths
