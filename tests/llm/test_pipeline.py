@@ -1,5 +1,7 @@
 """The pipeline against its stages done plainly, and its queries against their SQL."""
 
+import zlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +38,9 @@ def test_stages(spark):
 
 def test_run(spark):
     got = C.run(spark, DIR)
-    assert got.count() > 0 and got.columns == packing.pack(frame(spark), packing.tokenizer_path()).columns
+    assert got.columns == packing.pack(frame(spark), packing.tokenizer_path(), with_ids=True).columns
+    rows = got.collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
     assert C.ORACLE_SQL is None
 
 
