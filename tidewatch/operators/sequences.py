@@ -61,9 +61,9 @@ class Ordered:
         self.carry = df.columns
         self.within = None if within is None else millis(within) * 1000
         self.tie = list(tie)
-        rows = df.where(F.col(ts).isNotNull()).withColumn("__tw_a", total(a)).withColumn("__tw_b", total(b)).withColumn("__tw_t", F.unix_micros(F.col(ts).cast("timestamp")))
-        if not everything:
-            rows = rows.where("__tw_a OR __tw_b")
+        # the bare tests, as files can filter by them
+        some = df.where(F.col(ts).isNotNull() if everything else F.col(ts).isNotNull() & (a | b))
+        rows = some.withColumn("__tw_a", total(a)).withColumn("__tw_b", total(b)).withColumn("__tw_t", F.unix_micros(F.col(ts).cast("timestamp")))
         if relation:
             rows = roles(rows, keys, relation, ignore_case)
         else:
@@ -236,7 +236,7 @@ def not_before(df: DataFrame, a: Column, b: Column, ts: str, tie: Sequence[str],
     """
     limit, place = millis(within) * 1000, ["signature", "__tw_s"]
     t, event = F.col("__tw_t"), F.struct("__tw_t", *df.columns)
-    rows = df.where(F.col(ts).isNotNull()).withColumn("__tw_a", total(a)).where(F.col("__tw_a") | total(b)).withColumn("__tw_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = df.where(F.col(ts).isNotNull() & (a | b)).withColumn("__tw_a", total(a)).withColumn("__tw_t", F.unix_micros(F.col(ts).cast("timestamp")))
     sign = F.when(F.col("__tw_a"), group_signature([F.col(c) for c in a_fields])).otherwise(group_signature([F.col(c) for c in b_fields]))
     rows = rows.withColumn("signature", sign).withColumn("__tw_s", _stretch(t, max(1, limit) * STRETCH)).repartition(*place)
     before = Window.partitionBy(*place).orderBy("__tw_t", *tie).rowsBetween(Window.unboundedPreceding, -1)
