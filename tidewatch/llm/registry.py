@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, langid, packing, pii, simhash, sketches, tokenstore, topk, urlfilter, warc
+from tidewatch.llm import bpe, langid, packing, pii, simhash, sketches, tokenstore, topk, urlfilter, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": simhash.op1_simhash_neardup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_spans": pii.op8_pii_spans,
     "op9_warc": warc.op9_warc,
     "op10_language_id": langid.op10_language_id,
+    "op11_whitening": whitening.op11_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
