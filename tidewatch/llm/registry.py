@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, langid, lexical, packing, pii, simhash, sketches, tokenstore, topk, urlfilter, warc, whitening
+from tidewatch.llm import bpe, contexttree, langid, lexical, packing, pii, simhash, sketches, tokenstore, topk, urlfilter, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": simhash.op1_simhash_neardup,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": warc.op9_warc,
     "op10_language_id": langid.op10_language_id,
     "op11_whitening": whitening.op11_whitening,
+    "op12_context_tree": contexttree.op12_context_tree,
     "op13_lexical_search": lexical.op13_lexical_search,
 }
 
