@@ -2,9 +2,15 @@
 
 Events wait in the state of their key until the watermark has passed them and are then
 taken in event order, so a stream gives the matches that a batch over the same events
-gives. What waits is bounded by the lateness, open matches by the time limit: a timer
-at the next event or deadline wakes the key even if it gets no more events. The state
-is JSON text, so a checkpoint doesn't depend on the version of the code.
+gives. What waits is bounded by the lateness, open matches by the time limit: an event-time
+timer at the next event or deadline wakes the key even if it gets no more events.
+
+The state is kept by ``transformWithState`` in parts of their own: the events of a batch
+that must wait are put once, as a few entries of a map, and removed once; an open match,
+each event that it has taken, and the A's of a loop are entries too. A batch
+writes what it adds and removes, never a key's whole state, and events of
+a match are read only when it ends. The state store is RocksDB with a log of changes,
+which the first of these rules sets for its session (``RocksDBStateStoreProvider``).
 
 Only events that pass some test reach the state (all of the key, where neighbours
 count), but they are filtered above the watermark, so other events still move time.
@@ -17,13 +23,12 @@ be both comes once in each part, as B first.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.functions.scalars import group_signature, total
 from tidewatch.operators.automaton import Automaton, Stage, _Open
@@ -32,165 +37,290 @@ from tidewatch.operators.windows import millis
 from tidewatch.shipping import ship
 
 _OUT = "signature string, kind string, start_ms bigint, end_ms bigint, events string"
-_STATE = "data string"
 _TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+#: Events of an entry of the map of waiting events.
+_ENTRY = 512
 
 
 def _shown(stage: str, event: dict) -> dict:
     return {"stage": stage, "event": json.loads(event["json"])}
 
 
+class _Taken:
+    """The events of a match's stage: those in the state, read when asked for, and those added since."""
+
+    def __init__(self, read=None, stored: int = 0):
+        self.read, self.stored, self.more, self._old = read, stored, [], None
+
+    def __len__(self) -> int:
+        return self.stored + len(self.more)
+
+    def __iter__(self) -> Iterator[dict]:
+        if self._old is None:
+            self._old = [self.read(k) for k in range(self.stored)]
+        yield from self._old
+        yield from self.more
+
+    def __getitem__(self, at):
+        return list(self)[at]
+
+    def append(self, event: dict) -> None:
+        self.more.append(event)
+
+
+class _Dict(dict):
+    """Stages' events; a stage's first event makes its list."""
+
+    def setdefault(self, name, _=None):
+        if name not in self:
+            self[name] = _Taken()
+        return self[name]
+
+
 class _Patterns:
     """Matches, and open matches whose time is up, of one key."""
 
     def __init__(self, stages, within, skip, strict, kinds):
         self.args, self.kinds = (stages, within, strict, skip == "past_last"), kinds
+        self.reads_fields = any(stage[3] for stage in stages)
 
-    def start(self) -> Automaton:
-        return Automaton(*self.args)
-
-    def load(self, saved: list) -> Automaton:
-        out = self.start()
-        out.open = [_Open(start, stage, {s: [self.event(e["t"], e["json"]) for e in es] for s, es in taken.items()}, closed) for start, stage, taken, closed in saved]
-        return out
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getMapState("open", "id bigint", "start bigint, stage int, closed boolean, counts array<int>")
+        self.taken = handle.getMapState("taken", "id bigint, stage int, number int", "t bigint, json string")
 
     def event(self, time: int, text: str) -> dict:
-        """What the state keeps of an event; conditions on earlier events see its fields too, as in its JSON."""
-        fields = json.loads(text) if any(stage[3] for stage in self.args[0]) else {}
-        return fields | {"t": time, "json": text}
-
-    def save(self, machine: Automaton) -> list:
-        return [(m.start, m.stage, {s: [{"t": e["t"], "json": e["json"]} for e in es] for s, es in m.taken.items()}, m.closed) for m in machine.open]
+        """Conditions on earlier events see an event's fields, as in its JSON."""
+        return (json.loads(text) if self.reads_fields else {}) | {"t": time, "json": text}
+
+    def begin(self, serial: int) -> None:
+        self.machine, self.serial, self.known = Automaton(*self.args), serial, {}
+        names = [x[0] for x in self.args[0]]
+        for (i,), (start, stage, closed, counts) in sorted(self.open.iterator()) if self.open.exists() else ():
+            read = lambda k, i=i, at=0: self.event(*self.taken.getValue((i, at, k)))
+            events = _Dict({names[at]: _Taken(lambda k, at=at, read=read: read(k, at=at), n) for at, n in enumerate(counts) if n})
+            self.machine.open.append(m := _Open(start, stage, events, closed))
+            self.known[id(m)] = (i, m, (stage, closed), list(counts))
+
+    def end(self) -> int | None:
+        names = [x[0] for x in self.args[0]]
+        left = {id(m) for m in self.machine.open}
+        for key, (i, _, _, counts) in self.known.items():
+            if key not in left:
+                self.open.removeKey((i,))
+                for at, n in enumerate(counts):
+                    for k in range(n):
+                        self.taken.removeKey((i, at, k))
+        for m in self.machine.open:
+            i, _, was, counts = self.known.get(id(m), (None, m, None, [0] * len(names)))
+            if i is None:
+                i, self.serial = self.serial, self.serial + 1
+            now = [len(m.taken.get(name, ())) for name in names]
+            for at, name in enumerate(names):
+                events = m.taken.get(name, ())
+                for k, e in enumerate(getattr(events, "more", events), counts[at]):
+                    self.taken.updateValue((i, at, k), (e["t"], e["json"]))
+            if was != (m.stage, m.closed) or now != counts:
+                self.open.updateValue((i,), (m.start, m.stage, m.closed, now))
+        return min((m.start + self.args[1] for m in self.machine.open), default=None) if self.args[1] is not None else None
+
+    @property
+    def empty(self) -> bool:
+        return not self.machine.open
 
     def _row(self, kind: str, start: int, end: int, taken: dict) -> tuple:
         return kind, start, end, json.dumps([_shown(s, e) for s, es in taken.items() for e in es], ensure_ascii=False)
 
-    def _expired(self, machine: Automaton, time: int) -> Iterator[tuple]:
+    def passed(self, time: int) -> Iterator[tuple]:
         limit = self.args[1]
         if limit is not None:
-            late = [m for m in machine.open if time - m.start >= limit]
-            machine.open = [m for m in machine.open if time - m.start < limit]
-            for m in late:
+            late = [m for m in self.machine.open if time - m.start >= limit]
+            self.machine.open = [m for m in self.machine.open if time - m.start < limit]
+            for m in late if "timeout" in self.kinds else ():
                 yield self._row("timeout", m.start, m.start + limit, m.taken)
 
-    def take(self, machine: Automaton, time: int, event: dict, flags: list, until: list) -> Iterator[tuple]:
-        yield from self._expired(machine, time)
-        for taken in machine.step(time, event, flags, until):
-            yield self._row("match", min(e["t"] for es in taken.values() for e in es), time, taken)
-
-    def passed(self, machine: Automaton, watermark: int) -> Iterator[tuple]:
-        yield from self._expired(machine, watermark)
-
-    def deadline(self, machine: Automaton) -> int | None:
-        return min((m.start + self.args[1] for m in machine.open), default=None) if self.args[1] is not None else None
+    def take(self, time: int, text: str, flags: list, until: list) -> Iterator[tuple]:
+        yield from self.passed(time)
+        for taken in self.machine.step(time, self.event(time, text), flags, until):
+            if "match" in self.kinds:
+                yield self._row("match", min(e["t"] for es in taken.values() for e in es), time, taken)
 
 
 class _RepeatThen:
-    """A at least n times, then B; the state is the A's since the last B that lie within the limit."""
+    """A at least n times, then B; the state is the A's since the last B."""
 
     kinds = ("match",)
 
     def __init__(self, n: int, within: int | None, strict: bool, greedy: bool):
         self.n, self.within, self.strict, self.greedy = n, within, strict, greedy
 
-    def start(self) -> list:
-        return []
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getListState("taken", "t bigint, json string")
+        self.held = handle.getValueState("held", "stored bigint, useful bigint, last bigint")
 
-    load = staticmethod(list)
-    save = staticmethod(list)
+    def begin(self, serial: int) -> None:
+        self.serial, self.fresh, self.forgotten = serial, [], False
+        self.stored, self.useful, self.last = self.was = self.held.get() or (0, 0, None)
 
-    @staticmethod
-    def event(time: int, text: str) -> dict:
-        return {"t": time, "json": text}
+    def _since(self) -> list[tuple]:
+        return [*(self.taken.get() if self.stored and not self.forgotten else ()), *self.fresh]
 
-    def take(self, state: list, time: int, event: dict, flags: list, until: list) -> Iterator[tuple]:
-        state[:] = [e for e in state if self.within is None or time - e["t"] < self.within]
+    def _forget(self) -> None:
+        self.fresh, self.forgotten, self.last = [], True, None
+
+    def take(self, time: int, text: str, flags: list, until: list) -> Iterator[tuple]:
         is_a, is_b = flags
         if is_b and not (is_a and (self.greedy or self.strict)):
-            if len(state) >= self.n:
-                yield "match", state[0]["t"], time, json.dumps([_shown("a", e) for e in state] + [_shown("b", event)], ensure_ascii=False)
-            state.clear()
+            usable = [e for e in self._since() if self.within is None or time - e[0] < self.within] if self.last is not None else []
+            if len(usable) >= self.n:
+                yield "match", usable[0][0], time, json.dumps([_shown("a", {"json": e[1]}) for e in usable] + [_shown("b", {"json": text})], ensure_ascii=False)
+            self._forget()
         if is_a:
-            state.append(event)
+            self.fresh.append((time, text))
+            self.last = time
         elif self.strict:
-            state.clear()
+            self._forget()
 
-    def passed(self, state: list, watermark: int) -> Iterator[tuple]:
-        state[:] = [e for e in state if self.within is None or watermark - e["t"] < self.within]
+    def passed(self, time: int) -> Iterator[tuple]:
+        if self.last is not None and self.within is not None and time - self.last >= self.within:
+            self._forget()
+        self.time = time
         return iter(())
 
-    def deadline(self, state: list) -> int | None:
-        """When the last A is of no more use."""
-        return state[-1]["t"] + self.within if state and self.within is not None else None
+    @property
+    def empty(self) -> bool:
+        return self.last is None
+
+    def end(self) -> int | None:
+        """When the last A is of no more use. A's that no B can use any more go once they outnumber the others, so that each is moved once at most."""
+        kept = 0 if self.forgotten else self.stored
+        if self.forgotten and self.stored:
+            self.taken.clear()
+        if self.within is not None and kept + len(self.fresh) > 2 * self.useful + 16 and self.last is not None:
+            live = [e for e in self._since() if self.time - e[0] < self.within]
+            self.taken.put(live)
+            now = (len(live), len(live), self.last)
+        else:
+            if self.fresh:
+                self.taken.appendList(self.fresh)
+            now = (kept + len(self.fresh), 0 if self.forgotten else self.useful, self.last)
+        if self.last is None:
+            if self.was[2] is not None:
+                self.held.clear()
+            return None
+        if now != self.was:
+            self.held.update(now)
+        return self.last + self.within if self.within is not None else None
 
 
 class _NotBefore:
     """B's without an A in the time before them; the state is the last A and the last alert."""
 
     kinds = ("alert",)
+    empty = True
 
     def __init__(self, within: int, silence: int | None):
         self.within, self.silence = within, silence
 
-    def start(self) -> list:
-        return [None, None, None]
-
-    load = staticmethod(list)
-    event = staticmethod(_RepeatThen.event)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "a bigint, json string, alert bigint")
 
-    @staticmethod
-    def save(state: list) -> list:
-        return list(state) if any(x is not None for x in state) else []
+    def begin(self, serial: int) -> None:
+        self.serial = serial
+        self.a, self.json, self.alert = self.was = self.state.get() or (None, None, None)
 
-    def take(self, state: list, time: int, event: dict, flags: list, until: list) -> Iterator[tuple]:
+    def take(self, time: int, text: str, flags: list, until: list) -> Iterator[tuple]:
         if flags[0]:
-            state[0], state[1] = time, event["json"]
-        elif flags[1] and (state[0] is None or time - state[0] > self.within) and (self.silence is None or state[2] is None or time - state[2] > self.silence):
-            state[2] = time
-            parts = [_shown("b", event)] + ([_shown("a", {"json": state[1]})] if state[0] is not None else [])
+            self.a, self.json = time, text
+        elif flags[1] and (self.a is None or time - self.a > self.within) and (self.silence is None or self.alert is None or time - self.alert > self.silence):
+            self.alert = time
+            parts = [_shown("b", {"json": text})] + ([_shown("a", {"json": self.json})] if self.a is not None else [])
             yield "alert", time, time, json.dumps(parts, ensure_ascii=False)
 
-    def passed(self, state: list, watermark: int) -> Iterator[tuple]:
+    def passed(self, time: int) -> Iterator[tuple]:
         return iter(())
 
-    def deadline(self, state: list) -> int | None:
+    def end(self) -> int | None:
+        if (now := (self.a, self.json, self.alert)) != self.was:
+            self.state.update(now)
         return None
 
 
-def _runner(rule, stages: int) -> Callable:
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        saved = json.loads(state.get[0]) if state.exists else {"waiting": [], "kept": []}
-        waiting = [tuple(x) for x in saved["waiting"]]
-        machine = rule.load(saved["kept"]) if saved["kept"] else rule.start()
-        for f in frames:
-            waiting += list(zip(f["t"].tolist(), f["tie"], f["json"], f["flags"], strict=True))
-        watermark, out = state.getCurrentWatermarkMs(), []
-        waiting.sort(key=lambda x: (x[0], x[1]))
-        ready = 0
-        while ready < len(waiting) and waiting[ready][0] <= watermark:
-            t, _, text, flags = waiting[ready]
+class _Sequence(StatefulProcessor):
+    """Lets the events of a key wait for the watermark and gives them to the rule in order."""
+
+    def __init__(self, rule, stages: int):
+        self.rule, self.stages = rule, stages
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "first bigint, last bigint, number bigint", "t array<bigint>, tie array<string>, json array<string>, flags array<string>")
+        # the watermark up to which events were taken, the next number to give, and the timer
+        self.clock = handle.getValueState("clock", "done bigint, serial bigint, timer bigint")
+        self.rule.init(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        return self._turn(key, [(r["t"], r["tie"], r["json"], r["flags"]) for r in rows], timerValues.getCurrentWatermarkInMs(), None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._turn(key, [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _turn(self, key, fresh: list[tuple], watermark: int, fired: int | None) -> Iterator[Row]:
+        done, serial, timer = was = self.clock.get() or (None, 0, None)
+        ready, nexts = [], []
+        for entry in list(self.waiting.keys()) if done is not None else ():
+            if entry[0] > watermark:
+                nexts.append(entry[0])
+                continue
+            events = list(zip(*self.waiting.getValue(entry), strict=True))
+            ready += [e for e in events if done < e[0] <= watermark]
+            if entry[1] <= watermark:
+                self.waiting.removeKey(entry)
+            else:
+                nexts.append(min(e[0] for e in events if e[0] > watermark))
+        ready += [e for e in fresh if e[0] <= watermark]
+        later = sorted(e for e in fresh if e[0] > watermark)
+        for k in range(0, len(later), _ENTRY):
+            some = later[k : k + _ENTRY]
+            self.waiting.updateValue((some[0][0], some[-1][0], serial), tuple(map(list, zip(*some, strict=True))))
+            nexts.append(some[0][0])
+            serial += 1
+        out = []
+        rule = self.rule
+        rule.begin(serial)
+        for t, _, text, flags in sorted(ready, key=lambda e: (e[0], e[1])):
             bits = [c == "1" for c in flags]
-            out += rule.take(machine, t, rule.event(t, text), bits[:stages], bits[stages:])
-            ready += 1
-        waiting = waiting[ready:]
-        out += rule.passed(machine, watermark)
-        kept = rule.save(machine)
-        nexts = [x for x in (waiting[0][0] if waiting else None, rule.deadline(machine)) if x is not None]
-        if waiting or kept:
-            state.update((json.dumps({"waiting": waiting, "kept": kept}, ensure_ascii=False),))
-            if nexts:
-                state.setTimeoutTimestamp(max(int(min(nexts)), watermark + 1))
-        elif state.exists:
-            state.remove()
-        rows = [x for x in out if x[0] in rule.kinds]
-        yield pd.DataFrame({"signature": [key[0]] * len(rows), **{c: [r[k] for r in rows] for k, c in enumerate(("kind", "start_ms", "end_ms", "events"))}})
-
-    return run
+            out += rule.take(t, text, bits[: self.stages], bits[self.stages :])
+        out += rule.passed(watermark)
+        deadline = rule.end()
+        if deadline is not None:
+            nexts.append(deadline)
+        wake = max(min(nexts), watermark + 1) if nexts else None
+        if wake != timer:
+            if timer is not None and timer != fired:
+                self.handle.deleteTimer(timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        if nexts or not rule.empty:
+            now = (watermark, rule.serial, wake)
+            # without waiting events the time up to which they were taken is of no matter
+            if now[1:] != was[1:] or done is None or nexts and now[0] != done:
+                self.clock.update(now)
+        elif done is not None:
+            self.clock.clear()
+        for kind, start, end, events in out:
+            if kind in rule.kinds:
+                yield Row(signature=key[0], kind=kind, start_ms=start, end_ms=end, events=events)
 
 
 def _run(df: DataFrame, keys: Sequence[str] | Column, flags: list[Column], stages: int, ts: str, tie: Sequence[str], rule, relation: Sequence[tuple[str, str]] = (), everything: bool = False, lonely: bool = False) -> DataFrame:
     """``everything``: events that pass no test count too. ``lonely``: an A without a value of a related field stays, and no B relates to it."""
     ship(df.sparkSession)
+    for name, value in _STORE.items():
+        df.sparkSession.conf.set(name, value)
     carry = df.columns
     signature = keys if isinstance(keys, Column) else group_signature([F.col(k) for k in keys])
     order = F.concat_ws(",", *[F.lpad(F.col(c).cast("string"), 24, "0") for c in tie])
@@ -209,7 +339,7 @@ def _run(df: DataFrame, keys: Sequence[str] | Column, flags: list[Column], stage
     if not everything:
         # a test that isn't deterministic stays above the watermark
         rows = rows.where(F.col("flags").contains("1") | (F.rand() < 0))
-    return rows.groupBy("signature", "related").applyInPandasWithState(_runner(rule, stages), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("signature", "related").transformWithState(_Sequence(rule, stages), _OUT, "append", "eventTime")
 
 
 def match_stream(df: DataFrame, stages: Sequence[Stage], keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, skip: str = "next", contiguity: str = "relaxed", kinds: Sequence[str] = ("match", "timeout"), relation: Sequence[tuple[str, str]] = ()) -> DataFrame:
