@@ -18,6 +18,7 @@ from tidewatch.operators import sequences, windows
 from tidewatch.operators.automaton import Stage, match_pattern
 from tidewatch.plans.compiler import compile_rule, fan_out, one_pass
 from tidewatch.plans.matchsql import match_recognize
+from tidewatch.plans.multirule import one_scan
 from tidewatch.plans.rules import Rule
 from tidewatch.shared import scratch
 from tidewatch.sources import generators, readers, sinks
@@ -482,6 +483,49 @@ def rule_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(one_pass(rules, events(spark, sf_dir).withColumn("amount", F.round("value")))).drop("window_end")
 
 
+#: Thresholds of the rules that share a scan: seven rules for each.
+_LEVELS = 15
+
+
+def _seven(v: int) -> list[Rule]:
+    day, test = {"value": 1, "unit": "day"}, f"value > {v * 6}"
+    limit = lambda n: {"value": n, "unit": "hour"}
+    one, two = lambda f: [{"as": "A", "filter": f}], lambda a, b: [{"as": "A", "filter": a}, {"as": "B", "filter": b}]
+    by_user = {"groupBy": ["user_id"]}
+    made = {
+        "count": {"family": "having_count", "window": day, "slide": limit(8), "having": {"cnt": {"op": ">=", "value": 3}}, "events": one(test)} | by_user,
+        "distinct": {"family": "having_count_distinct", "groupBy": ["event_type"], "window": day, "having": {"cnt": {"field": "user_id", "op": ">", "value": 2}}, "events": one(test)},
+        "next": {"family": "followed_by", "skip": "next", "window": limit(6), "events": two(f"event_type = view and {test}", "event_type = purchase")} | by_user,
+        "past": {"family": "followed_by", "window": limit(24), "events": two("event_type = view", f"event_type = purchase and {test}")} | by_user,
+        "alone": {"family": "not_followed_by", "relation": [["src_address", "dst_address"]], "window": limit(48), "events": two(f"event_type = error and {test}", "event_type = purchase")},
+        "before": {"family": "not_before", "window": limit(24), "events": two("event_type = view", f"event_type = purchase and {test}")} | by_user,
+        "loop": {"family": "repeat_then", "patternRepeat": {"low": 2}, "window": limit(72), "events": two(f"event_type = click and {test}", "event_type = purchase")} | by_user,
+    }
+    return [Rule.from_json({"id": f"{name} {v}", "name": name} | d) for name, d in made.items()]
+
+
+@query("rule_one_scan_sequences", f""", e AS (SELECT *, event_type = 'view' AS view, event_type = 'purchase' AS buy, value > v * 6 AS more FROM ev, (SELECT range AS v FROM range({_LEVELS}))),
+h AS (SELECT *, time_bucket(INTERVAL '8 hours', ts, TIMESTAMP '1970-01-01') - unnest([0, 1, 2]) * INTERVAL '8 hours' AS w FROM e WHERE more),
+n AS (SELECT *, first(CASE WHEN buy THEN {{'id': event_id, 't': ts}} END IGNORE NULLS) OVER (PARTITION BY v, user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b,
+  last(CASE WHEN view THEN ts END IGNORE NULLS) OVER (PARTITION BY v, user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
+  count(*) FILTER (buy AND more) OVER (PARTITION BY v, user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run,
+  count(*) FILTER (buy) OVER (PARTITION BY v, user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS all_run FROM e),
+r AS (
+  SELECT 'count ' || v AS rule, user_id::VARCHAR AS signature, w AS window_start, count(*)::DOUBLE AS value, NULL::BIGINT AS a_id, NULL::BIGINT AS b_id FROM h GROUP BY v, user_id, w HAVING count(*) >= 3
+  UNION ALL SELECT 'distinct ' || v, event_type, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS w, count(DISTINCT user_id)::DOUBLE, NULL, NULL FROM e WHERE more GROUP BY v, event_type, w HAVING count(DISTINCT user_id) > 2
+  UNION ALL SELECT 'next ' || v, user_id::VARCHAR, NULL, NULL, event_id, b.id FROM n WHERE view AND more AND b.t - ts < INTERVAL '6 hours'
+  UNION ALL SELECT 'past ' || n.v, n.user_id::VARCHAR, NULL, NULL, arg_min(n.event_id, (n.ts, n.event_id)), x.event_id FROM n JOIN n x ON x.v = n.v AND x.user_id = n.user_id AND x.run = n.run AND x.buy AND x.more WHERE n.view AND x.ts - n.ts < INTERVAL '24 hours' GROUP BY n.v, n.user_id, x.event_id
+  UNION ALL SELECT 'alone ' || v, 'All', NULL, NULL, event_id, NULL FROM e a WHERE event_type = 'error' AND more AND NOT EXISTS (SELECT 1 FROM ev b WHERE b.dst_address = a.src_address AND b.event_type = 'purchase' AND (b.ts, b.event_id) > (a.ts, a.event_id) AND b.ts - a.ts < INTERVAL '48 hours')
+  UNION ALL SELECT 'before ' || v, user_id::VARCHAR, NULL, NULL, NULL, event_id FROM n WHERE buy AND more AND (a IS NULL OR ts - a > INTERVAL '24 hours')
+  UNION ALL SELECT 'loop ' || n.v, n.user_id::VARCHAR, NULL, count(*)::DOUBLE, arg_min(n.event_id, (n.ts, n.event_id)), x.event_id FROM n JOIN n x ON x.v = n.v AND x.user_id = n.user_id AND x.all_run = n.all_run AND x.buy WHERE n.event_type = 'click' AND n.more AND x.ts - n.ts < INTERVAL '72 hours' GROUP BY n.v, n.user_id, x.event_id HAVING count(*) >= 2
+) SELECT * FROM r""")
+def rule_one_scan_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a hundred rules of seven families, three ways to group and a relation, over one reading of the events."""
+    df = events(spark, sf_dir).drop("props")
+    found = one_scan([r for v in range(_LEVELS) for r in _seven(v)], df)
+    return _naive(found).select("rule", "signature", "window_start", "value", F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"))
+
+
 # --- projections, functions, sources ---------------------------------------------------
 
 
