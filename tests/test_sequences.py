@@ -150,3 +150,15 @@ def test_empty_and_missing(spark):
     assert [r.b_id for r in Q.not_before(untimed, A, B, "ts", TIE, "3 seconds", ["key"], ["key"]).collect()] == [1]
     text = Q.match_text(Q.followed_by(seq(spark, "ab").select("id", "ts", "kind"), A, B, [], "ts", TIE).select("a_id", "b_id"), "a", "b").first()[0]
     assert text == 'A: [{"id":0}] B: [{"id":1}] '
+
+
+def test_a_hot_key_costs_its_number_of_rows(spark):
+    """150,000 events of one key within one limit: frames that are gone through anew for every row would take minutes."""
+    import time
+
+    df = spark.range(150_000).select(F.col("id"), F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("id")).alias("ts"), F.lit("u").alias("key"), F.when(F.col("id") % 50_000 == 49_999, "b").otherwise("a").alias("kind"))
+    began = time.time()
+    assert Q.followed_by(df, A, B, ["key"], "ts", TIE, "10 minutes").count() == 149_997
+    assert Q.not_followed_by(df, A, B, ["key"], "ts", TIE, "10 seconds").count() == 149_997 - 3 * 9_999
+    assert [r.times for r in Q.repeated_then(df, A, B, 2, ["key"], "ts", TIE, "10 minutes").collect()] == [49_999] * 3
+    assert time.time() - began < 60

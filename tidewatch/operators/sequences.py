@@ -88,6 +88,14 @@ class Ordered:
     def over(self) -> WindowSpec:
         return Window.partitionBy("__tw_k", "__tw_s").orderBy("__tw_t", *self.tie, F.col("__tw_b").desc())
 
+    def back(self) -> WindowSpec:
+        """From the last row to the first: a frame that grows with every row costs its number of rows, where one that shrinks is gone through anew for each."""
+        return Window.partitionBy("__tw_k", "__tw_s").orderBy(*[F.col(c).desc() for c in ("__tw_t", *self.tie)], "__tw_b")
+
+    def upcoming(self, c: Column, itself: bool = False) -> Column:
+        """The next value of ``c`` that isn't null, after the row or (``itself``) from it on."""
+        return F.last(c, ignorenulls=True).over(self.back().rowsBetween(Window.unboundedPreceding, Window.currentRow if itself else -1))
+
     def event(self) -> Column:
         return F.struct("__tw_t", *self.carry)
 
@@ -113,9 +121,7 @@ def followed_by(df: DataFrame, a: Column, b: Column, keys: Sequence[str], ts: st
         return _flat(got.where("__tw_own AND __tw_a AND b IS NOT NULL").withColumn("a", o.event()).where(o.valid(F.col("a.__tw_t"), F.col("b.__tw_t"))), o.carry, "a", "b")
     o = Ordered(df, a, b, keys, ts, tie, within, relation, ignore_case)
     if skip == "next":
-        rows = o.stretched(back=False)
-        ahead = o.over().rowsBetween(1, Window.unboundedFollowing)
-        got = rows.withColumn("b", F.first(F.when(F.col("__tw_b"), o.event()), ignorenulls=True).over(ahead))
+        got = o.stretched(back=False).withColumn("b", o.upcoming(F.when(F.col("__tw_b"), o.event())))
         return _flat(got.where("__tw_own AND __tw_a AND b IS NOT NULL").withColumn("a", o.event()).where(o.valid(F.col("a.__tw_t"), F.col("b.__tw_t"))), o.carry, "a", "b")
     if skip != "past_last":
         raise ValueError("skip is next or past_last")
@@ -141,9 +147,8 @@ def _runs(o: Ordered, greedy: bool = False) -> DataFrame:
     if greedy:
         rows = rows.withColumn("__tw_b", F.col("__tw_b") & ~F.col("__tw_a"))
     before = o.over().rowsBetween(Window.unboundedPreceding, -1)
-    ahead = o.over().rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rows = rows.withColumn("__tw_run", F.coalesce(F.sum(F.col("__tw_b").cast("int")).over(before), F.lit(0)))
-    rows = rows.withColumn("__tw_bt", F.first(F.when(F.col("__tw_b"), F.col("__tw_t")), ignorenulls=True).over(ahead))
+    rows = rows.withColumn("__tw_bt", o.upcoming(F.when(F.col("__tw_b"), F.col("__tw_t")), itself=True))
     rows = rows.where(F.col("__tw_bt").isNotNull()).withColumn("__tw_end", F.col("__tw_b"))
     both = F.col("__tw_a") & F.col("__tw_b")
     # an event can't follow itself: as the end of a run it isn't its first
@@ -164,7 +169,7 @@ def repeated_then(df: DataFrame, a: Column, b: Column, n: int, keys: Sequence[st
         # rows that are no A end a run of A's; the run's next row decides
         other = F.sum((~F.col("__tw_a")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
         rows = rows.withColumn("__tw_run", F.coalesce(other, F.lit(0))).withColumn("__tw_end", F.col("__tw_b") & ~F.col("__tw_a"))
-        ends = F.first(F.when(~F.col("__tw_a"), F.struct(F.col("__tw_b").alias("b"), F.col("__tw_t").alias("t"))), ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        ends = o.upcoming(F.when(~F.col("__tw_a"), F.struct(F.col("__tw_b").alias("b"), F.col("__tw_t").alias("t"))), itself=True)
         rows = rows.withColumn("__tw_x", ends).where("__tw_x.b").withColumn("__tw_bt", F.col("__tw_x.t"))
     else:
         rows = _runs(o, greedy)
@@ -179,8 +184,7 @@ def repeated_then(df: DataFrame, a: Column, b: Column, n: int, keys: Sequence[st
 def not_followed_by(df: DataFrame, a: Column, b: Column, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int, relation: Sequence[tuple[str, str]] = (), ignore_case: bool = True) -> DataFrame:
     """Each A without a B in the time limit after it, with all its columns. An A whose related field is missing has no B."""
     o = Ordered(df, a, b, keys, ts, tie, within, relation, ignore_case)
-    ahead = o.over().rowsBetween(1, Window.unboundedFollowing)
-    got = o.stretched(back=False).withColumn("__tw_next", F.first(F.when(F.col("__tw_b"), F.col("__tw_t")), ignorenulls=True).over(ahead))
+    got = o.stretched(back=False).withColumn("__tw_next", o.upcoming(F.when(F.col("__tw_b"), F.col("__tw_t"))))
     alone = got.where(F.col("__tw_own") & F.col("__tw_a") & ~total(F.col("__tw_next") - F.col("__tw_t") < o.within)).select(*o.carry)
     if relation:
         missing = F.lit(False)
