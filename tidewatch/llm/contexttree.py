@@ -35,6 +35,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,12 +45,13 @@ from pyspark.sql.window import Window
 
 from tidewatch.llm.runtime import ship, spill, table
 
+#: Bytes of context, six at most.
 DEPTH = 5
 CHUNK_BYTES = 32 << 20
 FOLDS, HELD_OUT = 7, 2
 END = 0xFF
 _PIECE = 1 << 20
-_BLOB = 2 << 20
+_BLOB = 1 << 20
 _GRAMS_A_BUCKET = 1 << 19
 #: Nodes of this many bytes and more are added up by bucket; those above, by decision.
 _GROUP = 3
@@ -75,18 +77,20 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def grams_of(data: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of pieces that lie one after another, each after its ``depth`` bytes of context, and the pieces' numbers.
+    """The n-grams of pieces that lie one after another, each after its ``depth`` bytes of context (six at most), and which of them lie in one piece.
 
-    An n-gram has the last byte before first, then those further back, then the byte itself.
+    An n-gram has the last byte before first, then those further back, then the byte itself. The n-gram at k ends at byte k + depth.
     """
-    key = np.zeros(max(0, len(data) - depth), np.int64)
-    wide = data.astype(np.int64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    # eight bytes at every place, the first lowest, so that the context's bytes already lie as they should
+    eight = np.ndarray((max(0, len(data) - depth),), "<u8", padded, 0, (1,))
+    low = np.uint64(8 * depth)
+    keys = ((eight & ((np.uint64(1) << low) - np.uint64(1))) << np.uint64(8) | (eight >> low & np.uint64(255))).view(np.int64)
+    inside = np.ones(len(keys), bool)
     for back in range(1, depth + 1):
-        key = key << 8 | wide[depth - back : len(data) - back]
-    key = key << 8 | wide[depth:]
-    piece = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(data)]))[depth:]
-    inside = np.arange(depth, len(data)) - starts[piece] >= depth
-    return key[inside], piece[inside]
+        inside[starts[1:] - back] = False
+    return keys, inside
 
 
 def _decision(x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,9 +253,9 @@ class _Chunk:
             self.others.update(found)
 
     def grams(self, data: np.ndarray, starts: np.ndarray, trains: np.ndarray) -> None:
-        keys, piece = grams_of(data, starts, self.depth)
-        learn = trains[piece]
-        for part, weight in ((keys[learn], 1), (keys[~learn], 0)):
+        keys, inside = grams_of(data, starts, self.depth)
+        learn = np.repeat(trains, np.diff(np.r_[starts, len(data)]))[self.depth :]
+        for part, weight in ((keys[inside & learn], 1), (keys[inside & ~learn], 0)):
             if len(part):
                 distinct, n = np.unique(part, return_counts=True)
                 self.met.append((distinct, n * weight))
@@ -371,21 +375,48 @@ def probabilities(grams: DataFrame, upper: DataFrame, depth: int) -> DataFrame:
     return grams.groupBy("bucket").cogroup(near.groupBy("there")).applyInArrow(ask, "asked bigint, lp double")
 
 
+_ANSWERS = "to bigint, grams binary, lps binary, words array<binary>, counts array<bigint>"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers (chunk, n-gram, lp) or (chunk, word, count) as a row for each chunk of a batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        to = b.column(0).to_numpy()
+        order = np.argsort(to, kind="stable")
+        to = to[order]
+        starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        stops = np.r_[starts[1:], len(to)]
+        n = len(starts)
+        if b.schema.names[1] == "word":
+            lists = [pa.ListArray.from_arrays(pa.array(np.r_[starts, len(to)].astype(np.int32)), b.column(k).take(pa.array(order))) for k in (1, 2)]
+            own = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *lists]
+        else:
+            gram, lp = (b.column(k).to_numpy()[order] for k in (1, 2))
+            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(starts.tolist(), stops.tolist(), strict=True)], pa.binary())
+            own = [cut(gram), cut(lp), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.list_(pa.int64()))]
+        yield pa.record_batch([pa.array(to[starts]), *own], ["to", "grams", "lps", "words", "counts"])
+
+
 def _score(texts: pa.Table, answers: pa.Table, depth: int, kind: pa.DataType) -> pa.Table:
     """A chunk's pieces, each with its tokens, known tokens, the sum of log10(count + 1), and log10 of its probability."""
-    gram = answers.filter(answers["lp"].is_valid())
-    order = np.argsort(gram["gram"].to_numpy())
-    keys, lp = gram["gram"].to_numpy()[order], gram["lp"].to_numpy()[order]
-    word = answers.filter(answers["lp"].is_null())
-    plus = np.log10(word["c"].to_numpy() + 1.0).tolist()
-    worth = dict(zip(word["word"].to_pylist(), plus, strict=True))
+    keys, lp = (np.frombuffer(b"".join(x.as_py() for x in answers[c] if x.is_valid), t) for c, t in (("grams", np.int64), ("lps", np.float64)))
+    place, lp = pd.Index(keys), np.append(lp, np.nan)  # an n-gram without an answer would show
+    worth = {}
+    for words, counts in zip(answers["words"], answers["counts"], strict=True):
+        if words.is_valid:
+            worth.update(zip(words.values.to_pylist(), np.log10(counts.values.to_numpy() + 1.0).tolist(), strict=True))
     rows, ids, held, numbers = [], [], [], []
-    for r in texts.select(["rows", "ids", "held", "sizes", "ends", "data"]).to_pylist():
+    for at in range(texts.num_rows):
+        r = {c: texts[c][at].as_py() for c in ("rows", "ids", "held", "sizes", "ends", "data")}
         data = pa.decompress(r["data"], sum(r["sizes"]), codec="zstd", asbytes=True)
         sizes = np.array(r["sizes"])
         starts = np.cumsum(sizes) - sizes
-        found, piece = grams_of(np.frombuffer(data, np.uint8), starts, depth)
-        score = np.bincount(piece, lp[np.searchsorted(keys, found)], len(sizes))
+        found, inside = grams_of(np.frombuffer(data, np.uint8), starts, depth)
+        each = lp[place.get_indexer(found)]
+        each[~inside] = 0
+        score = np.add.reduceat(each, starts)
         for k, (a, size, end) in enumerate(zip(starts.tolist(), r["sizes"], r["ends"], strict=True)):
             words = data[a + depth : a + size - end].split()
             known = np.fromiter(map(worth.__getitem__, words), float, len(words))
@@ -417,8 +448,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
     words = parts.where("kind = 2").select("chunk", "word", "n")
     words = spill(words.select("chunk", "word", "n", F.sum("n").over(same).alias("c"), (F.col("chunk") == F.min("chunk").over(same)).alias("first")))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
-    answers = asks.join(lp, F.col("gram") == F.col("asked")).select(F.col("chunk").alias("to"), "gram", F.lit(None).cast("binary").alias("word"), "lp", F.lit(None).cast("bigint").alias("c"))
-    answers = answers.unionByName(words.select(F.col("chunk").alias("to"), F.lit(None).cast("bigint").alias("gram"), "word", F.lit(None).cast("double").alias("lp"), "c"))
+    answers = asks.join(lp, F.col("gram") == F.col("asked")).select("chunk", "gram", "lp").mapInArrow(_packed, _ANSWERS)
+    answers = answers.unionByName(words.select("chunk", "word", "c").mapInArrow(_packed, _ANSWERS))
     texts = parts.where("kind = 0").select("chunk", "rows", "ids", "held", "sizes", "ends", "data")
     scored = texts.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(lambda a, b: _score(a, b, depth, kind), f"row bigint, id {name}, held boolean, tokens bigint, known bigint, plus double, lp double")
     whole = scored.groupBy("row").agg(F.first("id").alias("doc_id"), F.first("held").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("plus").alias("plus"), F.sum("lp").alias("score"))
