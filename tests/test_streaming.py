@@ -15,11 +15,20 @@ from tidewatch.operators.automaton import Stage, match_pattern
 from tidewatch.plans.compiler import compile_rule
 from tidewatch.plans.rules import Rule
 from tidewatch.sources import generators, readers, sinks
+from tidewatch.streaming import joins as J
 from tidewatch.streaming import stateful as S
 
 VIEW, BUY, TIE = "event_type = 'view'", "event_type = 'purchase'", ["event_id"]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Each partition of a stateful operator opens a store in every batch."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 @pytest.fixture(scope="module")
 def events(spark, tmp_path_factory):
     df = queries.events(spark, "/root/testdata/sf0.001").select("event_id", "ts", "user_id", "event_type", "value").cache()
@@ -202,3 +211,71 @@ def test_scratch_folders_are_cleaned(spark):
     assert Path(path.removeprefix("file:")).exists() or Path(path.removeprefix("file://")).exists()
     assert clean(spark) >= 1 and clean(spark) == 0
     assert not Path(path.removeprefix("file://")).exists()
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_joins_without_python(spark, events, keyed):
+    """FOLLOWED BY and NOT FOLLOWED BY as interval joins, by related fields or by key."""
+    df, stream = events
+    add = lambda x: x.withColumns({"src": F.when(F.col("event_id") % 9 > 0, F.concat(F.lit("H"), F.col("user_id") % 5)), "dst": F.concat(F.lit("h"), F.col("event_id") % 5)})
+    how = (["user_id"], "ts", TIE, "6 hours") if keyed else ([], "ts", TIE, "6 hours", [("src", "dst")])
+    relation = [] if keyed else [("src", "dst")]
+    end = df.agg(F.max("ts")).first()[0] - timedelta(hours=6, seconds=3)
+    live = J.followed_by_join(add(stream()), F.expr(VIEW), F.expr(BUY), *how)
+    want = Q.followed_by(add(df), F.expr(VIEW), F.expr(BUY), ["user_id"] if keyed else [], "ts", TIE, "6 hours", relation=relation).where(F.col("a_ts") <= end)
+    assert live.columns == want.columns
+    got = [x for x in run(spark, live, f"tw_join_{keyed}") if x["a_ts"] <= end]
+    assert sorted(map(str, got)) == sorted(map(str, want.collect())) and got
+    live = J.not_followed_by_join(add(stream()), F.expr(VIEW), F.expr(BUY), *how)
+    assert "Python" not in live._jdf.queryExecution().analyzed().toString()
+    want = Q.not_followed_by(add(df), F.expr(VIEW), F.expr(BUY), ["user_id"] if keyed else [], "ts", TIE, "6 hours", relation=relation).where(F.col("ts") <= end)
+    assert sorted(map(str, run(spark, live, f"tw_join_alone_{keyed}"))) == sorted(map(str, want.collect()))
+    with pytest.raises(ValueError, match="needs a key"):
+        J.followed_by_join(df, F.expr(VIEW), F.expr(BUY), [], "ts", TIE, "6 hours")
+
+
+def _written(q):
+    """Bytes that each batch put into the state, and its rows."""
+    return [(p["stateOperators"][0]["customMetrics"]["rocksdbTotalBytesWritten"], p["numInputRows"]) for p in q.recentProgress if p["stateOperators"]]
+
+
+def test_state_is_written_by_the_batch(spark, tmp_path):
+    """One key: what a batch writes follows its events, however much the key has waiting and open."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    path, wide = str(tmp_path / "in"), F.lpad(F.col("id").cast("string"), 200, "x")
+    rows = lambda a, b: spark.range(a, b).select(F.col("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"), F.lit("u").alias("key"), F.lit("a").alias("kind"), wide.alias("load"))
+    sizes = [2000, 50, 50, 50, 50]
+    (tmp_path / "in").mkdir()
+    stream = readers.with_event_time(readers.files(spark, path, rows(0, 1).schema, "parquet", 1), "ts")
+    found = S.not_followed_by_stream(stream, F.expr("kind = 'a'"), F.expr("kind = 'b'"), ["key"], "ts", ["id"], "10 hours")
+    q, at = found.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "kept")).start(), 0
+    try:
+        for n in sizes:
+            rows(at, at + n).coalesce(1).write.mode("append").parquet(path)
+            at += n
+            q.processAllAvailable()
+        written = [(b, n) for b, n in _written(q)]
+    finally:
+        q.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    first = sum(b for b, n in written[:2])
+    later = sum(b for b, n in written[2:])
+    # two thousand open matches of the key stay as they are while two hundred more come
+    assert sum(n for _, n in written) == sum(sizes) and 0 < later < first / 4
+
+
+def test_sequences_go_on_after_a_restart(spark, events, tmp_path):
+    """Stopped after every file and started again from its checkpoint, a rule gives what it gives in one go."""
+    df, _ = events
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+    for lo in range(0, 1000, 250):
+        days = df.orderBy("ts").offset(lo).limit(250)
+        days.coalesce(1).write.mode("append").parquet(path)
+        stream = readers.with_event_time(readers.files(spark, path, df.schema, "parquet", 1), "ts")
+        found = S.repeated_then_stream(stream, F.expr("event_type = 'click'"), F.expr(BUY), 2, ["user_id"], "ts", TIE, "72 hours")
+        sinks.files(found, out, str(tmp_path / "kept"), once=True).awaitTermination()
+    end = df.agg(F.max("ts")).first()[0] - timedelta(seconds=3)
+    want = Q.repeated_then(df, F.expr("event_type = 'click'"), F.expr(BUY), 2, ["user_id"], "ts", TIE, "72 hours").where(F.col("b_ts") <= end)
+    got = sorted((e[0], e[-1], len(e) - 1) for e in ids(spark.read.parquet(out).collect()))
+    assert got == sorted((r.a_event_id, r.b_event_id, r.times) for r in want.collect()) and got

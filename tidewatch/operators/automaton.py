@@ -1,7 +1,9 @@
 """General patterns: loops, ``until`` and conditions on earlier events of the match.
 
 For what window expressions can't say. The stages' tests are evaluated by Spark; the
-automaton only reads the flags. Events are dealt by key and sorted, and a task scans
+automaton only reads the flags. Where a pattern has finitely many situations (no time
+limit, no conditions on earlier events, skipping past the last event), it runs over parts
+of equal size, see ``composed``. Else events are dealt by key and sorted, and a task scans
 them in order, so it remembers open matches and never a whole key.
 
 An event opens a match if it passes the first stage. An open match takes each later
@@ -143,6 +145,15 @@ def match_pattern(df: DataFrame, stages: Sequence[Stage], keys: Sequence[str], t
     event = T.StructType([T.StructField("stage", T.StringType()), T.StructField("event", T.StructType([f for f in df.schema if not f.name.startswith("__tw_")]))])
     out = T.StructType([T.StructField("signature", T.StringType()), T.StructField("events", T.ArrayType(event))])
     arrow = to_arrow_schema(out)
+    if within is None and skip == "past_last":
+        from tidewatch.operators import composed
+
+        try:
+            machine = composed.machine_of(stages, contiguity == "strict")
+        except composed.TooLarge:
+            pass
+        else:
+            return composed.match_composed(rows, machine, [f.name for f in event["event"].dataType], tie, out)
     plain = [(s.name, s.low, s.high, s.also, s.greedy) for s in stages]
     limit = None if within is None else millis(within) * 1000
     dealt = rows.repartition("__tw_k").sortWithinPartitions("__tw_k", "__tw_t", *tie)

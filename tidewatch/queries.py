@@ -22,7 +22,7 @@ from tidewatch.plans.multirule import one_scan
 from tidewatch.plans.rules import Rule
 from tidewatch.shared import scratch
 from tidewatch.sources import generators, readers, sinks
-from tidewatch.streaming import stateful
+from tidewatch.streaming import joins, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -315,6 +315,14 @@ def repeat_until_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("signature").alias("user_id"), F.array_join(F.transform("events", lambda e: e["event"]["event_id"].cast("string")), ",").alias("ids"))
 
 
+@query("repeat_until_unkeyed", ORACLE_SQL["repeat_until"].replace("PARTITION BY user_id ORDER", "ORDER").replace("PARTITION BY user_id, run", "PARTITION BY run").replace("user_id::VARCHAR AS user_id, ", "").replace("GROUP BY user_id, run", "GROUP BY run"))
+def repeat_until_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a key, shared out in parts of equal size whose summaries are put together."""
+    df = events(spark, sf_dir).select(*_SLIM)
+    found = match_pattern(df, [Stage("a", _is("click"), 3, None, until=_is("purchase"))], [], "ts", TIE)
+    return found.select(F.array_join(F.transform("events", lambda e: e["event"]["event_id"].cast("string")), ",").alias("ids"))
+
+
 @query("not_followed_by", "SELECT event_id, user_id FROM ev a WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM ev b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND (b.ts, b.event_id) > (a.ts, a.event_id) AND b.ts - a.ts < INTERVAL '6 hours')")
 def not_followed_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir).select(*_SLIM)
@@ -619,6 +627,11 @@ def _drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
+def _watermark(spark: SparkSession, sf_dir: str):
+    """The watermark once all events are read."""
+    return F.lit(spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 3 SECONDS")).first()[0])
+
+
 _PASSED = "(SELECT max(ts) FROM ev) - INTERVAL '3 seconds'"
 
 
@@ -699,3 +712,18 @@ def stream_repeat_then(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_repeat_until(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _live({"family": "repeat_until", "groupBy": ["user_id"], "patternRepeat": {"low": 3}, "events": _pairs_of("click", "purchase")}, spark, sf_dir, "rule_until")
     return found.select(F.col("signature").alias("user_id"), F.array_join(F.transform("events", lambda e: e["event"]["event_id"].cast("string")), ",").alias("ids"))
+
+
+@query("stream_join_followed_by_relation", ORACLE_SQL["stream_rule_followed_by_relation"].replace(f"b.ts <= {_PASSED}", f"a.ts + INTERVAL '48 hours' <= {_PASSED}"))
+def stream_join_followed_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As an interval join of the stream with itself: pairs whose first event's time limit has passed."""
+    df = _stream(spark, sf_dir, "src_address", "dst_address")
+    found = joins.followed_by_join(df, _is("error"), _is("purchase"), [], "ts", TIE, "48 hours", [("src_address", "dst_address")])
+    return _drained(found, "join_related").where(F.col("a_ts") + F.expr("INTERVAL 48 HOURS") <= _watermark(spark, sf_dir)).select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"))
+
+
+@query("stream_join_not_followed_by_relation", ORACLE_SQL["stream_rule_not_followed_by_relation"])
+def stream_join_not_followed_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _stream(spark, sf_dir, "src_address", "dst_address")
+    found = joins.not_followed_by_join(df, _is("error"), _is("purchase"), [], "ts", TIE, "48 hours", [("src_address", "dst_address")])
+    return _drained(found, "join_alone").select("event_id")
