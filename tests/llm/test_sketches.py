@@ -60,6 +60,20 @@ def test_too_small_a_sketch_gets_stuck(spark):
     assert df.select(F.expr(K.peel(K.difference(K.sketch("tp", "4"), K.sketch("tq", "4")), "4")).alias("d")).first().d is None
 
 
+def test_digests_that_no_sketch_tells_apart(spark):
+    """Alike in all bits that place them: kept as a list, compared as sets, read back."""
+    low, other = 12345, 12345 + (1 << 42)
+    sets = [([low, other, 7], [low, 7]), ([low], [other]), ([other, 8, 9], [8, 9]), ([low, other], [other, low]), ([], [low, other])]
+    df = spark.createDataFrame(sets, "tp array<bigint>, tq array<bigint>").select(*[F.expr(f"transform({c}, x -> {K._checked('x')})").alias(c) for c in ("tp", "tq")])
+    df = df.select("tp", "tq", F.expr(K.fingerprint("tp")).alias("fp"), F.expr(K.fingerprint("tq")).alias("fq"))
+    df = df.select("*", K.as_text("fp").alias("a"), K.as_text("fq").alias("b"), F.expr(K.differing("fp", "fq")).alias("d"), F.expr(K.differing("fp", "fq", signed=True)).alias("e"))
+    for r in K.likeness_of_texts(df, "a", "b").collect():
+        p, q = set(r.tp), set(r.tq)
+        assert r.d == len(p ^ q) and {(x.k, x.n) for x in r.e} == {(k, 1) for k in p - q} | {(k, -1) for k in q - p}
+        assert round(r.likeness, 9) == round(len(p & q) / len(p | q), 9)
+        assert (r.a == r.b) == (p == q)
+
+
 def test_text_form_is_read_back_without_loss(spark):
     df = hashed(spark, SETS).select(F.expr(K.fingerprint("tq")).alias("fq")).select("fq", K.as_text("fq").alias("t"))
     for r in df.select("fq", F.expr(K.from_text("t")).alias("again")).collect():

@@ -31,8 +31,9 @@ hash of the text, and rows equal in both follow each other, each the next one's
 document; null ids come last. A table of one row is its own next document. Rows are
 never dropped. Texts that differ only in the order or repetition of paragraphs have
 equal fingerprints. Two different paragraphs of a pair of texts count as one with
-probability 2**-44; two digests of a text that share the low 42 bits and not all 44 can't
-be told apart by any sketch and stop the query.
+probability 2**-44. Two digests that share the low 42 bits and not all 44 (probability
+2**-42 for two of a block) can't be told apart by a sketch of any size: a block with two
+such is kept as the list of its digests, and blocks that differ by such are compared as sets.
 """
 
 from __future__ import annotations
@@ -74,10 +75,10 @@ def _bind(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _doubled(start: str, size: str, attempt: str, kind: str) -> str:
-    """The first result of ``attempt`` that isn't null, with ``size`` from ``start`` up, doubled each time."""
+def _doubled(start: str, size: str, attempt: str, kind: str, otherwise: str) -> str:
+    """The first result of ``attempt`` that isn't null, with ``size`` from ``start`` up, doubled each time; ``otherwise`` if no size will do."""
     ladder = f"aggregate(sequence(0, {_DOUBLINGS}), cast(null as {kind}), (res, r) -> coalesce(res, {_bind(f'shiftleft({start}, r)', size, attempt)}))"
-    return f"coalesce({ladder}, cast(raise_error('digests that no sketch can tell apart') as {kind}))"
+    return f"coalesce({ladder}, {otherwise})"
 
 
 def sketch(of: str, cells: str) -> str:
@@ -115,10 +116,14 @@ def _listed(cells: str, size: str) -> str:
 
 
 def _block(of: str) -> str:
-    """The sketch of a block: about two cells a digest, more until it can be peeled by itself; ``h`` is what peeling gives."""
+    """The sketch of a block: about two cells a digest, more until it can be peeled by itself; ``h`` is what peeling gives.
+
+    Digests that fall into the same cells at every size are no sketch's: such a block has size 0 and a cell for each digest.
+    """
     start = "case when n <= 3 then 2 when n <= 6 then 4 when n <= 12 then 8 when n <= 24 then 16 when n <= 48 then 32 else 64 end"
+    plain = _bind("array_sort(b)", "o", "named_struct('c', 0, 's', transform(o, (x, i) -> named_struct('i', i, 'n', 1, 'k', x)), 'h', o)")
     attempt = _bind(sketch("b", "c"), "t", _bind(_listed("t", "c"), "h", f"if(h IS NULL, cast(null as {_BLOCK}), named_struct('c', c, 's', t, 'h', h))"))
-    return _bind(of, "b", _bind(_bind("size(b)", "n", start), "m", _doubled("m", "c", attempt, _BLOCK)))
+    return _bind(of, "b", _bind(_bind("size(b)", "n", start), "m", _doubled("m", "c", attempt, _BLOCK, plain)))
 
 
 def _bits(of: str) -> str:
@@ -143,10 +148,13 @@ def count(blocks: str) -> str:
 def differing(a: str, b: str, signed: bool = False) -> str:
     """The number of digests that one of two fingerprints has and the other hasn't; ``signed``: the digests, as from ``peel``."""
     kind = _SIGNED if signed else "int"
-    again = _doubled("m", "c", peel(difference(sketch("bx.h", "c"), sketch("by.h", "c")), "c", signed), kind)
+    # what no size tells apart is compared as sets
+    sides = [f"array_except({x}.h, {y}.h)" for x, y in (("bx", "by"), ("by", "bx"))]
+    plain = f"concat({', '.join(f'transform({s}, q -> named_struct({chr(39)}k{chr(39)}, q, {chr(39)}n{chr(39)}, {n}))' for s, n in zip(sides, (1, -1), strict=True))})" if signed else f"size({sides[0]}) + size({sides[1]})"
+    again = _doubled("m", "c", peel(difference(sketch("bx.h", "c"), sketch("by.h", "c")), "c", signed), kind, plain)
     retried = _bind("if(bx.c = by.c, 2 * bx.c, greatest(bx.c, by.c))", "m", again)
     once = _bind("bx.c", "c", peel(difference("bx.s", "by.s"), "c", signed))
-    each = f"coalesce(if(bx.c = by.c, {once}, cast(null as {kind})), {retried})"
+    each = f"if(bx.c = 0 OR by.c = 0, {plain}, coalesce(if(bx.c = by.c, {once}, cast(null as {kind})), {retried}))"
     # the one with fewer blocks is made again from its digests, with as many as the other
     grown = lambda p, q: f"if(size({p}) < size({q}), {_bind(f'flatten(transform({p}, b -> b.h))', 'l', fingerprint('l', f'cast(round(log2(size({q}))) as int)'))}, {p})"
     parts = _bind(f"named_struct('a', {grown(a, b)}, 'b', {grown(b, a)})", "g", f"zip_with(g.a, g.b, (bx, by) -> {each})")
@@ -170,7 +178,7 @@ def from_text(text: str) -> str:
     number = lambda k: f"coalesce(cast(conv(get(p, {k}), 16, -10) as bigint), 0L)"
     cell = _bind("split(x, '[.]')", "p", f"named_struct('i', r, 'n', cast({number(0)} as int), 'k', {number(1)})")
     cells = f"transform(split(get(split(b, ';'), 1), ','), (x, r) -> {cell})"
-    block = _bind("cast(get(split(b, ';'), 0) as int)", "c", _bind(cells, "t", f"named_struct('c', c, 's', t, 'h', {_listed('t', 'c')})"))
+    block = _bind("cast(get(split(b, ';'), 0) as int)", "c", _bind(cells, "t", f"named_struct('c', c, 's', t, 'h', if(c = 0, transform(t, x -> x.k), {_listed('t', 'c')}))"))
     return f"transform(split({text}, '[|]'), b -> {block})"
 
 
