@@ -141,6 +141,25 @@ def non_overlapping(found: DataFrame, keys: Sequence[str], ts: str, tie: Sequenc
     return rows.where("__tw_n % 2 = 1").select(*found.columns)
 
 
+def _disjoint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep a match only if it begins after the last one kept of its key ends; rows come sorted by key and begin."""
+    now, last = None, None
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (key, begin, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            if key != now or tuple(begin.values()) > last:
+                keep[i], now, last = True, key, tuple(end.values())
+        yield batch.filter(pa.array(keep))
+
+
+def apart(found: DataFrame, key: str, begin: Column, end: Column) -> DataFrame:
+    """Of matches of a key that overlap, the first, then the first that begins after its end, and so on; ``begin`` and ``end`` are structs that order."""
+    ship(found.sparkSession)
+    rows = found.select(F.to_json(F.struct(key)).alias("__tw_key"), begin.alias("__tw_begin"), end.alias("__tw_end"), *found.columns)
+    dealt = rows.repartition("__tw_key").sortWithinPartitions("__tw_key", "__tw_begin")
+    return dealt.mapInArrow(_disjoint, rows.schema).select(*found.columns)
+
+
 def _runs(o: Ordered, greedy: bool = False) -> DataFrame:
     """Rows with ``__tw_run``, the number of B's before, ``__tw_end`` (the B that ends the run) and its time ``__tw_bt``; an A that is also a B ends the run before it, or (``greedy``) is an A alone."""
     rows = o.stretched(back=True)

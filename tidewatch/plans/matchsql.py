@@ -9,11 +9,17 @@
     ) …
 
 Rows of a match are neighbours, as the standard demands. Conditions are SQL over the
-row's own columns (``A.x = 'v'`` in A's definition); comparisons between A and B are
-allowed in B's definition for ``(A B)`` and filter the matches. Measures are SQL
-expressions; ``A.x`` of a repeated variable is its last row's. ``(A B)`` and ``(A{n,} B)``
-are window plans, other patterns and other ways to skip go to the automaton, where a
-loop takes a row that both it and the next variable want.
+row's own columns (``A.x = 'v'`` in A's definition) and over rows matched before: another
+variable's ``A.x`` or ``LAST(A.x)`` is that of its last row so far, ``FIRST(A.x)`` that of its first,
+and so for the variable itself, whose ``A.x`` is the row at hand. Measures are SQL
+expressions; ``A.x`` of a repeated variable is its last row's.
+
+``(A B)``, ``(A{n,} B)`` and patterns of fixed length whose definitions read other rows are
+window plans: in a fixed pattern every variable's rows lie at known distances, and before
+a B each A of the run is a possible first, of which the earliest that B's definition
+accepts begins the match. Other patterns and other ways to skip go to the automaton,
+where a loop takes a row that both it and the next variable want; their definitions
+see the row's own columns only.
 """
 
 from __future__ import annotations
@@ -22,11 +28,11 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.automaton import Stage, match_pattern
-from tidewatch.operators.sequences import followed_by, non_overlapping, repeated_then
+from tidewatch.operators.sequences import Ordered, apart, followed_by, non_overlapping, repeated_then
 
 
 @dataclass(frozen=True)
@@ -132,6 +138,62 @@ def _mentions(condition: str, variables: tuple[str, ...]) -> bool:
     return re.search(rf"\b({'|'.join(variables)})\.", re.sub(r"'[^']*'", "", condition)) is not None if variables else False
 
 
+def _before(condition: str, variable: str, variables: tuple[str, ...], row: str) -> str:
+    """A definition over ``__tw_first_…`` and ``__tw_last_…`` of the rows so far; ``variable`` itself, outside FIRST and LAST, is ``row``."""
+    ends = {v: f"__tw_last_{v}" for v in variables}
+
+    def change(t: str) -> str:
+        t = re.sub(rf"\b(FIRST|LAST)\s*\(\s*({'|'.join(variables)})\.`?(\w+)`?\s*\)", lambda m: f"\x00__tw_{m[1].lower()}_{m[2]}.`{m[3]}`", t, flags=re.I)
+        t = re.sub(rf"(?<![\w.\x00])({'|'.join(variables)})\.`?(\w+)`?", lambda m: f"{row if m[1] == variable else ends[m[1]]}.`{m[2]}`", t)
+        return t.replace("\x00", "")
+
+    return _outside_quotes(condition, change)
+
+
+def _rows_at(t: str, names: dict[str, str]) -> str:
+    """``t`` with the names of structs replaced."""
+    return _outside_quotes(t, lambda x: re.sub(r"__tw_(?:first|last)_\w+", lambda m: names.get(m[0], m[0]), x))
+
+
+def _fixed(df: DataFrame, q: MatchQuery, conditions: dict[str, str], tie: tuple[str, ...]) -> DataFrame:
+    """Matches of a pattern of fixed length as ``__tw_first_…`` and ``__tw_last_…``: each row with those after it, tested row by row."""
+    o = Ordered(df, F.lit(True), F.lit(False), q.keys, q.order, tie, q.within, everything=True)
+    event, length = F.struct("__tw_t", *df.columns), sum(low for _, low, _ in q.pattern)
+    rows = o.stretched(back=False).select("__tw_k", "__tw_s", "__tw_own", *o.tie, "__tw_t", "__tw_b", event.alias("__tw_r0"))
+    rows = rows.withColumns({f"__tw_r{k}": F.lead("__tw_r0", k).over(o.over()) for k in range(1, length)}).where("__tw_own")
+    rows = rows.where(F.col(f"__tw_r{length - 1}").isNotNull() & o.valid(F.col("__tw_r0.__tw_t"), F.col(f"__tw_r{length - 1}.__tw_t")))
+    at, seen = 0, {}
+    for v, low, _ in q.pattern:
+        for k in range(at, at + low):
+            # before its first row, FIRST of the variable itself is that row; LAST is the row at hand
+            names = seen | {f"__tw_first_{v}": f"__tw_r{at}", f"__tw_last_{v}": f"__tw_r{k}"}
+            rows = rows.where(F.expr(_rows_at(_before(conditions[v], v, q.variables, f"__tw_r{k}"), names)))
+        seen |= {f"__tw_first_{v}": f"__tw_r{at}", f"__tw_last_{v}": f"__tw_r{at + low - 1}"}
+        at += low
+    if q.skip == "past_last":
+        rows = apart(rows, "__tw_k", F.struct("__tw_r0.__tw_t", *[f"__tw_r0.{c}" for c in tie]), F.struct(f"__tw_r{length - 1}.__tw_t", *[f"__tw_r{length - 1}.{c}" for c in tie]))
+    return rows.select(*[F.col(c).alias(name) for name, c in seen.items()])
+
+
+def _loop_then(df: DataFrame, q: MatchQuery, a_test: Column, condition: str, tie: tuple[str, ...]) -> DataFrame:
+    """``(A{n,} B)`` where B's definition reads the A's: ``a_…``, ``l_…`` (the last A) and ``b_…``.
+
+    A run of neighbouring A's ends at the next row, the only B that may follow. Each A of the run has it in its row, so
+    the definition is tested once for each A as the first.
+    """
+    (a, low, _), (b, _, _) = q.pattern
+    o = Ordered(df, a_test, F.lit(False), q.keys, q.order, tie, q.within, everything=True)
+    event = F.struct(*o.carry)
+    rows = o.stretched(back=True).withColumn("__tw_n", F.row_number().over(o.over())).withColumn("__tw_l", F.lag(event).over(o.over()))
+    end = F.when(~F.col("__tw_a"), F.struct("__tw_n", "__tw_t", F.col("__tw_own").alias("own"), event.alias("b"), F.col("__tw_l").alias("l")))
+    rows = rows.withColumn("__tw_e", o.upcoming(end)).where("__tw_a AND __tw_e.own").where(o.valid(F.col("__tw_t"), F.col("__tw_e.__tw_t")))
+    rows = rows.where(F.col("__tw_e.__tw_n") - F.col("__tw_n") >= low).withColumn("__tw_f", event)
+    names = {f"__tw_first_{a}": "__tw_f", f"__tw_last_{a}": "__tw_e.l", f"__tw_first_{b}": "__tw_e.b", f"__tw_last_{b}": "__tw_e.b"}
+    rows = rows.where(F.expr(_rows_at(_before(condition, b, q.variables, "__tw_e.b"), names)))
+    found = rows.groupBy("__tw_k", "__tw_s", F.col("__tw_e.__tw_n").alias("__tw_n")).agg(F.min(F.struct("__tw_t", *o.tie, F.col("__tw_f").alias("a"), F.col("__tw_e.l").alias("l"), F.col("__tw_e.b").alias("b"))).alias("m"))
+    return found.select(*[F.col(f"m.{side}.{c}").alias(f"{side}_{c}") for side in "alb" for c in o.carry])
+
+
 def match_recognize(spark: SparkSession, text: str, tie: tuple[str, ...] = ()) -> DataFrame:
     """Run a MATCH_RECOGNIZE query over a table or view of the session; keys, then measures."""
     q = parse_match(text)
@@ -140,8 +202,14 @@ def match_recognize(spark: SparkSession, text: str, tie: tuple[str, ...] = ()) -
     related = [v for v in q.variables if _mentions(conditions[v], tuple(x for x in q.variables if x != v))]
     shape = tuple((low, high) for _, low, high in q.pattern)
     pair, loop = shape == ((1, 1), (1, 1)), len(shape) == 2 and shape[0][1] is None and shape[1] == (1, 1) and q.skip == "past_last"
-    if related and not (pair and related == [q.variables[1]]):
-        raise ValueError("only the definition of B in PATTERN (A B) may compare with another variable")
+    fixed = all(low == high for low, high in shape)
+    reads = [v for v in q.variables if re.search(r"\b(FIRST|LAST)\s*\(", re.sub(r"'[^']*'", "", conditions[v]), re.I)]
+    related = related or reads
+    if related and fixed and not (pair and related == [q.variables[1]] and not reads):
+        rows = _fixed(df, q, conditions, tie)
+        return _shown(rows, q)
+    if related and not (pair or loop and related == [q.variables[1]]):
+        raise ValueError("definitions may read other rows in patterns of fixed length, and B's in (A{n,} B)")
     tests = {v: F.lit(True) if v in related else F.expr(_own(c, v)) for v, c in conditions.items()}
     if pair or loop:
         a, b = q.variables
@@ -152,6 +220,8 @@ def match_recognize(spark: SparkSession, text: str, tie: tuple[str, ...] = ()) -
                 found = found.where(F.expr(on))
             if q.skip == "past_last":
                 found = non_overlapping(found, q.keys, q.order, tie)
+        elif related:
+            found = _loop_then(df, q, tests[a], conditions[b], tie)
         else:
             found = repeated_then(df, tests[a], tests[b], shape[0][0], q.keys, q.order, tie, q.within, "strict", last=True)
         side = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in df.columns])
@@ -161,7 +231,11 @@ def match_recognize(spark: SparkSession, text: str, tie: tuple[str, ...] = ()) -
         found = match_pattern(df, stages, q.keys, q.order, tie, q.within, "strict", q.skip)
         of = lambda v: F.filter("events", lambda e: e["stage"] == v)
         ends = {f"__tw_{end}_{v}": F.element_at(of(v), at)["event"] for v in q.variables for end, at in (("first", 1), ("last", -1))}
-    rows = found.select(*[c.alias(k) for k, c in ends.items()])
+    return _shown(found.select(*[c.alias(k) for k, c in ends.items()]), q)
+
+
+def _shown(rows: DataFrame, q: MatchQuery) -> DataFrame:
+    """Keys, then measures."""
     shown = [alias for _, alias in q.measures]
     keys = [F.col(f"__tw_first_{q.variables[0]}.{k}").alias(k) for k in q.keys if k not in shown]
     return rows.select(*keys, *[F.expr(_measure(e, q.variables)).alias(alias) for e, alias in q.measures])

@@ -431,6 +431,19 @@ def match_sql_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recognize(spark, sf_dir, "A.event_id AS first_id, C.event_id AS last_id", "(A B C)", "A AS A.event_type = 'view', B AS B.event_type = 'click', C AS C.event_type = 'purchase'", 240)
 
 
+@query("match_sql_iterative", _EVENTS + _STRICT_RUN.replace("AS b_ts FROM n", "AS b_ts, value AS b_value FROM n") + """SELECT n.user_id, arg_min(n.event_id, (n.ts, n.event_id)) AS first_id, e.b_id AS last_id, arg_min(e.b_value - n.value, (n.ts, n.event_id)) AS more
+FROM n JOIN e USING (user_id, run) WHERE n.event_type = 'view' AND e.b_ts - n.ts < INTERVAL '96 hours' AND e.b_value > n.value GROUP BY n.user_id, n.run, e.b_id""")
+def match_sql_iterative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A+ then B, where B's definition reads the first of the A's: the earliest A that it accepts begins the match."""
+    return _recognize(spark, sf_dir, "FIRST(A.event_id) AS first_id, B.event_id AS last_id, B.value - FIRST(A.value) AS more", "(A+ B)", "A AS A.event_type = 'view', B AS B.event_type = 'purchase' AND B.value > FIRST(A.value)", 96)
+
+
+@query("match_sql_cross", ", n AS (SELECT *, lead(event_type) OVER w AS t1, lead(value) OVER w AS v1, lead(value, 2) OVER w AS v2, lead(event_type, 2) OVER w AS t2, lead(event_id, 2) OVER w AS i2, lead(ts, 2) OVER w AS ts2 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_id AS first_id, i2 AS last_id FROM n WHERE t1 <> event_type AND v1 > value AND v2 > v1 AND t2 = event_type AND ts2 - ts < INTERVAL '240 hours'")
+def match_sql_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of three variables that read each other's rows."""
+    return _recognize(spark, sf_dir, "A.event_id AS first_id, C.event_id AS last_id", "(A B C)", "A AS true, B AS B.event_type <> A.event_type AND B.value > A.value, C AS C.value > LAST(B.value) AND C.event_type = FIRST(A.event_type)", 240, "TO NEXT ROW")
+
+
 @query("not_before_unkeyed", (_EVENTS + _BEFORE).replace("PARTITION BY user_id ", "").replace("24 hours", "1 hour").replace("event_type = 'view' THEN", "event_type = 'signup' THEN") + "SELECT 'All' AS signature, event_id AS b_id, a_id FROM b")
 def not_before_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No group: one signature for all, still shared out by time."""
