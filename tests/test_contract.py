@@ -15,7 +15,8 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW events AS FROM '{DIR}/events.parquet'")
+    for t in ("events", "orders"):
+        c.sql(f"CREATE VIEW {t} AS FROM '{DIR}/{t}.parquet'")
     return c
 
 

@@ -6,9 +6,10 @@ blocks ``a/n``; all other types match their exact text, and hash, URL and time c
 can be read as patterns if asked for.
 
 Small groups become literals of the plan. Larger ones stay tables: exact contents are
-joined by value, and IP ranges by the address's leading bits, so no join compares every
-event with every range. Patterns can't be joined: groups of any size are literal
-expressions, and every value is matched with all of them.
+joined by value, IP ranges by the address's leading bits, and patterns by what their
+matches must contain (see ``patterns``), so no join compares every event with every range or
+pattern. In SQL texts, and for patterns that demand nothing of a text, pattern
+groups of any size are literal expressions.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions import patterns
 from tidewatch.functions.scalars import ip_bounds, ip_in, ip_number, total
 
 #: Most contents of a group that become literals.
@@ -32,7 +34,7 @@ class IntelGroups:
 
     def __init__(self, table: DataFrame, patterns: bool = False, literal_limit: int = LITERAL_LIMIT):
         self.table = table.select("group_id", "name", "type", "intelligence_type", "content").where("content IS NOT NULL").distinct()
-        self.patterns, self.limit = patterns, literal_limit
+        self.by_pattern, self.limit = patterns, literal_limit
         # one row for each group
         self.kinds = {}
         self.sizes = {}
@@ -45,7 +47,7 @@ class IntelGroups:
 
     def reloaded(self, table: DataFrame) -> IntelGroups:
         """The groups of a newer table, with the same settings."""
-        return IntelGroups(table, self.patterns, self.limit)
+        return IntelGroups(table, self.by_pattern, self.limit)
 
     def contents(self, group: str) -> DataFrame:
         return self.table.where((F.col("name") == group) | (F.col("group_id") == group)).select("content").distinct()
@@ -74,11 +76,11 @@ class IntelGroups:
 
     def _by_pattern(self, group: str) -> bool:
         kind, sub = self.kinds[group]
-        return self.patterns and kind == "string" and sub in ("hash", "url")
+        return self.by_pattern and kind == "string" and sub in ("hash", "url")
 
-    def _expressions(self, group: str) -> list[str]:
-        """The contents of a group as regular expressions, each of up to ``LITERAL_LIMIT`` alternatives."""
-        contents = sorted(r["content"] for r in self.contents(group).collect())
+    def _expressions(self, group: str, contents: DataFrame | None = None) -> list[str]:
+        """The contents of a group, or some of them, as regular expressions, each of up to ``LITERAL_LIMIT`` alternatives."""
+        contents = sorted(r[0] for r in (self.contents(group) if contents is None else contents).collect())
         blocks = ["|".join(f"(?:{c})" for c in contents[s : s + LITERAL_LIMIT]) for s in range(0, len(contents), LITERAL_LIMIT)]
         return [rf"\A(?:{b})\z" for b in blocks] if self.kinds[group][1] == "url" else blocks
 
@@ -125,10 +127,17 @@ class IntelGroups:
         if self.kinds[group][0] == "ip":
             return self._mark_ip(df, field, group, flag)
         if self._by_pattern(group):
-            return df.withColumn(flag, self._matches(F.col(field).cast("string"), group))
+            return self._mark_patterns(df, field, group, flag)
         known = self.contents(group).select(F.col("content").alias("__tw_content"), F.lit(True).alias(flag))
         return df.join(known, F.col(field).cast("string") == F.col("__tw_content"), "left").drop("__tw_content").withColumn(flag, total(F.col(flag)))
 
+    def _mark_patterns(self, df: DataFrame, field: str, group: str, flag: str) -> DataFrame:
+        by_gram, rest = patterns.index(self.contents(group).select(F.col("content").alias("pattern")))
+        hit = patterns.matching(df, field, by_gram, self.kinds[group][1] == "url").select(F.col("text").alias("__tw_text"), F.lit(True).alias(flag))
+        value = F.col(field).cast("string")
+        tests = [value.rlike(x) for x in self._expressions(group, rest)]
+        return df.join(hit, value == F.col("__tw_text"), "left").drop("__tw_text").withColumn(flag, reduce(lambda a, b: a | b, map(total, tests), total(F.col(flag))))
+
     def _cells(self, group: str) -> DataFrame:
         """The ranges of an IP group, once for each of the leading ``bits`` (``cell``) that they cover."""
         c = F.col("content")

@@ -156,6 +156,18 @@ def sql_belong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT event_id FROM tw_events WHERE belong(src_address, 'bad hosts') AND NOT belong(event_type, 'g2') AND NOT belong(NULL, 'g2') AND NOT belong('x', 'nobody')")
 
 
+@query("intel_patterns_large", f"SELECT event_id, EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = ev.event_id) AND user_id < 100 AS known, EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = ev.event_id AND o.o_custkey % 10 = user_id % 10) AS shaped FROM ev")
+def intel_patterns_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern for each order: as whole addresses and as parts of a text. The plan doesn't grow with the patterns."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    url = F.concat(F.lit("https?://shop\\.example/o"), "o_orderkey", F.lit("/u[0-9]{1,2}"))
+    part = F.concat(F.lit("o"), "o_orderkey", F.lit("/u[0-9]*"), F.col("o_custkey") % 10, F.lit("$"))
+    group = lambda k, kind, content: orders.select(F.lit(k).alias("group_id"), F.lit(k).alias("name"), F.lit("string").alias("type"), F.lit(kind).alias("intelligence_type"), content.alias("content"))
+    g = IntelGroups(group("pages", "url", url).unionByName(group("shapes", "hash", part)), patterns=True, literal_limit=0)
+    df = events(spark, sf_dir).withColumn("url", F.concat(F.lit("http://shop.example/o"), "event_id", F.lit("/u"), "user_id"))
+    return g.mark(g.mark(df, "url", "pages", "known"), "url", "shapes", "shaped").select("event_id", "known", "shaped")
+
+
 # --- windows ----------------------------------------------------------------------
 
 _HOP = """, h AS (
