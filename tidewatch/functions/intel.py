@@ -29,6 +29,23 @@ _EXACT = {"time", "num", "string"}
 _NARROW_BITS, _WIDE_BITS = 16, 24
 
 
+def ip_cells(contents: DataFrame) -> DataFrame:
+    """The ranges among the ``content`` of ``contents``, as ``lo`` and ``hi``, once for each of the leading ``bits`` (``cell``) that they cover."""
+    c = F.col("content")
+    low, high = (F.get(F.split(c, "[-/]"), k) for k in (0, 1))
+    mask = F.coalesce(high.try_cast("int"), F.lit(0))
+    free = F.call_function("shiftleft", F.lit(1).cast("bigint"), 32 - F.when(mask.between(0, 32), mask).otherwise(0)) - 1
+    base, other = ip_number(low), ip_number(high)
+    ranges = contents.where(c.rlike("[-/]")).select(
+        "*",
+        F.when(c.contains("-"), F.least(base, other)).otherwise(base.bitwiseAND(free.bitwiseXOR(F.lit(0xFFFFFFFF)))).alias("lo"),
+        F.when(c.contains("-"), F.greatest(base, other)).otherwise(base.bitwiseOR(free)).alias("hi"),
+    )
+    wide = (F.col("hi") - F.col("lo")) >= (1 << _WIDE_BITS)
+    bits = F.when(wide, F.lit(_WIDE_BITS)).otherwise(_NARROW_BITS)
+    return ranges.withColumn("bits", bits).withColumn("cell", F.explode(F.sequence(F.call_function("shiftright", "lo", "bits"), F.call_function("shiftright", "hi", "bits"))))
+
+
 class IntelGroups:
     """The groups of a table. ``patterns``: read hash contents as partial, URL contents as full regular expressions."""
 
@@ -139,19 +156,7 @@ class IntelGroups:
         return df.join(hit, value == F.col("__tw_text"), "left").drop("__tw_text").withColumn(flag, reduce(lambda a, b: a | b, map(total, tests), total(F.col(flag))))
 
     def _cells(self, group: str) -> DataFrame:
-        """The ranges of an IP group, once for each of the leading ``bits`` (``cell``) that they cover."""
-        c = F.col("content")
-        low, high = (F.get(F.split(c, "[-/]"), k) for k in (0, 1))
-        mask = F.coalesce(high.try_cast("int"), F.lit(0))
-        free = F.call_function("shiftleft", F.lit(1).cast("bigint"), 32 - F.when(mask.between(0, 32), mask).otherwise(0)) - 1
-        base, other = ip_number(low), ip_number(high)
-        ranges = self.contents(group).where(c.rlike("[-/]")).select(
-            F.when(c.contains("-"), F.least(base, other)).otherwise(base.bitwiseAND(free.bitwiseXOR(F.lit(0xFFFFFFFF)))).alias("lo"),
-            F.when(c.contains("-"), F.greatest(base, other)).otherwise(base.bitwiseOR(free)).alias("hi"),
-        )
-        wide = (F.col("hi") - F.col("lo")) >= (1 << _WIDE_BITS)
-        bits = F.when(wide, F.lit(_WIDE_BITS)).otherwise(_NARROW_BITS)
-        return ranges.withColumn("bits", bits).withColumn("cell", F.explode(F.sequence(F.call_function("shiftright", "lo", "bits"), F.call_function("shiftright", "hi", "bits"))))
+        return ip_cells(self.contents(group)).drop("content")
 
     def _mark_ip(self, df: DataFrame, field: str, group: str, flag: str) -> DataFrame:
         c, cells = F.col("content"), self._cells(group)

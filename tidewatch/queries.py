@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import predicates, scalars
 from tidewatch.functions.intel import IntelGroups
+from tidewatch.functions.versions import VersionedGroups, parsed
 from tidewatch.operators import sequences, windows
 from tidewatch.operators.automaton import Stage, match_pattern
 from tidewatch.plans.compiler import compile_rule, fan_out, one_pass
@@ -168,6 +169,45 @@ def intel_patterns_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.mark(g.mark(df, "url", "pages", "known"), "url", "shapes", "shaped").select("event_id", "known", "shaped")
 
 
+#: Messages with what the store held, by day of January 2024.
+_CHANGES = [
+    (1, "intelligence_group;h,e;add", ("hosts", "ip"), None), (2, "intelligence;h;edit", None, ["172.16.1.7", "172.16.3.0/25"]), (3, "intelligence;e;edit", None, ["error"]), (8, "intelligence;h;edit", None, ["172.16.5.200-172.16.5.100"]),
+    (12, "intelligence_group;h;edit", ("bad hosts", "ip"), None), (15, "intelligence;e;edit", None, ["signup", "click"]), (20, "intelligence_group;h;delete", None, None), (22, "intelligence_group;e;delete", None, None),
+    (24, "intelligence_group;e;add", ("kinds", "string"), None), (26, "intelligence;e;edit", None, ["view"]),
+]
+
+
+def _change_log(spark: SparkSession) -> DataFrame:
+    """Group e's own name and type are always kinds, string."""
+    rows = [(day, m, info and info[0], info and info[1], contents) for day, m, info, contents in _CHANGES]
+    df = parsed(spark.createDataFrame(rows, "day int, message string, name string, type string, contents array<string>"))
+    kinds = F.col("group_id") == "e"
+    return df.select(F.make_timestamp(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0)).alias("at"), "module", "group_id", "op", F.when(kinds, "kinds").otherwise(F.col("name")).alias("name"), F.when(kinds, "string").otherwise(F.col("type")).alias("type"), F.lit("").alias("intelligence_type"), "contents")
+
+
+_DAY = lambda n: f"TIMESTAMP '2024-01-{n:02}'"
+_NARROW, _RANGE = "((user_id % 8 = 1 AND event_id % 256 = 7) OR (user_id % 8 = 3 AND event_id % 256 < 128))", "(user_id % 8 = 5 AND event_id % 256 BETWEEN 100 AND 200)"
+_AS_OF = f"""SELECT event_id, (ts >= {_DAY(2)} AND ts < {_DAY(8)} AND {_NARROW}) OR (ts >= {_DAY(8)} AND ts < {_DAY(12)} AND {_RANGE}) AS by_name, (ts >= {_DAY(2)} AND ts < {_DAY(8)} AND {_NARROW}) OR (ts >= {_DAY(8)} AND ts < {_DAY(20)} AND {_RANGE}) AS by_id,
+ts >= {_DAY(12)} AND ts < {_DAY(20)} AND {_RANGE} AS renamed, (ts >= {_DAY(3)} AND ts < {_DAY(15)} AND event_type = 'error') OR (ts >= {_DAY(15)} AND ts < {_DAY(22)} AND event_type IN ('signup', 'click')) OR (ts >= {_DAY(26)} AND event_type = 'view') AS kind FROM ev"""
+
+
+def _as_of(df: DataFrame, groups: VersionedGroups) -> DataFrame:
+    for field, group, flag in (("src_address", "hosts", "by_name"), ("src_address", "h", "by_id"), ("src_address", "bad hosts", "renamed"), ("event_type", "kinds", "kind")):
+        df = groups.mark(df, "ts", field, group, flag)
+    return df.select("event_id", "by_name", "by_id", "renamed", "kind")
+
+
+@query("intel_as_of", _AS_OF)
+def intel_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the groups of its own time, from a log of additions, renamings, deletions and new contents."""
+    return _as_of(events(spark, sf_dir).select("event_id", "ts", "event_type", "src_address"), VersionedGroups(_change_log(spark)))
+
+
+@query("stream_intel_as_of", _AS_OF)
+def stream_intel_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(_as_of(_stream(spark, sf_dir, "src_address"), VersionedGroups(_change_log(spark))), "as_of")
+
+
 # --- windows ----------------------------------------------------------------------
 
 _HOP = """, h AS (
