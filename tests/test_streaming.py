@@ -279,3 +279,28 @@ def test_sequences_go_on_after_a_restart(spark, events, tmp_path):
     want = Q.repeated_then(df, F.expr("event_type = 'click'"), F.expr(BUY), 2, ["user_id"], "ts", TIE, "72 hours").where(F.col("b_ts") <= end)
     got = sorted((e[0], e[-1], len(e) - 1) for e in ids(spark.read.parquet(out).collect()))
     assert got == sorted((r.a_event_id, r.b_event_id, r.times) for r in want.collect()) and got
+
+
+@pytest.mark.parametrize("silence", [None, "5 hours"])
+def test_not_before_without_groups(spark, events, tmp_path, silence):
+    """Stretches of time as keys: what a batch gives, with more than one partition of the state in use."""
+    df, stream = events
+    end = df.agg(F.max("ts")).first()[0] - timedelta(seconds=3)
+    found = S.not_before_stream(stream(), F.expr("event_type = 'signup'"), F.expr(BUY), "ts", TIE, "1 hour", silence=silence)
+    q = found.writeStream.format("memory").queryName(f"tw_free_{silence is None}").option("checkpointLocation", str(tmp_path / "kept")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = ids(spark.table(f"tw_free_{silence is None}").collect())
+    want = Q.not_before(df, F.expr("event_type = 'signup'"), F.expr(BUY), "ts", TIE, "1 hour", silence=silence).where(F.col("b_ts") <= end)
+    assert got == sorted((r.b_event_id, r.a_event_id) if r.a_event_id is not None else (r.b_event_id,) for r in want.collect()) and got
+    states = [p["stateOperators"] for p in q.recentProgress if p["stateOperators"]]
+    assert {len(x) for x in states} == {2}
+    # stretches that the watermark has passed are forgotten
+    rows = [sum(o["numRowsTotal"] for o in x) for x in states]
+    assert max(rows) > 20 and rows[-1] < max(rows) / 2
+    kept = str(tmp_path / "kept")
+    first = min(spark.read.format("state-metadata").load(kept).where("operatorProperties LIKE '%waiting%'").select("operatorId").distinct().collect())["operatorId"]
+    state = lambda b: spark.read.format("statestore").option("path", kept).option("operatorId", first).option("stateVarName", "waiting").option("batchId", b).load()
+    assert len({r.partition_id for b in range(len(states)) for r in state(b).select("partition_id").distinct().collect()}) > 1

@@ -32,6 +32,8 @@ from tidewatch.shipping import ship
 
 #: Length of a stretch in multiples of the time limit; about 1 / STRETCH of the rows are copied.
 STRETCH = 4
+#: NOT BEFORE without groups has so many stretches in a time limit.
+NARROW = 16
 
 
 def roles(rows: DataFrame, keys: Sequence[str], relation: Sequence[tuple[str, str]], ignore_case: bool = True, lonely: bool = False) -> DataFrame:
@@ -257,17 +259,20 @@ def not_before(df: DataFrame, a: Column, b: Column, ts: str, tie: Sequence[str],
     An event that satisfies both tests is an A. A's are grouped by ``a_fields``, B's by ``b_fields``; the group is
     returned as ``signature``. A gap of exactly ``within`` is still in time. Events are taken in the order of their times.
     """
-    limit, place = millis(within) * 1000, ["signature", "__tw_s"]
+    limit, keyed = millis(within) * 1000, bool(a_fields or b_fields)
+    place = ["signature", "__tw_s"] if keyed else ["__tw_s"]
+    # stretches need no context here, so they may be short: without groups they alone share the events out
+    width = max(1, limit if keyed else limit // NARROW)
     t, event = F.col("__tw_t"), F.struct("__tw_t", *df.columns)
     rows = df.where(F.col(ts).isNotNull() & (a | b)).withColumn("__tw_a", total(a)).withColumn("__tw_t", F.unix_micros(F.col(ts).cast("timestamp")))
     sign = F.when(F.col("__tw_a"), group_signature([F.col(c) for c in a_fields])).otherwise(group_signature([F.col(c) for c in b_fields]))
-    rows = rows.withColumn("signature", sign).withColumn("__tw_s", _stretch(t, max(1, limit) * STRETCH)).repartition(*place)
+    rows = rows.withColumn("signature", sign).withColumn("__tw_s", _stretch(t, width)).repartition(*place)
     before = Window.partitionBy(*place).orderBy("__tw_t", *tie).rowsBetween(Window.unboundedPreceding, -1)
     seen = rows.withColumn("a", F.last(F.when(F.col("__tw_a"), event), ignorenulls=True).over(before))
     seen = seen.where(~F.col("__tw_a") & ~total(t - F.col("a.__tw_t") <= limit)).withColumn("b", F.struct(*df.columns))
     # of each stretch the last A alone is carried on
     latest = rows.groupBy(*place).agg(F.max(F.when(F.col("__tw_a"), F.struct("__tw_t", *tie, event.alias("e")))).alias("l"))
-    carried = F.last("l.e", ignorenulls=True).over(Window.partitionBy("signature").orderBy("__tw_s").rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.last("l.e", ignorenulls=True).over(Window.partitionBy(*place[:-1]).orderBy("__tw_s").rowsBetween(Window.unboundedPreceding, -1))
     alerts = seen.join(latest.select(*place, carried.alias("c")), place, "left").withColumn("a", F.coalesce("a", "c"))
     alerts = alerts.where(~total(t - F.col("a.__tw_t") <= limit))
     out = _flat(alerts, df.columns, "b", "a", extra=["signature"])

@@ -3,7 +3,9 @@
 Hopping windows are worked out in panes: events are first aggregated into tumbling
 panes of one slide, and only the panes are expanded into the windows that cover them,
 so an event is never copied once for every window. Where size isn't a multiple of the
-slide, Spark's own ``window`` is used. All results have the window's bounds as plain
+slide, Spark's own ``window`` is used. Streams do the same in append mode if asked to
+(``live_panes``): two aggregations one after the other, whose state has a row for each pane and
+one for each open window, and no more. All results have the window's bounds as plain
 columns and the keys as text, a missing key as the text ``None``.
 """
 
@@ -56,8 +58,19 @@ def _windowed(df: DataFrame, keys: Sequence[str], ts: str, size: str, slide: str
     return out.select(*keys, F.col("__tw_w.start").cast("timestamp").alias("window_start"), F.col("__tw_w.end").cast("timestamp").alias("window_end"), *[c for c in out.columns if c not in (*keys, "__tw_w")])
 
 
+def _in_live_panes(df: DataFrame, keys: Sequence[str], ts: str, size: str, slide: str, first: Column, then: Column) -> DataFrame:
+    """``first`` over the panes of a stream, ``then`` over the windows of closed panes."""
+    pane = df.groupBy(F.window(F.col(ts), slide).alias("__tw_p"), *_keys(keys)).agg(first)
+    out = pane.groupBy(F.window("__tw_p", size, slide).alias("__tw_w"), *keys).agg(then)
+    return out.select(*keys, F.col("__tw_w.start").cast("timestamp").alias("window_start"), F.col("__tw_w.end").cast("timestamp").alias("window_end"), *[c for c in out.columns if c not in (*keys, "__tw_w")])
+
+
+def _covers(size: str, slide: str | None) -> bool:
+    return slide is not None and millis(size) % millis(slide) == 0 and millis(size) > millis(slide)
+
+
 def _in_panes(df: DataFrame, size: str, slide: str | None) -> bool:
-    return slide is not None and not df.isStreaming and millis(size) % millis(slide) == 0 and millis(size) > millis(slide)
+    return not df.isStreaming and _covers(size, slide)
 
 
 def _at_least(df: DataFrame, value: str, least: float | None, strict: bool) -> DataFrame:
@@ -69,19 +82,23 @@ def having_any(df: DataFrame, test: Column) -> DataFrame:
     return df.where(test)
 
 
-def having_count(df: DataFrame, keys: Sequence[str], ts: str, size: str, slide: str | None = None, least: int | None = None, strict: bool = False, value: str = "cnt") -> DataFrame:
+def having_count(df: DataFrame, keys: Sequence[str], ts: str, size: str, slide: str | None = None, least: int | None = None, strict: bool = False, value: str = "cnt", live_panes: bool = False) -> DataFrame:
     """Events for each key and window; ``least`` is a threshold, met or (``strict``) exceeded."""
-    if _in_panes(df, size, slide):
+    if live_panes and df.isStreaming and _covers(size, slide):
+        out = _in_live_panes(df, keys, ts, size, slide, F.count("*").alias("__tw_n"), F.sum("__tw_n").cast("bigint").alias(value))
+    elif _in_panes(df, size, slide):
         out = panes(df, keys, ts, size, slide, [F.count("*").alias("__tw_n")], [F.sum("__tw_n").cast("bigint").alias(value)])
     else:
         out = _windowed(df, keys, ts, size, slide, F.count("*").alias(value))
     return _at_least(out, value, least, strict)
 
 
-def having_sum(df: DataFrame, keys: Sequence[str], ts: str, field: str, size: str, slide: str | None = None, least: float | None = None, strict: bool = True, value: str = "total") -> DataFrame:
+def having_sum(df: DataFrame, keys: Sequence[str], ts: str, field: str, size: str, slide: str | None = None, least: float | None = None, strict: bool = True, value: str = "total", live_panes: bool = False) -> DataFrame:
     """Sum of a field, numeric text included, missing values as 0."""
     number = F.coalesce(as_number(F.col(field)), F.lit(0.0))
-    if _in_panes(df, size, slide):
+    if live_panes and df.isStreaming and _covers(size, slide):
+        out = _in_live_panes(df, keys, ts, size, slide, F.sum(number).alias("__tw_s"), F.sum("__tw_s").alias(value))
+    elif _in_panes(df, size, slide):
         out = panes(df.withColumn("__tw_v", number), keys, ts, size, slide, [F.sum("__tw_v").alias("__tw_s")], [F.sum("__tw_s").alias(value)])
     else:
         out = _windowed(df, keys, ts, size, slide, F.sum(number).alias(value))

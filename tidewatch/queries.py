@@ -722,12 +722,32 @@ def stream_not_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(found, "unannounced").select("signature", _event(0).alias("b_id"), _event(1).alias("a_id"))
 
 
+@query("stream_not_before_unkeyed", ORACLE_SQL["not_before_unkeyed"] + f" WHERE ts <= {_PASSED}")
+def stream_not_before_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No group: stretches of time share the events out, and the last A of each is carried on."""
+    found = stateful.not_before_stream(_stream(spark, sf_dir), _is("signup"), _is("purchase"), "ts", TIE, "1 hour")
+    return _drained(found, "unannounced_all").select("signature", _event(0).alias("b_id"), _event(1).alias("a_id"))
+
+
 @query("stream_having_count", ORACLE_SQL["having_count_tumble"].replace("SELECT event_type", "SELECT * FROM (SELECT event_type") + f") WHERE window_end <= {_PASSED}")
 def stream_having_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has closed."""
     return _naive(_drained(windows.having_count(_stream(spark, sf_dir), ["event_type"], "ts", "6 hours"), "counted"))
 
 
+@query("stream_having_count_hop", ORACLE_SQL["having_count_hop"].replace("SELECT user_id::VARCHAR", "SELECT * FROM (SELECT user_id::VARCHAR") + f") WHERE window_end <= {_PASSED}")
+def stream_having_count_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hopping windows of a stream, by way of panes: an event isn't copied once for every window."""
+    found = windows.having_count(_stream(spark, sf_dir), ["user_id", "event_type"], "ts", "24 hours", "8 hours", least=3, live_panes=True)
+    return _naive(_drained(found, "hopped"))
+
+
+@query("stream_having_sum_hop", ORACLE_SQL["having_sum_hop"].replace("SELECT coalesce(k, 'None') AS k", "SELECT * FROM (SELECT coalesce(k, 'None') AS k", 1) + f") WHERE window_end <= {_PASSED}")
+def stream_having_sum_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _stream(spark, sf_dir).select("ts", F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("k"), F.round("value").cast("string").alias("amount"))
+    return _naive(_drained(windows.having_sum(df, ["k"], "ts", "amount", "24 hours", "8 hours", least=100, live_panes=True), "summed"))
+
+
 @query("stream_count_distinct", "SELECT event_type, w AS window_start, w + INTERVAL '1 day' AS window_end, count(DISTINCT user_id) AS cnt FROM (SELECT *, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS w FROM ev) GROUP BY event_type, w HAVING w + INTERVAL '1 day' <= " + _PASSED)
 def stream_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(_drained(windows.having_count_distinct(_stream(spark, sf_dir), ["event_type"], "ts", "user_id", "1 day"), "distinct"))

@@ -246,11 +246,77 @@ class _NotBefore:
         return None
 
 
+class _NotBeforePart(_NotBefore):
+    """NOT BEFORE within a stretch of time, whose key ends with its number. It also says which was its last own A, for the stretches after it."""
+
+    kinds = ("alert", "carry")
+
+    def __init__(self, within: int, width: int):
+        super().__init__(within, None)
+        self.width = width
+
+    def begin(self, serial: int) -> None:
+        super().begin(serial)
+        self.carry = None
+
+    def take(self, time: int, text: str, flags: list, until: list) -> Iterator[tuple]:
+        for kind, start, end, events in super().take(time, text, flags, until):
+            yield kind, start, end, events, self.tie
+        if flags[0] and time // self.width == int(self.key[1]):
+            self.carry = ("carry", time, time, json.dumps([_shown("a", {"json": text})], ensure_ascii=False), self.tie)
+
+    def passed(self, time: int) -> Iterator[tuple]:
+        self.over = time >= (int(self.key[1]) + 1) * self.width
+        if self.carry is not None:
+            yield self.carry
+
+    def end(self) -> int | None:
+        """A stretch that the watermark has passed is forgotten; a timer sees to it."""
+        if self.over:
+            if self.was != (None, None, None):
+                self.state.clear()
+            return None
+        super().end()
+        return (int(self.key[1]) + 1) * self.width if (self.a, self.alert) != (None, None) else None
+
+
+class _Carried(StatefulProcessor):
+    """Alerts of all stretches of a signature, in order: the last A of earlier stretches where an alert has none, and silence.
+
+    A batch brings what the watermark has passed since the one before, of all stretches, so nothing waits here.
+    """
+
+    def __init__(self, silence: int | None):
+        self.silence = silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "a string, alert bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        a, alert = was = self.state.get() or (None, None)
+        out = []
+        for r in sorted(rows, key=lambda r: (r["end_ms"], r["tie"])):
+            events = json.loads(r["events"])
+            if r["kind"] == "carry":
+                a = json.dumps(events[0], ensure_ascii=False)
+            elif self.silence is None or alert is None or r["end_ms"] - alert > self.silence:
+                alert = r["end_ms"]
+                if len(events) == 1 and a is not None:
+                    events.append(json.loads(a))
+                out.append(Row(signature=key[0], kind="alert", start_ms=alert, end_ms=alert, events=json.dumps(events, ensure_ascii=False)))
+        if (a, alert) != was:
+            self.state.update((a, alert))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
 class _Sequence(StatefulProcessor):
     """Lets the events of a key wait for the watermark and gives them to the rule in order."""
 
-    def __init__(self, rule, stages: int):
-        self.rule, self.stages = rule, stages
+    def __init__(self, rule, stages: int, with_tie: bool = False):
+        self.rule, self.stages, self.with_tie = rule, stages, with_tie
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -290,8 +356,9 @@ class _Sequence(StatefulProcessor):
             serial += 1
         out = []
         rule = self.rule
+        rule.key = key
         rule.begin(serial)
-        for t, _, text, flags in sorted(ready, key=lambda e: (e[0], e[1])):
+        for t, rule.tie, text, flags in sorted(ready, key=lambda e: (e[0], e[1])):
             bits = [c == "1" for c in flags]
             out += rule.take(t, text, bits[: self.stages], bits[self.stages :])
         out += rule.passed(watermark)
@@ -311,9 +378,10 @@ class _Sequence(StatefulProcessor):
                 self.clock.update(now)
         elif done is not None:
             self.clock.clear()
-        for kind, start, end, events in out:
+        for kind, start, end, events, *tie in out:
             if kind in rule.kinds:
-                yield Row(signature=key[0], kind=kind, start_ms=start, end_ms=end, events=events)
+                own = {"tie": tie[0]} if self.with_tie else {}
+                yield Row(signature=key[0], kind=kind, start_ms=start, end_ms=end, events=events, **own)
 
 
 def _run(df: DataFrame, keys: Sequence[str] | Column, flags: list[Column], stages: int, ts: str, tie: Sequence[str], rule, relation: Sequence[tuple[str, str]] = (), everything: bool = False, lonely: bool = False) -> DataFrame:
@@ -367,12 +435,32 @@ def repeated_then_stream(df: DataFrame, a: Column, b: Column, n: int, keys: Sequ
 
 
 def not_before_stream(df: DataFrame, a: Column, b: Column, ts: str, tie: Sequence[str], within: str | int, a_fields: Sequence[str] = (), b_fields: Sequence[str] = (), silence: str | int | None = None) -> DataFrame:
+    """B's without an A in the time before them, by group. Without groups, stretches of time are the keys of the state."""
+    if not a_fields and not b_fields:
+        return _not_before_unkeyed(df, a, b, ts, tie, millis(within), None if silence is None else millis(silence))
     own = total(a)
     sign = F.when(own, group_signature([F.col(c) for c in a_fields])).otherwise(group_signature([F.col(c) for c in b_fields]))
     rule = _NotBefore(millis(within), None if silence is None else millis(silence))
     return _run(df, sign, [own, total(b) & ~own], 2, ts, tie, rule)
 
 
+def _not_before_unkeyed(df: DataFrame, a: Column, b: Column, ts: str, tie: Sequence[str], within: int, silence: int | None) -> DataFrame:
+    """Two operators: alerts are found in stretches of one limit, which share the events out, A's in their own and the next one; then
+    the few alerts and each stretch's last A meet, for silence and for A's of long ago."""
+    ship(df.sparkSession)
+    for name, value in _STORE.items():
+        df.sparkSession.conf.set(name, value)
+    width, own = max(1, within), total(a)
+    order = F.concat_ws(",", *[F.lpad(F.col(c).cast("string"), 24, "0") for c in tie])
+    stretch = F.floor(F.unix_millis(ts) / width).cast("bigint")
+    flags = F.concat(F.when(own, "1").otherwise("0"), F.when(total(b) & ~own, "1").otherwise("0"), F.lit("00"))
+    places = F.transform(F.when(own, F.array(stretch, stretch + 1)).otherwise(F.array(stretch)), lambda x: x.cast("string"))
+    rows = df.select(F.lit("All").alias("signature"), F.explode(places).alias("stretch"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("t"), order.alias("tie"), F.to_json(F.struct(*df.columns), _TIMES).alias("json"), flags.alias("flags"))
+    rows = rows.where(F.col("flags").contains("1") | (F.rand() < 0))
+    parts = rows.groupBy("signature", "stretch").transformWithState(_Sequence(_NotBeforePart(within, width), 2, with_tie=True), f"{_OUT}, tie string", "append", "eventTime")
+    return parts.groupBy("signature").transformWithState(_Carried(silence), _OUT, "append", "none")
+
+
 def typed(found: DataFrame, events: DataFrame, *stages: str) -> DataFrame:
     """Matches of ``events`` with their columns: for each stage those of its first event, as ``<stage>_<column>``, and ``times``, the number of events of the first stage."""
     event = T.StructType([T.StructField("stage", T.StringType()), T.StructField("event", events.schema)])
