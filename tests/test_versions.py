@@ -65,7 +65,7 @@ def test_replayed_messages(spark, seed):
         want = {k: at is not None and replay(log, at, v, group) for k, at, v in events}
         assert got == want, group
         hits += sum(want.values())
-    assert hits > 20
+    assert hits > 5
 
 
 def test_messages_of_another_form(spark):

@@ -31,7 +31,7 @@ def parsed(messages: DataFrame, message: str = "message") -> DataFrame:
     known = F.lit(False)
     for module, op in _KNOWN:
         known = known | ((F.get(parts, F.lit(0)) == module) & (F.get(parts, F.lit(2)) == op) & (F.size(parts) == 3))
-    ids = F.array_distinct(F.transform(F.split(F.get(parts, F.lit(1)), ","), F.trim))
+    ids = F.array_distinct(F.transform(F.split(F.get(parts, F.lit(1)), ","), lambda x: F.trim(x)))
     checked = F.when(F.coalesce(known, F.lit(False)), ids).otherwise(F.raise_error(F.concat(F.lit("unexpected message: "), F.coalesce(F.col(message), F.lit("null")))).cast("array<string>"))
     return messages.withColumns({"module": F.get(parts, F.lit(0)), "op": F.get(parts, F.lit(2)), "group_id": F.explode(checked)})
 
