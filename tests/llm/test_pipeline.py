@@ -59,7 +59,7 @@ def test_stages_take_awkward_documents(spark):
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS FROM '{DIR}/{t}.parquet'")
     df, sql = QUERIES[name](spark, DIR), con.sql(ORACLE_SQL[name])
     columns = sorted(df.columns)
