@@ -805,10 +805,3 @@ def stream_join_followed_by_relation(spark: SparkSession, sf_dir: str) -> DataFr
     df = _stream(spark, sf_dir, "src_address", "dst_address")
     found = joins.followed_by_join(df, _is("error"), _is("purchase"), [], "ts", TIE, "48 hours", [("src_address", "dst_address")])
     return _drained(found, "join_related").where(F.col("a_ts") + F.expr("INTERVAL 48 HOURS") <= _watermark(spark, sf_dir)).select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"))
-
-
-@query("stream_join_not_followed_by_relation", ORACLE_SQL["stream_rule_not_followed_by_relation"])
-def stream_join_not_followed_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _stream(spark, sf_dir, "src_address", "dst_address")
-    found = joins.not_followed_by_join(df, _is("error"), _is("purchase"), [], "ts", TIE, "48 hours", [("src_address", "dst_address")])
-    return _drained(found, "join_alone").select("event_id")
