@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import queries
+from tidewatch.plans import multirule
 from tidewatch.plans.compiler import compile_rule
 from tidewatch.plans.multirule import one_scan
 from tidewatch.plans.rules import Rule
@@ -86,6 +87,14 @@ def test_scans_and_shuffles_dont_grow(spark):
     assert plan(1) == plan(15) == (1, 4, False)
 
 
+def test_hot_keys_cost_their_rows(spark, events):
+    """No frame shrinks, and rows of rules without sequences are dealt evenly, whatever their key."""
+    rules = [*SEQUENCES, COUNTS[5]]
+    assert "RangeFrame" not in one_scan(rules, events)._jdf.queryExecution().analyzed().toString()
+    got = multirule._stretched(events.limit(400).select(F.lit(None).alias("__tw_key"), F.lit("x").alias("__tw_sign"), F.lit(5).alias("__tw_t"), "event_id", F.lit(False).alias("__tw_seq")), 100, 10, ["event_id"])
+    assert got.count() == 400 and got.select("__tw_s").distinct().count() > 300
+
+
 @pytest.mark.parametrize("r", [rule("r", "followed_by", window=None), rule("r", "repeat_until"), rule("r", "not_before", silence="1 hour"), rule("r", "repeat_then", contiguity="strict")])
 def test_what_has_a_plan_of_its_own_only(spark, events, r):
     with pytest.raises(ValueError, match="doesn't share a pass"):

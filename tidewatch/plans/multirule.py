@@ -11,10 +11,11 @@ rules count are then aggregated together. So the number of scans and shuffles do
 depend on the rules.
 
 How the sequences are told from the rows of a stretch: after a row, the next B is the last one met when
-rows are gone through backward. The first A since the B before that lies within the
-limit is the later of two: the first A after the B before, and the first A in the limit's
-range; A's between are a difference of running counts. No frame is wider than what
-Spark updates row by row, so a hot key costs its number of rows.
+rows are gone through backward. An A whose next B comes within the limit is usable by it; the first
+usable A since the B before begins the match, and usable A's between are a difference of running
+counts. All frames begin with the stretch, as Spark works a frame that shrinks out anew for
+every row; so a hot key costs its number of rows. Rows of key sets without sequences need no
+neighbours and are dealt evenly, whatever their keys.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from tidewatch.plans.rules import Having, Rule
 
 _WINDOWED = ("having_count", "having_sum", "having_count_distinct")
 _SEQUENCES = ("followed_by", "not_followed_by", "not_before", "repeat_then")
+#: Rows of key sets without sequences are dealt to so many parts.
+PARTS = 4096
 
 
 def _micros(rule: Rule) -> int:
@@ -67,14 +70,13 @@ class _Windows:
     """Window expressions as SQL, each once, in rounds that may use those before."""
 
     def __init__(self, tie: Sequence[str]):
-        self.rounds: list[dict[str, str]] = [{}, {}, {}, {}]
+        self.rounds: list[dict[str, str]] = [{}, {}, {}]
         self.names: dict[str, str] = {}
         place = "PARTITION BY __tw_g, __tw_key, __tw_s ORDER BY"
         onward = ["__tw_t", *[f"`{c}`" for c in tie], "__tw_role"]
         self.before = f"({place} {', '.join(onward)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         self.back = f"({place} {', '.join(f'{c} DESC' for c in onward)})"
         self.after = f"{self.back[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-        self.ranged = f"({place} __tw_t RANGE BETWEEN {{}} PRECEDING AND CURRENT ROW)"
 
     def add(self, when: int, sql: str) -> str:
         if sql not in self.names:
@@ -113,7 +115,7 @@ def one_scan(rules: Sequence[Rule], events: DataFrame, ts: str = "ts", tie: tupl
     rows = tests.df.where(F.col(ts).isNotNull()).withColumns(read | {"__tw_t": F.unix_micros(F.col(ts).cast("timestamp"))})
     rows = _copies(rows, rules, sides, sets, tie)
     keep = list(dict.fromkeys(["__tw_g", "__tw_key", "__tw_sign", "__tw_t", *tie, "__tw_role", "__tw_seq", *read]))
-    rows = _stretched(rows.select(*keep), width, near)
+    rows = _stretched(rows.select(*keep), width, near, tie)
 
     w = _Windows(tie)
     names = ["__tw_t", *tie]
@@ -134,28 +136,27 @@ def one_scan(rules: Sequence[Rule], events: DataFrame, ts: str = "ts", tie: tupl
         b, limit = sides[k][1], _micros(r)
         a, b = f"({a} AND __tw_role <> 0)", f"({b} AND __tw_role <> 1)"
         if r.contiguity == "strict":
-            neighbour = w.add(1, f"lag(CASE WHEN {b} THEN {e} END) OVER {w.back}")
+            neighbour = w.add(0, f"lag(CASE WHEN {b} THEN {e} END) OVER {w.back}")
             return hit(k, f"{a} AND {neighbour}.__tw_t - __tw_t < {limit}", e, neighbour)
         if r.family == "not_before":
-            last = w.add(0, f"last(CASE WHEN {a} THEN __tw_t END) IGNORE NULLS OVER {w.before}")
+            last = w.add(1, f"last(CASE WHEN {a} THEN __tw_t END) IGNORE NULLS OVER {w.before}")
             return hit(k, f"{b} AND NOT {a} AND NOT coalesce(__tw_t - {last} <= {limit}, false)", b=e)
         if r.family == "not_followed_by" or r.family == "followed_by" and r.skip == "next":
-            nexts = w.add(1, f"last(CASE WHEN {b} THEN {e} END) IGNORE NULLS OVER {w.after}")
+            nexts = w.add(0, f"last(CASE WHEN {b} THEN {e} END) IGNORE NULLS OVER {w.after}")
             soon = f"coalesce({nexts}.__tw_t - __tw_t < {limit}, false)"
             return hit(k, f"{a} AND {soon}", e, nexts) if r.family == "followed_by" else hit(k, f"{a} AND NOT {soon}", e)
         # the A's since the B before, within the limit; an event that is both goes on with a loop's A's, else it ends the run
         loop = r.family == "repeat_then"
         a, b = (a, f"({b} AND NOT {a})") if loop else (f"({a} AND NOT {b})", b)
-        count = w.add(0, f"count(CASE WHEN {a} THEN 1 END) OVER {w.before}")
-        counted = f"CASE WHEN {a} THEN struct({', '.join(f'`{c}`' for c in names)}, {count} AS n) END"
-        later = w.add(1, f"last({counted}) IGNORE NULLS OVER {w.after}")
-        since = w.add(2, f"last(CASE WHEN {b} THEN struct({later} AS x) END) IGNORE NULLS OVER {w.before}")
-        first = w.add(2, f"first({counted}) IGNORE NULLS OVER {w.before}")
-        inside = w.add(2, f"min({counted}) OVER {w.ranged.format(f'{limit - 1}L')}")
-        start = f"CASE WHEN {since} IS NOT NULL THEN {since}.x ELSE {first} END"
-        start = w.add(3, f"CASE WHEN {start} > {inside} THEN {start} WHEN {start} IS NOT NULL THEN {inside} END")
+        nexts = w.add(0, f"last(CASE WHEN {b} THEN __tw_t END) IGNORE NULLS OVER {w.after}")
+        usable = f"({a} AND coalesce({nexts} - __tw_t < {limit}, false))"
+        run = w.add(1, f"last(CASE WHEN {b} THEN false WHEN {usable} THEN true END) IGNORE NULLS OVER {w.before}")
+        count = w.add(1, f"count(CASE WHEN {usable} THEN 1 END) OVER {w.before}") if loop else "1L"
+        first = f"CASE WHEN {usable} AND NOT coalesce({run}, false) THEN struct({', '.join(f'`{c}`' for c in names)}{f', {count} AS n' if loop else ''}) END"
+        start = w.add(2, f"last({first}) IGNORE NULLS OVER {w.before}")
         begun = f"struct({', '.join(f'{start}.`{c}`' for c in names)})"
-        return hit(k, f"{b} AND {begun} < {e} AND {count} - {start}.n >= {r.patternRepeat.low if loop else 1}", begun, e, value=f"{count} - {start}.n")
+        enough = f"{count} - {start}.n >= {r.patternRepeat.low}" if loop else "true"
+        return hit(k, f"{b} AND coalesce({run}, false) AND {begun} < {e} AND {enough}", begun, e, value=f"{count} - {start}.n" if loop else "1D")
 
     hits = [found(k) for k in range(len(rules))]
     rows = w.over(rows).where("__tw_own")
@@ -195,14 +196,15 @@ def _copies(rows: DataFrame, rules: Sequence[Rule], sides: list[list[str]], sets
     return rows.withColumns({f"__tw_{c}": F.col(f"__tw_c.{c}") for c in ("g", "key", "sign", "role", "seq")}).drop("__tw_c")
 
 
-def _stretched(rows: DataFrame, width: int, near: int) -> DataFrame:
-    """Rows of sequence rules once in their stretch (``__tw_own``) and once in each neighbour that needs them as context."""
+def _stretched(rows: DataFrame, width: int, near: int, tie: Sequence[str]) -> DataFrame:
+    """Rows of sequence rules once in their stretch (``__tw_own``) and once in each neighbour that needs them as context; others in one of ``PARTS`` parts."""
     s, inside = _stretch(F.col("__tw_t"), width), F.pmod("__tw_t", F.lit(width))
     place = lambda which, own: F.struct(which.alias("s"), F.lit(own).alias("own"))
     seq = F.col("__tw_seq")
     places = F.array(place(s, True), F.when(seq & (inside >= width - near), place(s + 1, False)), F.when(seq & (inside < near), place(s - 1, False)))
     rows = rows.withColumn("__tw_p", F.explode(F.array_compact(places)))
-    return rows.withColumns({"__tw_s": F.col("__tw_p.s"), "__tw_own": F.col("__tw_p.own")}).drop("__tw_p", "__tw_seq")
+    part = F.pmod(F.xxhash64("__tw_sign", "__tw_t", *tie), F.lit(PARTS))
+    return rows.withColumns({"__tw_s": F.when(seq, F.col("__tw_p.s")).otherwise(part), "__tw_key": F.when(seq, F.col("__tw_key")), "__tw_own": F.col("__tw_p.own")}).drop("__tw_p", "__tw_seq")
 
 
 def _covering(size: int, slide: int) -> Column:
