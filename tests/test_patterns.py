@@ -45,3 +45,12 @@ def test_plan_doesnt_grow(spark):
     large = marked(100_000)
     assert abs(size(large) - size(marked(1000))) < 20
     assert large.where("hit").count() == 20_000 // 3 + 1
+
+
+def test_index_asks_for_rare_grams_once(spark):
+    """The gram is chosen where patterns are read, without dealing out all their grams; one pattern in a hundred shares a gram at most."""
+    contents = spark.range(20_000).select(F.concat(F.lit("https?://shop\\.example/o"), F.col("id") + 1_000_000, F.lit("/u[0-9]{1,2}")).alias("pattern"))
+    by_gram, rest = P.index(contents)
+    plan = by_gram._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and rest.count() == 0
+    assert by_gram.count() == 20_000 and by_gram.groupBy("gram").count().agg(F.max("count")).first()[0] <= 200

@@ -149,7 +149,7 @@ class IntelGroups:
         return df.join(known, F.col(field).cast("string") == F.col("__tw_content"), "left").drop("__tw_content").withColumn(flag, total(F.col(flag)))
 
     def _mark_patterns(self, df: DataFrame, field: str, group: str, flag: str) -> DataFrame:
-        by_gram, rest = patterns.index(self.contents(group).select(F.col("content").alias("pattern")))
+        by_gram, rest = patterns.index(self.table.where((F.col("name") == group) | (F.col("group_id") == group)).select(F.col("content").alias("pattern")))
         hit = patterns.matching(df, field, by_gram, self.kinds[group][1] == "url").select(F.col("text").alias("__tw_text"), F.lit(True).alias(flag))
         value = F.col(field).cast("string")
         tests = [value.rlike(x) for x in self._expressions(group, rest)]

@@ -1,8 +1,8 @@
 """Many regular expressions at once, by an index over what their matches must contain.
 
 Most patterns can match only texts that hold a certain run of plain characters. Of each pattern's
-longest run one gram of eight, five or three characters is indexed, the one that the fewest
-patterns share. A text's grams are joined with the index, which leaves the few patterns
+longest run one gram of eight, five or three characters is indexed, by its hash: one that few
+patterns are likely to share. A text's grams are joined with the index, which leaves the few patterns
 that can match at all, and those are tried by the pattern itself. Patterns and texts are both
 tables, so the plan is the same for ten patterns and for a million, and nothing is gathered.
 
@@ -11,6 +11,7 @@ Patterns without such a run of three characters are returned apart, to be tried
 
 from __future__ import annotations
 
+import math
 import re
 import warnings
 from collections.abc import Iterator
@@ -20,11 +21,13 @@ from re import _parser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidewatch.shared import scratch
 from tidewatch.shipping import ship
 
 GRAMS = (8, 5, 3)
+#: Patterns and texts that tell which grams are common, and of how many such texts a gram is one of many.
+SOME, OFTEN = 20_000, 3
 #: Constructs that Java and Python read differently: class operations, nested classes, octal escapes, quoted runs.
 _DOUBTFUL = re.compile(r"&&|\[[^\]]*\[|\\[0-9QEGRXZbhHvVpPN]|\(\?[^:<=!]|\(\?<[^=!]")
 
@@ -65,12 +68,29 @@ def required(pattern: str) -> str | None:
     return best if len(best) >= min(GRAMS) else None
 
 
-def with_required(patterns: DataFrame, pattern: str, name: str) -> DataFrame:
+def _trigrams(run: str) -> list[str]:
+    return [run[k : k + 3] for k in range(len(run) - 2)]
+
+
+def _rarest(run: str, common: dict[str, int]) -> str:
+    """The gram of a run whose threes of characters are the rarest among patterns, as far as ``common`` knows."""
+    size = next(g for g in GRAMS if len(run) >= g)
+    weight = [math.log(common.get(t, 0) + 1) for t in _trigrams(run)]
+    at = min(range(len(run) - size + 1), key=lambda k: (sum(weight[k : k + size - 2]), k))
+    return run[at : at + size]
+
+
+def with_required(patterns: DataFrame, pattern: str, name: str, common: dict[str, int] | None = None) -> DataFrame:
+    """``pattern`` with its run, or (``common``) with the gram of it to look up."""
     ship(patterns.sparkSession)
 
+    def wanted(p: str | None) -> str | None:
+        run = None if p is None else required(p)
+        return run if run is None or common is None else _rarest(run, common)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([None if p is None else required(p) for p in b.column(0).to_pylist()], pa.string())], [pattern, name])
+            yield pa.record_batch([b.column(0), pa.array([wanted(p) for p in b.column(0).to_pylist()], pa.string())], [pattern, name])
 
     return patterns.select(pattern).mapInArrow(read, f"{pattern} string, {name} string")
 
@@ -81,22 +101,34 @@ def _grams(text: Column, size: int | Column) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda k: F.substring(text, k, size)))).otherwise(F.array().cast("array<string>"))
 
 
+def _common(patterns: DataFrame) -> dict[str, int]:
+    """How many of some patterns have each three characters: a guide to rare grams, which decides no match."""
+    some = with_required(patterns.where("pattern IS NOT NULL").limit(SOME), "pattern", "run").where("run IS NOT NULL")
+    threes = some.select(F.explode(_grams(F.col("run"), 3)).alias("three")).groupBy("three").count()
+    return dict(map(tuple, threes.orderBy(F.desc("count"), "three").limit(SOME).collect()))
+
+
 def index(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``patterns`` (``pattern``) as an index (``gram``, ``pattern``), and those that can't be indexed."""
-    found = with_required(patterns.where("pattern IS NOT NULL").distinct(), "pattern", "run")
-    size = F.lit(min(GRAMS))
-    for g in sorted(GRAMS):
-        size = F.when(F.length("run") >= g, F.lit(g)).otherwise(size)
-    grams = found.where("run IS NOT NULL").select("pattern", F.explode(_grams(F.col("run"), size)).alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = F.row_number().over(Window.partitionBy("pattern").orderBy("n", "gram"))
-    return grams.join(shared, "gram").withColumn("k", rarest).where("k = 1").select("gram", "pattern"), found.where("run IS NULL").select("pattern")
+    """``patterns`` (``pattern``) as an index (``gram``: its hash, ``size``, ``pattern``), and those that can't be indexed. Both are read once, into a table in the shared folder."""
+    spark = patterns.sparkSession
+    found = with_required(patterns.where("pattern IS NOT NULL").distinct(), "pattern", "gram", _common(patterns))
+    path = scratch(spark, "patterns")
+    found.select(F.xxhash64("gram").alias("gram"), F.length("gram").alias("size"), "pattern").write.parquet(path)
+    table = spark.read.schema("gram bigint, size int, pattern string").parquet(path)
+    return table.where("size IS NOT NULL"), table.where("size IS NULL").select("pattern")
 
 
 def matching(texts: DataFrame, text: str, by_gram: DataFrame, whole: bool) -> DataFrame:
-    """The values of ``text`` that some pattern of the index matches, each once; ``whole``: as a whole, else anywhere."""
+    """The values of ``text`` that some pattern of the index matches, each once; ``whole``: as a whole, else anywhere.
+
+    Grams go by their hashes, only of sizes that the index has, and without those that many texts hold and no pattern asks for.
+    """
     t = F.col("text")
-    values = texts.select(F.col(text).cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    grams = values.select("text", F.explode(F.concat(*[_grams(t, g) for g in GRAMS])).alias("gram"))
+    every = texts.select(F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    sizes = F.broadcast(by_gram.select("size").distinct())
+    hashed = lambda values: values.join(sizes).select("text", F.explode(F.transform(_grams(t, F.col("size")), lambda g: F.xxhash64(g))).alias("gram"))
+    often = hashed(every.limit(SOME)).groupBy("gram").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "gram").limit(10 * SOME).select("gram")
+    idle = F.broadcast(often.join(by_gram.select("gram"), "gram", "left_anti"))
     test = F.regexp_like(t, F.concat(F.lit(r"\A(?:"), "pattern", F.lit(r")\z")) if whole else F.col("pattern"))
-    return grams.join(by_gram, "gram").where(test).select("text").distinct()
+    grams = hashed(every.distinct()).join(idle, "gram", "left_anti")
+    return grams.join(by_gram.select("gram", "pattern"), "gram").where(test).select("text").distinct()
