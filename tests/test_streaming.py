@@ -304,3 +304,20 @@ def test_not_before_without_groups(spark, events, tmp_path, silence):
     first = min(spark.read.format("state-metadata").load(kept).where("operatorProperties LIKE '%waiting%'").select("operatorId").distinct().collect())["operatorId"]
     state = lambda b: spark.read.format("statestore").option("path", kept).option("operatorId", first).option("stateVarName", "waiting").option("batchId", b).load()
     assert len({r.partition_id for b in range(len(states)) for r in state(b).select("partition_id").distinct().collect()}) > 1
+
+
+def test_followed_by_join_makes_no_pairs(spark, tmp_path):
+    """An A meets its first B only, however many lie in its limit; microseconds count, equal A's are one."""
+    at = lambda us: F.timestamp_micros(F.lit(1_700_000_000_000_000) + us)
+    many = spark.range(400).select(F.col("id"), at(F.col("id") * 1000).alias("ts"), F.lit("k").alias("key"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("kind"))
+    close = spark.createDataFrame([(900, 900_700, "k", "a"), (901, 900_200, "k", "b"), (-5, 950_100, "k", "a"), (-5, 950_100, "k", "a"), (-7, 950_100, "k", "b"), (903, 990_000, "k", "b"), (904, 99_000_000_000, "k", "b")], "id long, us long, key string, kind string")
+    df = many.unionByName(close.select("id", at(F.col("us")).alias("ts"), "key", "kind"))
+    path = str(tmp_path / "in")
+    df.coalesce(1).write.parquet(path)
+    stream = readers.with_event_time(readers.files(spark, path, df.schema, "parquet"), "ts")
+    how = (F.expr("kind = 'a'"), F.expr("kind = 'b'"), ["key"], "ts", ["id"], "1 hour")
+    live = J.followed_by_join(stream, *how)
+    assert "Join" not in live._jdf.queryExecution().analyzed().toString()
+    want = [(2 * k, 2 * k + 1) for k in range(200)] + [(900, -7), (-5, 903)]
+    assert sorted((r.a_id, r.b_id) for r in run(spark, live, "tw_no_pairs")) == sorted(want)
+    assert sorted((r.a_id, r.b_id) for r in J.followed_by_join(df, *how).collect()) == sorted(want)

@@ -62,6 +62,8 @@ class Automaton:
     def __init__(self, stages: Sequence[tuple[str, int, int | None, Iterative | None, bool]], within: int | None, strict: bool, past_last: bool):
         self.stages, self.within, self.strict, self.past_last = stages, within, strict, past_last
         self.open: list[_Open] = []
+        # A, then the next B: open matches need no look until a B comes, which ends them all
+        self.plain = len(stages) == 2 and not strict and not past_last and all(high == 1 and also is None for _, _, high, also, _ in stages)
 
     def _wants(self, m: _Open, k: int, event: Event, flags: Sequence[bool]) -> bool:
         also = self.stages[k][3]
@@ -76,6 +78,19 @@ class Automaton:
 
     def step(self, time: int, event: Event, flags: Sequence[bool], until: Sequence[bool]) -> list[dict[str, list[Event]]]:
         """The matches that this event completes, the earliest first."""
+        if self.plain:
+            done = []
+            if flags[1]:
+                done, self.open = [m for m in self.open if self.within is None or time - m.start < self.within], []
+                for m in done:
+                    self._take(m, 1, event)
+            if flags[0] and not until[0]:
+                # those out of time go once they are half of all
+                if self.within is not None and self.open and time - self.open[len(self.open) // 2].start >= self.within:
+                    self.open = [m for m in self.open if time - m.start < self.within]
+                self.open.append(fresh := _Open(time, 0, {}))
+                self._take(fresh, 0, event)
+            return [m.taken for m in done]
         done, left = [], []
         for m in self.open:
             if self.within is not None and time - m.start >= self.within:

@@ -801,7 +801,7 @@ def stream_repeat_until(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_join_followed_by_relation", ORACLE_SQL["stream_rule_followed_by_relation"].replace(f"b.ts <= {_PASSED}", f"a.ts + INTERVAL '48 hours' <= {_PASSED}"))
 def stream_join_followed_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As an interval join of the stream with itself: pairs whose first event's time limit has passed."""
+    """As a join of the stream with itself, an A with its first B: pairs whose first event's time limit has passed."""
     df = _stream(spark, sf_dir, "src_address", "dst_address")
     found = joins.followed_by_join(df, _is("error"), _is("purchase"), [], "ts", TIE, "48 hours", [("src_address", "dst_address")])
     return _drained(found, "join_related").where(F.col("a_ts") + F.expr("INTERVAL 48 HOURS") <= _watermark(spark, sf_dir)).select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"))

@@ -7,7 +7,8 @@ timer at the next event or deadline wakes the key even if it gets no more events
 
 The state is kept by ``transformWithState`` in parts of their own: the events of a batch
 that must wait are put once, as a few entries of a map, and removed once; an open match,
-each event that it has taken, and the A's of a loop are entries too. A batch
+each event that it has taken, and the A's of a loop are entries too. Times are
+microseconds, as two events of a millisecond have an order. A batch
 writes what it adds and removes, never a key's whole state, and events of
 a match are read only when it ends. The state store is RocksDB with a log of changes,
 which the first of these rules sets for its session (``RocksDBStateStoreProvider``).
@@ -132,15 +133,18 @@ class _Patterns:
         return kind, start, end, json.dumps([_shown(s, e) for s, es in taken.items() for e in es], ensure_ascii=False)
 
     def passed(self, time: int) -> Iterator[tuple]:
-        limit = self.args[1]
+        limit, late = self.args[1], 0
         if limit is not None:
-            late = [m for m in self.machine.open if time - m.start >= limit]
-            self.machine.open = [m for m in self.machine.open if time - m.start < limit]
-            for m in late if "timeout" in self.kinds else ():
+            # they stand in order of their start
+            while late < len(self.machine.open) and time - self.machine.open[late].start >= limit:
+                late += 1
+            for m in self.machine.open[:late] if "timeout" in self.kinds else ():
                 yield self._row("timeout", m.start, m.start + limit, m.taken)
+            self.machine.open = self.machine.open[late:] if late else self.machine.open
 
     def take(self, time: int, text: str, flags: list, until: list) -> Iterator[tuple]:
-        yield from self.passed(time)
+        if "timeout" in self.kinds:
+            yield from self.passed(time)
         for taken in self.machine.step(time, self.event(time, text), flags, until):
             if "match" in self.kinds:
                 yield self._row("match", min(e["t"] for es in taken.values() for e in es), time, taken)
@@ -315,8 +319,8 @@ class _Carried(StatefulProcessor):
 class _Sequence(StatefulProcessor):
     """Lets the events of a key wait for the watermark and gives them to the rule in order."""
 
-    def __init__(self, rule, stages: int, with_tie: bool = False):
-        self.rule, self.stages, self.with_tie = rule, stages, with_tie
+    def __init__(self, rule, stages: int, with_tie: bool = False, once: bool = False):
+        self.rule, self.stages, self.with_tie, self.once = rule, stages, with_tie, once
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -334,7 +338,9 @@ class _Sequence(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _turn(self, key, fresh: list[tuple], watermark: int, fired: int | None) -> Iterator[Row]:
+    def _turn(self, key, fresh: list[tuple], passed: int, fired: int | None) -> Iterator[Row]:
+        # all microseconds of the watermark's millisecond have passed
+        watermark = passed * 1000 + 999
         done, serial, timer = was = self.clock.get() or (None, 0, None)
         ready, nexts = [], []
         for entry in list(self.waiting.keys()) if done is not None else ():
@@ -358,14 +364,19 @@ class _Sequence(StatefulProcessor):
         rule = self.rule
         rule.key = key
         rule.begin(serial)
-        for t, rule.tie, text, flags in sorted(ready, key=lambda e: (e[0], e[1])):
+        before = None
+        for event in sorted(ready):
+            # equal events have equal times, so they are ready together
+            if self.once and event == before:
+                continue
+            t, rule.tie, text, flags = before = event
             bits = [c == "1" for c in flags]
             out += rule.take(t, text, bits[: self.stages], bits[self.stages :])
         out += rule.passed(watermark)
         deadline = rule.end()
         if deadline is not None:
             nexts.append(deadline)
-        wake = max(min(nexts), watermark + 1) if nexts else None
+        wake = max(min(nexts) // 1000, passed + 1) if nexts else None
         if wake != timer:
             if timer is not None and timer != fired:
                 self.handle.deleteTimer(timer)
@@ -381,17 +392,32 @@ class _Sequence(StatefulProcessor):
         for kind, start, end, events, *tie in out:
             if kind in rule.kinds:
                 own = {"tie": tie[0]} if self.with_tie else {}
-                yield Row(signature=key[0], kind=kind, start_ms=start, end_ms=end, events=events, **own)
+                yield Row(signature=key[0], kind=kind, start_ms=start // 1000, end_ms=end // 1000, events=events, **own)
+
+
+def _micros(within: str | int | None) -> int | None:
+    return None if within is None else millis(within) * 1000
+
+
+def _order(df: DataFrame, tie: Sequence[str]) -> Column:
+    """The tie as text that sorts as the columns do; integers by sign and sixteen hex digits."""
+
+    def text(c: str) -> Column:
+        if isinstance(df.schema[c].dataType, T.IntegralType):
+            return F.concat(F.when(F.col(c) < 0, "0").otherwise("1"), F.lpad(F.hex(F.col(c).cast("bigint")), 16, "0"))
+        return F.lpad(F.col(c).cast("string"), 24, "0")
+
+    return F.concat_ws(",", *[text(c) for c in tie])
 
 
-def _run(df: DataFrame, keys: Sequence[str] | Column, flags: list[Column], stages: int, ts: str, tie: Sequence[str], rule, relation: Sequence[tuple[str, str]] = (), everything: bool = False, lonely: bool = False) -> DataFrame:
-    """``everything``: events that pass no test count too. ``lonely``: an A without a value of a related field stays, and no B relates to it."""
+def _run(df: DataFrame, keys: Sequence[str] | Column, flags: list[Column], stages: int, ts: str, tie: Sequence[str], rule, relation: Sequence[tuple[str, str]] = (), everything: bool = False, lonely: bool = False, once: bool = False) -> DataFrame:
+    """``everything``: events that pass no test count too. ``lonely``: an A without a value of a related field stays, and no B relates to it. ``once``: equal events are one."""
     ship(df.sparkSession)
     for name, value in _STORE.items():
         df.sparkSession.conf.set(name, value)
     carry = df.columns
     signature = keys if isinstance(keys, Column) else group_signature([F.col(k) for k in keys])
-    order = F.concat_ws(",", *[F.lpad(F.col(c).cast("string"), 24, "0") for c in tie])
+    order = _order(df, tie)
     if relation:
         if stages != 2:
             raise ValueError("fields are related between two events")
@@ -403,23 +429,23 @@ def _run(df: DataFrame, keys: Sequence[str] | Column, flags: list[Column], stage
     else:
         rows, related = df, F.lit("")
         bits = F.concat(*[F.when(total(c), "1").otherwise("0") for c in flags])
-    rows = rows.select(signature.alias("signature"), related.alias("related"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("t"), order.alias("tie"), F.to_json(F.struct(*carry), _TIMES).alias("json"), bits.alias("flags"))
+    rows = rows.select(signature.alias("signature"), related.alias("related"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("t"), order.alias("tie"), F.to_json(F.struct(*carry), _TIMES).alias("json"), bits.alias("flags"))
     if not everything:
         # a test that isn't deterministic stays above the watermark
         rows = rows.where(F.col("flags").contains("1") | (F.rand() < 0))
-    return rows.groupBy("signature", "related").transformWithState(_Sequence(rule, stages), _OUT, "append", "eventTime")
+    return rows.groupBy("signature", "related").transformWithState(_Sequence(rule, stages, once=once), _OUT, "append", "eventTime")
 
 
-def match_stream(df: DataFrame, stages: Sequence[Stage], keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, skip: str = "next", contiguity: str = "relaxed", kinds: Sequence[str] = ("match", "timeout"), relation: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def match_stream(df: DataFrame, stages: Sequence[Stage], keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, skip: str = "next", contiguity: str = "relaxed", kinds: Sequence[str] = ("match", "timeout"), relation: Sequence[tuple[str, str]] = (), once: bool = False) -> DataFrame:
     """Matches and timed-out beginnings of a pattern over a stream with a watermark on ``ts``. ``relation``: fields of the first of two stages and of the second that are equal, in any case of letters."""
     plain = [(s.name, s.low, s.high, s.also, s.greedy) for s in stages]
     flags = [*(s.test for s in stages), *(F.lit(False) if s.until is None else s.until for s in stages)]
-    rule = _Patterns(plain, None if within is None else millis(within), skip, contiguity == "strict", tuple(kinds))
-    return _run(df, keys, flags, len(stages), ts, tie, rule, relation, everything=contiguity == "strict" and not relation, lonely="timeout" in kinds)
+    rule = _Patterns(plain, _micros(within), skip, contiguity == "strict", tuple(kinds))
+    return _run(df, keys, flags, len(stages), ts, tie, rule, relation, everything=contiguity == "strict" and not relation, lonely="timeout" in kinds, once=once)
 
 
-def followed_by_stream(df: DataFrame, a: Column, b: Column, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, skip: str = "next", contiguity: str = "relaxed", relation: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    return match_stream(df, [Stage("a", a), Stage("b", b)], keys, ts, tie, within, skip, contiguity, ("match",), relation)
+def followed_by_stream(df: DataFrame, a: Column, b: Column, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, skip: str = "next", contiguity: str = "relaxed", relation: Sequence[tuple[str, str]] = (), once: bool = False) -> DataFrame:
+    return match_stream(df, [Stage("a", a), Stage("b", b)], keys, ts, tie, within, skip, contiguity, ("match",), relation, once)
 
 
 def not_followed_by_stream(df: DataFrame, a: Column, b: Column, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int, relation: Sequence[tuple[str, str]] = ()) -> DataFrame:
@@ -430,7 +456,7 @@ def not_followed_by_stream(df: DataFrame, a: Column, b: Column, keys: Sequence[s
 def repeated_then_stream(df: DataFrame, a: Column, b: Column, n: int, keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, contiguity: str = "relaxed", relation: Sequence[tuple[str, str]] = (), greedy: bool = True) -> DataFrame:
     """A at least n times, then B."""
     strict = contiguity == "strict"
-    rule = _RepeatThen(n, None if within is None else millis(within), strict, greedy)
+    rule = _RepeatThen(n, _micros(within), strict, greedy)
     return _run(df, keys, [a, b], 2, ts, tie, rule, relation, everything=strict and not relation)
 
 
@@ -440,7 +466,7 @@ def not_before_stream(df: DataFrame, a: Column, b: Column, ts: str, tie: Sequenc
         return _not_before_unkeyed(df, a, b, ts, tie, millis(within), None if silence is None else millis(silence))
     own = total(a)
     sign = F.when(own, group_signature([F.col(c) for c in a_fields])).otherwise(group_signature([F.col(c) for c in b_fields]))
-    rule = _NotBefore(millis(within), None if silence is None else millis(silence))
+    rule = _NotBefore(_micros(within), _micros(silence))
     return _run(df, sign, [own, total(b) & ~own], 2, ts, tie, rule)
 
 
@@ -451,13 +477,13 @@ def _not_before_unkeyed(df: DataFrame, a: Column, b: Column, ts: str, tie: Seque
     for name, value in _STORE.items():
         df.sparkSession.conf.set(name, value)
     width, own = max(1, within), total(a)
-    order = F.concat_ws(",", *[F.lpad(F.col(c).cast("string"), 24, "0") for c in tie])
+    order = _order(df, tie)
     stretch = F.floor(F.unix_millis(ts) / width).cast("bigint")
     flags = F.concat(F.when(own, "1").otherwise("0"), F.when(total(b) & ~own, "1").otherwise("0"), F.lit("00"))
     places = F.transform(F.when(own, F.array(stretch, stretch + 1)).otherwise(F.array(stretch)), lambda x: x.cast("string"))
-    rows = df.select(F.lit("All").alias("signature"), F.explode(places).alias("stretch"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("t"), order.alias("tie"), F.to_json(F.struct(*df.columns), _TIMES).alias("json"), flags.alias("flags"))
+    rows = df.select(F.lit("All").alias("signature"), F.explode(places).alias("stretch"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("t"), order.alias("tie"), F.to_json(F.struct(*df.columns), _TIMES).alias("json"), flags.alias("flags"))
     rows = rows.where(F.col("flags").contains("1") | (F.rand() < 0))
-    parts = rows.groupBy("signature", "stretch").transformWithState(_Sequence(_NotBeforePart(within, width), 2, with_tie=True), f"{_OUT}, tie string", "append", "eventTime")
+    parts = rows.groupBy("signature", "stretch").transformWithState(_Sequence(_NotBeforePart(within * 1000, width * 1000), 2, with_tie=True), f"{_OUT}, tie string", "append", "eventTime")
     return parts.groupBy("signature").transformWithState(_Carried(silence), _OUT, "append", "none")
 
 
