@@ -321,3 +321,77 @@ def test_followed_by_join_makes_no_pairs(spark, tmp_path):
     want = [(2 * k, 2 * k + 1) for k in range(200)] + [(900, -7), (-5, 903)]
     assert sorted((r.a_id, r.b_id) for r in run(spark, live, "tw_no_pairs")) == sorted(want)
     assert sorted((r.a_id, r.b_id) for r in J.followed_by_join(df, *how).collect()) == sorted(want)
+
+
+class _Visited:
+    """A state that counts visits, for one key."""
+
+    def __init__(self):
+        self.visits, self.kept = 0, {}
+
+    def getMapState(self, name, *_):
+        return _Place(self, name)
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.visits += 1
+
+    deleteTimer = registerTimer
+
+
+class _Place:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def _all(self):
+        self.handle.visits += 1
+        return self.handle.kept.setdefault(self.name, {})
+
+    def exists(self):
+        return bool(self._all())
+
+    def get(self):
+        return self._all().get(())
+
+    def update(self, value):
+        self._all()[()] = value
+
+    def clear(self):
+        self._all().clear()
+
+    def keys(self):
+        return list(self._all())
+
+    def iterator(self):
+        return list(self._all().items())
+
+    def getValue(self, key):
+        return self._all()[key]
+
+    def updateValue(self, key, value):
+        self._all()[key] = value
+
+    def removeKey(self, key):
+        del self._all()[key]
+
+
+@pytest.mark.parametrize("n", [20, 2000])
+@pytest.mark.parametrize("family", ["followed_by", "repeat_until"])
+def test_a_key_is_visited_seldom(family, n):
+    """Events that wait once cost few visits to the state for each key, not several for each thing kept; nothing is left or lost, however many there are."""
+    if family == "followed_by":
+        rule, stages = S._Patterns([("a", 1, 1, None, True), ("b", 1, 1, None, True)], None, "next", False, ("match",)), 2
+        flags, expected = lambda k: ("1000", "0100")[k % 2], n // 2
+    else:
+        rule, stages = S._Patterns([("a", 2, None, None, True)], None, "past_last", False, ("match",)), 1
+        flags, expected = lambda k: "10", n // 2
+    made = S._Sequence(rule, stages)
+    made.init(handle := _Visited())
+    fresh = [(5_000_000 + k, f"{k:024}", json.dumps({"id": k}), flags(k)) for k in range(n)]
+    assert list(made._turn(("u", ""), fresh, 0, None)) == []
+    found = list(made._turn(("u", ""), [], 9_000, 5_000))
+    assert sorted(tuple(e["event"]["id"] for e in json.loads(r.events)) for r in found) == [(k, k + 1) for k in range(0, n, 2)] and len(found) == expected
+    assert not any(handle.kept.values())
+    if n == 20:
+        assert handle.visits <= 6

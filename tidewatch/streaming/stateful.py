@@ -6,7 +6,7 @@ gives. What waits is bounded by the lateness, open matches by the time limit: an
 timer at the next event or deadline wakes the key even if it gets no more events.
 
 The state is kept by ``transformWithState`` in parts of their own: the events of a batch
-that must wait are put once, as a few entries of a map, and removed once; an open match,
+that must wait are put once, as a few entries of a map or, if few, beside the key's clock, and removed once; an open match,
 each event that it has taken, and the A's of a loop are entries too. Times are
 microseconds, as two events of a millisecond have an order. A batch
 writes what it adds and removes, never a key's whole state, and events of
@@ -42,6 +42,8 @@ _TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFor
 _STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 #: Events of an entry of the map of waiting events.
 _ENTRY = 512
+#: So few waiting events stand beside the clock, which is read and written in any case: a visit to the state costs more than a few events.
+_FEW = 64
 
 
 def _shown(stage: str, event: dict) -> dict:
@@ -97,7 +99,7 @@ class _Patterns:
     def begin(self, serial: int) -> None:
         self.machine, self.serial, self.known = Automaton(*self.args), serial, {}
         names = [x[0] for x in self.args[0]]
-        for (i,), (start, stage, closed, counts) in sorted(self.open.iterator()) if self.open.exists() else ():
+        for (i,), (start, stage, closed, counts) in sorted(self.open.iterator()) if self.held else ():
             read = lambda k, i=i, at=0: self.event(*self.taken.getValue((i, at, k)))
             events = _Dict({names[at]: _Taken(lambda k, at=at, read=read: read(k, at=at), n) for at, n in enumerate(counts) if n})
             self.machine.open.append(m := _Open(start, stage, events, closed))
@@ -160,11 +162,11 @@ class _RepeatThen:
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.taken = handle.getListState("taken", "t bigint, json string")
-        self.held = handle.getValueState("held", "stored bigint, useful bigint, last bigint")
+        self.about = handle.getValueState("held", "stored bigint, useful bigint, last bigint")
 
     def begin(self, serial: int) -> None:
         self.serial, self.fresh, self.forgotten = serial, [], False
-        self.stored, self.useful, self.last = self.was = self.held.get() or (0, 0, None)
+        self.stored, self.useful, self.last = self.was = (self.about.get() if self.held else None) or (0, 0, None)
 
     def _since(self) -> list[tuple]:
         return [*(self.taken.get() if self.stored and not self.forgotten else ()), *self.fresh]
@@ -210,10 +212,10 @@ class _RepeatThen:
             now = (kept + len(self.fresh), 0 if self.forgotten else self.useful, self.last)
         if self.last is None:
             if self.was[2] is not None:
-                self.held.clear()
+                self.about.clear()
             return None
         if now != self.was:
-            self.held.update(now)
+            self.about.update(now)
         return self.last + self.within if self.within is not None else None
 
 
@@ -324,9 +326,9 @@ class _Sequence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "first bigint, last bigint, number bigint", "t array<bigint>, tie array<string>, json array<string>, flags array<string>")
-        # the watermark up to which events were taken, the next number to give, and the timer
-        self.clock = handle.getValueState("clock", "done bigint, serial bigint, timer bigint")
+        self.waiting = handle.getMapState("waiting", "first bigint, last bigint, number bigint", "events string")
+        # the watermark up to which events were taken, the next number to give, the timer, how many entries wait in the map, whether the rule has a state, and few events that wait here
+        self.clock = handle.getValueState("clock", "done bigint, serial bigint, timer bigint, entries int, held boolean, few string")
         self.rule.init(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -341,28 +343,41 @@ class _Sequence(StatefulProcessor):
     def _turn(self, key, fresh: list[tuple], passed: int, fired: int | None) -> Iterator[Row]:
         # all microseconds of the watermark's millisecond have passed
         watermark = passed * 1000 + 999
-        done, serial, timer = was = self.clock.get() or (None, 0, None)
+        done, serial, timer, entries, held, few = was = tuple(self.clock.get() or (None, 0, None, 0, False, None))
         ready, nexts = [], []
-        for entry in list(self.waiting.keys()) if done is not None else ():
+
+        def sift(events: list[tuple]) -> None:
+            ready.extend(e for e in events if done < e[0] <= watermark)
+            nexts.extend([min(e[0] for e in events if e[0] > watermark)] if events[-1][0] > watermark else [])
+
+        if few is not None:
+            events = [tuple(e) for e in json.loads(few)]
+            sift(events)
+            few = few if events[-1][0] > watermark else None
+        for entry in list(self.waiting.keys()) if entries else ():
             if entry[0] > watermark:
                 nexts.append(entry[0])
                 continue
-            events = list(zip(*self.waiting.getValue(entry), strict=True))
-            ready += [e for e in events if done < e[0] <= watermark]
+            sift([tuple(e) for e in json.loads(self.waiting.getValue(entry)[0])])
             if entry[1] <= watermark:
                 self.waiting.removeKey(entry)
-            else:
-                nexts.append(min(e[0] for e in events if e[0] > watermark))
+                entries -= 1
         ready += [e for e in fresh if e[0] <= watermark]
         later = sorted(e for e in fresh if e[0] > watermark)
+        if later:
+            nexts.append(later[0][0])
+        # stretches of time are few keys with many events, theirs stand in the map
+        if 0 < len(later) <= _FEW and few is None and not self.with_tie:
+            few = json.dumps(later, ensure_ascii=False)
+            later = []
         for k in range(0, len(later), _ENTRY):
             some = later[k : k + _ENTRY]
-            self.waiting.updateValue((some[0][0], some[-1][0], serial), tuple(map(list, zip(*some, strict=True))))
-            nexts.append(some[0][0])
-            serial += 1
+            self.waiting.updateValue((some[0][0], some[-1][0], serial), (json.dumps(some, ensure_ascii=False),))
+            serial, entries = serial + 1, entries + 1
         out = []
         rule = self.rule
         rule.key = key
+        rule.held = held
         rule.begin(serial)
         before = None
         for event in sorted(ready):
@@ -383,9 +398,9 @@ class _Sequence(StatefulProcessor):
             if wake is not None:
                 self.handle.registerTimer(wake)
         if nexts or not rule.empty:
-            now = (watermark, rule.serial, wake)
+            now = (watermark, rule.serial, wake, entries, not rule.empty, few)
             # without waiting events the time up to which they were taken is of no matter
-            if now[1:] != was[1:] or done is None or nexts and now[0] != done:
+            if now[1:] != was[1:] or done is None or (few is not None or entries) and now[0] != done:
                 self.clock.update(now)
         elif done is not None:
             self.clock.clear()
