@@ -395,3 +395,106 @@ def test_a_key_is_visited_seldom(family, n):
     assert not any(handle.kept.values())
     if n == 20:
         assert handle.visits <= 6
+
+
+def test_keys_share_the_state(spark, tmp_path):
+    """Timers and clocks follow the buckets, not the keys; odd keys stay apart."""
+    path = str(tmp_path / "in")
+    odd = F.when(F.col("id") % 3000 < 2, F.concat(F.lit('a"\n,]é\x1f'), F.col("id") % 3000)).otherwise((F.col("id") % 3000).cast("string"))
+    df = spark.range(12_000).select(F.col("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"), odd.alias("key"), F.when(F.col("id") < 9000, "a").otherwise("z").alias("kind"))
+    df.coalesce(1).write.parquet(path)
+    stream = readers.with_event_time(readers.files(spark, path, df.schema, "parquet"), "ts")
+    found = S.match_stream(stream, [Stage("a", F.expr("kind = 'a'"), 3, None, until=F.expr("kind = 'b'"))], ["key"], "ts", ["id"], skip="past_last", kinds=("match",))
+    q = found.writeStream.format("memory").queryName("tw_shared").option("checkpointLocation", str(tmp_path / "kept")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.table("tw_shared").collect()
+    assert sorted(tuple(e["event"]["id"] for e in json.loads(r.events)) for r in got) == [(k, k + 3000, k + 6000) for k in range(3000)]
+    assert {r.signature for r in got} == {r.key for r in df.select("key").distinct().collect()}
+    timers = [o["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress for o in p["stateOperators"]]
+    assert 0 < max(timers) <= S._BUCKETS < 3000
+
+
+class _Mild(_Place):
+    def getValue(self, key):
+        return self._all().get(key)
+
+
+class _Kept(_Visited):
+    def getMapState(self, name, *_):
+        return _Mild(self, name)
+
+    getValueState = getMapState
+
+
+RULES = [
+    lambda: S._Patterns([("a", 1, 1, None, True), ("b", 1, 1, None, True)], 60, "next", False, ("match", "timeout")),
+    lambda: S._Patterns([("a", 3, None, None, True)], None, "past_last", False, ("match",)),
+    lambda: S._Patterns([("a", 2, None, None, True), ("b", 1, 1, None, True)], 5_000, "past_last", False, ("match",)),
+    lambda: S._RepeatThen(2, 300, False, True),
+    lambda: S._RepeatThen(2, None, False, True),
+    lambda: S._NotBefore(4, 25_000),
+]
+
+
+@pytest.mark.parametrize("which", range(len(RULES)))
+@pytest.mark.parametrize("keys", [3, 40])
+def test_keys_of_a_bucket_stay_apart(which, keys):
+    """Many keys in one bucket over many turns give what each gives alone in one turn; there are more A's than stand together."""
+    import random
+
+    draw = random.Random(which)
+    stages = len(RULES[which]().args[0]) if which < 3 else 2
+    events = []
+    for k in range(2400):
+        who = json.dumps([f"u{draw.randrange(keys) if draw.random() < 0.5 else 0}", ""])
+        kind = "b" if draw.random() < 0.01 + 0.2 * (who != '["u0", ""]') else "a"
+        flags = {"a": "10" if stages == 1 else "1000", "b": "01" if stages == 1 else "0100"}[kind]
+        events.append((1_000_000 + k * 1000, f"{k:024}", json.dumps({"id": k}), flags, who))
+    within = lambda rule: setattr(rule, "args", (rule.args[0], rule.args[1] and rule.args[1] * 1000, *rule.args[2:])) if isinstance(rule, S._Patterns) else rule.within and setattr(rule, "within", rule.within * 1000)
+    shown = lambda rows: sorted((r.signature, r.kind, r.start_ms, r.end_ms, r.events) for r in rows)
+
+    def made(shared):
+        within(rule := RULES[which]())
+        one = S._Sequence(rule, stages, shared=shared)
+        one.init(handle := _Kept())
+        return one, handle
+
+    alone = []
+    for who in sorted({e[4] for e in events}):
+        one, _ = made(False)
+        mine = [e[:4] for e in events if e[4] == who]
+        alone += list(one._turn((json.loads(who)[0], ""), mine, 900, None)) + list(one._turn((json.loads(who)[0], ""), [], 3_000, None))
+    together, handle = made(True)
+    got, mark = [], 900
+    for at in range(0, len(events), 300):
+        got += together._turn((7,), events[at : at + 300], mark, None)
+        mark = 1_000 + at + 150
+    visits = handle.visits
+    got += together._turn((7,), [], 3_000, None)
+    assert shown(got) == shown(alone) and got
+    # what the last turns passed is late now
+    assert list(together._turn((7,), [events[-1]], 3_000, None)) == []
+    assert keys < 40 or visits < 1.2 * len(events)
+
+
+def test_packs_keep_every_event(spark):
+    """Events of a bucket as few rows of bounded size, with the latest time of each."""
+    import pyarrow as pa
+
+    n = 5000
+    body = [json.dumps([str(k), "x" * (k % 50), '{"a": "\\n,"}', "10", '["k"]']) for k in range(n)]
+    body[77] = json.dumps(["77", "y" * 30_000])
+    schema = pa.schema([("bucket", pa.int32()), ("ts", pa.timestamp("us", tz="UTC")), ("body", pa.string())])
+    parts = [pa.RecordBatch.from_arrays([pa.array([k * 7 % 11 for k in r], pa.int32()), pa.array(list(r), pa.int64()).cast(schema.field("ts").type), pa.array([body[k] for k in r])], schema=schema) for r in (range(0, 3000), range(3000, 3000), range(3000, n))]
+    rows = [r for b in S._packs(iter(parts)) for r in b.to_pylist()]
+    seen = []
+    for r in rows:
+        own = [int(e[0]) for e in json.loads(f"[{r['body']}]")]
+        assert {k * 7 % 11 for k in own} == {r["bucket"]} and int(r["ts"].timestamp() * 1e6 + 0.5) == max(own)
+        assert len(own) == 1 or len(r["body"]) < 2 * S._PACK + 30_000 * (77 in own)
+        seen += own
+    assert sorted(seen) == list(range(n)) and len(rows) < n / 20
+    assert list(S._packs(iter([]))) == [] and list(S._packs(iter([parts[1]]))) == []

@@ -40,7 +40,7 @@ def _sides(df: DataFrame, a: Column, b: Column, keys: Sequence[str], ts: str, ti
         related = [F.lower(F.col(r[at]).cast("string")).alias(f"__tw_{name}r{k}") for k, r in enumerate(relation)]
         same = [F.coalesce(F.col(k).cast("string"), F.lit("None")).alias(f"__tw_{name}k{k_}") for k_, k in enumerate(keys)]
         # a test that isn't deterministic stays above the watermark, so that all events move time
-        return df.where((total(test) & F.col(ts).isNotNull()) | (F.rand() < 0)).select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns], *same, *related)
+        return df.where((total(test) & F.col(ts).isNotNull()) | (F.rand() + F.rand() < 0)).select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns], *same, *related)
 
     joined = [F.col(f"__tw_a{c}{k}") == F.col(f"__tw_b{c}{k}") for c, n in (("k", len(keys)), ("r", len(relation))) for k in range(n)]
     _keyed(keys, relation)

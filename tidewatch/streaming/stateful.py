@@ -5,11 +5,18 @@ taken in event order, so a stream gives the matches that a batch over the same e
 gives. What waits is bounded by the lateness, open matches by the time limit: an event-time
 timer at the next event or deadline wakes the key even if it gets no more events.
 
+A visit to the state and a row handed to Python cost far more than an event's own work.
+So keys share the state's keys, a fixed number of buckets by their hash, whose waiting events,
+clock and timer they have in common, and events of a bucket are packed into few rows before they are shuffled. What a rule
+keeps stays apart by key. A late event is dropped if the watermark had passed it when its bucket was last
+visited, or with its pack; one that comes later than Spark asks for, but before its bucket has gone on, may still be taken in order.
+
 The state is kept by ``transformWithState`` in parts of their own: the events of a batch
-that must wait are put once, as a few entries of a map or, if few, beside the key's clock, and removed once; an open match,
-each event that it has taken, and the A's of a loop are entries too. Times are
+that must wait are put once, as a few entries of a map or, if few, beside the bucket's clock, and removed once; an open match
+is an entry, with the few events it had when it was put, and each event that it takes later,
+and so are the A's of a loop. Times are
 microseconds, as two events of a millisecond have an order. A batch
-writes what it adds and removes, never a key's whole state, and events of
+writes what it adds and removes, never a key's whole state, and reads what its buckets keep; events of
 a match are read only when it ends. The state store is RocksDB with a log of changes,
 which the first of these rules sets for its session (``RocksDBStateStoreProvider``).
 
@@ -26,6 +33,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,12 +52,17 @@ _TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFor
 _STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 #: Events of an entry of the map of waiting events.
 _ENTRY = 512
-#: So few waiting events stand beside the clock, which is read and written in any case: a visit to the state costs more than a few events.
+#: So few waiting events stand beside the clock, which is read and written in any case: a visit to the state costs more than a few events. So do few events of a match.
 _FEW = 64
+#: Keys of the state. A checkpoint's events were dealt by it.
+_BUCKETS = 2048
+#: Bytes of the events that go to the state as one row.
+_PACK = 8192
 
 
-def _shown(stage: str, event: dict) -> dict:
-    return {"stage": stage, "event": json.loads(event["json"])}
+def _shown(events: list[tuple[str, str]]) -> str:
+    """Stages and their events' JSON, which stays as it is."""
+    return "[" + ", ".join(f'{{"stage": {json.dumps(stage, ensure_ascii=False)}, "event": {text}}}' for stage, text in events) + "]"
 
 
 class _Taken:
@@ -82,76 +97,109 @@ class _Dict(dict):
 
 
 class _Patterns:
-    """Matches, and open matches whose time is up, of one key."""
+    """Matches, and open matches whose time is up, by key."""
 
     def __init__(self, stages, within, skip, strict, kinds):
         self.args, self.kinds = (stages, within, strict, skip == "past_last"), kinds
+        self.names = [stage[0] for stage in stages]
         self.reads_fields = any(stage[3] for stage in stages)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getMapState("open", "id bigint", "start bigint, stage int, closed boolean, counts array<int>")
+        self.open = handle.getMapState("open", "id bigint", "who string, start bigint, stage int, closed boolean, counts array<int>, few string")
+        # what an open match took after it was put, or more than a few events
         self.taken = handle.getMapState("taken", "id bigint, stage int, number int", "t bigint, json string")
 
     def event(self, time: int, text: str) -> dict:
         """Conditions on earlier events see an event's fields, as in its JSON."""
         return (json.loads(text) if self.reads_fields else {}) | {"t": time, "json": text}
 
+    def _few(self, few: str | None) -> list[list]:
+        return json.loads(few) if few is not None else [[] for _ in self.names]
+
+    def _read(self, i: int, at: int, few: str | None, k: int) -> dict:
+        near = self._few(few)[at]
+        return self.event(*(near[k] if k < len(near) else self.taken.getValue((i, at, k))))
+
     def begin(self, serial: int) -> None:
-        self.machine, self.serial, self.known = Automaton(*self.args), serial, {}
-        names = [x[0] for x in self.args[0]]
-        for (i,), (start, stage, closed, counts) in sorted(self.open.iterator()) if self.held else ():
-            read = lambda k, i=i, at=0: self.event(*self.taken.getValue((i, at, k)))
-            events = _Dict({names[at]: _Taken(lambda k, at=at, read=read: read(k, at=at), n) for at, n in enumerate(counts) if n})
-            self.machine.open.append(m := _Open(start, stage, events, closed))
-            self.known[id(m)] = (i, m, (stage, closed), list(counts))
+        self.machines, self.serial, self.known = {}, serial, {}
+        for (i,), (who, start, stage, closed, counts, few) in sorted(self.open.iterator()) if self.held else ():
+            events = _Dict({self.names[at]: _Taken(lambda k, i=i, at=at, few=few: self._read(i, at, few, k), n) for at, n in enumerate(counts) if n})
+            self._machine(who).open.append(m := _Open(start, stage, events, closed))
+            self.known[id(m)] = (i, m, (stage, closed), list(counts), few)
+
+    def _machine(self, who: str) -> Automaton:
+        if who not in self.machines:
+            self.machines[who] = Automaton(*self.args)
+        return self.machines[who]
+
+    def _opened(self) -> Iterator[tuple[str, _Open]]:
+        return ((who, m) for who, machine in self.machines.items() for m in machine.open)
 
     def end(self) -> int | None:
-        names = [x[0] for x in self.args[0]]
-        left = {id(m) for m in self.machine.open}
-        for key, (i, _, _, counts) in self.known.items():
+        left = {id(m) for _, m in self._opened()}
+        for key, (i, _, _, counts, few) in self.known.items():
             if key not in left:
                 self.open.removeKey((i,))
-                for at, n in enumerate(counts):
-                    for k in range(n):
+                for at, (n, near) in enumerate(zip(counts, self._few(few))):
+                    for k in range(len(near), n):
                         self.taken.removeKey((i, at, k))
-        for m in self.machine.open:
-            i, _, was, counts = self.known.get(id(m), (None, m, None, [0] * len(names)))
+        for who, m in self._opened():
+            i, _, was, counts, few = self.known.get(id(m), (None, m, None, [0] * len(self.names), None))
+            now = [len(m.taken.get(name, ())) for name in self.names]
+            if was == (m.stage, m.closed) and now == counts:
+                continue
             if i is None:
                 i, self.serial = self.serial, self.serial + 1
-            now = [len(m.taken.get(name, ())) for name in names]
-            for at, name in enumerate(names):
+                if sum(now) <= _FEW:
+                    few, counts = json.dumps([[(e["t"], e["json"]) for e in m.taken.get(name, ())] for name in self.names], ensure_ascii=False), now
+            for at, name in enumerate(self.names):
                 events = m.taken.get(name, ())
-                for k, e in enumerate(getattr(events, "more", events), counts[at]):
+                for k, e in enumerate(getattr(events, "more", events), counts[at]) if now[at] > counts[at] else ():
                     self.taken.updateValue((i, at, k), (e["t"], e["json"]))
-            if was != (m.stage, m.closed) or now != counts:
-                self.open.updateValue((i,), (m.start, m.stage, m.closed, now))
-        return min((m.start + self.args[1] for m in self.machine.open), default=None) if self.args[1] is not None else None
+            self.open.updateValue((i,), (who, m.start, m.stage, m.closed, now, few))
+        return min((m.start + self.args[1] for _, m in self._opened()), default=None) if self.args[1] is not None else None
 
     @property
     def empty(self) -> bool:
-        return not self.machine.open
+        return not any(machine.open for machine in self.machines.values())
 
     def _row(self, kind: str, start: int, end: int, taken: dict) -> tuple:
-        return kind, start, end, json.dumps([_shown(s, e) for s, es in taken.items() for e in es], ensure_ascii=False)
+        return kind, start, end, _shown([(s, e["json"]) for s, es in taken.items() for e in es])
 
-    def passed(self, time: int) -> Iterator[tuple]:
+    def _late(self, machine: Automaton, time: int) -> Iterator[tuple]:
         limit, late = self.args[1], 0
         if limit is not None:
             # they stand in order of their start
-            while late < len(self.machine.open) and time - self.machine.open[late].start >= limit:
+            while late < len(machine.open) and time - machine.open[late].start >= limit:
                 late += 1
-            for m in self.machine.open[:late] if "timeout" in self.kinds else ():
+            for m in machine.open[:late] if "timeout" in self.kinds else ():
                 yield self._row("timeout", m.start, m.start + limit, m.taken)
-            self.machine.open = self.machine.open[late:] if late else self.machine.open
+            machine.open = machine.open[late:] if late else machine.open
+
+    def passed(self, time: int) -> Iterator[tuple]:
+        for self.who, machine in self.machines.items():
+            yield from self._late(machine, time)
 
     def take(self, time: int, text: str, flags: list, until: list) -> Iterator[tuple]:
+        machine = self._machine(self.who)
         if "timeout" in self.kinds:
-            yield from self.passed(time)
-        for taken in self.machine.step(time, self.event(time, text), flags, until):
+            yield from self._late(machine, time)
+        for taken in machine.step(time, self.event(time, text), flags, until):
             if "match" in self.kinds:
                 yield self._row("match", min(e["t"] for es in taken.values() for e in es), time, taken)
 
 
+class _Loop:
+    """The A's of a key since its last B: few beside their number, then entries, then those added since."""
+
+    def __init__(self, stored: int = 0, useful: int = 0, last: int | None = None, entries: int = 0, few: str | None = None):
+        self.stored, self.useful, self.last, self.entries, self.few = self.was = (stored, useful, last, entries, few)
+        self.fresh, self.forgotten = [], False
+
+    def forget(self) -> None:
+        self.fresh, self.forgotten, self.last = [], True, None
+
+
 class _RepeatThen:
     """A at least n times, then B; the state is the A's since the last B."""
 
@@ -161,66 +209,77 @@ class _RepeatThen:
         self.n, self.within, self.strict, self.greedy = n, within, strict, greedy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getListState("taken", "t bigint, json string")
-        self.about = handle.getValueState("held", "stored bigint, useful bigint, last bigint")
+        self.taken = handle.getMapState("taken", "who string, number int", "events string")
+        self.about = handle.getMapState("held", "who string", "stored bigint, useful bigint, last bigint, entries int, few string")
 
     def begin(self, serial: int) -> None:
-        self.serial, self.fresh, self.forgotten = serial, [], False
-        self.stored, self.useful, self.last = self.was = (self.about.get() if self.held else None) or (0, 0, None)
-
-    def _since(self) -> list[tuple]:
-        return [*(self.taken.get() if self.stored and not self.forgotten else ()), *self.fresh]
+        self.serial = serial
+        self.loops = {who: _Loop(*about) for (who,), about in (self.about.iterator() if self.held else ())}
 
-    def _forget(self) -> None:
-        self.fresh, self.forgotten, self.last = [], True, None
+    def _since(self, who: str, x: _Loop) -> list[tuple]:
+        texts = [] if x.forgotten else [x.few or "[]", *(self.taken.getValue((who, k))[0] for k in range(x.entries))]
+        return [*(tuple(e) for text in texts for e in json.loads(text)), *x.fresh]
 
     def take(self, time: int, text: str, flags: list, until: list) -> Iterator[tuple]:
         is_a, is_b = flags
+        if self.who not in self.loops:
+            self.loops[self.who] = _Loop()
+        x = self.loops[self.who]
         if is_b and not (is_a and (self.greedy or self.strict)):
-            usable = [e for e in self._since() if self.within is None or time - e[0] < self.within] if self.last is not None else []
+            usable = [e for e in self._since(self.who, x) if self.within is None or time - e[0] < self.within] if x.last is not None else []
             if len(usable) >= self.n:
-                yield "match", usable[0][0], time, json.dumps([_shown("a", {"json": e[1]}) for e in usable] + [_shown("b", {"json": text})], ensure_ascii=False)
-            self._forget()
+                yield "match", usable[0][0], time, _shown([("a", e[1]) for e in usable] + [("b", text)])
+            x.forget()
         if is_a:
-            self.fresh.append((time, text))
-            self.last = time
+            x.fresh.append((time, text))
+            x.last = time
         elif self.strict:
-            self._forget()
+            x.forget()
 
     def passed(self, time: int) -> Iterator[tuple]:
-        if self.last is not None and self.within is not None and time - self.last >= self.within:
-            self._forget()
+        for x in self.loops.values():
+            if x.last is not None and self.within is not None and time - x.last >= self.within:
+                x.forget()
         self.time = time
         return iter(())
 
     @property
     def empty(self) -> bool:
-        return self.last is None
+        return all(x.last is None for x in self.loops.values())
+
+    def _put(self, who: str, x: _Loop, first: int, events: list[tuple]) -> int:
+        """Events as entries from that number on; the next number."""
+        for k in range(0, len(events), _ENTRY):
+            self.taken.updateValue((who, first), (json.dumps(events[k : k + _ENTRY], ensure_ascii=False),))
+            first += 1
+        return first
 
     def end(self) -> int | None:
-        """When the last A is of no more use. A's that no B can use any more go once they outnumber the others, so that each is moved once at most."""
-        kept = 0 if self.forgotten else self.stored
-        if self.forgotten and self.stored:
-            self.taken.clear()
-        if self.within is not None and kept + len(self.fresh) > 2 * self.useful + 16 and self.last is not None:
-            live = [e for e in self._since() if self.time - e[0] < self.within]
-            self.taken.put(live)
-            now = (len(live), len(live), self.last)
-        else:
-            if self.fresh:
-                self.taken.appendList(self.fresh)
-            now = (kept + len(self.fresh), 0 if self.forgotten else self.useful, self.last)
-        if self.last is None:
-            if self.was[2] is not None:
-                self.about.clear()
-            return None
-        if now != self.was:
-            self.about.update(now)
-        return self.last + self.within if self.within is not None else None
+        """When the last A of some key is of no more use. A's that no B can use any more go once they outnumber the others, so that each is moved once at most."""
+        for who, x in self.loops.items():
+            if not x.fresh and not x.forgotten:
+                continue
+            kept = 0 if x.forgotten else x.stored
+            few, entries, useful, fresh = (None, 0, 0, x.fresh) if x.forgotten else (x.few, x.entries, x.useful, x.fresh)
+            if self.within is not None and kept + len(fresh) > 2 * useful + 16 and x.last is not None:
+                fresh = [e for e in self._since(who, x) if self.time - e[0] < self.within]
+                few, entries, kept, useful = None, 0, 0, len(fresh)
+            now = kept + len(fresh)
+            for k in range(entries, x.entries):
+                self.taken.removeKey((who, k))
+            if now <= _FEW and not entries:
+                few = json.dumps([*json.loads(few or "[]"), *fresh], ensure_ascii=False)
+            else:
+                entries = self._put(who, x, entries, fresh)
+            if x.last is not None:
+                self.about.updateValue((who,), (now, useful, x.last, entries, few))
+            elif x.was[2] is not None:
+                self.about.removeKey((who,))
+        return min((x.last + self.within for x in self.loops.values() if x.last is not None), default=None) if self.within is not None else None
 
 
 class _NotBefore:
-    """B's without an A in the time before them; the state is the last A and the last alert."""
+    """B's without an A in the time before them; the state is the last A and the last alert of each key."""
 
     kinds = ("alert",)
     empty = True
@@ -229,26 +288,30 @@ class _NotBefore:
         self.within, self.silence = within, silence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "a bigint, json string, alert bigint")
+        self.state = handle.getMapState("last", "who string", "a bigint, json string, alert bigint")
 
     def begin(self, serial: int) -> None:
         self.serial = serial
-        self.a, self.json, self.alert = self.was = self.state.get() or (None, None, None)
+        # many keys are read together
+        found = {who: last for (who,), last in self.state.iterator()} if len(self.whos) > 8 else {who: self.state.getValue((who,)) for who in self.whos}
+        self.was = {who: tuple(found.get(who) or (None, None, None)) for who in self.whos}
+        self.now = dict(self.was)
 
     def take(self, time: int, text: str, flags: list, until: list) -> Iterator[tuple]:
+        a, shown, alert = self.now[self.who]
         if flags[0]:
-            self.a, self.json = time, text
-        elif flags[1] and (self.a is None or time - self.a > self.within) and (self.silence is None or self.alert is None or time - self.alert > self.silence):
-            self.alert = time
-            parts = [_shown("b", {"json": text})] + ([_shown("a", {"json": self.json})] if self.a is not None else [])
-            yield "alert", time, time, json.dumps(parts, ensure_ascii=False)
+            self.now[self.who] = (time, text, alert)
+        elif flags[1] and (a is None or time - a > self.within) and (self.silence is None or alert is None or time - alert > self.silence):
+            self.now[self.who] = (a, shown, time)
+            yield "alert", time, time, _shown([("b", text)] + ([("a", shown)] if a is not None else []))
 
     def passed(self, time: int) -> Iterator[tuple]:
         return iter(())
 
     def end(self) -> int | None:
-        if (now := (self.a, self.json, self.alert)) != self.was:
-            self.state.update(now)
+        for who, last in self.now.items():
+            if last != self.was[who]:
+                self.state.updateValue((who,), last)
         return None
 
 
@@ -262,6 +325,8 @@ class _NotBeforePart(_NotBefore):
         self.width = width
 
     def begin(self, serial: int) -> None:
+        # a stretch is a key of its own, which its timer wakes without events too
+        self.whos = {""}
         super().begin(serial)
         self.carry = None
 
@@ -269,7 +334,7 @@ class _NotBeforePart(_NotBefore):
         for kind, start, end, events in super().take(time, text, flags, until):
             yield kind, start, end, events, self.tie
         if flags[0] and time // self.width == int(self.key[1]):
-            self.carry = ("carry", time, time, json.dumps([_shown("a", {"json": text})], ensure_ascii=False), self.tie)
+            self.carry = ("carry", time, time, _shown([("a", text)]), self.tie)
 
     def passed(self, time: int) -> Iterator[tuple]:
         self.over = time >= (int(self.key[1]) + 1) * self.width
@@ -279,11 +344,11 @@ class _NotBeforePart(_NotBefore):
     def end(self) -> int | None:
         """A stretch that the watermark has passed is forgotten; a timer sees to it."""
         if self.over:
-            if self.was != (None, None, None):
-                self.state.clear()
+            if self.was[""] != (None, None, None):
+                self.state.removeKey(("",))
             return None
         super().end()
-        return (int(self.key[1]) + 1) * self.width if (self.a, self.alert) != (None, None) else None
+        return (int(self.key[1]) + 1) * self.width if self.now[""] != (None, None, None) else None
 
 
 class _Carried(StatefulProcessor):
@@ -319,10 +384,13 @@ class _Carried(StatefulProcessor):
 
 
 class _Sequence(StatefulProcessor):
-    """Lets the events of a key wait for the watermark and gives them to the rule in order."""
+    """Lets the events of a state's key wait for the watermark and gives them to the rule in order.
+
+    An event is its time, tie, JSON and flags, and in a bucket the key it belongs to (``who``), which the rule keeps apart.
+    """
 
-    def __init__(self, rule, stages: int, with_tie: bool = False, once: bool = False):
-        self.rule, self.stages, self.with_tie, self.once = rule, stages, with_tie, once
+    def __init__(self, rule, stages: int, with_tie: bool = False, once: bool = False, shared: bool = False):
+        self.rule, self.stages, self.with_tie, self.once, self.shared = rule, stages, with_tie, once, shared
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -332,7 +400,8 @@ class _Sequence(StatefulProcessor):
         self.rule.init(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        return self._turn(key, [(r["t"], r["tie"], r["json"], r["flags"]) for r in rows], timerValues.getCurrentWatermarkInMs(), None)
+        fresh = [(int(t), *more) for r in rows for t, *more in json.loads(f"[{r['body']}]")]
+        return self._turn(key, fresh, timerValues.getCurrentWatermarkInMs(), None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         return self._turn(key, [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
@@ -345,6 +414,10 @@ class _Sequence(StatefulProcessor):
         watermark = passed * 1000 + 999
         done, serial, timer, entries, held, few = was = tuple(self.clock.get() or (None, 0, None, 0, False, None))
         ready, nexts = [], []
+        if self.shared:
+            # a pack may have late events beside others; what its bucket has passed is over
+            done = 0 if done is None else done
+            fresh = [e for e in fresh if e[0] > done]
 
         def sift(events: list[tuple]) -> None:
             ready.extend(e for e in events if done < e[0] <= watermark)
@@ -378,16 +451,20 @@ class _Sequence(StatefulProcessor):
         rule = self.rule
         rule.key = key
         rule.held = held
+        rule.whos = {event[4] if len(event) > 4 else "" for event in ready}
         rule.begin(serial)
         before = None
         for event in sorted(ready):
             # equal events have equal times, so they are ready together
             if self.once and event == before:
                 continue
-            t, rule.tie, text, flags = before = event
+            before = event
+            t, rule.tie, text, flags = event[:4]
+            rule.who = event[4] if len(event) > 4 else ""
             bits = [c == "1" for c in flags]
-            out += rule.take(t, text, bits[: self.stages], bits[self.stages :])
-        out += rule.passed(watermark)
+            out += [(rule.who, *x) for x in rule.take(t, text, bits[: self.stages], bits[self.stages :])]
+        # of each key in turn
+        out += [(rule.who, *x) for x in rule.passed(watermark)]
         deadline = rule.end()
         if deadline is not None:
             nexts.append(deadline)
@@ -397,17 +474,49 @@ class _Sequence(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if wake is not None:
                 self.handle.registerTimer(wake)
-        if nexts or not rule.empty:
+        if nexts or not rule.empty or self.shared:
             now = (watermark, rule.serial, wake, entries, not rule.empty, few)
             # without waiting events the time up to which they were taken is of no matter
-            if now[1:] != was[1:] or done is None or (few is not None or entries) and now[0] != done:
+            if now[1:] != was[1:] or was[0] is None or (few is not None or entries or self.shared and ready) and now[0] != done:
                 self.clock.update(now)
-        elif done is not None:
+        elif was[0] is not None:
             self.clock.clear()
-        for kind, start, end, events, *tie in out:
+        for who, kind, start, end, events, *tie in out:
             if kind in rule.kinds:
                 own = {"tie": tie[0]} if self.with_tie else {}
-                yield Row(signature=key[0], kind=kind, start_ms=start // 1000, end_ms=end // 1000, events=events, **own)
+                yield Row(signature=json.loads(who)[0] if who else key[0], kind=kind, start_ms=start // 1000, end_ms=end // 1000, events=events, **own)
+
+
+def _body(*parts: Column) -> Column:
+    """An event as one text, a JSON list."""
+    return F.to_json(F.array(*parts)).alias("body")
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events of a bucket as few rows, each with the latest time of its own; a row has about ``_PACK`` bytes or one event."""
+    held, rows, size = [], 0, 0
+    for b in batches:
+        held, rows, size = [*held, b], rows + b.num_rows, size + b.nbytes
+        if rows >= 65_536 or size >= 1 << 24:
+            yield from _packed(held)
+            held, rows, size = [], 0, 0
+    yield from _packed(held)
+
+
+def _packed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(batches) if batches else None
+    if not table:
+        return
+    table = table.sort_by("bucket").combine_chunks()
+    bucket, ts, body = (table[name].chunk(0) for name in ("bucket", "ts", "body"))
+    size = pc.binary_length(body).to_numpy().astype(np.int64)
+    before = np.cumsum(size) - size
+    other = np.concatenate([[True], np.diff(bucket.to_numpy()) != 0])
+    part = (before - before[np.flatnonzero(other)][np.cumsum(other) - 1]) // _PACK
+    starts = np.flatnonzero(other | np.concatenate([[True], np.diff(part) != 0]))
+    latest = np.maximum.reduceat(pc.fill_null(ts.cast(pa.int64()), 0).to_numpy(), starts)
+    bodies = pa.ListArray.from_arrays(pa.array(np.append(starts, len(body)), pa.int32()), body)
+    yield pa.RecordBatch.from_arrays([bucket.take(pa.array(starts)), pa.array(latest).cast(ts.type), pc.binary_join(bodies, ",")], schema=table.schema)
 
 
 def _micros(within: str | int | None) -> int | None:
@@ -444,11 +553,14 @@ def _run(df: DataFrame, keys: Sequence[str] | Column, flags: list[Column], stage
     else:
         rows, related = df, F.lit("")
         bits = F.concat(*[F.when(total(c), "1").otherwise("0") for c in flags])
-    rows = rows.select(signature.alias("signature"), related.alias("related"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("t"), order.alias("tie"), F.to_json(F.struct(*carry), _TIMES).alias("json"), bits.alias("flags"))
+    rows = rows.withColumn("__tw_flags", bits)
     if not everything:
-        # a test that isn't deterministic stays above the watermark
-        rows = rows.where(F.col("flags").contains("1") | (F.rand() < 0))
-    return rows.groupBy("signature", "related").transformWithState(_Sequence(rule, stages, once=once), _OUT, "append", "eventTime")
+        # a test that isn't deterministic stays above the watermark (rand() < 0 alone would be replaced by false)
+        rows = rows.where(F.col("__tw_flags").contains("1") | (F.rand() + F.rand() < 0))
+    who = F.to_json(F.array(signature, related))
+    rows = rows.select(F.pmod(F.xxhash64(who), F.lit(_BUCKETS)).cast("int").alias("bucket"), F.col(ts).alias("ts"), _body(F.unix_micros(ts).cast("string"), order, F.to_json(F.struct(*carry), _TIMES), F.col("__tw_flags"), who))
+    packs = rows.mapInArrow(_packs, rows.schema)
+    return packs.groupBy("bucket").transformWithState(_Sequence(rule, stages, once=once, shared=True), _OUT, "append", "eventTime")
 
 
 def match_stream(df: DataFrame, stages: Sequence[Stage], keys: Sequence[str], ts: str, tie: Sequence[str], within: str | int | None = None, skip: str = "next", contiguity: str = "relaxed", kinds: Sequence[str] = ("match", "timeout"), relation: Sequence[tuple[str, str]] = (), once: bool = False) -> DataFrame:
@@ -496,8 +608,8 @@ def _not_before_unkeyed(df: DataFrame, a: Column, b: Column, ts: str, tie: Seque
     stretch = F.floor(F.unix_millis(ts) / width).cast("bigint")
     flags = F.concat(F.when(own, "1").otherwise("0"), F.when(total(b) & ~own, "1").otherwise("0"), F.lit("00"))
     places = F.transform(F.when(own, F.array(stretch, stretch + 1)).otherwise(F.array(stretch)), lambda x: x.cast("string"))
-    rows = df.select(F.lit("All").alias("signature"), F.explode(places).alias("stretch"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("t"), order.alias("tie"), F.to_json(F.struct(*df.columns), _TIMES).alias("json"), flags.alias("flags"))
-    rows = rows.where(F.col("flags").contains("1") | (F.rand() < 0))
+    rows = df.select(F.lit("All").alias("signature"), F.explode(places).alias("stretch"), F.col(ts).alias("ts"), _body(F.unix_micros(ts).cast("string"), order, F.to_json(F.struct(*df.columns), _TIMES), flags), flags.alias("flags"))
+    rows = rows.where(F.col("flags").contains("1") | (F.rand() + F.rand() < 0)).drop("flags")
     parts = rows.groupBy("signature", "stretch").transformWithState(_Sequence(_NotBeforePart(within * 1000, width * 1000), 2, with_tie=True), f"{_OUT}, tie string", "append", "eventTime")
     return parts.groupBy("signature").transformWithState(_Carried(silence), _OUT, "append", "none")
 
