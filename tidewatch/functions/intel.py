@@ -50,17 +50,21 @@ class IntelGroups:
     """The groups of a table. ``patterns``: read hash contents as partial, URL contents as full regular expressions."""
 
     def __init__(self, table: DataFrame, patterns: bool = False, literal_limit: int = LITERAL_LIMIT):
-        self.table = table.select("group_id", "name", "type", "intelligence_type", "content").where("content IS NOT NULL").distinct()
+        self.table = table.select("group_id", "name", "type", "intelligence_type", "content").where("content IS NOT NULL")
         self.by_pattern, self.limit = patterns, literal_limit
-        # one row for each group
+        # one row for each group; the table isn't dealt out for it
         self.kinds = {}
         self.sizes = {}
-        for r in self.table.groupBy("group_id", "name", "type", "intelligence_type").count().collect():
+        for r in self.table.groupBy("group_id", "name", "type", "intelligence_type").agg(F.count("*").alias("rows"), F.approx_count_distinct("content").alias("about")).collect():
             if r["type"] not in _EXACT | {"ip"}:
                 raise ValueError(f"group {r['name']} has unknown type {r['type']}")
             for key in {r["name"], r["group_id"]}:
                 self.kinds[key] = (r["type"], r["intelligence_type"])
-                self.sizes[key] = self.sizes.get(key, 0) + r["count"]
+                rows, about = self.sizes.get(key, (0, 0))
+                self.sizes[key] = rows + r["rows"], about + r["about"]
+        # repeated contents count once: exactly, where the estimate leaves open whether they are few
+        for key, (rows, about) in self.sizes.items():
+            self.sizes[key] = rows if rows <= self.limit else about if about > 4 * self.limit else self.contents(key).count()
 
     def reloaded(self, table: DataFrame) -> IntelGroups:
         """The groups of a newer table, with the same settings."""
@@ -149,7 +153,7 @@ class IntelGroups:
         return df.join(known, F.col(field).cast("string") == F.col("__tw_content"), "left").drop("__tw_content").withColumn(flag, total(F.col(flag)))
 
     def _mark_patterns(self, df: DataFrame, field: str, group: str, flag: str) -> DataFrame:
-        by_gram, rest = patterns.index(self.table.where((F.col("name") == group) | (F.col("group_id") == group)).select(F.col("content").alias("pattern")))
+        by_gram, rest = patterns.index(self.table.where((F.col("name") == group) | (F.col("group_id") == group)).select(F.col("content").alias("pattern")), self.sizes[group])
         hit = patterns.matching(df, field, by_gram, self.kinds[group][1] == "url").select(F.col("text").alias("__tw_text"), F.lit(True).alias(flag))
         value = F.col(field).cast("string")
         tests = [value.rlike(x) for x in self._expressions(group, rest)]
